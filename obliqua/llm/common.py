@@ -75,3 +75,22 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2] if len(column) else None
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, salt: str) -> DataFrame:
+    """About ``most`` rows, the same in every run: those whose hashed key is low.
+
+    Only the count of the rows is gathered; keys should be distinct, as the
+    bound holds in expectation.
+    """
+    from pyspark.sql import functions as F
+
+    share = min(1.0, most / max(1, df.count()))
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
+def id_remainder(column, modulus: int):
+    """crc32 of an id as text, modulo ``modulus``; a null id counts as empty text."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_remainder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -15,12 +16,43 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def fit_labelled(docs: DataFrame, labels: DataFrame, fit):
+    """A model from labels of some documents; the sample is drawn before texts are joined to it."""
+    from .common import bounded_sample
+
+    few = bounded_sample(labels.filter("toxic is not null"), "doc_id", 6000, "labelled")
+    return fit(docs.join(F.broadcast(few), "doc_id"))
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), id_remainder(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").filter(~held).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    lexicon = fit_labelled(docs, labels, fit)
+    return score(docs, lexicon).withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, predict
+
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), id_remainder(F.col("doc_id"), 4) == 2
+    model = fit(docs.filter(~held))
+    return predict(docs.select("doc_id", "text"), model).withColumn("held_out", held).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_classes
+
+    return similar_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .binary_output import token_output
 
@@ -28,7 +60,7 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op10_token_binary_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op6_toxicity, op8_language_id, op9_ngram_jaccard_join, op10_token_binary_output)}
 
 
 def oracle_sql() -> dict[str, str]:
