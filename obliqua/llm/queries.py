@@ -36,6 +36,12 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(to_media(table(spark, sf_dir, "documents")))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit, score
 
@@ -66,7 +72,7 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_media_columns, op6_toxicity, op8_language_id, op9_ngram_jaccard_join, op10_token_binary_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_media_columns, op5_embedding_near_dedup, op6_toxicity, op8_language_id, op9_ngram_jaccard_join, op10_token_binary_output)}
 
 
 def oracle_sql() -> dict[str, str]:
