@@ -57,6 +57,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, lexicon).withColumn("held_out", held).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, predict
 
@@ -78,7 +84,7 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_line_dedup, op4_media_columns, op5_embedding_near_dedup, op6_toxicity, op8_language_id, op9_ngram_jaccard_join, op10_token_binary_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op3_line_dedup, op4_media_columns, op5_embedding_near_dedup, op6_toxicity, op7_pii, op8_language_id, op9_ngram_jaccard_join, op10_token_binary_output)}
 
 
 def oracle_sql() -> dict[str, str]:
