@@ -50,7 +50,7 @@ def _shards(tokenizer: str, end_id: int, shard_tokens: int):
             return row
 
         size = 0
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, 4 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, got in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(texts), strict=True):
                 if size and size + len(got) // 4 + 1 > shard_tokens:
@@ -64,7 +64,7 @@ def _shards(tokenizer: str, end_id: int, shard_tokens: int):
     return run
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 20) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 18) -> DataFrame:
     """Writes the shards under ``path`` and returns the stored table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -77,7 +77,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, shard, image in zip(batch.column("part").to_pylist(), batch.column("shard").to_pylist(), batch.column("image"), strict=True):
             matrix, docs, ends = open_shard(image.as_py())
-            raw = matrix.to_array().astype("<u4").data.cast("B")
+            raw = matrix.to_array().astype("<u4", copy=False).data.cast("B")
             starts = np.concatenate([[0], ends[:-1]])
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
@@ -112,7 +112,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return decoded.join(shard_starts(spark, stored), ["part", "shard"]).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 20) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens: int = 1 << 18) -> DataFrame:
     """Shards written to scratch space, read back and removed; see ``read_shards`` for the columns."""
     spark = docs.sparkSession
     path = scratch_path(spark, "shards")

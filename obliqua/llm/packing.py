@@ -39,7 +39,7 @@ def _pieces(tokenizer: str, end_id: int, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([end_id], "<u4").tobytes()
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, 4 << 20):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids += tail

@@ -5,11 +5,14 @@ that bit of every id in the order the planes above have sorted the ids into
 (zeros before ones, each stable).  Rank directories with one count for each 512
 positions make access, counting and occurrence lookup cost a few steps a plane.
 
+The planes hold places in the shard's own ascending alphabet, which needs fewer
+planes than the vocabulary.
+
 Image (little-endian): magic ``OWM1``; u32 planes, u64 ids, u64 documents;
 then, each behind its u64 byte length: document ids (i64), presence flags of
-document ids (u8), document ends (u64), zeros of each plane (u64), and for each
-plane its bits and its directory (u32), all zstd frames; last u32 crc32 of what
-precedes it.
+document ids (u8), document ends (u64), the alphabet (u32), zeros of each plane
+(u64), and for each plane its bits and its directory (u32), all zstd frames;
+last u32 crc32 of what precedes it.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ def _pop(words: np.ndarray) -> np.ndarray:
 class WaveletMatrix:
     """Succinct sequence of unsigned ids; see the module's text."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], size: int, directories: list[np.ndarray] | None = None):
-        self.planes, self.zeros, self.size = planes, zeros, size
+    def __init__(self, planes: list[np.ndarray], zeros: list[int], size: int, alphabet: np.ndarray, directories: list[np.ndarray] | None = None):
+        self.planes, self.zeros, self.size, self.alphabet = planes, zeros, size, alphabet
         self.directories = directories or [self._directory(p) for p in planes]
 
     @staticmethod
@@ -42,9 +45,16 @@ class WaveletMatrix:
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(each)]).astype(np.uint32)
 
     @classmethod
-    def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
-        bits = bits or max(1, int(ids.max()).bit_length() if len(ids) else 1)
-        sequence = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    def build(cls, ids: np.ndarray) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) < 1 << 20:  # mark what occurs; sorting would take longer
+            present = np.zeros(int(ids.max()) + 1, bool)
+            present[ids] = True
+            alphabet = np.flatnonzero(present).astype(np.uint32)
+            sequence = (np.cumsum(present, dtype=np.uint32) - np.uint32(1))[ids]
+        else:
+            alphabet, sequence = np.unique(ids.astype(np.uint32), return_inverse=True)
+        bits = max(1, (len(alphabet) - 1).bit_length())
+        sequence = sequence.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros = [], []
         for bit in range(bits - 1, -1, -1):
             ones = (sequence & sequence.dtype.type(1 << bit)) != 0
@@ -52,7 +62,7 @@ class WaveletMatrix:
             left = np.flatnonzero(~ones)
             zeros.append(len(left))
             sequence = np.concatenate([sequence.take(left), sequence.take(np.flatnonzero(ones))])
-        return cls(planes, zeros, len(ids))
+        return cls(planes, zeros, len(ids), alphabet)
 
     def to_array(self) -> np.ndarray:
         """All ids in order: the planes undone from the lowest bit up."""
@@ -67,7 +77,7 @@ class WaveletMatrix:
             above[np.flatnonzero(flags)] = now[zeros:]
             above[np.flatnonzero(flags == 0)] = now[:zeros]
             now = above
-        return now
+        return self.alphabet[now]
 
     def _rank1(self, level: int, at: int) -> int:
         """Ones of a plane before a position."""
@@ -93,10 +103,15 @@ class WaveletMatrix:
             bit = self._rank1(level, at + 1) - ones
             at = self.zeros[level] + ones if bit else at - ones
             value = value << 1 | bit
-        return value
+        return int(self.alphabet[value])
+
+    def _place(self, value: int) -> int | None:
+        at = int(np.searchsorted(self.alphabet, value))
+        return at if at < len(self.alphabet) and self.alphabet[at] == value else None
 
     def _range(self, value: int, start: int, end: int) -> tuple[int, int]:
-        if value >> len(self.planes):
+        value = self._place(value)
+        if value is None:
             return 0, 0
         for level in range(len(self.planes)):
             a, b = self._rank1(level, start), self._rank1(level, end)
@@ -114,6 +129,7 @@ class WaveletMatrix:
     def locate(self, value: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of an id; IndexError past the last."""
         a, b = self._range(value, 0, self.size)
+        value = self._place(value) or 0
         if not 0 <= k < b - a:
             raise IndexError(k)
         at = a + k
@@ -128,7 +144,7 @@ def pack_shard(ids: np.ndarray, doc_ids: list[int | None], ends: np.ndarray) ->
     matrix, press = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], np.int64)
-    parts = [numbers, known, np.asarray(ends, np.uint64), np.asarray(matrix.zeros, np.uint64)]
+    parts = [numbers, known, np.asarray(ends, np.uint64), matrix.alphabet, np.asarray(matrix.zeros, np.uint64)]
     for plane, directory in zip(matrix.planes, matrix.directories, strict=True):
         parts += [plane, directory]
     out = [HEAD.pack(MAGIC, len(matrix.planes), len(ids), len(doc_ids))]
@@ -154,11 +170,11 @@ def open_shard(image: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarra
         at += 8 + length
         return np.frombuffer(unpress.decompress(image[at - length : at]), kind)
 
-    numbers, known, ends, zeros = part(np.int64), part(np.uint8), part(np.uint64), part(np.uint64)
+    numbers, known, ends, alphabet, zeros = part(np.int64), part(np.uint8), part(np.uint64), part(np.uint32), part(np.uint64)
     planes, directories = [], []
     for _ in range(bits):
         planes.append(part(np.uint8))
         directories.append(part(np.uint32))
     doc_ids = [int(n) if k else None for n, k in zip(numbers, known, strict=True)]
     assert len(doc_ids) == documents
-    return WaveletMatrix(planes, [int(z) for z in zeros], size, directories), doc_ids, ends.astype(np.int64)
+    return WaveletMatrix(planes, [int(z) for z in zeros], size, alphabet, directories), doc_ids, ends.astype(np.int64)
