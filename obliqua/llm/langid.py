@@ -168,11 +168,11 @@ def fit(labelled: DataFrame, most_rows: int = 3000) -> Model:
     return train([r for r in rows if len(r[1])])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with lang_pred and score; columns of these names are replaced."""
+def predict(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
+    """All columns of ``docs`` with the predicted language and its score; columns of the two names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    docs = docs.drop(lang_name, score_name)
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, 1 << 20):
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 score = np.where(letter, chance.max(1), 1.0)
             else:
                 names, score = ["und"] * len(texts), np.where(letter, 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, lang_name, score_name])
 
     return docs.mapInArrow(run, schema)
 

@@ -30,6 +30,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import decisions
 
@@ -84,7 +90,7 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op3_line_dedup, op4_media_columns, op5_embedding_near_dedup, op6_toxicity, op7_pii, op8_language_id, op9_ngram_jaccard_join, op10_token_binary_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_line_dedup, op4_media_columns, op5_embedding_near_dedup, op6_toxicity, op7_pii, op8_language_id, op9_ngram_jaccard_join, op10_token_binary_output)}
 
 
 def oracle_sql() -> dict[str, str]:
