@@ -7,14 +7,15 @@ similar enough share a shingle among the first few of each (the prefix), so
 sets with equal prefix and size form a group, and only groups meet in the
 buckets of prefix shingles, where sizes and positions rule out most pairs.
 
-The links need not all be known for the components.  A first round compares
-every group of a bucket with the bucket's smallest member and every member of
-a group with the group's smallest, which joins large families of copies by a
-number of pairs in proportion to them.  Further rounds do so once more with what
-is still apart.  The last round is exact: in buckets that still
-hold more than one component, the members of all but the largest are
-compared with every member of another component.  Pairs are verified on the
-whole texts.
+The links need not all be known for the components.  First, every group of a
+crowded bucket meets the bucket's smallest group, and every member of a group
+the group's smallest, which joins large families of copies by a number of pairs
+in proportion to them.  Second, shared prefix shingles of all other buckets are counted by
+pair of groups; only pairs with as many as the threshold demands go on.  Third
+and exact: in crowded buckets and groups that still hold more than one
+component, the members outside the largest meet every member of another
+component, in blocks, and only pairs that size and counts allow leave a block.
+Pairs are verified on the whole texts.
 
 Defined cases: null, empty or wordless texts have an empty set, link with
 nothing and are components of their own; equal ``doc_id`` rows are told apart by
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, string_bytes, text_slices
+from .common import arrow_rows, checkpointed, remove_path, scratch_path, string_bytes, text_slices
 from .components import components
 from .shingles import mix, text_shingles
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> list[np.ndarray]:
@@ -61,7 +62,7 @@ def _frequent(width: int, least: int, most: int):
         for batch in text_slices(batches, SLICE):
             waiting.extend(_sets(batch, width))
             size = sum(map(len, waiting))
-            if size > 4_000_000:
+            if size > 1_000_000:
                 fold()
         fold()
         if held:
@@ -148,82 +149,151 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _similar_sizes(percent: int):
-    """Sizes alone allow the similarity, and the shingles after the met positions can reach the overlap."""
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    rest = F.lit(1) + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) + F.least("pos_a", "pos_b")
-    return (small * 100 >= large * percent) & (rest * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+def _bounds(percent: int):
+    """(sizes allow it, shared prefix shingles that a pair must have) of columns n_a, n_b.
 
+    Of two prefixes one ends first in the order; that set's prefix is known in
+    full against the other's, so the sets share no more than the shared prefix
+    shingles and the rest of the set beyond its prefix.
+    """
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    overlap = F.ceil((n_a + n_b) * percent / (100 + percent))
+    beyond = lambda n: F.ceil(n * percent / 100) - 1
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sizes, overlap - F.greatest(beyond(n_a), beyond(n_b))
+
+
+def _apart(percent: int, block: int):
+    """Pairs of members of different components that one bucket cannot rule out, from blocks of its members.
+
+    A block of outsiders (members not of the bucket's largest component) meets a
+    block of all members; rows come sorted by bucket and pair of blocks.
+    """
+
+    def work(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        left, item, n, often, component = rows
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        small, large = np.minimum(n[a][:, None], n[b]), np.maximum(n[a][:, None], n[b])
+        total = n[a][:, None] + n[b]
+        need = -(-total * percent // (100 + percent)) - (-(-large * percent // 100) - 1)
+        fits = (component[a][:, None] != component[b]) & (100 * small >= percent * large) & (np.minimum(often[a][:, None], often[b]) >= need)
+        x, y = np.nonzero(fits)
+        x, y = item[a[x]], item[b[y]]
+        return np.minimum(x, y), np.maximum(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            now = now if held is None else [np.concatenate([h, c]) for h, c in zip(held, now, strict=True)]
+            cut = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]) | (now[2][1:] != now[2][:-1]) | (now[3][1:] != now[3][:-1])) + 1
+            edges = [0, *cut.tolist()]
+            found = [work([c[x:y] for c in now[4:]]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            held = [c[edges[-1] :] for c in now]  # the last bucket may go on in the next batch
+            yield from pairs(found)
+        if held is not None and len(held[0]):
+            yield from pairs([work(held[4:])])
+
+    def pairs(found) -> Iterator[pa.RecordBatch]:
+        if found:
+            both = np.unique(np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])], 1).astype(np.int64), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return run
 
-def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, rounds: int = 2) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+
+def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: int = 32, block: int = 256) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text).
+
+    Buckets of more than ``crowd`` groups are crowded: they are compared with their
+    smallest group first, then in blocks of ``block`` members.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    folders: list[str] = []
+
+    def stored(df: DataFrame, purpose: str) -> DataFrame:
+        folders.append(scratch_path(spark, purpose))
+        df.write.parquet(folders[-1])
+        return spark.read.schema(df.schema).parquet(folders[-1])
+
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width))
-    signed = checkpointed(docs.mapInArrow(_signatures(width, percent, frequent), "doc_id long, n long, h1 long, h2 long, ph long, prefix array<long>"))
+    signed = stored(docs.mapInArrow(_signatures(width, percent, frequent), "doc_id long, n long, h1 long, h2 long, ph long, prefix array<long>"), "signatures")
 
     # equal sets: one document stands for each; equal prefixes and sizes: one set stands for each group
     full = signed.filter("n > 0 and doc_id is not null")
-    sets = checkpointed(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("item"), F.first("ph").alias("ph")))
-    groups = sets.groupBy("n", "ph").agg(F.min("item").alias("grp"))
-    members = checkpointed(sets.join(groups, ["n", "ph"]).select("item", "grp", "n"))
+    sets = stored(full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("item"), F.first("ph").alias("ph")), "sets")
+    members = stored(sets.join(sets.groupBy("n", "ph").agg(F.min("item").alias("grp")), ["n", "ph"]).select("item", "grp", "n"), "groups")
     heads = members.filter("item = grp").select(F.col("item").alias("doc_id"))
-    entries = full.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("grp"), "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("k"), F.min(F.struct("grp", "n", "pos")).alias("hub")).filter("k > 1").select("token", "hub")
-    bucketed = checkpointed(entries.join(shared, "token").select("token", "hub", "grp", "n", "pos"))
+    entries = full.select("doc_id", "n", "prefix").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("grp"), F.explode("prefix").alias("token"))
+    shared = entries.groupBy("token").agg(F.count("*").alias("k"), F.min("grp").alias("hub")).filter("k > 1")
+    bucketed = stored(entries.join(shared, "token").select("token", "k", "hub", "grp"), "buckets")
+    few, many = bucketed.filter(F.col("k") <= crowd), bucketed.filter(F.col("k") > crowd)
+    often = checkpointed(many.groupBy("grp").agg(F.count("*").alias("often")))
+    sized = members.filter("item = grp").select("grp", "n").join(often, "grp", "left").select("grp", "n", F.coalesce("often", F.lit(0)).alias("often"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
         with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "u long, v long")
+        with arrow_rows(spark, 1000):
+            return checkpointed(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, percent), "u long, v long"))
 
-    # round one: the smallest group of each bucket with the others, the head of each group with its members
-    stars = bucketed.select(F.col("hub.grp").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.pos").alias("pos_a"), F.col("grp").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    def end_sizes(pairs: DataFrame) -> DataFrame:
+        """Pairs of groups with the size of both and how many of their prefix shingles are crowded."""
+        a, b = (sized.select(F.col("grp").alias(x), F.col("n").alias(f"n_{x}"), F.col("often").alias(f"often_{x}")) for x in "ab")
+        return pairs.join(a, "a").join(b, "b")
+
+    fits, need = _bounds(percent)
+    # one: the smallest group of each crowded bucket with the others, the head of each group with its members
+    stars = many.filter("grp <> hub").select(F.col("hub").alias("a"), F.col("grp").alias("b")).distinct()
     inside = members.filter("item <> grp").select(F.col("grp").alias("a"), F.col("item").alias("b"))
-    tried = checkpointed(stars.filter("a <> b").filter(_similar_sizes(percent)).select("a", "b").union(inside).distinct())
-    links = checkpointed(verified(tried))
+    tried = checkpointed(end_sizes(stars).filter(fits & (F.least("often_a", "often_b") + crowd >= need)).select("a", "b").union(inside))
+    links = verified(tried)
+
+    # two: the pairs of groups that share enough shingles, counted over the buckets that are not crowded
+    mine, other = few.select("token", F.col("grp").alias("a")), few.select("token", F.col("grp").alias("b"))
+    counted = mine.join(other, "token").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    close = end_sizes(counted).filter(fits & (F.col("c") + F.least("often_a", "often_b") >= need)).select("a", "b")
+    by_group = members.select("grp", "item")
+    spread = close.join(by_group.select(F.col("grp").alias("a"), F.col("item").alias("x")), "a").join(by_group.select(F.col("grp").alias("b"), F.col("item").alias("y")), "b")
     labels = checkpointed(components(links))
-
-    def labelled() -> DataFrame:
-        """Every member with its component; buckets and groups hold members by their head."""
-        return members.join(labels.select(F.col("node").alias("item"), "component"), "item", "left").select("item", "grp", "n", F.coalesce("component", "item").alias("component"))
-
-    def apart() -> DataFrame:
-        """Members of the buckets and groups that hold more than one component, each with the bucket's largest."""
-        named = checkpointed(labelled())
-        by_group = named.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        spread = bucketed.select("token", "grp").join(by_group, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("token")
-        in_buckets = bucketed.select("token", "grp", "pos").join(spread, "token", "left_semi").join(named, "grp").select(F.col("token").alias("key"), F.lit(0).alias("kind"), "item", "n", "pos", "component")
-        in_groups = named.join(by_group.filter("low < high"), "grp", "left_semi").select(F.col("grp").alias("key"), F.lit(1).alias("kind"), "item", "n", F.lit(0).cast("int").alias("pos"), "component")
-        rows = checkpointed(in_buckets.union(in_groups))
-        sizes = rows.groupBy("key", "kind", "component").count()
-        largest = sizes.groupBy("key", "kind").agg(F.max_by("component", F.struct("count", "component")).alias("largest"))
-        return rows.join(largest, ["key", "kind"])
-
-    for _ in range(rounds - 1):
-        rows = apart()
-        # one more member of the largest component meets all that is outside it
-        second = rows.filter("component = largest").groupBy("key", "kind").agg(F.max(F.struct("item", "n", "pos")).alias("hub"))
-        more = rows.filter("component <> largest").join(second, ["key", "kind"]).select(F.col("hub.item").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.pos").alias("pos_a"), F.col("item").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-        fresh = checkpointed(more.filter(_similar_sizes(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-        found = checkpointed(verified(fresh))
-        tried = tried.union(fresh)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = checkpointed(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)))
-
-    rows = apart()
-    outside = rows.filter("component <> largest").select("key", "kind", F.col("item").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("component").alias("c_a"))
-    anyone = rows.select("key", "kind", F.col("item").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("component").alias("c_b"))
-    last = outside.join(anyone, ["key", "kind"]).filter("c_a <> c_b").filter(_similar_sizes(percent))
-    fresh = checkpointed(last.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    found = checkpointed(verified(fresh))
-    if not found.isEmpty():
-        labels = checkpointed(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)))
+    named = lambda old: labels.select(F.col("node").alias(old), F.col("component").alias(f"{old}_component"))
+    open_pairs = spread.join(named("x"), "x", "left").join(named("y"), "y", "left").filter(F.coalesce("x_component", "x") != F.coalesce("y_component", "y"))
+    fresh = checkpointed(open_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    labels = _joined(labels, verified(fresh))
+
+    # three: what is still apart within crowded buckets and within groups, block by block
+    placed = checkpointed(members.join(labels.select(F.col("node").alias("item"), "component"), "item", "left").join(often, "grp", "left").select("item", "grp", "n", F.coalesce("often", F.lit(0)).cast("long").alias("often"), F.coalesce("component", "item").alias("component")))
+    crowded = many.select("token", "grp").join(placed, "grp").select(F.col("token").alias("key"), F.lit(0).alias("kind"), "item", "n", "often", "component")
+    # members of one group share their whole prefix, so nothing but their sizes counts
+    in_groups = placed.select(F.col("grp").alias("key"), F.lit(1).alias("kind"), "item", "n", F.lit(1 << 40).alias("often"), "component")
+    rows = stored(crowded.union(in_groups), "crowded")
+    sizes = rows.groupBy("key", "kind", "component").agg(F.count("*").alias("size"))
+    kept = sizes.groupBy("key", "kind").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most")).filter("all > most")
+    dealt = rows.join(kept, ["key", "kind"]).withColumn("outside", F.col("component") != F.col("largest"))
+    part = lambda count: F.pmod(F.xxhash64("item"), F.ceil(F.col(count) / block)).cast("int")
+    dealt = dealt.withColumn("few", F.col("all") - F.col("most"))
+    count_of = lambda count: F.sequence(F.lit(0), F.ceil(F.col(count) / block).cast("int") - 1)
+    ours = dealt.filter("outside").select("key", "kind", part("few").alias("i"), F.explode(count_of("all")).alias("j"), F.lit(True).alias("left"), "item", "n", "often", "component")
+    theirs = dealt.select("key", "kind", F.explode(count_of("few")).alias("i"), part("all").alias("j"), F.lit(False).alias("left"), "item", "n", "often", "component")
+    by = ["key", "kind", "i", "j"]
+    possible = ours.union(theirs).repartition(*by).sortWithinPartitions(*by).mapInArrow(_apart(percent, block), "a long, b long").distinct()
+    last = checkpointed(possible.join(tried, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti"))
+    labels = _joined(labels, verified(last))
 
     items = sets.select("n", "h1", "h2", "item").join(labels.select(F.col("node").alias("item"), "component"), "item", "left").select("n", "h1", "h2", F.coalesce("component", "item").alias("component"))
-    return signed.select("doc_id", "n", "h1", "h2").join(items, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    result = checkpointed(signed.select("doc_id", "n", "h1", "h2").join(items, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+    for folder in folders:
+        remove_path(spark, folder)
+    return result
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links."""
+    if links.isEmpty():
+        return labels
+    return checkpointed(components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links)))
 
 
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
