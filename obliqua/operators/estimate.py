@@ -52,9 +52,9 @@ def slurm_bytes_column(text: Column) -> Column:
 def format_bytes_column(size: Column) -> Column:
     """Like "1.50 GiB": the largest of B, KiB, MiB, GiB, TiB that is not above the size; unknown sizes say so."""
     amount = size.cast("double")
-    out = F.when(size.isNull(), "unknown").when(amount < 1024, F.concat(F.format_number(amount, "0"), F.lit(" B")))
+    out = F.when(size.isNull(), "unknown").when(amount < 1024, F.format_string("%d B", size.cast("long")))
     for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
-        text = F.concat(F.format_number(amount / 1024.0**power, "0.00"), F.lit(f" {unit}"))
+        text = F.format_string(f"%.2f {unit}", amount / 1024.0**power)
         out = out.when(amount < 1024.0 ** (power + 1), text) if unit != "TiB" else out.otherwise(text)
     return out
 

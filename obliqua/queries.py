@@ -9,6 +9,7 @@ ways of computing check each other.
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 from .functions import dtypes
 from .functions.geometry import Acquisition, Box, crop_plan, region_box
 from .operators import crop as cropping
-from .operators import estimate, filters, mip, rois
+from .operators import decon, estimate, filters, mip, rois
 from .operators.deskew import deskew
-from .sources import naming, volume
+from .plans.workflow import Workflow, run_workflow
+from .sources import images, naming, volume
 
 NZ, NY, NX = 24, 40, 32
 DZ, DY, DX = 2.0, 1.04, 1.04
@@ -613,6 +615,46 @@ def crop_origins(spark, d):
     return spark.createDataFrame(rows, "roi_index int, z double, y double, x double")
 
 
+@register("SELECT CAST(i - 1 AS INT) AS row, l_orderkey, a[i] AS quantity, b[i] AS line FROM (SELECT l_orderkey, list(CAST(l_quantity AS BIGINT) ORDER BY l_linenumber) AS a, list(CAST(l_linenumber AS BIGINT) ORDER BY l_linenumber) AS b FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i)")
+def exploded_table(spark, d):
+    lines = lineitem(spark, d).groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    cells = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").cast("long").alias("line"), F.col("q").cast("long").alias("q")))).alias("s"))
+    return images.explode_lists(cells.select("l_orderkey", F.col("s.q").alias("quantity"), F.col("s.line").alias("line")), ["quantity", "line"])
+
+
+_CONFIG = {"angle": 45.0, "skew": "Y", "time_range": range(0, 2)}
+
+
+@register(f"WITH r AS ({ROIS_SQL}) SELECT roi_index, '{{\"schema_version\":\"1.0\",\"output\":{{\"path\":\"crop_ROI_' || CAST(roi_index AS VARCHAR) || '.ome.tif\",\"roi_index\":' || CAST(roi_index AS VARCHAR) || ',\"origin_zyx_px\":[0.0,' || CAST(\"top\" AS VARCHAR) || ',' || CAST(\"left\" AS VARCHAR) || ']}},\"config\":' || CAST(to_json('{json.dumps(images.jsonable(_CONFIG))}') AS VARCHAR) || '}}' AS document FROM r")
+def sidecars(spark, d):
+    origins = regions(spark, d).select("roi_index", F.concat(F.lit("crop_ROI_"), F.col("roi_index").cast("string"), F.lit(".ome.tif")).alias("path"), F.lit(0.0).alias("z"), F.col("top").alias("y"), F.col("left").alias("x"))
+    return origins.select("roi_index", images.sidecar_column(_CONFIG).alias("document"))
+
+
+@register()
+def deconvolved(spark, d):
+    psf = np.full((3, 3, 3), 0.02)
+    psf[1, 1, 1] = 1.0
+    made = decon.deconvolve(raw_volume(spark, d), {0: psf, 1: psf}, (NZ, NY, NX), iterations=3, block=(16, 24, 24))
+    return rounded(made, "v", places=3)
+
+
+@register()
+def workflow_measures(spark, d):
+    flow = Workflow().set("mask", "threshold", "deskewed_image", 30.0).set("labels", "label", "mask").set("table", "regionprops", "labels", "deskewed_image")
+    crops = cropping.crop(raw_volume(spark, d), SHEAR_Y, CROPS)
+    slices = crops.select("roi_index", "t", "c", F.col("t").alias("time_index"), F.col("c").alias("channel_index"), "z", "y", "x", "v")
+    shape = tuple(max(b.shape[k] for b in CROPS.values()) for k in range(3))
+    return rounded(run_workflow(slices, flow, shape)[1], "value", places=3)
+
+
+@register(f"{_crop_sql(SHEAR_Y).replace('SELECT image_id, t, c, roi_index, z, y, x, round(v, 6) + 0.0 AS v FROM cut', '')} SELECT roi_index, 'T' || CAST(t AS VARCHAR) AS \"time\", 'C' || CAST(c AS VARCHAR) AS channel, count(*) AS area, round(max(v), 6) AS brightest FROM cut GROUP BY 1, 2, 3")
+def slice_table(spark, d):
+    made = cropping.crop(raw_volume(spark, d), SHEAR_Y, CROPS)
+    label = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    return made.groupBy("roi_index", label("T", "t").alias("time"), label("C", "c").alias("channel")).agg(F.count("*").alias("area"), F.round(F.max("v"), 6).alias("brightest"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
