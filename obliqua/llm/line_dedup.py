@@ -34,7 +34,7 @@ from .common import checkpointed, string_bytes, text_slices
 from .edit_distance import within
 from .shingles import _BASE, _BYTES, mix, powers, span_hashes
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _inverse = np.ones(1, np.uint64)
 
 
@@ -90,46 +90,52 @@ def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
+POST, PROBE = 1, 2
+
+
 def posts_and_probes(length: np.ndarray, edits: int, least: int):
-    """Yields (rows, shorter length, segment, start, size, is a post) of all substrings to hash."""
-    rows = np.arange(len(length))
-    for i, (at, size) in enumerate(segments(length, edits + 1)):
-        yield rows, length, i, at, size, True
+    """Yields (rows, shorter length, segment, start, size, kinds) of all substrings to hash.
+
+    A line's own segments, at their own places, are posts and probes at once.
+    """
     for shorter in range(edits + 1):
         other = length - shorter
-        fit = rows[other >= max(least, edits + 1)]
+        fit = np.flatnonzero(other >= max(least, edits + 1))
         for i, (at, size) in enumerate(segments(other[fit], edits + 1)):
             # i edits at most lie before segment i, and edits - i after it
             for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 start = at + move
                 inside = (start >= 0) & (start + size <= length[fit])
-                yield fit[inside], other[fit][inside], i, start[inside], size[inside], False
+                yield fit[inside], other[fit][inside], i, start[inside], size[inside], POST | PROBE if shorter == move == 0 else PROBE
 
 
-def _keys(edits: int, least: int):
+def _keys(edits: int, least: int, most_seen: int = 1_000_000):
+    """The keys of each line, once a task as far as ``most_seen`` remembered lines tell."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
         for batch in text_slices(batches, SLICE):
             raw, _, _, starts, ends, h1 = _lines(batch, least)
+            h1, one = np.unique(h1, return_index=True)
+            if len(seen):
+                new = seen[np.minimum(np.searchsorted(seen, h1), len(seen) - 1)] != h1
+                h1, one = h1[new], one[new]
             if not len(h1):
                 continue
-            h1, one = np.unique(h1, return_index=True)
+            seen = np.union1d(seen, h1) if len(seen) < most_seen else h1
             starts, ends = starts[one], ends[one]
             sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * powers(len(raw))[: len(raw)])])
             back = inverse_powers(len(raw) + 1)
-            order = np.argsort(starts)
-            spans = np.stack([starts[order], np.minimum(ends[order], len(raw))], 1)
-            sign = np.empty(len(h1), np.int64)
-            sign[order] = _parities(raw, spans)
-            length = ends - starts
-            keys, lines, posts = [], [], []
-            for rows, other, i, at, size, post in posts_and_probes(length, edits, least):
+            sign = _parities(raw, np.stack([starts, ends], 1))
+            keys, lines, kinds = [], [], []
+            for rows, other, i, at, size, kind in posts_and_probes(ends - starts, edits, least):
                 a = starts[rows] + at
                 h = (sums[a + size] - sums[a]) * back[a]
                 keys.append(mix(h + other.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(i)).view(np.int64))
                 lines.append(rows)
-                posts.append(np.full(len(rows), post))
+                kinds.append(np.full(len(rows), kind, np.int32))
             rows = np.concatenate(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(h1[rows]), pa.array(sign[rows]), pa.array(np.concatenate(posts))], names=["key", "h1", "sign", "post"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(h1[rows]), pa.array(sign[rows]), pa.array(np.concatenate(kinds))], names=["key", "h1", "sign", "kind"])
 
     return run
 
@@ -185,10 +191,11 @@ def _check(edits: int):
 
 def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     """(a, b): hashes of the distinct lines that are within the edits of each other."""
-    keyed = docs.select("doc_id", "text").mapInArrow(_keys(edits, least), "key long, h1 long, sign long, post boolean")
-    once = keyed.repartition("key").dropDuplicates(["key", "h1", "post"])
-    posts = once.filter("post").select("key", F.col("h1").alias("a"), F.col("sign").alias("sign_a"))
-    probes = once.filter("not post").select("key", F.col("h1").alias("b"), F.col("sign").alias("sign_b"))
+    keyed = docs.select("doc_id", "text").mapInArrow(_keys(edits, least), "key long, h1 long, sign long, kind int")
+    # the kinds are only known past the aggregate, so both sides share one exchange
+    once = keyed.repartition("key").groupBy("key", "h1").agg(F.max("sign").alias("sign"), F.bit_or("kind").alias("kinds"))
+    posts = once.filter(F.col("kinds").bitwiseAND(POST) > 0).select("key", F.col("h1").alias("a"), F.col("sign").alias("sign_a"))
+    probes = once.filter(F.col("kinds").bitwiseAND(PROBE) > 0).select("key", F.col("h1").alias("b"), F.col("sign").alias("sign_b"))
     met = posts.join(probes, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= 2 * edits))
     pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = docs.sparkSession.sparkContext.broadcast(candidate_filter(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()))
