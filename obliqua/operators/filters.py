@@ -71,11 +71,7 @@ def otsu(voxels: DataFrame, voxel_count: int, bins: int = 256) -> DataFrame:
     Values fall into equal bins from 0 to the slice's maximum; the threshold is the centre of the bin
     after which the variance between both classes is largest, the first of equals.
     """
-    top = voxels.groupBy(*KEYS).agg(F.max("v").alias("top"), F.count("*").alias("known"))
-    binned = voxels.join(top, KEYS).select(*KEYS, "top", F.least(F.floor(F.col("v") * bins / F.col("top")), F.lit(bins - 1)).cast("int").alias("bin"))
-    counts = binned.groupBy(*KEYS, "top", "bin").agg(F.count("*").alias("n"))
-    zeros = top.select(*KEYS, "top", F.lit(0).alias("bin"), (F.lit(voxel_count) - F.col("known")).alias("n"))
-    table = counts.unionByName(zeros).groupBy(*KEYS, "top", "bin").agg(F.sum("n").alias("n"))
+    table = histogram(voxels, voxel_count, bins)
     table = table.withColumn("mid", (F.col("bin") + 0.5) * F.col("top") / bins)
     # at most ``bins`` rows for each slice
     so_far = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -182,3 +178,83 @@ def plane_checksums(voxels: DataFrame) -> DataFrame:
 
 def inside(voxels: DataFrame, box: Box) -> DataFrame:
     return voxels.filter(between("z", box.z) & between("y", box.y) & between("x", box.x))
+
+
+def histogram(voxels: DataFrame, voxel_count: int, bins: int) -> DataFrame:
+    """(keys, top, bin, n) of each slice over all its voxels, zeros included, in equal bins up to its maximum."""
+    top = voxels.groupBy(*KEYS).agg(F.max("v").alias("top"), F.count("*").alias("known"))
+    binned = voxels.join(top, KEYS).select(*KEYS, "top", F.least(F.floor(F.col("v") * bins / F.col("top")), F.lit(bins - 1)).cast("int").alias("bin"))
+    counts = binned.groupBy(*KEYS, "top", "bin").agg(F.count("*").alias("n"))
+    zeros = top.select(*KEYS, "top", F.lit(0).alias("bin"), (F.lit(voxel_count) - F.col("known")).alias("n"))
+    return counts.unionByName(zeros).groupBy(*KEYS, "top", "bin").agg(F.sum("n").alias("n"))
+
+
+def triangle(voxels: DataFrame, voxel_count: int, bins: int = 256) -> DataFrame:
+    """(keys, threshold) by the triangle method: the bin farthest under the line from the peak to the far end.
+
+    The far end is the last bin with voxels on the longer side of the peak; the
+    first of equal peaks and, from the peak outward, of equal distances counts.
+    """
+    table = histogram(voxels, voxel_count, bins).filter("n > 0")
+    ends = table.groupBy(*KEYS).agg(F.max_by(F.struct("bin", "n"), F.struct("n", -F.col("bin"))).alias("peak"), F.min(F.struct("bin", "n")).alias("low"), F.max(F.struct("bin", "n")).alias("high"))
+    longer = F.col("high.bin") - F.col("peak.bin") >= F.col("peak.bin") - F.col("low.bin")
+    ends = ends.withColumn("end", F.when(longer, F.col("high")).otherwise(F.col("low")))
+    placed = table.join(ends, KEYS).withColumn("away", F.abs(F.col("bin") - F.col("peak.bin"))).withColumn("whole", F.abs(F.col("end.bin") - F.col("peak.bin")))
+    onside = (F.col("bin") - F.col("peak.bin")) * (F.col("end.bin") - F.col("peak.bin")) >= 0
+    under = F.col("peak.n") * F.col("whole") - F.col("away") * (F.col("peak.n") - F.col("end.n")) - F.col("n") * F.col("whole")
+    return placed.filter(onside).withColumn("under", under).groupBy(*KEYS).agg(F.max_by((F.col("bin") + 0.5) * F.col("top") / bins, F.struct("under", -F.col("away"))).alias("threshold"))
+
+
+def seeded_labels(image: np.ndarray, level: float, spot_sigma: float) -> np.ndarray:
+    """Labels of the bright parts of an image, split between the maxima of its blurred form: the nearest by steps within the part wins."""
+    blurred = image.astype(float)
+    weights = gaussian_weights(spot_sigma)
+    for axis in range(3):
+        blurred = np.apply_along_axis(lambda line: np.convolve(np.pad(line, len(weights) // 2), weights, "valid"), axis, blurred)
+    padded = np.pad(blurred, 1, constant_values=-np.inf)
+    around = [padded[a : a + image.shape[0], b : b + image.shape[1], c : c + image.shape[2]] for a in range(3) for b in range(3) for c in range(3)]
+    mask = image >= level
+    labels = label_array(mask & (blurred > 0) & (blurred >= np.maximum.reduce(around)))
+    while True:
+        wide = np.pad(labels, 1)
+        near = np.maximum.reduce([wide[a : a + image.shape[0], b : b + image.shape[1], c : c + image.shape[2]] for a in range(3) for b in range(3) for c in range(3)])
+        grown = np.where(mask & (labels == 0), near, labels)
+        if (grown == labels).all():
+            return labels
+        labels = grown
+
+
+def seeded_components(voxels: DataFrame, spot_sigma: float = 1.0, level: float | None = None, bins: int = 256) -> DataFrame:
+    """``label`` for each bright voxel of a slice, one slice a task; without a level Otsu's over the slice's box."""
+    schema = "image_id int, t int, c int, z int, y int, x int, v double, label long"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = pdf[PLACE].min().to_numpy()
+        image = np.zeros(tuple(pdf[PLACE].max().to_numpy() - low + 1))
+        image[tuple((pdf[PLACE].to_numpy() - low).T)] = pdf["v"].to_numpy()
+        cut = level
+        if cut is None:
+            counts, edges = np.histogram(image, bins)
+            middle = (edges[1:] + edges[:-1]) / 2
+            below, total = np.cumsum(counts), counts.sum()
+            sums = np.cumsum(counts * middle)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                spread = below * (total - below) * (sums / below - (sums[-1] - sums) / (total - below)) ** 2
+            cut = float(middle[np.nanargmax(spread)])
+        labels = seeded_labels(image, cut, spot_sigma)
+        at = np.argwhere(labels > 0)
+        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in KEYS}, **{k: (at[:, i] + low[i]).astype(np.int32) for i, k in enumerate(PLACE)}, "v": image[tuple(at.T)], "label": labels[tuple(at.T)]})
+
+    return voxels.groupBy(*KEYS).applyInPandas(run, schema)
+
+
+def pyramid_level(voxels: DataFrame, factors: tuple[int, int, int]) -> DataFrame:
+    """Means over blocks of voxels, those without a voxel counting as 0; whole blocks are assumed at the far ends."""
+    place = [F.floor(F.col(k) / f).cast("int").alias(k) for k, f in zip(PLACE, factors, strict=True)]
+    return voxels.groupBy(*KEYS, *place).agg((F.sum("v") / float(np.prod(factors))).alias("v"))
+
+
+def same_planes(one: DataFrame, two: DataFrame) -> DataFrame:
+    """The planes in which two readings of a volume differ, or which only one of them has."""
+    marks = [plane_checksums(df).select(*KEYS, "z", F.col("mark").alias(name)) for df, name in ((one, "one"), (two, "two"))]
+    return marks[0].join(marks[1], [*KEYS, "z"], "full").filter(~F.col("one").eqNullSafe(F.col("two"))).select(*KEYS, "z")

@@ -512,6 +512,39 @@ def otsu_threshold(spark, d):
     return filters.otsu(raw_volume(spark, d), NZ * NY * NX)
 
 
+_BINS = f"""m AS (SELECT image_id, t, c, max(v) AS top, count(*) AS known FROM raw GROUP BY 1, 2, 3), b AS (SELECT image_id, t, c, top, CAST(least(floor(v * 256 / top), 255) AS INT) AS bin FROM raw JOIN m USING (image_id, t, c)),
+  h AS (SELECT image_id, t, c, top, bin, CAST(sum(n) AS BIGINT) AS n FROM (SELECT image_id, t, c, top, bin, count(*) AS n FROM b GROUP BY 1, 2, 3, 4, 5 UNION ALL SELECT image_id, t, c, top, 0, {NZ * NY * NX} - known FROM m) GROUP BY 1, 2, 3, 4, 5 HAVING sum(n) > 0)"""
+
+
+@register(with_raw(f""", {_BINS}, p AS (SELECT image_id, t, c, arg_max(bin, n * 1000 - bin) AS pb, max(n) AS pn, min(bin) AS lb, arg_min(n, bin) AS ln, max(bin) AS hb, arg_max(n, bin) AS hn FROM h GROUP BY 1, 2, 3),
+  e AS (SELECT *, CASE WHEN hb - pb >= pb - lb THEN hb ELSE lb END AS eb, CASE WHEN hb - pb >= pb - lb THEN hn ELSE ln END AS en FROM p),
+  d AS (SELECT h.*, pb, pn, eb, en, abs(bin - pb) AS away, pn * abs(eb - pb) - abs(bin - pb) * (pn - en) - n * abs(eb - pb) AS under FROM h JOIN e USING (image_id, t, c) WHERE (bin - pb) * (eb - pb) >= 0)
+  SELECT image_id, t, c, (bin + CAST(0.5 AS DOUBLE)) * top / 256 AS threshold FROM d QUALIFY row_number() OVER (PARTITION BY image_id, t, c ORDER BY under DESC, away) = 1"""))
+def triangle_threshold(spark, d):
+    return filters.triangle(raw_volume(spark, d), NZ * NY * NX)
+
+
+@register(with_raw("SELECT image_id, t, c, CAST(z // 2 AS INT) AS z, CAST(y // 4 AS INT) AS y, CAST(x // 4 AS INT) AS x, sum(v) / CAST(32 AS DOUBLE) AS v FROM raw GROUP BY 1, 2, 3, 4, 5, 6"))
+def pyramid_level(spark, d):
+    return filters.pyramid_level(raw_volume(spark, d), (2, 4, 4))
+
+
+@register(with_raw(f"SELECT image_id, max(t) + 1 AS size_t, max(c) + 1 AS size_c, max(z) + 1 AS size_z, max(y) + 1 AS size_y, max(x) + 1 AS size_x, {lit(DZ)} AS dz, {lit(DY)} AS dy, {lit(DX)} AS dx, 'uint16' AS logical_dtype FROM raw GROUP BY 1"))
+def image_meta(spark, d):
+    return volume.image_meta(raw_volume(spark, d), (DZ, DY, DX), "uint16")
+
+
+@register(with_raw("SELECT image_id, t, c, z FROM raw GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (v > 45) > 0"))
+def differing_planes(spark, d):
+    raw = raw_volume(spark, d)
+    return filters.same_planes(raw, raw.withColumn("v", F.when(F.col("v") > 45, 45.0).otherwise(F.col("v"))))
+
+
+@register()
+def seeded_labels(spark, d):
+    return rounded(filters.measures(filters.seeded_components(raw_volume(spark, d), 1.0, 45.0)), "centroid_z", "centroid_y", "centroid_x", "intensity_mean")
+
+
 def _pad_sql() -> str:
     parts, before = [f"raw AS ({RAW_SQL})"], "raw"
     for axis, size in (("z", NZ), ("y", NY), ("x", NX)):

@@ -133,3 +133,17 @@ def complete_frames(voxels: DataFrame, expected: int) -> DataFrame:
     last = per_time.groupBy("image_id").agg(F.max(F.struct("t", "least")).alias("last"))
     bad = last.filter(F.col("last.least") < expected).select("image_id", F.col("last.t").alias("t"))
     return voxels.join(bad, ["image_id", "t"], "left_anti").select(voxels.columns)
+
+
+def image_meta(voxels: DataFrame, voxel: tuple[float, float, float], dtype: str) -> DataFrame:
+    """(image_id, sizes, voxel sizes, logical type): as far as the voxels with a value reach."""
+    ends = [(F.max(k) + 1).alias(f"size_{k}") for k in ("t", "c", "z", "y", "x")]
+    sizes = [F.lit(v).alias(f"d{k}") for k, v in zip("zyx", voxel, strict=True)]
+    return voxels.groupBy("image_id").agg(*ends).select("*", *sizes, F.lit(dtype).alias("logical_dtype"))
+
+
+def pixel_sizes(known: tuple[float | None, float | None, float | None], given: tuple[float, float, float] | None, default: tuple[float, float, float]) -> tuple[float, float, float]:
+    """The sizes that the user gave, else those of the metadata if all three are set, else the defaults."""
+    if given is not None:
+        return given
+    return default if any(k is None for k in known) else known  # type: ignore[return-value]
