@@ -235,11 +235,15 @@ def read_metadata(data: bytes) -> Stream:
         if kind == 0:
             info = body
         elif kind == 3:
+            if len(body) % 18:
+                raise FlacError("seek table cut short")
             points += [p for p in struct.iter_unpack(">QQH", body) if p[0] != 0xFFFFFFFFFFFFFFFF]
         at += 4 + size
     if info is None or len(info) != 34:
         raise FlacError("no stream information")
     packed = int.from_bytes(info[10:18], "big")
+    if len(data) < at:
+        raise FlacError("metadata cut short")
     if packed >> 41 & 7:
         raise FlacError("only mono streams are read")
     return Stream(packed & (1 << 36) - 1, (packed >> 36 & 31) + 1, int.from_bytes(info[2:4], "big"), info[18:34], at, points)

@@ -283,7 +283,7 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: i
     labels = _joined(labels, verified(last))
 
     items = sets.select("n", "h1", "h2", "item").join(labels.select(F.col("node").alias("item"), "component"), "item", "left").select("n", "h1", "h2", F.coalesce("component", "item").alias("component"))
-    result = checkpointed(signed.select("doc_id", "n", "h1", "h2").join(items, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
+    result = checkpointed(signed.select("doc_id", "n", "h1", "h2").join(items, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
     for folder in folders:
         remove_path(spark, folder)
     return result
