@@ -33,7 +33,7 @@ class Pipeline:
             files = s.deconvolution.psf
             if len(files) != s.size_c:
                 raise ValueError(f"{s.size_c} channels need as many point-spread functions, not {len(files)}")
-            psfs = {c: images.read_tiff(p) for c, p in enumerate(files)}
+            psfs = {c: images.read_psf(p) for c, p in enumerate(files)}
             decon.check_psfs(psfs, s.size_c)
             out = decon.deconvolve(out, psfs, (s.size_z, s.size_y, s.size_x), s.deconvolution.iterations)
         return out
@@ -64,6 +64,12 @@ class Pipeline:
         kind = dtypes.output_type(s.dtype, s.deconvolution is not None and not s.mip)
         return made.select(*volume.KEYS, "roi_index", "z", "y", "x", dtypes.saturate(F.col("v"), kind).cast("double").alias("v"))
 
+    def process_both(self) -> tuple[DataFrame, DataFrame]:
+        """The result with deconvolution and the same without."""
+        if self.settings.deconvolution is None:
+            raise ValueError("no deconvolution is set")
+        return self.process(), Pipeline(self.spark, self.settings.copy_with(deconvolution=None), self.voxels).process()
+
     def process_workflow(self) -> tuple[DataFrame, DataFrame]:
         """(image voxels, measurements) of the workflow on every slice."""
         s = self.settings

@@ -138,6 +138,16 @@ def write_zarr(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, i
                         file.write_bytes(zlib.compress(full.tobytes(), 5))
 
 
+def read_psf(path: str, multiple: int | None = None) -> np.ndarray:
+    """A point-spread function: the first three-dimensional stack of a file, its far ends reflected up to a multiple."""
+    psf = read_tiff(path).astype(float)
+    if psf.ndim != 3 or min(psf.shape) < 1:
+        raise ValueError(f"{path} holds no three-dimensional function")
+    if multiple:
+        psf = np.pad(psf, [(0, -n % multiple) for n in psf.shape], mode="reflect" if min(psf.shape) > 1 else "edge")
+    return psf
+
+
 WRITERS = {"tiff": write_tiff, "omezarr": write_zarr}
 
 
