@@ -37,6 +37,7 @@ from .common import text_slices
 MARK = "▁"
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NEVER = -1e18
+TOP = 18
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -69,6 +70,7 @@ class PieceModel:
         self.pairs, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
         self.fresh: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         #: what each id spells
         self.spelt = [b"" if i in self.control else " ⁇ ".encode() if i == self.unknown else bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
 
@@ -99,12 +101,27 @@ class PieceModel:
         order = np.lexsort((-number, hashes))
         hashes, number = hashes[order], number[order]
         first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        return hashes[first], number[first]
+        hashes, number = hashes[first], number[first]
+        # where the keys with the same top bits begin: a probe looks at those few only
+        self.begins = np.searchsorted(hashes, np.arange(1 << TOP, dtype=np.uint64) << np.uint64(64 - TOP)).astype(np.int64)
+        self.crowd = int(np.diff(np.append(self.begins, len(hashes))).max())
+        hashes = np.concatenate([hashes, np.zeros(self.crowd, np.uint64)])
+        return hashes, np.concatenate([number, np.full(self.crowd, -2)])
 
     def probe(self, hashes: np.ndarray) -> np.ndarray:
         """Id of the piece with each hash; -1 for a beginning only, -2 for neither."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.ids[at], -2)
+        at = self.begins[(hashes >> np.uint64(64 - TOP)).astype(np.int64)]
+        found = np.full(len(hashes), -2, np.int64)
+        todo = np.arange(len(hashes))
+        for _ in range(self.crowd):
+            key = self.keys[at]
+            hit = key == hashes[todo]
+            found[todo[hit]] = self.ids[at[hit]]
+            going = key < hashes[todo]  # past its place in the order a hash is not there
+            todo, at = todo[going], at[going] + 1
+            if not len(todo):
+                break
+        return found
 
     def merged(self, text: str) -> list[str]:
         """The pieces (or single characters) that merging leaves of a short text: best score first, then leftmost."""
@@ -217,12 +234,18 @@ class PieceModel:
         """The ids of texts; every distinct word of the batch is encoded once."""
         return [np.frombuffer(x, "<i4").tolist() for x in self.encode_packed(texts)]
 
-    def encode_packed(self, texts: list[str], most_words: int = 300_000) -> list[bytes]:
-        """The ids of texts as little-endian 32-bit numbers; up to ``most_words`` words are remembered."""
+    def encode_packed(self, texts: list[str], most_words: int = 600_000) -> list[bytes]:
+        """The ids of texts as little-endian 32-bit numbers.
+
+        Up to ``most_words`` words are remembered; when half of them is full, those of the half before are forgotten.
+        """
         cut = [self._words(t) for t in texts]
-        if len(self.words) > most_words:
-            self.words.clear()
-        fresh = list(set().union(*cut).difference(self.words))
+        if len(self.words) > most_words // 2:
+            self.before, self.words = self.words, {}
+        new = set().union(*cut).difference(self.words)
+        for word in new & self.before.keys():
+            self.words[word] = self.before[word]
+        fresh = list(new.difference(self.words))
         for word, ids in zip(fresh, self.encode_words(fresh), strict=True):
             self.words[word] = np.array(ids, "<i4").tobytes()
         return [b"".join(itemgetter(*words)(self.words)) if len(words) > 1 else b"".join(self.words[w] for w in words) for words in cut]
