@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,9 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, most_bytes: int = 4 << 20, most_rows: int = 2000) -> None:
+    """Bounds the Arrow batches of the session, for the queries and the pipeline: rows hold whole texts."""
+    for name, most in (("maxBytesPerBatch", most_bytes), ("maxRecordsPerBatch", most_rows)):
+        spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task, as Spark keeps Python workers for the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
@@ -69,6 +84,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, mo
             to = min(max(at + 1, int(np.searchsorted(sizes, done + most_bytes, "right"))), at + most_rows)
             yield batch.slice(at, to - at)
             at = to
+    give_back()
 
 
 def string_offsets(column: pa.Array) -> np.ndarray:
@@ -90,6 +106,18 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def by_ids(df: DataFrame, ids: DataFrame, how: str, most: int = 500_000) -> DataFrame:
+    """``df`` joined to a set of ``doc_id`` by "left_semi" or "left_anti".
+
+    The set is counted first: up to ``most`` ids (a few megabytes) are broadcast, so
+    that texts need no shuffle; a larger set meets them in a shuffle.
+    """
+    from pyspark.sql import functions as F
+
+    ids = checkpointed(ids.select("doc_id").distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", how)
+
+
 def bounded_sample(df: DataFrame, key: str, most: int, salt: str) -> DataFrame:
     """About ``most`` rows, the same in every run: those whose hashed key is low.
 

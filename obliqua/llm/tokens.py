@@ -40,7 +40,7 @@ class WordEncoder:
     Unknown vocabulary files always take the library's way.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -66,9 +66,9 @@ class WordEncoder:
             ids = np.asarray(got.ids, "<u4")
             if self.lower:
                 ends = np.flatnonzero(self.sizes[ids]) + 1
-            else:
-                reached = np.cumsum(self.sizes[ids])
-                ends = np.searchsorted(reached, np.cumsum([len(w.encode()) for w in part])) + 1
+            else:  # each word begins with the one space that it has
+                starts = np.flatnonzero(np.frombuffer("".join(part).encode(), np.uint8) == 32)
+                ends = np.append(np.searchsorted(np.cumsum(self.sizes[ids]), starts[1:]) + 1, len(ids))
             raw, at = ids.tobytes(), 0
             for end in (4 * ends).tolist():
                 out.append(raw[at:end])
@@ -107,11 +107,12 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, most_words: int = 250_000) -> WordEncoder:
     """This worker's encoder of a vocabulary file, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    key = (path, most_words)
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(path, most_words)
+    return _encoders[key]
