@@ -86,13 +86,18 @@ class Acquisition:
         if self.frame == "shear":
             depth = math.ceil((self.nz - 1) * self.rise) + 1
             return self.shape_zyx(depth, math.ceil((self.nz - 1) * self.run + (self.n_lateral - 1)) + 1)
-        # as a product of matrices, not simplified: a half may hang on the last bit
+        (a, b), (c, d) = self.turn_matrix()
+        corners = [(a * z + b * lat, c * z + d * lat) for z in (0, self.nz) for lat in (0, self.n_lateral)]
+        depth, lateral = (round(max(p[k] for p in corners) - min(p[k] for p in corners)) for k in (0, 1))
+        return self.shape_zyx(depth, lateral)
+
+    def turn_matrix(self) -> list[list[float]]:
+        """(depth, lateral) from (scan, lateral) in the objective frame: a product of matrices that is not
+        simplified, since the rounding of a half may hang on the last bit."""
         shear = np.array([[1.0, 0.0], [math.sin(math.radians(90 - self.angle)) * self.step, 1.0]])
         scale = np.array([[self.sin * self.dz / self.d_lateral, 0.0], [0.0, 1.0]])
         turn = np.array([[self.cos, -self.sin], [self.sin, self.cos]])
-        corners = [turn @ scale @ shear @ np.array([z, lat], float) for z in (0, self.nz) for lat in (0, self.n_lateral)]
-        depth, lateral = (round(float(max(c[k] for c in corners) - min(c[k] for c in corners))) for k in (0, 1))
-        return self.shape_zyx(depth, lateral)
+        return (turn @ scale @ shear).tolist()
 
     def _turn(self, z: float, lateral: float) -> tuple[float, float]:
         """Objective frame before translation: shear, scale and rotation in one."""

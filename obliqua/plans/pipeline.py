@@ -5,11 +5,16 @@ Each method returns DataFrames that nothing has computed yet; ``save`` acts.
 
 from __future__ import annotations
 
+import contextlib
+import math
+import re
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dtypes
-from ..functions.geometry import Box, region_box
+from ..functions.geometry import Acquisition, Box, region_box
 from ..operators import crop as cropping
 from ..operators import decon, estimate, mip, rois
 from ..operators.deskew import deskew
@@ -18,6 +23,30 @@ from .config import Settings
 from .workflow import Workflow, run_workflow
 
 
+_warned: set[tuple[int, int, int]] = set()
+
+
+def warn_if_large(a: Acquisition, dtype: str, limits: estimate.Limits) -> bool:
+    """Warns, once for each deskewed size, of a volume that the given limits do not hold."""
+    need = math.prod(a.output_shape) * (estimate.DEVICE_ITEM + dtypes.ITEM_SIZES[dtypes.written_type(dtype)])
+    if limits.host_free is None or need <= limits.host_free or a.output_shape in _warned:
+        return False
+    _warned.add(a.output_shape)
+    warnings.warn(f"the deskewed volume {a.output_shape} needs {need} bytes, more than {limits.host_free}; crop it, or write blocks", stacklevel=2)
+    return True
+
+
+@contextlib.contextmanager
+def sized_errors(a: Acquisition):
+    """Turns an executor's lack of memory into an error that names the volume's size; other errors pass."""
+    try:
+        yield
+    except Exception as error:
+        if re.search(r"OutOfMemory|MemoryError|exit code 137|Container killed", str(error)):
+            raise MemoryError(f"out of memory at a deskewed size of {a.output_shape} (z, y, x); crop to regions, or give executors more memory") from error
+        raise
+
+
 class Pipeline:
     def __init__(self, spark: SparkSession, settings: Settings, voxels: DataFrame | None = None):
         self.spark, self.settings = spark, settings
@@ -95,12 +124,14 @@ class Pipeline:
         if s.save_type in ("parquet", "csv"):
             volume_path = f"{path}.{s.save_type}"
             writer = made.write if s.save_type == "parquet" else made.write.option("header", True)
-            getattr(writer.partitionBy("t", "c"), s.save_type)(volume_path)
+            with sized_errors(s.acquisition):
+                getattr(writer.partitionBy("t", "c"), s.save_type)(volume_path)
             rows = [(None, volume_path, None)]
         else:
             files = made.withColumn("roi_index", F.coalesce("roi_index", F.lit(0))).withColumn("t", F.col("t") - s.times.start).withColumn("c", F.col("c") - s.channels.start)
             status = images.save_regions(files, s.save_dir, s.name, s.save_type, self.shapes(), len(s.times), len(s.channels), dtypes.output_type(s.dtype, s.deconvolution is not None), (s.acquisition.new_dz, *s.pixel_sizes[1:]))
-            rows = [tuple(r) for r in status.collect()]  # a row for each file
+            with sized_errors(s.acquisition):
+                rows = [tuple(r) for r in status.collect()]  # a row for each file
         voxel = (s.acquisition.new_dz, *s.pixel_sizes[1:])
         for roi, target, error in rows:
             if error is None:

@@ -213,7 +213,7 @@ def _forward_sql(a: Acquisition) -> str:
         depth, moved = f"{lit(a.rise)} * z", f"{lit(a.run)} * z + {lat}"
     else:
         depth, moved = f"{lit(a.n_lateral * a.sin)} - {lit(a.sin)} * {lat}", f"{lit(a.step)} * z + {lit(a.cos)} * {lat}"
-    return f"SELECT z, y, x, round({depth}, 9) AS zc, round({moved}, 9) AS lc, CAST({other} AS DOUBLE) AS oc FROM (SELECT DISTINCT z, y, x FROM raw)"
+    return f"SELECT z, y, x, round({depth}, 9) + 0.0 AS zc, round({moved}, 9) + 0.0 AS lc, CAST({other} AS DOUBLE) AS oc FROM (SELECT DISTINCT z, y, x FROM raw)"
 
 
 def _forward(spark, d, a: Acquisition) -> DataFrame:
@@ -223,7 +223,7 @@ def _forward(spark, d, a: Acquisition) -> DataFrame:
         depth, moved = F.lit(a.rise) * F.col("z"), F.lit(a.run) * F.col("z") + lat
     else:
         depth, moved = F.lit(a.n_lateral * a.sin) - F.lit(a.sin) * lat, F.lit(a.step) * F.col("z") + F.lit(a.cos) * lat
-    return raw_volume(spark, d).select("z", "y", "x").distinct().select("z", "y", "x", F.round(depth, 9).alias("zc"), F.round(moved, 9).alias("lc"), F.col(a.other).cast("double").alias("oc"))
+    return raw_volume(spark, d).select("z", "y", "x").distinct().select("z", "y", "x", (F.round(depth, 9) + F.lit(0.0)).alias("zc"), (F.round(moved, 9) + F.lit(0.0)).alias("lc"), F.col(a.other).cast("double").alias("oc"))
 
 
 for _name, _a in (("shear_y", SHEAR_Y), ("shear_x", SHEAR_X), ("objective_y", OBJECTIVE_Y), ("objective_x", OBJECTIVE_X)):
@@ -231,10 +231,10 @@ for _name, _a in (("shear_y", SHEAR_Y), ("shear_x", SHEAR_X), ("objective_y", OB
     _SQL[f"forward_map_{_name}"] = with_raw(_forward_sql(_a))
 
 
-@register(f"SELECT z, lc, round(z / {lit(SHEAR_Y.rise)}, 9) AS scan, round(lc - z / {lit(SHEAR_Y.tan)}, 9) AS lateral FROM (SELECT CAST(n_nationkey AS INT) AS z, CAST(n_regionkey AS INT) AS lc FROM nation)")
+@register(f"SELECT z, lc, round(z / {lit(SHEAR_Y.rise)}, 9) AS scan, round(lc - z / {lit(SHEAR_Y.tan)}, 9) + 0.0 AS lateral FROM (SELECT CAST(n_nationkey AS INT) AS z, CAST(n_regionkey AS INT) AS lc FROM nation)")
 def inverse_map_shear(spark, d):
     places = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("z"), F.col("n_regionkey").cast("int").alias("lc"))
-    return places.select("z", "lc", F.round(F.col("z") / F.lit(SHEAR_Y.rise), 9).alias("scan"), F.round(F.col("lc") - F.col("z") / F.lit(SHEAR_Y.tan), 9).alias("lateral"))
+    return places.select("z", "lc", F.round(F.col("z") / F.lit(SHEAR_Y.rise), 9).alias("scan"), (F.round(F.col("lc") - F.col("z") / F.lit(SHEAR_Y.tan), 9) + F.lit(0.0)).alias("lateral"))
 
 
 def _shape_sql(angle: float, n: int) -> str:
@@ -250,7 +250,8 @@ def shear_shapes(spark, d):
 
 def _turned_shape_sql(angle: float, n: int) -> str:
     a = Acquisition(n, n, n, DZ, DY, DX, angle, "Y", "objective")
-    corners = " UNION ALL ".join(f"SELECT -{lit(a.sin)} * {lat} AS d, {lit(a.step)} * {z} + {lit(a.cos)} * {lat} AS l" for z in (0, n) for lat in (0, n))
+    (p, q), (r, s) = a.turn_matrix()
+    corners = " UNION ALL ".join(f"SELECT {lit(p)} * {z} + {lit(q)} * {lat} AS d, {lit(r)} * {z} + {lit(s)} * {lat} AS l" for z in (0, n) for lat in (0, n))
     return f"SELECT CAST({n} AS INT) AS n, {lit(angle)} AS angle, CAST(round_even(max(d) - min(d), 0) AS INT) AS nz, CAST(round_even(max(l) - min(l), 0) AS INT) AS ny, CAST({n} AS INT) AS nx FROM ({corners})"
 
 

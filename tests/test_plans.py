@@ -7,7 +7,8 @@ from obliqua.__main__ import main, parser, settings_from
 from obliqua.functions.geometry import Acquisition
 from obliqua.operators.mip import project
 from obliqua.plans.config import CropSettings, Settings, checked, merge
-from obliqua.plans.pipeline import Pipeline
+from obliqua.operators.estimate import Limits
+from obliqua.plans.pipeline import Pipeline, sized_errors, warn_if_large
 from obliqua.plans.workflow import Workflow, table
 from obliqua.sources import images, naming
 from obliqua.streaming.projection import SCHEMA, read_planes, running_projection, start
@@ -105,6 +106,17 @@ def test_command_line(tmp_path, capsys):
     assert main(["process", "--config", str(document), "--size-t", "2"]) == 2
 
 
+def test_memory_warnings_and_errors():
+    a = Acquisition(4, 5, 6)
+    with pytest.warns(UserWarning, match="deskewed volume"):
+        assert warn_if_large(a, "uint16", Limits(host_free=10))
+    assert not warn_if_large(a, "uint16", Limits(host_free=10))
+    with pytest.raises(MemoryError, match="deskewed size"), sized_errors(a):
+        raise RuntimeError("java.lang.OutOfMemoryError: heap")
+    with pytest.raises(KeyError), sized_errors(a):
+        raise KeyError("other")
+
+
 def test_names(tmp_path):
     assert naming.suffix("a", 1, None, 3) == "a_ROI_1_T3"
     assert naming.stem("sample.v2_deskewed.ome.tif") == "sample.v2_deskewed"

@@ -3,6 +3,7 @@
 import glob
 import os
 
+import pandas as pd
 import pytest
 
 from obliqua import queries
@@ -23,7 +24,7 @@ def duck():
 
 def rows(frame):
     columns = sorted(frame.columns)
-    plain = lambda v: tuple(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if v is None or v != v else v
+    plain = lambda v: tuple(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if pd.isna(v) else v
     return sorted((tuple(map(plain, r)) for r in frame[columns].itertuples(index=False)), key=repr)
 
 
