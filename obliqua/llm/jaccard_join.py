@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, checkpointed, remove_path, scratch_path, string_bytes, text_slices
+from .common import arrow_rows, by_ids, checkpointed, remove_path, scratch_path, string_bytes, text_slices
 from .components import components
 from .shingles import mix, text_shingles
 
@@ -233,7 +233,7 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: i
     sized = members.filter("item = grp").select("grp", "n").join(often, "grp", "left").select("grp", "n", F.coalesce("often", F.lit(0)).alias("often"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
+        texts = by_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "left_semi").dropDuplicates(["doc_id"])
         with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         with arrow_rows(spark, 1000):
@@ -299,5 +299,4 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component; null ids stay."""
     classes = similar_classes(docs, width, percent)
-    dropped = classes.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return by_ids(docs, classes.filter("component_id <> doc_id"), "left_anti").select(docs.columns)
