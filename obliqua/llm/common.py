@@ -73,7 +73,7 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int = 1 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds few text bytes; a single longer text stays whole."""
     for batch in batches:
         text = batch.column(batch.schema.get_field_index("text"))

@@ -175,7 +175,7 @@ def predict(docs: DataFrame, model: Model, lang_name: str = "lang_pred", score_n
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 1 << 20):
+        for batch in text_slices(batches, 1 << 18):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             logits, letter = shared.value.logits([t or "" for t in texts])
             chance = softmax(logits / shared.value.temperature)

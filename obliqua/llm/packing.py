@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_slices
-from .tokens import encoder
+from .common import checkpointed, give_back, text_slices
+from .tokens import WordEncoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
@@ -38,15 +38,18 @@ def _pieces(tokenizer: str, end_id: int, capacity: int):
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = np.array([end_id], "<u4").tobytes()
-        for batch in text_slices(batches, 4 << 20):
+        # an encoder for the task alone: kept in the worker it would crowd the steps that follow
+        own, tail = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        for batch in text_slices(batches):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del own
+        give_back()
 
     return run
 

@@ -219,7 +219,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*shared.value)
-        for batch in text_slices(batches, 1 << 20):
+        for batch in text_slices(batches, 1 << 18):
             got = own.scores(own.density([t or "" for t in batch.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64()), pa.array((got >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
 
