@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obliqua.llm import jaccard_join, langid, line_dedup, packing, pii
-from obliqua.llm.common import remove_path, scratch_path, table
+from obliqua.llm.common import remove_path, scratch_path, small_batches, table
 from obliqua.llm.queries import tokenizer_path
 
 LEAST_LANGUAGE_SCORE = 0.5
@@ -18,6 +18,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without letters or with a score too low go."""
+    small_batches(spark)
     model = langid.fit(docs.filter(langid.is_learned_from(F.col("doc_id"))).select("doc_id", "text", "lang"))
     judged = langid.predict(docs, model, "__lang_pred", "__lang_score")
     return judged.filter((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
@@ -25,21 +26,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines are cut out; documents made of nothing else go."""
+    small_batches(spark)
     return line_dedup.remove_repeated_lines(docs, edits=2, least_bytes=20)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts that share four fifths of their five-word shingles."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs, width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts gives way to its kind in brackets."""
+    small_batches(spark)
     return pii.mask(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 4096 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
