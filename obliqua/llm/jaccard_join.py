@@ -171,12 +171,18 @@ def _apart(percent: int, block: int):
     """
 
     def work(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        left, item, n, often, component = rows
+        left, item, n, often, component, marks = rows
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
         small, large = np.minimum(n[a][:, None], n[b]), np.maximum(n[a][:, None], n[b])
         total = n[a][:, None] + n[b]
         need = -(-total * percent // (100 + percent)) - (-(-large * percent // 100) - 1)
         fits = (component[a][:, None] != component[b]) & (100 * small >= percent * large) & (np.minimum(often[a][:, None], often[b]) >= need)
+        if fits.any() and marks[a[0]] is not None:
+            # how many crowded shingles two prefixes really share; equal marks of different ones only add to it
+            known, place = np.unique(np.concatenate(marks), return_inverse=True)
+            held = np.zeros((len(marks), len(known)), np.float32)
+            np.add.at(held, (np.repeat(np.arange(len(marks)), [len(m) for m in marks]), place), 1)
+            fits &= held[a] @ held[b].T >= need
         x, y = np.nonzero(fits)
         x, y = item[a[x]], item[b[y]]
         return np.minimum(x, y), np.maximum(x, y)
@@ -229,8 +235,9 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: i
     shared = entries.groupBy("token").agg(F.count("*").alias("k"), F.min("grp").alias("hub")).filter("k > 1")
     bucketed = stored(entries.join(shared, "token").select("token", "k", "hub", "grp"), "buckets")
     few, many = bucketed.filter(F.col("k") <= crowd), bucketed.filter(F.col("k") > crowd)
-    often = checkpointed(many.groupBy("grp").agg(F.count("*").alias("often")))
-    sized = members.filter("item = grp").select("grp", "n").join(often, "grp", "left").select("grp", "n", F.coalesce("often", F.lit(0)).alias("often"))
+    mark = F.col("token").bitwiseAND((1 << 31) - 1).cast("int")  # no more than a prefix of them in a group
+    often = checkpointed(many.groupBy("grp").agg(F.count("*").alias("often"), F.collect_list(mark).alias("marks")))
+    sized = members.filter("item = grp").select("grp", "n").join(often.select("grp", "often"), "grp", "left").select("grp", "n", F.coalesce("often", F.lit(0)).alias("often"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         texts = by_ids(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "left_semi").dropDuplicates(["doc_id"])
@@ -264,10 +271,10 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: i
     labels = _joined(labels, verified(fresh))
 
     # three: what is still apart within crowded buckets and within groups, block by block
-    placed = checkpointed(members.join(labels.select(F.col("node").alias("item"), "component"), "item", "left").join(often, "grp", "left").select("item", "grp", "n", F.coalesce("often", F.lit(0)).cast("long").alias("often"), F.coalesce("component", "item").alias("component")))
-    crowded = many.select("token", "grp").join(placed, "grp").select(F.col("token").alias("key"), F.lit(0).alias("kind"), "item", "n", "often", "component")
+    placed = checkpointed(members.join(labels.select(F.col("node").alias("item"), "component"), "item", "left").join(often, "grp", "left").select("item", "grp", "n", F.coalesce("often", F.lit(0)).cast("long").alias("often"), F.coalesce("component", "item").alias("component"), "marks"))
+    crowded = many.select("token", "grp").join(placed, "grp").select(F.col("token").alias("key"), F.lit(0).alias("kind"), "item", "n", "often", "component", "marks")
     # members of one group share their whole prefix, so nothing but their sizes counts
-    in_groups = placed.select(F.col("grp").alias("key"), F.lit(1).alias("kind"), "item", "n", F.lit(1 << 40).alias("often"), "component")
+    in_groups = placed.select(F.col("grp").alias("key"), F.lit(1).alias("kind"), "item", "n", F.lit(1 << 40).alias("often"), "component", F.lit(None).cast("array<int>").alias("marks"))
     rows = stored(crowded.union(in_groups), "crowded")
     sizes = rows.groupBy("key", "kind", "component").agg(F.count("*").alias("size"))
     kept = sizes.groupBy("key", "kind").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most")).filter("all > most")
@@ -275,8 +282,8 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: i
     part = lambda count: F.pmod(F.xxhash64("item"), F.ceil(F.col(count) / block)).cast("int")
     dealt = dealt.withColumn("few", F.col("all") - F.col("most"))
     count_of = lambda count: F.sequence(F.lit(0), F.ceil(F.col(count) / block).cast("int") - 1)
-    ours = dealt.filter("outside").select("key", "kind", part("few").alias("i"), F.explode(count_of("all")).alias("j"), F.lit(True).alias("left"), "item", "n", "often", "component")
-    theirs = dealt.select("key", "kind", F.explode(count_of("few")).alias("i"), part("all").alias("j"), F.lit(False).alias("left"), "item", "n", "often", "component")
+    ours = dealt.filter("outside").select("key", "kind", part("few").alias("i"), F.explode(count_of("all")).alias("j"), F.lit(True).alias("left"), "item", "n", "often", "component", "marks")
+    theirs = dealt.select("key", "kind", F.explode(count_of("few")).alias("i"), part("all").alias("j"), F.lit(False).alias("left"), "item", "n", "often", "component", "marks")
     by = ["key", "kind", "i", "j"]
     possible = ours.union(theirs).repartition(*by).sortWithinPartitions(*by).mapInArrow(_apart(percent, block), "a long, b long").distinct()
     last = checkpointed(possible.join(tried, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti"))
