@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join.
 
-A line of ``least_bytes`` bytes or more repeats if an equal line comes before it
-in (doc_id, line) order, or if its text is within ``edits`` edits (in UTF-8 bytes) of another
-whose first occurrence comes before its own.  Repeats are removed;
+A line of ``least_equal`` bytes or more (those of ``least_bytes``, if not given; 1 takes every
+line that is not blank) repeats if an equal line comes before it in (doc_id, line) order.  One of
+``least_bytes`` bytes or more also repeats if its text is within ``edits`` edits (in UTF-8 bytes)
+of another such line whose first occurrence comes before its own.  Repeats are removed;
 a document left without any text is dropped.
 
 Equal lines: only hashes and places are shuffled, pre-aggregated.  Near lines: if two
@@ -15,7 +16,7 @@ meet must also agree in the parities of their byte counts but for two bits an
 edit.  Only lines in such pairs have their text fetched, by a filter of bounded
 size, and a banded bit-parallel edit distance decides.
 
-Defined cases: null text has no lines; blank and short lines are never touched;
+Defined cases: null text has no lines; blank lines and those under both bounds are never touched;
 documents with a null ``doc_id`` are kept as they are; rows with the same ``doc_id``
 are one document to each other; extra columns are kept; an empty table stays empty.
 """
@@ -204,10 +205,10 @@ def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
     return checkpointed(both.select("a", "b", "line_a", "line_b").mapInArrow(_check(edits), "a long, b long"))
 
 
-def repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None) -> DataFrame:
     """doc_id, line, near: every line that repeats; ``near`` where no equal line comes first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    places = checkpointed(docs.mapInArrow(_places(least_bytes), "doc_id long, line int, h1 long, h2 long"))
+    places = checkpointed(docs.mapInArrow(_places(least_bytes if least_equal is None else least_equal), "doc_id long, line int, h1 long, h2 long"))
     firsts = checkpointed(places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first")))
     links = near_lines(docs, edits, least_bytes)
     by_hash = firsts.groupBy("h1").agg(F.min("first").alias("first"))
@@ -218,9 +219,9 @@ def repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20) -> Da
     return found.filter("late or not is_first").select("doc_id", "line", F.col("is_first").alias("near"))
 
 
-def decisions(docs: DataFrame, edits: int = 2, least_bytes: int = 20) -> DataFrame:
+def decisions(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_near, dropped (line numbers from 0) of every row of ``docs``."""
-    repeats = repeated_lines(docs, edits, least_bytes).distinct()
+    repeats = repeated_lines(docs, edits, least_bytes, least_equal).distinct()
     by_doc = repeats.groupBy("doc_id").agg(F.count("*").alias("n_dropped"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list("line")).alias("dropped"))
     text = F.col("text").cast("string")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
@@ -228,9 +229,9 @@ def decisions(docs: DataFrame, edits: int = 2, least_bytes: int = 20) -> DataFra
     return lines.join(by_doc, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_dropped", zero).alias("n_dropped"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def remove_repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None) -> DataFrame:
     """The columns of ``docs`` with repeated lines cut out of ``text``; documents that lose all their text go."""
-    by_doc = repeated_lines(docs, edits, least_bytes).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__dropped"))
+    by_doc = repeated_lines(docs, edits, least_bytes, least_equal).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__dropped"))
     schema = T.StructType(docs.schema.fields)
     place = docs.columns.index("text")
 

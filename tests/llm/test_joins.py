@@ -8,6 +8,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
+from obliqua.llm import queries
 from obliqua.llm.components import components
 from obliqua.llm.edit_distance import _plain, within
 from obliqua.llm.jaccard_join import keep_one, prefix_length, similar_classes
@@ -150,6 +152,15 @@ def test_line_dedup_of_odd_tables(frame):
     assert {(r["doc_id"], r["text"]) for r in remove_repeated_lines(docs.withColumn("line", docs.doc_id)).collect()} == {(1, f"{line}\nshort"), (2, "short"), (4, None), (5, ""), (None, f"{line}s")}
 
 
+def test_short_lines_repeat_in_the_query_and_the_pipeline(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Wh the.\nWh the.\n\n \nWh the.\nx"), (2, "Wh the.\nWh tha.\n\n "), (3, "x")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["dropped"] for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: [1, 4], 2: [0], 3: [0]}
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    assert kept == {1: "Wh the.\n\n \nx", 2: "Wh tha.\n\n "}
+
+
 def test_nearest_lattice_points():
     r = np.random.default_rng(0)
     y = r.standard_normal((200, 8)) * 2
