@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines are cut out; documents made of nothing else go."""
     small_batches(spark)
-    return line_dedup.remove_repeated_lines(docs, edits=2, least_bytes=20, least_equal=1)
+    return line_dedup.remove_repeated_lines(docs, edits=2, least_bytes=20, least_equal=1, percent=5)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

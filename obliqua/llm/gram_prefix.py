@@ -1,0 +1,118 @@
+"""Keys by which lines meet that are within a bound of edits which grows with their length.
+
+An edit destroys only the grams (runs of so many bytes) that it touches.  Each line takes its grams
+in one order that all lines share, by hash, until more of them lie apart than it may have
+edits: of two lines within the bound, one such prefix then holds a gram that is left in
+the other line, and so in its prefix, at most as many bytes further on or back as there are edits.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from .shingles import _BYTES, mix, powers
+
+MOST_EDITS = 15  # as many as ``within`` takes
+#: Least length of the shorter line, and bytes of a gram at most.
+CLASSES = ((0, 9), (160, 11), (400, 15), (800, 20))
+RANK_BITS, BLOCK = 44, 1 << 19
+
+
+def allowed(length, edits: int, percent: int):
+    """Edits that a pair may have whose shorter line has this length."""
+    return np.maximum(edits, np.minimum(MOST_EDITS, length * percent // 100))
+
+
+def first_growing(edits: int, percent: int) -> int:
+    """The least length that is allowed more than ``edits``."""
+    return -(-100 * (edits + 1) // percent) if percent and edits < MOST_EDITS else 1 << 40
+
+
+def classes(edits: int, percent: int, least: int) -> list[tuple[int, int, int]]:
+    """(least length, length past the last, bytes of a gram) of the lines that are allowed more than ``edits``.
+
+    One gram more than the edits must find room side by side in the shortest line of each bound.
+    """
+    first, out = max(first_growing(edits, percent), least), []
+    for k, (low, size) in enumerate(CLASSES):
+        low, high = max(low, first), CLASSES[k + 1][0] if k + 1 < len(CLASSES) else 1 << 40
+        if low < high and first < 1 << 40:
+            shortest = np.arange(low, min(high, low + 100 * (MOST_EDITS + 1)))
+            size = min(size, int((shortest // (allowed(shortest, edits, percent) + 1)).min()))
+            if size < 4:
+                raise ValueError(f"{percent} per cent are too many edits for lines of {low} bytes")
+            out.append((low, high, size))
+    return out
+
+
+#: Twelve kinds of bytes; an edit moves the numbers of two kinds by one at most.
+_KIND = np.array([0, 1, 2, 3, 4, 5, 6, 6, 7, 8, 6, 6, 9, 9, 10, 11])[np.arange(256) & 15]
+ANYWHERE = (1 << 16) - 1
+
+
+def signs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each line the numbers of bytes of each kind, modulo 16, in 48 bits."""
+    out = np.zeros(len(starts), np.int64)
+    for kind in range(12):
+        before = np.concatenate([[0], np.cumsum(_KIND[raw] == kind)])
+        out |= (before[ends] - before[starts] & 15) << 4 * kind
+    return out
+
+
+def placed(sign: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The signs with a gram's place in its line, modulo ``ANYWHERE``, above; that value if it has several."""
+    return sign | np.where(first == last, first % ANYWHERE, ANYWHERE) << 48
+
+
+def hash_sums(raw: np.ndarray) -> np.ndarray:
+    return np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * powers(len(raw))[: len(raw)])])
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number within it) of so many things a row."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    return rows, np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _apart(places: np.ndarray, size: int) -> np.ndarray:
+    """How many grams of each row lie apart at most; rows of places, padded by -1."""
+    count, free = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    for place in np.sort(places, 1).T:
+        fits = place >= free
+        count += fits
+        free = np.where(fits, place + size, free)
+    return count
+
+
+def prefixes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, size: int, back: np.ndarray, sums: np.ndarray):
+    """(row, rank, first place, last place) of the grams of each line's prefix."""
+    out, done = [], np.concatenate([[0], np.cumsum(ends - starts)])
+    a = 0
+    while a < len(starts):
+        b = min(max(a + 1, int(np.searchsorted(done, done[a] + BLOCK, "right")) - 1), a + (1 << (63 - RANK_BITS)))
+        counts = ends[a:b] - starts[a:b] - size + 1
+        rows, place = spread(counts)
+        at = starts[a:b][rows] + place
+        rank = mix((sums[at + size] - sums[at]) * back[at] + np.uint64(size)) >> np.uint64(64 - RANK_BITS)
+        order = np.argsort(rows.astype(np.uint64) << np.uint64(RANK_BITS) | rank)
+        rank, place = rank[order], place[order]
+        base, need = np.cumsum(counts) - counts, bounds[a:b] + 1
+        take = np.minimum(counts, need + need // 2)
+        short = np.arange(b - a)
+        while len(short):
+            for few in [short[k : k + 4096] for k in range(0, len(short), 4096)]:
+                column = np.arange(int(take[few].max()))
+                inside = column < take[few, None]
+                got = _apart(np.where(inside, place[np.where(inside, base[few, None] + column, 0)], -1), size)
+                need[few] = np.where(got >= need[few], 0, need[few])
+            short = short[(need[short] > 0) & (take[short] < counts[short])]
+            take[short] = np.minimum(counts[short], take[short] + np.maximum(2, take[short] // 6))
+        # grams of equal rank stay together
+        last = rank[base + take - 1]
+        within = rank <= last[rows]
+        rows, rank, place = rows[within], rank[within], place[within]
+        new = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (rank[1:] != rank[:-1])])) if len(rows) else np.zeros(0, np.int64)
+        if len(new):
+            out.append((rows[new] + a, rank[new], np.minimum.reduceat(place, new), np.maximum.reduceat(place, new)))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))

@@ -3,7 +3,8 @@
 A line of ``least_equal`` bytes or more (those of ``least_bytes``, if not given; 1 takes every
 line that is not blank) repeats if an equal line comes before it in (doc_id, line) order.  One of
 ``least_bytes`` bytes or more also repeats if its text is within ``edits`` edits (in UTF-8 bytes)
-of another such line whose first occurrence comes before its own.  Repeats are removed;
+of another such line whose first occurrence comes before its own; where ``percent`` of the shorter
+line's bytes are more than that, so many edits, 15 at most.  Repeats are removed;
 a document left without any text is dropped.
 
 Equal lines: only hashes and places are shuffled, pre-aggregated.  Near lines: if two
@@ -13,7 +14,9 @@ it confines.  Each distinct line of a batch therefore posts its segments under i
 probes with its substrings for its own length and those up to k shorter; hashes
 of substrings come from prefix sums, whatever their number.  Lines that
 meet must also agree in the parities of their byte counts but for two bits an
-edit.  Only lines in such pairs have their text fetched, by a filter of bounded
+edit.  For lines that are allowed more than ``edits``, segments would have to be
+looked for at too many places; they meet by prefixes of their grams instead
+(``gram_prefix``), at like places and lengths.  Only lines in such pairs have their text fetched, by a filter of bounded
 size, and a banded bit-parallel edit distance decides.
 
 Defined cases: null text has no lines; blank lines and those under both bounds are never touched;
@@ -33,7 +36,8 @@ from pyspark.sql import types as T
 
 from .common import checkpointed, string_bytes, text_slices
 from .edit_distance import within
-from .shingles import _BASE, _BYTES, mix, powers, span_hashes
+from .gram_prefix import ANYWHERE, MOST_EDITS, RANK_BITS, allowed, classes, first_growing, hash_sums, placed, prefixes, signs
+from .shingles import _BASE, mix, span_hashes
 
 SLICE = 1 << 19
 _inverse = np.ones(1, np.uint64)
@@ -91,17 +95,18 @@ def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarra
     return out
 
 
-POST, PROBE = 1, 2
+POST, PROBE, GRAM = 1, 2, 4
 
 
-def posts_and_probes(length: np.ndarray, edits: int, least: int):
+def posts_and_probes(length: np.ndarray, edits: int, least: int, growing: int):
     """Yields (rows, shorter length, segment, start, size, kinds) of all substrings to hash.
 
     A line's own segments, at their own places, are posts and probes at once.
+    Shorter lines of ``growing`` bytes or more are left to the grams.
     """
     for shorter in range(edits + 1):
         other = length - shorter
-        fit = np.flatnonzero(other >= max(least, edits + 1))
+        fit = np.flatnonzero((other >= max(least, edits + 1)) & (other < growing))
         for i, (at, size) in enumerate(segments(other[fit], edits + 1)):
             # i edits at most lie before segment i, and edits - i after it
             for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
@@ -110,8 +115,12 @@ def posts_and_probes(length: np.ndarray, edits: int, least: int):
                 yield fit[inside], other[fit][inside], i, start[inside], size[inside], POST | PROBE if shorter == move == 0 else PROBE
 
 
-def _keys(edits: int, least: int, most_seen: int = 1_000_000):
-    """The keys of each line, once a task as far as ``most_seen`` remembered lines tell."""
+def _keys(edits: int, least: int, percent: int, most_seen: int = 1_000_000):
+    """The keys of each line, once a task as far as ``most_seen`` remembered lines tell.
+
+    Grams have their place and their line's numbers of bytes in ``sign``, its length above the bits of ``kind``.
+    """
+    growing, long_classes = first_growing(edits, percent), classes(edits, percent, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
@@ -125,18 +134,28 @@ def _keys(edits: int, least: int, most_seen: int = 1_000_000):
                 continue
             seen = np.union1d(seen, h1) if len(seen) < most_seen else h1
             starts, ends = starts[one], ends[one]
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[raw] * powers(len(raw))[: len(raw)])])
+            sums = hash_sums(raw)
             back = inverse_powers(len(raw) + 1)
             sign = _parities(raw, np.stack([starts, ends], 1))
-            keys, lines, kinds = [], [], []
-            for rows, other, i, at, size, kind in posts_and_probes(ends - starts, edits, least):
+            keys, lines, marks, kinds = [], [], [], []
+            for rows, other, i, at, size, kind in posts_and_probes(ends - starts, edits, least, growing):
                 a = starts[rows] + at
                 h = (sums[a + size] - sums[a]) * back[a]
                 keys.append(mix(h + other.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(i)).view(np.int64))
                 lines.append(rows)
+                marks.append(sign[rows])
                 kinds.append(np.full(len(rows), kind, np.int32))
+            numbers = signs(raw, starts, ends) if long_classes else None
+            for number, (low, high, size) in enumerate(long_classes):
+                length = ends - starts
+                some = np.flatnonzero((length >= low) & (length < high + MOST_EDITS))
+                rows, rank, first, last = prefixes(raw, starts[some], ends[some], allowed(np.minimum(length[some], high - 1), edits, percent), size, back, sums)
+                keys.append((rank | np.uint64(number << RANK_BITS)).view(np.int64))
+                lines.append(some[rows])
+                marks.append(placed(numbers[some[rows]], first, last))
+                kinds.append((GRAM | np.minimum(length[some[rows]], (1 << 28) - 1) << 3).astype(np.int32))
             rows = np.concatenate(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(h1[rows]), pa.array(sign[rows]), pa.array(np.concatenate(kinds))], names=["key", "h1", "sign", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(h1[rows]), pa.array(np.concatenate(marks)), pa.array(np.concatenate(kinds))], names=["key", "h1", "sign", "kind"])
 
     return run
 
@@ -180,37 +199,63 @@ def _texts(least: int, wanted):
     return run
 
 
-def _check(edits: int):
+def _check(edits: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in [whole.slice(k, 2048) for k in range(0, whole.num_rows, 2048)]:
-                good = pa.array(within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+                left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                shorter = np.array([min(len(a), len(b)) for a, b in zip(left, right, strict=True)], np.int64)
+                bounds, good = allowed(shorter, edits, percent), np.zeros(len(left), bool)
+                for bound in np.unique(bounds).tolist():
+                    some = np.flatnonzero(bounds == bound)
+                    at_once = max(1, min(2048, (1 << 21) // (1 + int(shorter[some].max()))))
+                    good[some] = within([left[i] for i in some], [right[i] for i in some], bound, at_once)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
     return run
 
 
-def near_lines(docs: DataFrame, edits: int, least: int) -> DataFrame:
+def _may_be_near(edits: int, percent: int):
+    """Of two rows with one key: whether their lines can be within the bound."""
+    a, b, gram = F.col("kinds_a"), F.col("kinds_b"), F.lit(GRAM)
+    segment = (a.bitwiseAND(POST) > 0) & (b.bitwiseAND(PROBE) > 0) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= 2 * edits)
+    if not percent:
+        return segment
+    length_a, length_b = F.shiftright(a, 3), F.shiftright(b, 3)
+    bound = F.greatest(F.lit(edits).cast("long"), F.least(F.lit(MOST_EDITS).cast("long"), F.floor(F.least(length_a, length_b).cast("long") * percent / 100)))
+    place_a, place_b = F.shiftrightunsigned("sign_a", 48), F.shiftrightunsigned("sign_b", 48)
+    apart = F.abs(place_a - place_b)
+    places = (place_a == ANYWHERE) | (place_b == ANYWHERE) | (apart <= bound) | (apart >= ANYWHERE - bound)
+    # lane by lane of four bits: the difference modulo 16, the smaller way round
+    tops, rest, low = 0x888888888888, 0x777777777777, 0x0F0F0F0F0F0F
+    lanes = f"((((sign_a & {tops | rest}L) | {tops}L) - (sign_b & {rest}L)) ^ (~(sign_a ^ sign_b) & {tops}L))"
+    size = f"({lanes} ^ (((({lanes}) & {tops}L) div 8) * 15))"
+    moved = f"(({size} & {low}L) + (({size} div 16) & {low}L)) % 255 + bit_count({lanes} & {tops}L)"
+    grams = (a.bitwiseAND(gram) > 0) & (b.bitwiseAND(gram) > 0) & (F.col("a") < F.col("b")) & (F.abs(length_a - length_b) <= bound) & places & (F.expr(moved) <= 2 * bound)
+    return segment & (a.bitwiseAND(gram) == 0) & (b.bitwiseAND(gram) == 0) | grams
+
+
+def near_lines(docs: DataFrame, edits: int, least: int, percent: int = 0) -> DataFrame:
     """(a, b): hashes of the distinct lines that are within the edits of each other."""
-    keyed = docs.select("doc_id", "text").mapInArrow(_keys(edits, least), "key long, h1 long, sign long, kind int")
+    keyed = docs.select("doc_id", "text").mapInArrow(_keys(edits, least, percent), "key long, h1 long, sign long, kind int")
     # the kinds are only known past the aggregate, so both sides share one exchange
     once = keyed.repartition("key").groupBy("key", "h1").agg(F.max("sign").alias("sign"), F.bit_or("kind").alias("kinds"))
-    posts = once.filter(F.col("kinds").bitwiseAND(POST) > 0).select("key", F.col("h1").alias("a"), F.col("sign").alias("sign_a"))
-    probes = once.filter(F.col("kinds").bitwiseAND(PROBE) > 0).select("key", F.col("h1").alias("b"), F.col("sign").alias("sign_b"))
-    met = posts.join(probes, "key").filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= 2 * edits))
+    posts = once.filter(F.col("kinds").bitwiseAND(POST | GRAM) > 0).select("key", F.col("h1").alias("a"), F.col("sign").alias("sign_a"), F.col("kinds").alias("kinds_a"))
+    probes = once.filter(F.col("kinds").bitwiseAND(PROBE | GRAM) > 0).select("key", F.col("h1").alias("b"), F.col("sign").alias("sign_b"), F.col("kinds").alias("kinds_b"))
+    met = posts.join(probes, "key").filter(_may_be_near(edits, percent))
     pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = docs.sparkSession.sparkContext.broadcast(candidate_filter(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()))
     texts = checkpointed(docs.select("doc_id", "text").mapInArrow(_texts(least, wanted), "h1 long, line binary").groupBy("h1").agg(F.max("line").alias("line")))
     both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("line_b")), "b")
-    return checkpointed(both.select("a", "b", "line_a", "line_b").mapInArrow(_check(edits), "a long, b long"))
+    return checkpointed(both.select("a", "b", "line_a", "line_b").mapInArrow(_check(edits, percent), "a long, b long"))
 
 
-def repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None, percent: int = 0) -> DataFrame:
     """doc_id, line, near: every line that repeats; ``near`` where no equal line comes first."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
     places = checkpointed(docs.mapInArrow(_places(least_bytes if least_equal is None else least_equal), "doc_id long, line int, h1 long, h2 long"))
     firsts = checkpointed(places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    links = near_lines(docs, edits, least_bytes)
+    links = near_lines(docs, edits, least_bytes, percent)
     by_hash = firsts.groupBy("h1").agg(F.min("first").alias("first"))
     placed = links.join(by_hash.select(F.col("h1").alias("a"), F.col("first").alias("first_a")), "a").join(by_hash.select(F.col("h1").alias("b"), F.col("first").alias("first_b")), "b")
     late = placed.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("h1")).distinct().withColumn("late", F.lit(True))
@@ -219,9 +264,9 @@ def repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least
     return found.filter("late or not is_first").select("doc_id", "line", F.col("is_first").alias("near"))
 
 
-def decisions(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None) -> DataFrame:
+def decisions(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None, percent: int = 0) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_near, dropped (line numbers from 0) of every row of ``docs``."""
-    repeats = repeated_lines(docs, edits, least_bytes, least_equal).distinct()
+    repeats = repeated_lines(docs, edits, least_bytes, least_equal, percent).distinct()
     by_doc = repeats.groupBy("doc_id").agg(F.count("*").alias("n_dropped"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list("line")).alias("dropped"))
     text = F.col("text").cast("string")
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
@@ -229,9 +274,9 @@ def decisions(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equa
     return lines.join(by_doc, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_dropped", zero).alias("n_dropped"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
-def remove_repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None, percent: int = 0) -> DataFrame:
     """The columns of ``docs`` with repeated lines cut out of ``text``; documents that lose all their text go."""
-    by_doc = repeated_lines(docs, edits, least_bytes, least_equal).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__dropped"))
+    by_doc = repeated_lines(docs, edits, least_bytes, least_equal, percent).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__dropped"))
     schema = T.StructType(docs.schema.fields)
     place = docs.columns.index("text")
 

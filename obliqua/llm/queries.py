@@ -39,7 +39,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import decisions
 
-    return decisions(table(spark, sf_dir, "documents"), edits=2, least_bytes=20, least_equal=1)
+    return decisions(table(spark, sf_dir, "documents"), edits=2, least_bytes=20, least_equal=1, percent=5)
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

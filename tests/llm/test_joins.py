@@ -161,6 +161,29 @@ def test_short_lines_repeat_in_the_query_and_the_pipeline(spark, tmp_path):
     assert kept == {1: "Wh the.\n\n \nx", 2: "Wh tha.\n\n "}
 
 
+def test_near_lines_with_changed_words_equal_brute_force(spark, tmp_path):
+    r, texts = random.Random(11), []
+    base = [words(i, n) for i, n in enumerate([4, 9, 10, 11, 26, 28, 30, 60, 66, 70, 72, 130, 150, 200])]
+    base += ["ab" * 45, "漢字" * 40 + words(3, 9), "é" * 79, words(8, 70).replace(" ", "")]
+    for _ in range(140):
+        line = r.choice(base)
+        for _ in range(r.choice([0, 1, 1, 2])):
+            at, long = r.randrange(len(line)), r.randrange(9)
+            line = line[:at] + "".join(r.choice("abcxyz é") for _ in range(r.randrange(9))) + line[at + long :]
+        for _ in range(r.choice([0, 3, 9])):  # spread over the line
+            at = r.randrange(max(1, len(line)))
+            line = line[:at] + r.choice(["", "q", "zz"]) + line[at + 1 :]
+        texts.append(line)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"] for x in queries.op3_line_dedup(spark, str(tmp_path)).filter("n_dropped > 0").collect()}
+    raw = [t.encode() for t in texts]
+    bound = lambda n: max(2, min(15, n * 5 // 100))
+    near = lambda a, b: min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= bound(min(len(a), len(b))) and _plain(a, b) <= bound(min(len(a), len(b)))
+    wanted = {i for i, b in enumerate(raw) if b.strip() and any(a == b or near(a, b) for a in raw[:i])}
+    few = {i for i, b in enumerate(raw) if b.strip() and any(a == b or min(len(a), len(b)) >= 20 and abs(len(a) - len(b)) <= 2 and within([a], [b], 2)[0] for a in raw[:i])}
+    assert got == wanted and len(wanted - few) > 10
+
+
 def test_nearest_lattice_points():
     r = np.random.default_rng(0)
     y = r.standard_normal((200, 8)) * 2
