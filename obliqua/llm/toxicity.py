@@ -10,7 +10,9 @@ a text, divided by its length in words, goes through a logistic curve.
 Lexicon, exceptions and curve are learned from a bounded sample of labelled
 rows (``most_rows``), near copies in it counted once: terms of toxic texts are
 counted on the executors, those of enough texts become candidates, and the
-hits of the candidates in the sample (not the texts) reach the driver.
+hits of the candidates in the sample (not the texts) reach the driver.  Exceptions are
+phrases of a matched word and its neighbours, one space apart, that ``least_clean`` texts
+labelled clean have and none labelled toxic has.
 
 Defined cases: null text is empty; an empty text has the curve's value at 0; no
 labelled rows give an empty lexicon and score 0 for every text; repeated rows are each scored.
@@ -120,6 +122,16 @@ class Lexicon:
                 del found[at]
         return found
 
+    def phrases(self, text: str) -> set[str]:
+        """Each counted word with the word before, the word after, and both."""
+        folded, found = f" {fold(text).replace(SEPARATOR, ' ')} ", set()
+        for at in self.hits(folded):
+            end = folded.index(" ", at + 1)
+            word, before, after = folded[at + 1 : end], folded[folded.rfind(" ", 0, at) + 1 : at], folded[end + 1 : max(end + 1, folded.find(" ", end + 1))]
+            if len(before) + len(word) + len(after) <= 120:
+                found.update([f"{before} {word}"] * bool(before) + [f"{word} {after}"] * bool(after) + [f"{before} {word} {after}"] * bool(before and after))
+        return found
+
     def density(self, texts: list[str]) -> np.ndarray:
         """Weight per word of each text, from one walk over all of them."""
         gap = f" {SEPARATOR} "
@@ -158,7 +170,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
 
-def fit(labelled: DataFrame, most_rows: int = 6000, least_texts: int = 5, least_weight: float = 2.5, most_terms: int = 5000) -> Lexicon:
+def fit(labelled: DataFrame, most_rows: int = 6000, least_texts: int = 5, least_weight: float = 2.5, most_terms: int = 5000, least_clean: int = 3) -> Lexicon:
     """Learns from ``labelled`` (doc_id, text, toxic), of which about ``most_rows`` are taken, whole."""
     from .common import checkpointed
 
@@ -185,10 +197,20 @@ def fit(labelled: DataFrame, most_rows: int = 6000, least_texts: int = 5, least_
     odds = np.log((counts[1] + 0.5) / (sizes[1] + 1)) - np.log((counts[0] + 0.5) / (sizes[0] + 1))
     heavy = sorted((i for i in np.flatnonzero((odds >= least_weight) & (counts[1] >= least_texts))), key=lambda i: (-counts[1, i], probe.value[i]))[:most_terms]
     lexicon = Lexicon({probe.value[i]: float(odds[i]) for i in heavy})
-    machine = sample.sparkSession.sparkContext.broadcast(lexicon.weights)
+    weights = sample.sparkSession.sparkContext.broadcast(lexicon.weights)
+
+    def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lexicon(weights.value)
+        for batch in text_slices(batches):
+            around = [(p, toxic == 1) for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True) for p in own.phrases(text or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in around], pa.string()), pa.array([t for _, t in around], pa.bool_())], names=["phrase", "toxic"])
+
+    spared = sample.mapInArrow(surround, "phrase string, toxic boolean").groupBy("phrase").agg(F.count_if("toxic").alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")).filter((F.col("toxic") == 0) & (F.col("clean") >= least_clean))
+    lexicon.exceptions = [r["phrase"] for r in spared.orderBy(F.desc("clean"), "phrase").limit(most_terms).collect()]
+    machine = sample.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(machine.value)
+        own = Lexicon(*machine.value)
         for batch in text_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(own.density([t or "" for t in batch.column("text").to_pylist()]), pa.float64())], names=["toxic", "density"])
 

@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from obliqua.llm import langid, pii, toxicity
+from obliqua.llm import langid, pii, queries, toxicity
 
 from .conftest import words
 
@@ -74,6 +74,27 @@ def test_exception_phrases_and_empty_lexicons(spark, frame):
     assert toxicity.score(frame(["moron", None]), none).filter("score < 0.01").count() == 2
 
 
+def test_the_query_learns_exception_phrases(spark, tmp_path):
+    r, rows = random.Random(4), []
+    for i in range(600):
+        toxic = int(i % 5 == 1)
+        text = words(i, 40).split()
+        if toxic:
+            for _ in range(3):
+                text[r.randrange(40)] = "trash"
+        elif i % 20 == 0:
+            text[r.randrange(1, 39)] = "trash can"
+        rows.append((i, " ".join(text), toxic))
+    harmless, harmful = words(8, 40).split(), words(9, 40).split()
+    for k in (5, 15, 25):
+        harmless[k], harmful[k] = "trash can", "trash"
+    docs = [(i, t) for i, t, _ in rows] + [(1000, " ".join(harmless)), (1001, " ".join(harmful))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {x["doc_id"]: x["predicted"] for x in queries.op6_toxicity(spark, str(tmp_path)).collect()}
+    assert (got[1000], got[1001]) == (0, 1)
+
+
 def naive_base(text):
     spans = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     spans += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
