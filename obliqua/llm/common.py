@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,14 +35,16 @@ def give_back() -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder set, and then for the session as a whole.
+    Only where a session on one machine names none (tests) is a temporary folder
+    set, and then for the session as a whole; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="obliqua-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -55,6 +58,42 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+class Scratch:
+    """Tables written below the scratch folder; what is not dropped before goes when the block ends, on errors too.
+
+    ``keep`` cuts lineage: the table is read again from its files.  It also lets Spark delete the shuffle
+    files of plans that are no longer referred to, so that disk holds what is still needed.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths.values():
+            remove_path(self.spark, path)
+        self.paths = {}
+        free_shuffles(self.spark)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = path = scratch_path(self.spark, name)
+        df.write.parquet(path)
+        free_shuffles(self.spark)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove_path(self.spark, self.paths.pop(name))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Collects the driver's garbage; Spark's cleaner then deletes the shuffles of unreachable plans everywhere."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept as a reliable checkpoint (never a local one)."""
     scratch_root(df.sparkSession)

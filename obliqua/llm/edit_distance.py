@@ -2,7 +2,8 @@
 
 The band holds the cells at most ``bound`` off the diagonal; two words of bits
 tell for each pair where the column rises and falls, and every column of all
-pairs takes a few word operations.
+pairs takes a few word operations.  Where both of a pair are longer than ``LONG`` after what they share at their ends
+is left out, its diagonals are followed as far as each number of edits reaches: the same band, in long strides.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 import numpy as np
 
 
+LONG = 1 << 14
+
+
 def _plain(a: bytes, b: bytes) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -27,42 +31,96 @@ def _matrix(items: list[bytes], width: int, fill: int) -> np.ndarray:
     return out
 
 
-def within(left: list[bytes], right: list[bytes], bound: int, at_once: int = 2048) -> np.ndarray:
-    """Whether each pair of byte strings is at most ``bound`` (0 to 15) edits apart."""
+def _differing(a: bytes, b: bytes) -> tuple[bytes, bytes]:
+    """The two without the longest start and then the longest end that they share."""
+    least = min(len(a), len(b))
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    other = np.flatnonzero(x[:least] != y[:least])
+    start = int(other[0]) if len(other) else least
+    rest = least - start
+    other = np.flatnonzero(x[len(a) - rest :][::-1] != y[len(b) - rest :][::-1])
+    end = int(other[0]) if len(other) else rest
+    return a[start : len(a) - end], b[start : len(b) - end]
+
+
+def _strides(a: bytes, b: bytes, bound: int) -> bool:
+    """Whether the two are within the bound, by the furthest place on each diagonal for 0, 1, ... edits."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+
+    def slide(i: int, j: int) -> int:
+        step = 64
+        while (room := min(step, len(x) - i, len(y) - j)) > 0:
+            other = np.flatnonzero(x[i : i + room] != y[j : j + room])
+            if len(other):
+                return i + int(other[0])
+            i, j, step = i + room, j + room, min(2 * step, 1 << 16)
+        return i
+
+    goal, reach = len(y) - len(x), {0: slide(0, 0)}
+    for edits in range(bound + 1):
+        if reach.get(goal, -1) == len(x):
+            return True
+        beyond = {}
+        for d in range(-edits - 1, edits + 2):  # diagonal d holds places (i, i + d)
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
+            i = min(i, len(x), len(y) - d)
+            if i >= 0 and i + d >= 0:
+                beyond[d] = slide(i, i + d)
+        reach = beyond
+    return False
+
+
+def within(left: list[bytes], right: list[bytes], bound: int, most_cells: int = 1 << 20) -> np.ndarray:
+    """Whether each pair of byte strings is at most ``bound`` (0 to 15) edits apart.
+
+    What a pair shares at its start and end is left out first; pairs are then taken together in order of
+    length, as many as stay under ``most_cells`` when padded to the longest.
+    """
     good = np.zeros(len(left), bool)
-    n_left, n_right = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
-    near = np.flatnonzero(np.abs(n_left - n_right) <= bound)
-    short = near[np.minimum(n_left, n_right)[near] <= bound]
-    for i in short:
-        good[i] = _plain(left[i], right[i]) <= bound
-    todo = near[np.minimum(n_left, n_right)[near] > bound]
-    todo = todo[np.argsort(n_right[todo], kind="stable")]
-    for k in range(0, len(todo), at_once):
-        part = todo[k : k + at_once]
-        good[part] = _banded([left[i] for i in part], [right[i] for i in part], bound) <= bound
+    near = [i for i in range(len(left)) if abs(len(left[i]) - len(right[i])) <= bound]
+    cut = {i: _differing(left[i], right[i]) for i in near}
+    todo = []
+    for i in near:
+        least = min(map(len, cut[i]))
+        if least == 0:
+            good[i] = True
+        elif least <= bound:
+            good[i] = _plain(*cut[i]) <= bound
+        elif least > LONG:
+            good[i] = _strides(*cut[i], bound)
+        else:
+            todo.append(i)
+    todo.sort(key=lambda i: len(cut[i][1]))
+    k = 0
+    while k < len(todo):
+        size = 1
+        while k + size < len(todo) and (size + 1) * (len(cut[todo[k + size]][1]) + 2 * bound) <= most_cells:
+            size += 1
+        part = todo[k : k + size]
+        good[part] = _banded([cut[i][0] for i in part], [cut[i][1] for i in part], bound) <= bound
+        k += size
     return good
 
 
 def _banded(left: list[bytes], right: list[bytes], bound: int) -> np.ndarray:
     """Distances, exact where they are at most ``bound``; each pair's lengths differ by no more and exceed it."""
     width = 2 * bound + 1
-    kind = np.uint8 if width <= 7 else np.uint64
+    kind = np.uint8 if width <= 7 else np.uint16 if width <= 15 else np.uint32
+    window = 8 * np.dtype(kind).itemsize
     full, one = kind((1 << width) - 1), kind(1)
     m, n = np.array([len(x) for x in left]), np.array([len(x) for x in right])
     columns = int(n.max())
     # row r of column j is character j - bound + r of the left text, so it is padded in front
-    a = np.full((len(left), columns + 2 * width), -1, np.int16)
+    a = np.full((len(left), columns + bound + window), -1, np.int16)
     body = _matrix(left, int(m.max()), -1)
     a[:, bound : bound + body.shape[1]] = body
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(_matrix(right, columns, -2).T)
+    b = _matrix(right, columns, -2)
     # before the first column the rows from 1 on rise by one each
     up = np.full(len(left), int(full) >> bound << bound & int(full), kind)
     down = np.zeros(len(left), kind)
     score = np.full(len(left), bound, np.int64)
     for j in range(columns):
-        same = np.zeros(len(left), kind)
-        for r in range(width):
-            same |= (a[j + r] == b[j]).astype(kind) << kind(r)
+        same = np.packbits(a[:, j : j + window] == b[:, j, None], axis=1, bitorder="little").view(kind).ravel() & full
         diagonal = ((((same & up) + up) ^ up) | same | down) & full
         rise = (down | ~(diagonal | up)) & full
         fall = diagonal & up

@@ -1,27 +1,25 @@
 """Line dedup by a segment-partition edit join.
 
 A line of ``least_equal`` bytes or more (those of ``least_bytes``, if not given; 1 takes every
-line that is not blank) repeats if an equal line comes before it in (doc_id, line) order.  One of
+line that is not blank) repeats if an equal line comes before it.  One of
 ``least_bytes`` bytes or more also repeats if its text is within ``edits`` edits (in UTF-8 bytes)
 of another such line whose first occurrence comes before its own; where ``percent`` of the shorter
-line's bytes are more than that, so many edits, 15 at most.  Repeats are removed;
-a document left without any text is dropped.
-
-Equal lines: only hashes and places are shuffled, pre-aggregated.  Near lines: if two
-texts are within k edits, one of k + 1 segments of the shorter occurs
-unchanged in the longer, at a place that the number of edits before and after
-it confines.  Each distinct line of a batch therefore posts its segments under its length, and
-probes with its substrings for its own length and those up to k shorter; hashes
-of substrings come from prefix sums, whatever their number.  Lines that
-meet must also agree in the parities of their byte counts but for two bits an
-edit.  For lines that are allowed more than ``edits``, segments would have to be
-looked for at too many places; they meet by prefixes of their grams instead
-(``gram_prefix``), at like places and lengths.  Only lines in such pairs have their text fetched, by a filter of bounded
-size, and a banded bit-parallel edit distance decides.
+line's bytes are more than that, so many edits, 15 at most.  Lines come in the order of (doc_id, hash of the text, line number).
+Repeats are removed; a document left without any text is dropped.
+
+Equal lines: a line that its slice of texts has met before repeats for certain; only the
+first places of each slice are shuffled, as hashes.  Near lines: each distinct line
+of a slice is indexed by the keys of its segments (``line_segments``).  Keys travel in packed
+blocks to the bucket of their range and are sorted there; lines that share one form a set.  Equal sets are joined into one, the
+lines of each set are fetched (behind a filter of bounded size), and a set is walked in order of first places: each line is
+compared, by a banded bit-parallel edit distance, with those before it until one is near.  So a line has one row a
+set, whatever the number of its near lines.  A set beyond ``PART`` lines is cut into parts, and pairs of parts are compared
+as they are; a key that a sample of the lines shows to be in very many goes through several buckets.  Both routes compare everything.
 
 Defined cases: null text has no lines; blank lines and those under both bounds are never touched;
-documents with a null ``doc_id`` are kept as they are; rows with the same ``doc_id``
-are one document to each other; extra columns are kept; an empty table stays empty.
+documents with a null ``doc_id`` are kept as they are; rows with the same ``doc_id`` and different texts are
+different documents, rows that repeat as a whole are one document and all keep or lose the same lines; extra columns are kept;
+an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,27 +28,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, string_bytes, text_slices
+from .common import Scratch, checkpointed, string_bytes, text_slices
 from .edit_distance import within
-from .gram_prefix import ANYWHERE, MOST_EDITS, RANK_BITS, allowed, classes, first_growing, hash_sums, placed, prefixes, signs
-from .shingles import _BASE, mix, span_hashes
+from .line_segments import allowed, segment_keys
+from .shingles import mix
 
-SLICE = 1 << 19
-_inverse = np.ones(1, np.uint64)
+SLICE = 1 << 20
+PART = 2048  # lines of a set, or of a part of one, that are walked together
+FLUSH = 1 << 20  # keys that a task sorts before it sends them
+BUCKET_BYTES = 1 << 22  # bytes of text to a bucket, some 400,000 keys
+HOT_LINES = 4_000_000  # a key in more lines than this is dealt to several buckets
+SAMPLE_LINES = 1 << 20
+ID = np.uint64((1 << 48) - 1)  # a line's number in the index: so many bits of its hash
 
 
-def inverse_powers(most: int) -> np.ndarray:
-    global _inverse
-    if len(_inverse) < most:
-        _inverse = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * most, pow(int(_BASE), -1, 1 << 64), np.uint64))])
-    return _inverse
-
-
-def long_lines(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _some_lines(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, number within it, start, end) of every line of ``least`` bytes or more, blank ones left out."""
     breaks = np.flatnonzero(raw == 10)
     starts = np.concatenate([offsets[:-1], breaks + 1])
@@ -60,123 +58,207 @@ def long_lines(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nda
     ends = np.concatenate([starts[1:] - 1, [len(raw)]]) if len(starts) else starts
     last = np.concatenate([text[1:] != text[:-1], [True]]) if len(text) else np.zeros(0, bool)
     ends[last] = offsets[text[last] + 1]
-    first = np.searchsorted(text, np.arange(len(offsets) - 1))
-    number = np.arange(len(text)) - first[text]
-    solid = np.concatenate([[0], np.cumsum((raw != 32) & ((raw < 9) | (raw > 13)))])
-    keep = (ends - starts >= least) & (solid[ends] > solid[starts])
+    number = np.arange(len(text)) - np.searchsorted(text, np.arange(len(offsets) - 1))[text]
+    solid = np.concatenate([[0], np.cumsum((raw != 32) & ((raw < 9) | (raw > 13)), dtype=np.int32)])
+    keep = (ends - starts >= max(1, least)) & (solid[ends] > solid[starts])
     return text[keep], number[keep], starts[keep], ends[keep]
 
 
-def _lines(batch: pa.RecordBatch, least: int):
-    raw, offsets = string_bytes(batch.column(batch.schema.get_field_index("text")))
-    text, number, starts, ends = long_lines(raw, offsets, least)
-    ids = batch.column(batch.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-    return raw, ids[text] if len(text) else np.zeros(0, np.int64), number, starts, ends, span_hashes(raw, starts, ends).view(np.int64)
+class _Slice:
+    """The lines of a slice of texts and their hashes, two of 64 bits a line."""
+
+    def __init__(self, batch: pa.RecordBatch, least: int):
+        self.raw, offsets = string_bytes(batch.column(batch.schema.get_field_index("text")))
+        self.text, self.number, self.starts, self.ends = _some_lines(self.raw, offsets, least)
+        data, digest = memoryview(self.raw), xxhash.xxh3_128_digest
+        both = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+        self.h1, self.h2 = both[:, 0], both[:, 1]
+        if len(self.text):
+            self.doc, self.row = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[self.text] for c in ("doc_id", "row"))
+        else:
+            self.doc = self.row = np.zeros(0, np.int64)
+
+    def firsts(self, some: np.ndarray) -> np.ndarray:
+        """Of the given lines, those that come first among their equals."""
+        some = some[np.lexsort((self.number[some], self.row[some], self.doc[some], self.h2[some], self.h1[some]))]
+        new = np.ones(len(some), bool)
+        new[1:] = (self.h1[some][1:] != self.h1[some][:-1]) | (self.h2[some][1:] != self.h2[some][:-1])
+        return some[new]
+
+
+PLACE = "doc_id long, row long, line int"
+PLACE_COLUMNS = ("doc_id", "row", "line")
 
 
 def _places(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, SLICE):
-            raw, ids, number, starts, ends, h1 = _lines(batch, least)
-            h2 = span_hashes(raw, starts, ends, seed=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(number, pa.int32()), pa.array(h1), pa.array(h2)], names=["doc_id", "line", "h1", "h2"])
+            s = _Slice(batch, least)
+            again = np.ones(len(s.h1), bool)
+            again[s.firsts(np.arange(len(s.h1)))] = False
+            yield pa.RecordBatch.from_arrays([pa.array(s.doc), pa.array(s.row), pa.array(s.number, pa.int32()), pa.array(s.h1), pa.array(s.h2), pa.array(again)], names=[*PLACE_COLUMNS, "h1", "h2", "again"])
 
     return run
 
 
-def segments(length: np.ndarray, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(start, size) of each of the even segments of a line; the later ones take what is left over."""
-    base, more = length // parts, length % parts
-    out, at = [], np.zeros_like(length)
-    for i in range(parts):
-        size = base + (i >= parts - more)
-        out.append((at, size))
-        at = at + size
-    return out
+def _pack(keys: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted keys, without their last 16 bits, as differences; and the ids: each as planes of bytes."""
+    keys = keys >> np.uint64(16)
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    planes = np.concatenate([steps.T, ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T])
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-POST, PROBE, GRAM = 1, 2, 4
+def _unpack(block: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(12, n)
+    out = []
+    for part in (planes[:6], planes[6:]):
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :6] = part.T
+        out.append(wide.view("<u8").ravel())
+    return np.cumsum(out[0], dtype=np.uint64), out[1]
 
 
-def posts_and_probes(length: np.ndarray, edits: int, least: int, growing: int):
-    """Yields (rows, shorter length, segment, start, size, kinds) of all substrings to hash.
+BLOCK_SCHEMA = "bucket long, hot long, salt long, n int, block binary"
+BLOCK_NAMES = ["bucket", "hot", "salt", "n", "block"]
 
-    A line's own segments, at their own places, are posts and probes at once.
-    Shorter lines of ``growing`` bytes or more are left to the grams.
-    """
-    for shorter in range(edits + 1):
-        other = length - shorter
-        fit = np.flatnonzero((other >= max(least, edits + 1)) & (other < growing))
-        for i, (at, size) in enumerate(segments(other[fit], edits + 1)):
-            # i edits at most lie before segment i, and edits - i after it
-            for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                start = at + move
-                inside = (start >= 0) & (start + size <= length[fit])
-                yield fit[inside], other[fit][inside], i, start[inside], size[inside], POST | PROBE if shorter == move == 0 else PROBE
 
+def _blocks(edits: int, least: int, percent: int, buckets: int, hot: np.ndarray, salts: int, flush: int = FLUSH):
+    """The keys of each line in packed blocks, one for each bucket; hot keys have buckets of their own, ``salts`` each."""
 
-def _keys(edits: int, least: int, percent: int, most_seen: int = 1_000_000):
-    """The keys of each line, once a task as far as ``most_seen`` remembered lines tell.
+    def packed(keys: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+        order = np.argsort(keys)
+        keys, ids = keys[order], ids[order]
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+            is_hot = hot[at] == keys
+            number = at[is_hot] * salts + (mix(ids[is_hot]) % np.uint64(salts)).astype(np.int64)
+            for bucket in np.unique(number).tolist():
+                some = ids[is_hot][number == bucket]
+                yield buckets + bucket, int(hot[bucket // salts].astype(np.int64)), bucket % salts, len(some), _pack(np.zeros(len(some), np.uint64), some)
+            keys, ids = keys[~is_hot], ids[~is_hot]
+        bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield int(bucket[a]), None, 0, b - a, _pack(keys[a:b], ids[a:b])
 
-    Grams have their place and their line's numbers of bytes in ``sign``, its length above the bits of ``kind``.
-    """
-    growing, long_classes = first_growing(edits, percent), classes(edits, percent, least)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size, seen = 0, np.zeros(0, np.uint64)
+
+        def send() -> Iterator[pa.RecordBatch]:
+            rows = list(packed(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])))
+            for a in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=BLOCK_NAMES)
+
+        for batch in text_slices(batches, SLICE):
+            s = _Slice(batch, least)
+            ids, one = np.unique(s.h1.view(np.uint64) & ID, return_index=True)
+            if len(seen):  # met lately in this task; a line that is sent twice counts once in its bucket
+                new = seen[np.minimum(np.searchsorted(seen, ids), len(seen) - 1)] != ids
+                ids, one = ids[new], one[new]
+            seen = np.union1d(seen, ids) if len(seen) < 1_000_000 else ids
+            if len(ids):
+                keys, line = segment_keys(s.raw, s.starts[one], s.ends[one], edits, percent, least)
+                held.append((keys, ids[line]))
+                size += len(keys)
+                if size >= flush:
+                    yield from send()
+                    held, size = [], 0
+        if held:
+            yield from send()
+
+    return run
+
+
+def _sampled_keys(edits: int, least: int, percent: int, share: float):
+    """key, n: how many of a share of the distinct lines of each slice, chosen by hash, have a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
         for batch in text_slices(batches, SLICE):
-            raw, _, _, starts, ends, h1 = _lines(batch, least)
-            h1, one = np.unique(h1, return_index=True)
-            if len(seen):
-                new = seen[np.minimum(np.searchsorted(seen, h1), len(seen) - 1)] != h1
-                h1, one = h1[new], one[new]
-            if not len(h1):
-                continue
-            seen = np.union1d(seen, h1) if len(seen) < most_seen else h1
-            starts, ends = starts[one], ends[one]
-            sums = hash_sums(raw)
-            back = inverse_powers(len(raw) + 1)
-            sign = _parities(raw, np.stack([starts, ends], 1))
-            keys, lines, marks, kinds = [], [], [], []
-            for rows, other, i, at, size, kind in posts_and_probes(ends - starts, edits, least, growing):
-                a = starts[rows] + at
-                h = (sums[a + size] - sums[a]) * back[a]
-                keys.append(mix(h + other.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(i)).view(np.int64))
-                lines.append(rows)
-                marks.append(sign[rows])
-                kinds.append(np.full(len(rows), kind, np.int32))
-            numbers = signs(raw, starts, ends) if long_classes else None
-            for number, (low, high, size) in enumerate(long_classes):
-                length = ends - starts
-                some = np.flatnonzero((length >= low) & (length < high + MOST_EDITS))
-                rows, rank, first, last = prefixes(raw, starts[some], ends[some], allowed(np.minimum(length[some], high - 1), edits, percent), size, back, sums)
-                keys.append((rank | np.uint64(number << RANK_BITS)).view(np.int64))
-                lines.append(some[rows])
-                marks.append(placed(numbers[some[rows]], first, last))
-                kinds.append((GRAM | np.minimum(length[some[rows]], (1 << 28) - 1) << 3).astype(np.int32))
-            rows = np.concatenate(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(h1[rows]), pa.array(np.concatenate(marks)), pa.array(np.concatenate(kinds))], names=["key", "h1", "sign", "kind"])
+            s = _Slice(batch, least)
+            ids, one = np.unique(s.h1.view(np.uint64) & ID, return_index=True)
+            one = one[mix(ids).astype(np.float64) < share * 2.0**64]
+            keys, n = np.unique(segment_keys(s.raw, s.starts[one], s.ends[one], edits, percent, least)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
     return run
 
 
-def _parities(raw: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """For each span a bit for each class of bytes (modulo 64): whether it holds an odd number of them."""
-    bits = (np.uint64(1) << (raw & np.uint8(63)).astype(np.uint64)).view(np.int64)
-    before = np.concatenate([[0], np.bitwise_xor.accumulate(bits)]) if len(bits) else np.zeros(1, np.int64)
-    return before[spans[:, 1]] ^ before[spans[:, 0]]
+def hot_keys(docs: DataFrame, edits: int, least: int, percent: int, lines: int, most: int) -> np.ndarray:
+    """Sorted keys that about ``most`` lines or more have, judged by ``SAMPLE_LINES`` lines or fewer.
+
+    It only decides on the route of a key.  There are none if there are no more lines than that; else
+    the bound of the sample bounds the list.
+    """
+    if lines <= most:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, SAMPLE_LINES / lines)
+    counts = docs.mapInArrow(_sampled_keys(edits, least, percent, share), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counts.filter(F.col("n") >= max(4, int(most * share))).select("key").toPandas()
+    return np.sort(found["key"].to_numpy(np.int64).view(np.uint64))
+
+
+SET_SCHEMA = "unit long, part long, cut boolean, ids array<long>"
+
+
+def _sets(most: int):
+    """The sets of two lines or more that share a key, of all blocks of a bucket; equal ones once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        salt, hot = table.column("salt")[0].as_py(), table.column("hot")[0].as_py()
+        both = [_unpack(block, n) for block, n in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        keys, ids = np.concatenate([k for k, _ in both]), np.concatenate([i for _, i in both])
+        if hot is None:
+            order = np.argsort(keys)
+            keys, ids = keys[order], ids[order]
+            shared = np.zeros(len(keys), bool)
+            same = keys[1:] == keys[:-1]
+            shared[1:] |= same
+            shared[:-1] |= same
+            keys, ids = keys[shared], ids[shared]
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+        keys, ids = keys[new], ids[new]
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        sizes = np.diff(edges)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(ids))])
+        names = mix(sums[edges[1:]] - sums[edges[:-1]] + sizes.astype(np.uint64)).view(np.int64)
+        unit, part, cut, start, end = [], [], [], [], []
+        whole = np.flatnonzero((sizes > 1) & (sizes <= most)) if hot is None else np.zeros(0, np.int64)
+        whole = whole[np.unique(names[whole], return_index=True)[1]]
+        unit.append(names[whole])
+        part.append(np.zeros(len(whole), np.int64))
+        cut.append(np.zeros(len(whole), bool))
+        start.append(edges[whole])
+        end.append(edges[whole + 1])
+        for g in (np.flatnonzero(sizes > most) if hot is None else range(len(sizes))):
+            at = np.arange(edges[g], edges[g + 1], most)
+            unit.append(np.full(len(at), keys[edges[g]].astype(np.int64) if hot is None else hot, np.int64))
+            part.append(np.arange(len(at)) + (salt << 32))
+            cut.append(np.ones(len(at), bool))
+            start.append(at)
+            end.append(np.minimum(at + most, edges[g + 1]))
+        start, end = np.concatenate(start), np.concatenate(end)
+        values = np.concatenate([ids[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)] or [ids[:0]]).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - start)]), pa.int32()), pa.array(values))
+        return pa.table([pa.array(np.concatenate(unit)), pa.array(np.concatenate(part)), pa.array(np.concatenate(cut)), lists], names=["unit", "part", "cut", "ids"])
+
+    return run
 
 
 FILTER_WORDS = 1 << 17
 
 
 def candidate_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each line hash in a megabyte, set by a distributed aggregate.
+    """A bit for each line number in a megabyte, set by a distributed aggregate.
 
     It only spares work: what it lets through is joined exactly later, so its
     fixed size bounds the broadcast and never the result.
     """
-    picked = ids.select(F.col("h1").alias("h")).select(F.pmod(F.shiftrightunsigned("h", 6), F.lit(FILTER_WORDS)).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    picked = ids.select(F.pmod(F.shiftrightunsigned("id", 6), F.lit(FILTER_WORDS)).alias("word"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bit"))
     words = picked.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(FILTER_WORDS, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
@@ -184,99 +266,144 @@ def candidate_filter(ids: DataFrame) -> np.ndarray:
 
 
 def _texts(least: int, wanted):
+    """The wanted lines where their slice has them first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = wanted.value
         for batch in text_slices(batches, SLICE):
-            raw, _, _, starts, ends, h1 = _lines(batch, least)
-            if not len(h1):
-                continue
-            h1, one = np.unique(h1, return_index=True)
-            u = h1.view(np.uint64)
+            s = _Slice(batch, least)
+            u = s.h1.view(np.uint64) & ID
             some = (words[(u >> np.uint64(6)).astype(np.int64) % FILTER_WORDS] >> (u & np.uint64(63)).astype(np.int64)) & 1 == 1
-            data = raw.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(h1[some]), pa.array([data[a:b] for a, b in zip(starts[one][some].tolist(), ends[one][some].tolist(), strict=True)], pa.binary())], names=["h1", "line"])
+            some = s.firsts(np.flatnonzero(some))
+            data = s.raw.tobytes()
+            lines = pa.array([data[a:b] for a, b in zip(s.starts[some].tolist(), s.ends[some].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(u[some].view(np.int64)), pa.array(s.doc[some]), pa.array(s.row[some]), pa.array(s.number[some], pa.int32()), lines], names=["id", *PLACE_COLUMNS, "text"])
 
     return run
 
 
-def _check(edits: int, percent: int):
+def _kinds(texts: list[bytes]) -> np.ndarray:
+    """How often each line has a byte of each of 32 kinds; an edit moves two of the numbers by one at most."""
+    sizes = np.array([len(t) for t in texts])
+    owner = np.repeat(np.arange(len(texts)) * 32, sizes)
+    return np.bincount(owner + (np.frombuffer(b"".join(texts), np.uint8) & 31), minlength=32 * len(texts)).reshape(-1, 32).astype(np.int32)
+
+
+def _walk(edits: int, percent: int, most_bytes: int = 4 << 20):
+    """The first places of the lines that are near one before them in their set; rows come sorted by (unit, a, b)."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch | None:
+        unit, a, b, side, doc, row, line = (rows.column(k).to_numpy() for k in range(7))
+        order = np.lexsort((line, row, doc, b, a, unit))
+        unit, a, b, side, doc, row, line = (x[order] for x in (unit, a, b, side, doc, row, line))
+        texts = rows.column(7).take(pa.array(order)).to_pylist()
+        first = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        start = np.repeat(first, np.diff(np.append(first, len(unit))))
+        size = np.array([len(t) for t in texts], np.int64)
+        kinds, across = _kinds(texts), a != b
+        late, waiting, step = np.zeros(len(unit), bool), np.flatnonzero(np.arange(len(unit)) > start), 0
+        while len(waiting):
+            other = start[waiting] + step
+            bound = allowed(np.minimum(size[other], size[waiting]), edits, percent)
+            like = (np.abs(size[other] - size[waiting]) <= bound) & (~across[waiting] | (side[other] != side[waiting]))
+            x, y, bound = waiting[like], other[like], bound[like]
+            for k in range(0, len(x), 1 << 16):
+                p, q, k_bound = x[k : k + (1 << 16)], y[k : k + (1 << 16)], bound[k : k + (1 << 16)]
+                few = np.abs(kinds[p] - kinds[q]).sum(1) <= 2 * k_bound
+                p, q, k_bound = p[few], q[few], k_bound[few]
+                for one in np.unique(k_bound).tolist():
+                    some = np.flatnonzero(k_bound == one)
+                    late[p[some]] = within([texts[i] for i in p[some]], [texts[i] for i in q[some]], one)
+            step += 1
+            waiting = waiting[~late[waiting] & (start[waiting] + step < waiting)]
+        return pa.RecordBatch.from_arrays([pa.array(doc[late]), pa.array(row[late]), pa.array(line[late], pa.int32())], names=list(PLACE_COLUMNS)) if late.any() else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in [whole.slice(k, 2048) for k in range(0, whole.num_rows, 2048)]:
-                left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                shorter = np.array([min(len(a), len(b)) for a, b in zip(left, right, strict=True)], np.int64)
-                bounds, good = allowed(shorter, edits, percent), np.zeros(len(left), bool)
-                for bound in np.unique(bounds).tolist():
-                    some = np.flatnonzero(bounds == bound)
-                    at_once = max(1, min(2048, (1 << 21) // (1 + int(shorter[some].max()))))
-                    good[some] = within([left[i] for i in some], [right[i] for i in some], bound, at_once)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size < most_bytes:
+                continue
+            now = pa.Table.from_batches(held).combine_chunks()
+            group = [now.column(k).to_numpy() for k in range(3)]
+            last = np.flatnonzero((group[0] != group[0][-1]) | (group[1] != group[1][-1]) | (group[2] != group[2][-1]))
+            whole = int(last[-1]) + 1 if len(last) else 0  # the last set may go on in the next batch
+            if whole and (out := work(now.slice(0, whole))) is not None:
+                yield out
+            rest = now.slice(whole).combine_chunks()
+            held, size = rest.to_batches(), rest.nbytes if whole else 0
+        if held and (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
+            yield out
 
     return run
 
 
-def _may_be_near(edits: int, percent: int):
-    """Of two rows with one key: whether their lines can be within the bound."""
-    a, b, gram = F.col("kinds_a"), F.col("kinds_b"), F.lit(GRAM)
-    segment = (a.bitwiseAND(POST) > 0) & (b.bitwiseAND(PROBE) > 0) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("sign_a").bitwiseXOR(F.col("sign_b"))) <= 2 * edits)
-    if not percent:
-        return segment
-    length_a, length_b = F.shiftright(a, 3), F.shiftright(b, 3)
-    bound = F.greatest(F.lit(edits).cast("long"), F.least(F.lit(MOST_EDITS).cast("long"), F.floor(F.least(length_a, length_b).cast("long") * percent / 100)))
-    place_a, place_b = F.shiftrightunsigned("sign_a", 48), F.shiftrightunsigned("sign_b", 48)
-    apart = F.abs(place_a - place_b)
-    places = (place_a == ANYWHERE) | (place_b == ANYWHERE) | (apart <= bound) | (apart >= ANYWHERE - bound)
-    # lane by lane of four bits: the difference modulo 16, the smaller way round
-    tops, rest, low = 0x888888888888, 0x777777777777, 0x0F0F0F0F0F0F
-    lanes = f"((((sign_a & {tops | rest}L) | {tops}L) - (sign_b & {rest}L)) ^ (~(sign_a ^ sign_b) & {tops}L))"
-    size = f"({lanes} ^ (((({lanes}) & {tops}L) div 8) * 15))"
-    moved = f"(({size} & {low}L) + (({size} div 16) & {low}L)) % 255 + bit_count({lanes} & {tops}L)"
-    grams = (a.bitwiseAND(gram) > 0) & (b.bitwiseAND(gram) > 0) & (F.col("a") < F.col("b")) & (F.abs(length_a - length_b) <= bound) & places & (F.expr(moved) <= 2 * bound)
-    return segment & (a.bitwiseAND(gram) == 0) & (b.bitwiseAND(gram) == 0) | grams
-
-
-def near_lines(docs: DataFrame, edits: int, least: int, percent: int = 0) -> DataFrame:
-    """(a, b): hashes of the distinct lines that are within the edits of each other."""
-    keyed = docs.select("doc_id", "text").mapInArrow(_keys(edits, least, percent), "key long, h1 long, sign long, kind int")
-    # the kinds are only known past the aggregate, so both sides share one exchange
-    once = keyed.repartition("key").groupBy("key", "h1").agg(F.max("sign").alias("sign"), F.bit_or("kind").alias("kinds"))
-    posts = once.filter(F.col("kinds").bitwiseAND(POST | GRAM) > 0).select("key", F.col("h1").alias("a"), F.col("sign").alias("sign_a"), F.col("kinds").alias("kinds_a"))
-    probes = once.filter(F.col("kinds").bitwiseAND(PROBE | GRAM) > 0).select("key", F.col("h1").alias("b"), F.col("sign").alias("sign_b"), F.col("kinds").alias("kinds_b"))
-    met = posts.join(probes, "key").filter(_may_be_near(edits, percent))
-    pairs = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = docs.sparkSession.sparkContext.broadcast(candidate_filter(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()))
-    texts = checkpointed(docs.select("doc_id", "text").mapInArrow(_texts(least, wanted), "h1 long, line binary").groupBy("h1").agg(F.max("line").alias("line")))
-    both = pairs.join(texts.select(F.col("h1").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("h1").alias("b"), F.col("line").alias("line_b")), "b")
-    return checkpointed(both.select("a", "b", "line_a", "line_b").mapInArrow(_check(edits, percent), "a long, b long"))
+def near_lines(docs: DataFrame, scratch: Scratch, edits: int, least: int, percent: int = 0, part: int = PART, hot_lines: int = HOT_LINES) -> DataFrame:
+    """The first place of each distinct line that is within its bound of one with an earlier first place."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most_lines = total // max(1, least)
+    hot = hot_keys(docs, edits, least, percent, most_lines, hot_lines)
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parallel, min(1 << 20, total // BUCKET_BYTES))
+    blocks = docs.mapInArrow(_blocks(edits, least, percent, buckets, hot, salts=max(16, most_lines // hot_lines)), BLOCK_SCHEMA)
+    found = blocks.repartition(max(parallel, buckets // 4), "bucket").groupBy("bucket").applyInArrow(_sets(part), SET_SCHEMA)
+    sets = scratch.keep(found, "line_sets")
+    wanted = spark.sparkContext.broadcast(candidate_filter(sets.select(F.explode("ids").alias("id"))))
+    lines = docs.mapInArrow(_texts(least, wanted), f"id long, {PLACE}, text binary").groupBy("id", "text").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("place"))
+    zero = F.lit(0).cast("long")
+    whole = sets.filter("not cut").dropDuplicates(["unit"]).select("unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
+    parts = sets.filter("cut")
+    one, two = parts.select("unit", F.col("part").alias("a"), F.col("ids").alias("ids_a")), parts.select("unit", F.col("part").alias("b"), F.col("ids").alias("ids_b"))
+    sided = lambda ids, side: F.transform(ids, lambda x: F.struct(F.lit(side).alias("side"), x.alias("id")))
+    members = F.when(F.col("a") == F.col("b"), sided("ids_a", 0)).otherwise(F.concat(sided("ids_a", 0), sided("ids_b", 1)))
+    pairs = one.join(two, "unit").filter("a <= b").select("unit", "a", "b", F.explode(members).alias("m")).select("unit", "a", "b", "m.side", "m.id")
+    units = whole.unionByName(pairs).join(lines, "id").select("unit", "a", "b", "side", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
+    late = units.repartition("unit", "a", "b").sortWithinPartitions("unit", "a", "b").mapInArrow(_walk(edits, percent), PLACE)
+    near = checkpointed(late.distinct())
+    wanted.unpersist()
+    scratch.drop("line_sets")
+    return near
 
 
 def repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None, percent: int = 0) -> DataFrame:
-    """doc_id, line, near: every line that repeats; ``near`` where no equal line comes first."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    places = checkpointed(docs.mapInArrow(_places(least_bytes if least_equal is None else least_equal), "doc_id long, line int, h1 long, h2 long"))
-    firsts = checkpointed(places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first")))
-    links = near_lines(docs, edits, least_bytes, percent)
-    by_hash = firsts.groupBy("h1").agg(F.min("first").alias("first"))
-    placed = links.join(by_hash.select(F.col("h1").alias("a"), F.col("first").alias("first_a")), "a").join(by_hash.select(F.col("h1").alias("b"), F.col("first").alias("first_b")), "b")
-    late = placed.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("h1")).distinct().withColumn("late", F.lit(True))
-    known = firsts.join(late, "h1", "left")
-    found = places.join(known, ["h1", "h2"]).select("doc_id", "line", (F.struct("doc_id", "line") == F.col("first")).alias("is_first"), F.coalesce("late", F.lit(False)).alias("late"))
-    return found.filter("late or not is_first").select("doc_id", "line", F.col("is_first").alias("near"))
+    """doc_id, row, line, near: every line that repeats, by its row's id and hash; ``near`` where no equal line comes first."""
+    docs = keyed_rows(docs).filter("doc_id is not null and text is not null")
+    with Scratch(docs.sparkSession) as scratch:
+        places = scratch.keep(docs.mapInArrow(_places(least_bytes if least_equal is None else least_equal), f"{PLACE}, h1 long, h2 long, again boolean"), "line_places")
+        firsts = places.filter("not again")
+        first = firsts.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("first"))
+        more = firsts.join(first, ["h1", "h2"]).filter(F.struct(*PLACE_COLUMNS) != F.col("first"))
+        equal = checkpointed(places.filter("again").select(*PLACE_COLUMNS).unionByName(more.select(*PLACE_COLUMNS)).groupBy("doc_id", "row").agg(F.collect_set("line").alias("equal")))
+        scratch.drop("line_places")
+        near = near_lines(docs, scratch, edits, least_bytes, percent).groupBy("doc_id", "row").agg(F.collect_set("line").alias("near"))
+        return checkpointed(equal.join(near, ["doc_id", "row"], "full"))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text: ``row`` tells texts with one id apart."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def decisions(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None, percent: int = 0) -> DataFrame:
     """doc_id, n_lines, n_dropped, n_near, dropped (line numbers from 0) of every row of ``docs``."""
-    repeats = repeated_lines(docs, edits, least_bytes, least_equal, percent).distinct()
-    by_doc = repeats.groupBy("doc_id").agg(F.count("*").alias("n_dropped"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list("line")).alias("dropped"))
-    text = F.col("text").cast("string")
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
-    zero = F.lit(0).cast("long")
-    return lines.join(by_doc, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_dropped", zero).alias("n_dropped"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    none = F.array().cast("array<int>")
+    repeats = repeated_lines(docs, edits, least_bytes, least_equal, percent).select("doc_id", "row", F.coalesce("equal", none).alias("equal"), F.coalesce("near", none).alias("near"))
+    repeats = repeats.select("doc_id", "row", F.array_except("near", "equal").alias("near"), F.array_sort(F.array_union("equal", "near")).alias("dropped"))
+    size = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    lines = keyed_rows(docs).select("doc_id", "row", F.coalesce(size, F.lit(0)).cast("long").alias("n_lines"))
+    count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return lines.join(repeats, ["doc_id", "row"], "left").select("doc_id", "n_lines", count(F.coalesce("dropped", none)).alias("n_dropped"), count(F.coalesce("near", none)).alias("n_near"), F.coalesce("dropped", none).alias("dropped"))
 
 
 def remove_repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least_equal: int | None = None, percent: int = 0) -> DataFrame:
     """The columns of ``docs`` with repeated lines cut out of ``text``; documents that lose all their text go."""
-    by_doc = repeated_lines(docs, edits, least_bytes, least_equal, percent).distinct().groupBy("doc_id").agg(F.collect_list("line").alias("__dropped"))
+    repeats = repeated_lines(docs, edits, least_bytes, least_equal, percent)
+    none = F.array().cast("array<int>")
+    gone = repeats.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.array_union(F.coalesce("equal", none), F.coalesce("near", none)).alias("__dropped"))
     schema = T.StructType(docs.schema.fields)
     place = docs.columns.index("text")
 
@@ -285,11 +412,12 @@ def remove_repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20
             texts, keep = [], []
             for text, dropped in zip(batch.column(place).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 if dropped:
-                    gone = set(dropped)
-                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+                    out = set(dropped)
+                    text = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in out)
                 keep.append(not dropped or bool(text.strip()))
                 texts.append(text)
             columns = [pa.array(texts, c.type) if k == place else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in columns], names=batch.schema.names[:-1])
 
-    return docs.join(by_doc, "doc_id", "left").select(*[docs[c] for c in docs.columns], "__dropped").mapInArrow(run, schema)
+    same = (docs["doc_id"].cast("long") == F.col("__doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__row"))
+    return docs.join(gone, same, "left").select(*[docs[c] for c in docs.columns], "__dropped").mapInArrow(run, schema)

@@ -11,10 +11,11 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from obliqua.llm import queries
 from obliqua.llm.components import components
-from obliqua.llm.edit_distance import _plain, within
+from obliqua.llm.edit_distance import _plain, _strides, within
 from obliqua.llm.jaccard_join import keep_one, prefix_length, similar_classes
 from obliqua.llm.lattice_dedup import nearest_e8, near_duplicates
-from obliqua.llm.line_dedup import decisions, remove_repeated_lines
+from obliqua.llm.common import Scratch
+from obliqua.llm.line_dedup import decisions, keyed_rows, near_lines, remove_repeated_lines
 from obliqua.llm.shingles import text_shingles
 
 from .conftest import words
@@ -108,7 +109,8 @@ def test_components_of_a_long_path(spark):
 @given(st.lists(st.tuples(st.binary(max_size=14).map(lambda b: bytes(97 + x % 3 for x in b)), st.binary(max_size=14).map(lambda b: bytes(97 + x % 3 for x in b))), max_size=30), st.integers(0, 5))
 def test_bounded_edit_distance(pairs, bound):
     left, right = [p[0] for p in pairs], [p[1] for p in pairs]
-    assert within(left, right, bound).tolist() == [_plain(a, b) <= bound for a, b in pairs]
+    wanted = [_plain(a, b) <= bound for a, b in pairs]
+    assert within(left, right, bound).tolist() == [_strides(a, b, bound) for a, b in pairs] == wanted
 
 
 def line_brute(texts, edits, least):
@@ -184,6 +186,49 @@ def test_near_lines_with_changed_words_equal_brute_force(spark, tmp_path):
     assert got == wanted and len(wanted - few) > 10
 
 
+@pytest.mark.parametrize("part, hot_lines", [(2048, 1 << 40), (7, 1 << 40), (5, 40)])
+def test_near_lines_by_every_route(spark, frame, part, hot_lines):
+    """Sets as they are, sets cut into parts, and keys that are dealt to several buckets find the same lines."""
+    r = random.Random(3)
+    start, end = words(1, 4), words(2, 3)
+    texts = [start + words(100 + r.randrange(30), 3) + r.choice(["", "x", "yz"]) + end for _ in range(150)]  # all share their ends
+    docs = keyed_rows(frame(texts))
+    with Scratch(spark) as scratch:
+        got = {x["doc_id"] for x in near_lines(docs, scratch, 2, 12, 0, part, hot_lines).collect()}
+    first = {t: texts.index(t) for t in texts}
+    wanted = {first[b] for b in first if any(first[a] < first[b] and a != b and _plain(a.encode(), b.encode()) <= 2 for a in first)}
+    assert got == wanted and len(wanted) > 20
+
+
+def test_a_family_of_near_lines_takes_a_row_a_set(spark, frame):
+    r, base = random.Random(4), words(5, 40)
+    texts = [base]
+    for i in range(1999):
+        at = r.randrange(len(base))
+        texts.append(base[:at] + f"{i}" + base[at + 4 :])
+    got = decisions(frame(texts), 2, 20, 1, 5).filter("n_near > 0").count()
+    assert got == 1999
+
+
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    line = "a line that many documents hold"
+    rows = [(1, line), (2, f"{line}\nrest"), (2, "only text of the second row\nunique"), (2, f"{line}\nrest"), (3, f"{line}s\nown")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in remove_repeated_lines(docs, least_equal=1).collect())
+    assert got == [(1, line), (2, "only text of the second row\nunique"), (2, "rest"), (2, "rest"), (3, "own")]
+
+
+def test_one_long_line_does_not_widen_the_others():
+    import tracemalloc
+
+    short, long = [(words(i, 8).encode(), words(i, 8).replace("a", "b", 1).encode()) for i in range(2000)], words(7, 220_000).encode()
+    pairs = [*short, (b"x" + long, long + b"y")]
+    tracemalloc.start()
+    good = within([a for a, _ in pairs], [b for _, b in pairs], 2)
+    assert good.all() and tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 def test_nearest_lattice_points():
     r = np.random.default_rng(0)
     y = r.standard_normal((200, 8)) * 2
