@@ -70,66 +70,82 @@ def _strides(a: bytes, b: bytes, bound: int) -> bool:
     return False
 
 
-def within(left: list[bytes], right: list[bytes], bound: int, most_cells: int = 1 << 20) -> np.ndarray:
-    """Whether each pair of byte strings is at most ``bound`` (0 to 15) edits apart.
+def within(left: list[bytes], right: list[bytes], bounds, most_cells: int = 1 << 21) -> np.ndarray:
+    """Whether each pair of byte strings is at most so many edits (0 to 15, one number or one a pair) apart.
 
     What a pair shares at its start and end is left out first; pairs are then taken together in order of
     length, as many as stay under ``most_cells`` when padded to the longest.
     """
+    bounds = np.broadcast_to(np.asarray(bounds, np.int64), len(left))
     good = np.zeros(len(left), bool)
-    near = [i for i in range(len(left)) if abs(len(left[i]) - len(right[i])) <= bound]
-    cut = {i: _differing(left[i], right[i]) for i in near}
-    todo = []
-    for i in near:
-        least = min(map(len, cut[i]))
-        if least == 0:
+    cut, todo = {}, []
+    for i, bound in enumerate(bounds.tolist()):
+        if abs(len(left[i]) - len(right[i])) > bound:
+            continue
+        a, b = _differing(left[i], right[i])
+        if len(a) < len(b):
+            a, b = b, a
+        if not b:
             good[i] = True
-        elif least <= bound:
-            good[i] = _plain(*cut[i]) <= bound
-        elif least > LONG:
-            good[i] = _strides(*cut[i], bound)
+        elif len(b) <= bound:
+            good[i] = _plain(a, b) <= bound
+        elif len(b) > LONG:
+            good[i] = _strides(a, b, bound)
         else:
+            cut[i] = a, b
             todo.append(i)
-    todo.sort(key=lambda i: len(cut[i][1]))
-    k = 0
-    while k < len(todo):
-        size = 1
-        while k + size < len(todo) and (size + 1) * (len(cut[todo[k + size]][1]) + 2 * bound) <= most_cells:
-            size += 1
-        part = todo[k : k + size]
-        good[part] = _banded([cut[i][0] for i in part], [cut[i][1] for i in part], bound) <= bound
-        k += size
+    order = np.array(todo, np.int64)
+    for low, high in ((0, 3), (4, 7), (8, 15)):
+        some = order[(bounds[order] >= low) & (bounds[order] <= high)].tolist()
+        some.sort(key=lambda i: len(cut[i][1]))
+        k = 0
+        while k < len(some):
+            size = 1
+            while k + size < len(some) and (size + 1) * (len(cut[some[k + size]][1]) + 2 * high) <= most_cells:
+                size += 1
+            part = some[k : k + size][::-1]
+            good[part] = _banded([cut[i][0] for i in part], [cut[i][1] for i in part], bounds[part], high)
+            k += size
     return good
 
 
-def _banded(left: list[bytes], right: list[bytes], bound: int) -> np.ndarray:
-    """Distances, exact where they are at most ``bound``; each pair's lengths differ by no more and exceed it."""
+def _banded(left: list[bytes], right: list[bytes], bounds: np.ndarray, bound: int) -> np.ndarray:
+    """Whether each pair is within its bound, ``bound`` at most; ``left`` are no shorter, ``right`` fall in length."""
     width = 2 * bound + 1
     kind = np.uint8 if width <= 7 else np.uint16 if width <= 15 else np.uint32
     window = 8 * np.dtype(kind).itemsize
     full, one = kind((1 << width) - 1), kind(1)
     m, n = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    columns = int(n.max())
+    columns = int(n[0])
     # row r of column j is character j - bound + r of the left text, so it is padded in front
-    a = np.full((len(left), columns + bound + window), -1, np.int16)
+    a = np.full((len(left), max(columns + window, int(m.max())) + bound), -1, np.int16)
     body = _matrix(left, int(m.max()), -1)
     a[:, bound : bound + body.shape[1]] = body
     b = _matrix(right, columns, -2)
     # before the first column the rows from 1 on rise by one each
     up = np.full(len(left), int(full) >> bound << bound & int(full), kind)
     down = np.zeros(len(left), kind)
-    score = np.full(len(left), bound, np.int64)
+    # the diagonal that ends at the last cell: its values never fall, and rise by one where its bit is not set
+    row, score = (m - n + bound).astype(kind), m - n
+    here, out = np.arange(len(left)), np.zeros(len(left), np.int64)
     for j in range(columns):
-        same = np.packbits(a[:, j : j + window] == b[:, j, None], axis=1, bitorder="little").view(kind).ravel() & full
+        if j % 16 == 0 and j:
+            keep = score <= bounds[here]
+            if not keep.all():
+                out[here[~keep]] = bound + 1
+                a, b, up, down, row, score, n, here = (x[keep] for x in (a, b, up, down, row, score, n, here))
+        active = int(np.searchsorted(-n, -j, "left"))  # the others have ended
+        if active < len(here):
+            out[here[active:]] = score[active:]
+            a, b, up, down, row, score, n, here = (x[:active] for x in (a, b, up, down, row, score, n, here))
+        if not active:
+            break
+        same = np.packbits(a[:, j : j + window] == b[:, j, None], axis=1, bitorder="little").view(kind).ravel()
         diagonal = ((((same & up) + up) ^ up) | same | down) & full
-        rise = (down | ~(diagonal | up)) & full
-        fall = diagonal & up
-        left_to_go = m - bound - (j + 1)
-        edge = np.where(left_to_go >= 0, 1 - (diagonal >> kind(2 * bound) & one).astype(np.int64), 0)
-        row = np.clip(2 * bound + left_to_go, 0, 2 * bound).astype(kind)
-        along = (rise >> row & one).astype(np.int64) - (fall >> row & one).astype(np.int64)
-        score += np.where(j < n, np.where(left_to_go >= 0, edge, along), 0)
+        rise = down | ~(diagonal | up)
+        score = score + (~diagonal >> row & one)
         moved = diagonal >> one
-        up = (fall | ~(moved | rise)) & full
+        up = ((diagonal & up) | ~(moved | rise)) & full
         down = moved & rise
-    return score
+    out[here] = score
+    return out <= bounds

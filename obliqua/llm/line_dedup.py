@@ -11,7 +11,7 @@ Equal lines: a line that its slice of texts has met before repeats for certain;
 first places of each slice are shuffled, as hashes.  Near lines: each distinct line
 of a slice is indexed by the keys of its segments (``line_segments``).  Keys travel in packed
 blocks to the bucket of their range and are sorted there; lines that share one form a set.  Equal sets are joined into one, the
-lines of each set are fetched (behind a filter of bounded size), and a set is walked in order of first places: each line is
+lines of each set are fetched (behind a filter of bounded size), sets with the same least line number go to one task, and a set is walked in order of first places: each line is
 compared, by a banded bit-parallel edit distance, with those before it until one is near.  So a line has one row a
 set, whatever the number of its near lines.  A set beyond ``PART`` lines is cut into parts, and pairs of parts are compared
 as they are; a key that a sample of the lines shows to be in very many goes through several buckets.  Both routes compare everything.
@@ -289,33 +289,47 @@ def _kinds(texts: list[bytes]) -> np.ndarray:
     return np.bincount(owner + (np.frombuffer(b"".join(texts), np.uint8) & 31), minlength=32 * len(texts)).reshape(-1, 32).astype(np.int32)
 
 
-def _walk(edits: int, percent: int, most_bytes: int = 4 << 20):
-    """The first places of the lines that are near one before them in their set; rows come sorted by (unit, a, b)."""
+def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
+    """The first places of the lines that are near one before them in their set; rows come sorted by (lead, unit, a, b).
+
+    A line that is known to be near one before it is not compared again, nor is a pair; sets with one lead, which share lines, come together.
+    """
 
     def work(rows: pa.Table) -> pa.RecordBatch | None:
-        unit, a, b, side, doc, row, line = (rows.column(k).to_numpy() for k in range(7))
-        order = np.lexsort((line, row, doc, b, a, unit))
-        unit, a, b, side, doc, row, line = (x[order] for x in (unit, a, b, side, doc, row, line))
-        texts = rows.column(7).take(pa.array(order)).to_pylist()
+        unit, a, b, side, doc, row, line = (rows.column(k).to_numpy() for k in range(1, 8))
+        order = np.lexsort((line, row, doc))
+        new = np.ones(len(order), bool)
+        new[1:] = (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1]) | (line[order][1:] != line[order][:-1])
+        texts = rows.column(8).take(pa.array(order[new])).to_pylist()
+        doc, row, line = doc[order[new]], row[order[new]], line[order[new]]
+        rank = np.empty(len(order), np.int64)  # of the distinct lines, in order of their places
+        rank[order] = np.cumsum(new) - 1
+        order = np.lexsort((rank, b, a, unit))
+        unit, a, b, side, rank = (x[order] for x in (unit, a, b, side, rank))
         first = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         start = np.repeat(first, np.diff(np.append(first, len(unit))))
-        size = np.array([len(t) for t in texts], np.int64)
-        kinds, across = _kinds(texts), a != b
-        late, waiting, step = np.zeros(len(unit), bool), np.flatnonzero(np.arange(len(unit)) > start), 0
+        size, kinds, across = np.array([len(t) for t in texts], np.int64), _kinds(texts), a != b
+        late, tested = np.zeros(len(texts), bool), np.zeros(0, np.int64)
+        waiting, step, ahead = np.flatnonzero(np.arange(len(unit)) > start), 0, 1
         while len(waiting):
-            other = start[waiting] + step
-            bound = allowed(np.minimum(size[other], size[waiting]), edits, percent)
-            like = (np.abs(size[other] - size[waiting]) <= bound) & (~across[waiting] | (side[other] != side[waiting]))
-            x, y, bound = waiting[like], other[like], bound[like]
+            x, y = np.repeat(waiting, ahead), (start[waiting, None] + step + np.arange(ahead)).ravel()
+            some = y < x
+            x, y = x[some], y[some]
+            some = (~across[x] | (side[x] != side[y])) & (rank[x] != rank[y])
+            pair = np.setdiff1d(rank[x[some]] << 32 | rank[y[some]], tested)
+            tested = np.union1d(tested, pair)
+            x, y = pair >> 32, pair & 0xFFFFFFFF
+            bound = allowed(np.minimum(size[x], size[y]), edits, percent)
+            like = np.abs(size[x] - size[y]) <= bound
+            x, y, bound = x[like], y[like], bound[like]
             for k in range(0, len(x), 1 << 16):
-                p, q, k_bound = x[k : k + (1 << 16)], y[k : k + (1 << 16)], bound[k : k + (1 << 16)]
-                few = np.abs(kinds[p] - kinds[q]).sum(1) <= 2 * k_bound
-                p, q, k_bound = p[few], q[few], k_bound[few]
-                for one in np.unique(k_bound).tolist():
-                    some = np.flatnonzero(k_bound == one)
-                    late[p[some]] = within([texts[i] for i in p[some]], [texts[i] for i in q[some]], one)
-            step += 1
-            waiting = waiting[~late[waiting] & (start[waiting] + step < waiting)]
+                p, q, most = x[k : k + (1 << 16)], y[k : k + (1 << 16)], bound[k : k + (1 << 16)]
+                few = np.abs(kinds[p] - kinds[q]).sum(1) <= 2 * most
+                p, q, most = p[few], q[few], most[few]
+                late[p[within([texts[i] for i in p], [texts[i] for i in q], most)]] = True
+            step += ahead
+            ahead = 1 if step < 3 else min(2 * ahead, max(1, (1 << 20) // len(waiting)))
+            waiting = waiting[~late[rank[waiting]] & (start[waiting] + step < waiting)]
         return pa.RecordBatch.from_arrays([pa.array(doc[late]), pa.array(row[late]), pa.array(line[late], pa.int32())], names=list(PLACE_COLUMNS)) if late.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,8 +341,8 @@ def _walk(edits: int, percent: int, most_bytes: int = 4 << 20):
             if size < most_bytes:
                 continue
             now = pa.Table.from_batches(held).combine_chunks()
-            group = [now.column(k).to_numpy() for k in range(3)]
-            last = np.flatnonzero((group[0] != group[0][-1]) | (group[1] != group[1][-1]) | (group[2] != group[2][-1]))
+            group = [now.column(k).to_numpy() for k in range(4)]
+            last = np.flatnonzero(np.any([g != g[-1] for g in group], axis=0))
             whole = int(last[-1]) + 1 if len(last) else 0  # the last set may go on in the next batch
             if whole and (out := work(now.slice(0, whole))) is not None:
                 yield out
@@ -354,14 +368,14 @@ def near_lines(docs: DataFrame, scratch: Scratch, edits: int, least: int, percen
     wanted = spark.sparkContext.broadcast(candidate_filter(sets.select(F.explode("ids").alias("id"))))
     lines = docs.mapInArrow(_texts(least, wanted), f"id long, {PLACE}, text binary").groupBy("id", "text").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("place"))
     zero = F.lit(0).cast("long")
-    whole = sets.filter("not cut").dropDuplicates(["unit"]).select("unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
+    whole = sets.filter("not cut").dropDuplicates(["unit"]).select(F.get("ids", F.lit(0)).alias("lead"), "unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
     parts = sets.filter("cut")
     one, two = parts.select("unit", F.col("part").alias("a"), F.col("ids").alias("ids_a")), parts.select("unit", F.col("part").alias("b"), F.col("ids").alias("ids_b"))
     sided = lambda ids, side: F.transform(ids, lambda x: F.struct(F.lit(side).alias("side"), x.alias("id")))
     members = F.when(F.col("a") == F.col("b"), sided("ids_a", 0)).otherwise(F.concat(sided("ids_a", 0), sided("ids_b", 1)))
-    pairs = one.join(two, "unit").filter("a <= b").select("unit", "a", "b", F.explode(members).alias("m")).select("unit", "a", "b", "m.side", "m.id")
-    units = whole.unionByName(pairs).join(lines, "id").select("unit", "a", "b", "side", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
-    late = units.repartition("unit", "a", "b").sortWithinPartitions("unit", "a", "b").mapInArrow(_walk(edits, percent), PLACE)
+    pairs = one.join(two, "unit").filter("a <= b").select("unit", "a", "b", F.explode(members).alias("m")).select(F.xxhash64("unit", "a", "b").alias("lead"), "unit", "a", "b", "m.side", "m.id")
+    units = whole.unionByName(pairs).join(lines, "id").select("lead", "unit", "a", "b", "side", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
+    late = units.repartition("lead").sortWithinPartitions("lead", "unit", "a", "b").mapInArrow(_walk(edits, percent), PLACE)
     near = checkpointed(late.distinct())
     wanted.unpersist()
     scratch.drop("line_sets")
