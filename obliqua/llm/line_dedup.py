@@ -11,7 +11,7 @@ Equal lines: a line that its slice of texts has met before repeats for certain;
 first places of each slice are shuffled, as hashes.  Near lines: each distinct line
 of a slice is indexed by the keys of its segments (``line_segments``).  Keys travel in packed
 blocks to the bucket of their range and are sorted there; lines that share one form a set.  Equal sets are joined into one, the
-lines of each set are fetched (behind a filter of bounded size), sets with the same least line number go to one task, and a set is walked in order of first places: each line is
+lines of each set are fetched (behind a filter of bounded size), small sets with the same least line number go to one task, and a set is walked in order of first places: each line is
 compared, by a banded bit-parallel edit distance, with those before it until one is near.  So a line has one row a
 set, whatever the number of its near lines.  A set beyond ``PART`` lines is cut into parts, and pairs of parts are compared
 as they are; a key that a sample of the lines shows to be in very many goes through several buckets.  Both routes compare everything.
@@ -41,6 +41,7 @@ from .shingles import mix
 
 SLICE = 1 << 20
 PART = 2048  # lines of a set, or of a part of one, that are walked together
+SMALL = 64  # sets of so many lines go to the task of their least line, larger ones each to its own
 FLUSH = 1 << 20  # keys that a task sorts before it sends them
 BUCKET_BYTES = 1 << 22  # bytes of text to a bucket, some 400,000 keys
 HOT_LINES = 4_000_000  # a key in more lines than this is dealt to several buckets
@@ -354,27 +355,29 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
     return run
 
 
-def near_lines(docs: DataFrame, scratch: Scratch, edits: int, least: int, percent: int = 0, part: int = PART, hot_lines: int = HOT_LINES) -> DataFrame:
-    """The first place of each distinct line that is within its bound of one with an earlier first place."""
+def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least: int, percent: int = 0, part: int = PART, hot_lines: int = HOT_LINES) -> DataFrame:
+    """The first place of each distinct line that is within its bound of one with an earlier first place.
+
+    There are at most ``lines`` lines.
+    """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    most_lines = total // max(1, least)
-    hot = hot_keys(docs, edits, least, percent, most_lines, hot_lines)
+    hot = hot_keys(docs, edits, least, percent, lines, hot_lines)
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parallel, min(1 << 20, total // BUCKET_BYTES))
-    blocks = docs.mapInArrow(_blocks(edits, least, percent, buckets, hot, salts=max(16, most_lines // hot_lines)), BLOCK_SCHEMA)
+    blocks = docs.mapInArrow(_blocks(edits, least, percent, buckets, hot, salts=max(16, lines // hot_lines)), BLOCK_SCHEMA)
     found = blocks.repartition(max(parallel, buckets // 4), "bucket").groupBy("bucket").applyInArrow(_sets(part), SET_SCHEMA)
     sets = scratch.keep(found, "line_sets")
     wanted = spark.sparkContext.broadcast(candidate_filter(sets.select(F.explode("ids").alias("id"))))
-    lines = docs.mapInArrow(_texts(least, wanted), f"id long, {PLACE}, text binary").groupBy("id", "text").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("place"))
+    texts = docs.mapInArrow(_texts(least, wanted), f"id long, {PLACE}, text binary").groupBy("id", "text").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("place"))
     zero = F.lit(0).cast("long")
-    whole = sets.filter("not cut").dropDuplicates(["unit"]).select(F.get("ids", F.lit(0)).alias("lead"), "unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
+    whole = sets.filter("not cut").dropDuplicates(["unit"]).select(F.when(F.size("ids") > SMALL, F.col("unit")).otherwise(F.get("ids", F.lit(0))).alias("lead"), "unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
     parts = sets.filter("cut")
     one, two = parts.select("unit", F.col("part").alias("a"), F.col("ids").alias("ids_a")), parts.select("unit", F.col("part").alias("b"), F.col("ids").alias("ids_b"))
     sided = lambda ids, side: F.transform(ids, lambda x: F.struct(F.lit(side).alias("side"), x.alias("id")))
     members = F.when(F.col("a") == F.col("b"), sided("ids_a", 0)).otherwise(F.concat(sided("ids_a", 0), sided("ids_b", 1)))
     pairs = one.join(two, "unit").filter("a <= b").select("unit", "a", "b", F.explode(members).alias("m")).select(F.xxhash64("unit", "a", "b").alias("lead"), "unit", "a", "b", "m.side", "m.id")
-    units = whole.unionByName(pairs).join(lines, "id").select("lead", "unit", "a", "b", "side", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
+    units = whole.unionByName(pairs).join(texts, "id").select("lead", "unit", "a", "b", "side", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
     late = units.repartition("lead").sortWithinPartitions("lead", "unit", "a", "b").mapInArrow(_walk(edits, percent), PLACE)
     near = checkpointed(late.distinct())
     wanted.unpersist()
@@ -388,11 +391,12 @@ def repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least
     with Scratch(docs.sparkSession) as scratch:
         places = scratch.keep(docs.mapInArrow(_places(least_bytes if least_equal is None else least_equal), f"{PLACE}, h1 long, h2 long, again boolean"), "line_places")
         firsts = places.filter("not again")
+        number = places.count()
         first = firsts.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("first"))
         more = firsts.join(first, ["h1", "h2"]).filter(F.struct(*PLACE_COLUMNS) != F.col("first"))
         equal = checkpointed(places.filter("again").select(*PLACE_COLUMNS).unionByName(more.select(*PLACE_COLUMNS)).groupBy("doc_id", "row").agg(F.collect_set("line").alias("equal")))
         scratch.drop("line_places")
-        near = near_lines(docs, scratch, edits, least_bytes, percent).groupBy("doc_id", "row").agg(F.collect_set("line").alias("near"))
+        near = near_lines(docs, scratch, number, edits, least_bytes, percent).groupBy("doc_id", "row").agg(F.collect_set("line").alias("near"))
         return checkpointed(equal.join(near, ["doc_id", "row"], "full"))
 
 

@@ -194,7 +194,7 @@ def test_near_lines_by_every_route(spark, frame, part, hot_lines):
     texts = [start + words(100 + r.randrange(30), 3) + r.choice(["", "x", "yz"]) + end for _ in range(150)]  # all share their ends
     docs = keyed_rows(frame(texts))
     with Scratch(spark) as scratch:
-        got = {x["doc_id"] for x in near_lines(docs, scratch, 2, 12, 0, part, hot_lines).collect()}
+        got = {x["doc_id"] for x in near_lines(docs, scratch, 150, 2, 12, 0, part, hot_lines).collect()}
     first = {t: texts.index(t) for t in texts}
     wanted = {first[b] for b in first if any(first[a] < first[b] and a != b and _plain(a.encode(), b.encode()) <= 2 for a in first)}
     assert got == wanted and len(wanted) > 20
