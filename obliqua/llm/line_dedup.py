@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, checkpointed, string_bytes, text_slices
 from .edit_distance import within
-from .line_segments import allowed, segment_keys
+from .line_segments import POST, allowed, picked, segment_keys
 from .shingles import mix
 
 SLICE = 1 << 20
@@ -102,22 +102,22 @@ def _places(least: int):
     return run
 
 
-def _pack(keys: np.ndarray, ids: np.ndarray) -> bytes:
-    """Sorted keys, without their last 16 bits, as differences; and the ids: each as planes of bytes."""
+def _pack(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, checks: np.ndarray) -> bytes:
+    """Sorted keys, without their last 16 bits, as differences; and the ids: each as planes of bytes; then counts and checks."""
     keys = keys >> np.uint64(16)
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     planes = np.concatenate([steps.T, ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T])
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + counts.tobytes() + checks.tobytes())
 
 
-def _unpack(block: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8).reshape(12, n)
-    out = []
+def _unpack(block: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    planes, out = data[: 12 * n].reshape(12, n), []
     for part in (planes[:6], planes[6:]):
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :6] = part.T
         out.append(wide.view("<u8").ravel())
-    return np.cumsum(out[0], dtype=np.uint64), out[1]
+    return np.cumsum(out[0], dtype=np.uint64), out[1], data[12 * n : 13 * n], data[13 * n :]
 
 
 BLOCK_SCHEMA = "bucket long, hot long, salt long, n int, block binary"
@@ -127,28 +127,28 @@ BLOCK_NAMES = ["bucket", "hot", "salt", "n", "block"]
 def _blocks(edits: int, least: int, percent: int, buckets: int, hot: np.ndarray, salts: int, flush: int = FLUSH):
     """The keys of each line in packed blocks, one for each bucket; hot keys have buckets of their own, ``salts`` each."""
 
-    def packed(keys: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
-        order = np.argsort(keys)
-        keys, ids = keys[order], ids[order]
+    def packed(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, checks: np.ndarray) -> Iterator[tuple]:
+        bucket, hot_key, salt = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64), None, 0
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-            is_hot = hot[at] == keys
-            number = at[is_hot] * salts + (mix(ids[is_hot]) % np.uint64(salts)).astype(np.int64)
-            for bucket in np.unique(number).tolist():
-                some = ids[is_hot][number == bucket]
-                yield buckets + bucket, int(hot[bucket // salts].astype(np.int64)), bucket % salts, len(some), _pack(np.zeros(len(some), np.uint64), some)
-            keys, ids = keys[~is_hot], ids[~is_hot]
-        bucket = ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield int(bucket[a]), None, 0, b - a, _pack(keys[a:b], ids[a:b])
+            at = np.minimum(np.searchsorted(hot, keys >> np.uint64(16)), len(hot) - 1)
+            bucket = np.where(hot[at] == keys >> np.uint64(16), buckets + at * salts + (mix(ids) % np.uint64(salts)).astype(np.int64), bucket)
+        order = np.lexsort((keys, bucket)) if len(hot) else np.argsort(keys)
+        checks = checks[picked(order, counts % POST)]
+        keys, ids, counts, bucket = keys[order], ids[order], counts[order], bucket[order]
+        ends = np.concatenate([[0], np.cumsum((counts % POST).astype(np.int64))])
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            number = int(bucket[a])
+            if number >= buckets:
+                hot_key, salt = int(hot[(number - buckets) // salts]), (number - buckets) % salts
+            yield number, hot_key, salt, b - a, _pack(keys[a:b], ids[a:b], counts[a:b], checks[ends[a] : ends[b]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size, seen = 0, np.zeros(0, np.uint64)
 
         def send() -> Iterator[pa.RecordBatch]:
-            rows = list(packed(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held])))
+            rows = list(packed(*(np.concatenate(x) for x in zip(*held, strict=True))))
             for a in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 64], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=BLOCK_NAMES)
 
@@ -160,8 +160,8 @@ def _blocks(edits: int, least: int, percent: int, buckets: int, hot: np.ndarray,
                 ids, one = ids[new], one[new]
             seen = np.union1d(seen, ids) if len(seen) < 1_000_000 else ids
             if len(ids):
-                keys, line = segment_keys(s.raw, s.starts[one], s.ends[one], edits, percent, least)
-                held.append((keys, ids[line]))
+                keys, line, counts, checks = segment_keys(s.raw, s.starts[one], s.ends[one], edits, percent, least)
+                held.append((keys, ids[line], counts, checks))
                 size += len(keys)
                 if size >= flush:
                     yield from send()
@@ -180,7 +180,7 @@ def _sampled_keys(edits: int, least: int, percent: int, share: float):
             s = _Slice(batch, least)
             ids, one = np.unique(s.h1.view(np.uint64) & ID, return_index=True)
             one = one[mix(ids).astype(np.float64) < share * 2.0**64]
-            keys, n = np.unique(segment_keys(s.raw, s.starts[one], s.ends[one], edits, percent, least)[0], return_counts=True)
+            keys, n = np.unique(segment_keys(s.raw, s.starts[one], s.ends[one], edits, percent, least)[0] >> np.uint64(16), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
     return run
@@ -207,37 +207,42 @@ def _sets(most: int):
     """The sets of two lines or more that share a key, of all blocks of a bucket; equal ones once."""
 
     def run(table: pa.Table) -> pa.Table:
-        salt, hot = table.column("salt")[0].as_py(), table.column("hot")[0].as_py()
-        both = [_unpack(block, n) for block, n in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), strict=True)]
-        keys, ids = np.concatenate([k for k, _ in both]), np.concatenate([i for _, i in both])
+        salt, hot = table.column("salt")[0].as_py(), table.column("hot")[0].as_py()  # the same in all rows of a bucket
+        blocks = [_unpack(block, n) for block, n in zip(table.column("block").to_pylist(), table.column("n").to_pylist(), strict=True)]
+        keys, ids, counts, checks = (np.concatenate(x) for x in zip(*blocks, strict=True))
+        order = np.argsort(keys)
         if hot is None:
-            order = np.argsort(keys)
-            keys, ids = keys[order], ids[order]
+            same = keys[order][1:] == keys[order][:-1]
             shared = np.zeros(len(keys), bool)
-            same = keys[1:] == keys[:-1]
             shared[1:] |= same
             shared[:-1] |= same
-            keys, ids = keys[shared], ids[shared]
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
+            order = order[shared]
+        keys, ids, own, sizes, checks = keys[order], ids[order], counts[order] >= POST, (counts % POST)[order].astype(np.int64), checks[picked(order, counts % POST)]
+        # from here on a key has the byte of a substring's hash as well
+        first = np.zeros(len(checks), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        keys, ids, own = np.repeat(keys, sizes) << np.uint64(8) | checks, np.repeat(ids, sizes), np.repeat(own, sizes) & first
+        order = np.lexsort((~own, ids, keys))
+        keys, ids, own = keys[order], ids[order], own[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-        keys, ids = keys[new], ids[new]
+        keys, ids, own = keys[new], ids[new], own[new]
         edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
         sizes = np.diff(edges)
+        posts = np.add.reduceat(own, edges[:-1], dtype=np.int64) if len(keys) else np.zeros(0, np.int64)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(ids))])
         names = mix(sums[edges[1:]] - sums[edges[:-1]] + sizes.astype(np.uint64)).view(np.int64)
         unit, part, cut, start, end = [], [], [], [], []
-        whole = np.flatnonzero((sizes > 1) & (sizes <= most)) if hot is None else np.zeros(0, np.int64)
+        whole = np.flatnonzero((sizes > 1) & (posts > 0) & (sizes <= most)) if hot is None else np.zeros(0, np.int64)
         whole = whole[np.unique(names[whole], return_index=True)[1]]
         unit.append(names[whole])
         part.append(np.zeros(len(whole), np.int64))
         cut.append(np.zeros(len(whole), bool))
         start.append(edges[whole])
         end.append(edges[whole + 1])
-        for g in (np.flatnonzero(sizes > most) if hot is None else range(len(sizes))):
+        for g in (np.flatnonzero((sizes > most) & (posts > 0)) if hot is None else range(len(sizes))):
             at = np.arange(edges[g], edges[g + 1], most)
-            unit.append(np.full(len(at), keys[edges[g]].astype(np.int64) if hot is None else hot, np.int64))
+            unit.append(np.full(len(at), keys[edges[g]].astype(np.int64), np.int64))
             part.append(np.arange(len(at)) + (salt << 32))
             cut.append(np.ones(len(at), bool))
             start.append(at)

@@ -8,7 +8,8 @@ than k edits: so some segment i of the shorter occurs unchanged in the longer, s
 
 A segment is indexed by the least hash of its runs of ``gram`` bytes.  That depends on the segment's bytes
 alone, so the unchanged segment gives the same key; and the longer line, whose substrings at all shifts
-are probed, has few different least hashes, as neighbouring substrings mostly share theirs.
+are probed, has few different least hashes, as neighbouring substrings mostly share theirs.  With each such key travels one
+byte of the hash of every whole substring that gives it, so that lines only meet if those agree too.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def classes(edits: int, percent: int, least: int) -> list[tuple[int, int, int, i
         if high + k + 2 > changes:
             high = changes
         segment = min(MOST_SEGMENT, low // (k + 1))
-        out.append((low, high, k, segment, segment if segment <= 12 else max(12, min(24, segment * 7 // 10))))
+        out.append((low, high, k, segment, segment if segment <= 12 else max(10, min(24, segment * 6 // 10))))
         low = high
     return out
 
@@ -61,9 +62,15 @@ def shifts(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array(rows, np.int64).T)
 
 
-def segment_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int, percent: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, line) of the lines that are given by their bytes, each key about once a line."""
-    lengths, keys, lines = ends - starts, [], []
+POST = 128
+
+
+def segment_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int, percent: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, line, number of substrings, their bytes of hash) of the lines that are given by their bytes.
+
+    Each key comes about once a line; ``POST`` is added to the number where the first of the substrings is a segment of the line.
+    """
+    lengths, keys, lines, counts, checks = ends - starts, [], [], [], []
     for number, (low, high, k, segment, gram) in enumerate(classes(edits, percent, least)):
         if not len(lengths) or low > lengths.max():
             break
@@ -81,27 +88,51 @@ def segment_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: i
             tail[cut] = base[len(some) :] - size[cut] + reach  # adds to a place in the line
             tail[~cut] = base[: len(some)][~cut]
             place = np.arange(int(held.sum())) + np.repeat(begin - base, held)
-            value = _least_hashes(raw, place, gram, segment - gram + 1)
+            value, whole = _least_hashes(raw, place, segment, gram)
             piece, move, from_end = shifts(k)
             at = np.where(from_end == 1, size[:, None] - (piece + 1) * segment + move, piece * segment + move)
             inside = (at >= 0) & (at <= (size - segment)[:, None])
-            at = np.clip(at, 0, (size - segment)[:, None]) + np.where(from_end == 1, tail[:, None], base[: len(some), None])
-            tag = (piece * 2 + from_end + 64 * number).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            key = value[at] + tag
-            inside[:, 1:] &= (key[:, 1:] != key[:, :-1]) | ~inside[:, :-1]
-            keys.append(mix(key[inside]))
-            lines.append(some[np.nonzero(inside)[0]])
-    return (np.concatenate(keys), np.concatenate(lines)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-
-def _least_hashes(raw: np.ndarray, place: np.ndarray, gram: int, count: int) -> np.ndarray:
-    """For each place of the gathered bytes the least hash of so many grams from there on."""
-    data = raw[place]
+            at += np.where(from_end == 1, tail[:, None], base[: len(some), None])
+            row, column = np.nonzero(inside)
+            at = at[inside]
+            key = value[at] + ((piece * 2 + from_end + 64 * number).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[column]
+            check = whole[at]
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])]))
+            count = np.diff(np.append(first, len(key)))
+            own = np.flatnonzero(move[column] == 0)
+            entry = np.searchsorted(first, own, "right") - 1
+            swapped = check[first[entry]]
+            check[first[entry]] = check[own]
+            check[own] = np.where(first[entry] == own, check[own], swapped)
+            count[entry] += POST
+            keys.append(mix(key[first]))
+            lines.append(some[row[first]])
+            counts.append(count.astype(np.uint8))
+            checks.append(check)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+    return np.concatenate(keys), np.concatenate(lines), np.concatenate(counts), np.concatenate(checks)
+
+
+def picked(order: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of the substrings of the entries in a given order; ``counts`` are without ``POST``."""
+    counts = counts.astype(np.int64)
+    start = np.cumsum(counts) - counts
+    sizes = counts[order]
+    return np.arange(int(sizes.sum())) + np.repeat(start[order] - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _least_hashes(raw: np.ndarray, place: np.ndarray, segment: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the gathered bytes the least hash of the grams of the substring there, and a byte of its own hash."""
+    data, count = raw[place], segment - gram + 1
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data] * powers(len(data))[: len(data)])])
     value = np.zeros(len(data), np.uint64)
     n = max(0, len(data) - gram + 1)
     value[:n] = (sums[gram:] - sums[: len(sums) - gram])[:n] * inverse_powers(len(data) + 1)[:n]
     value ^= value >> np.uint64(32)
+    whole = np.zeros(len(data), np.uint8)
+    n = max(0, len(data) - segment + 1)
+    whole[:n] = ((sums[segment:] - sums[: len(sums) - segment])[:n] * inverse_powers(len(data) + 1)[:n] >> np.uint64(53)).astype(np.uint8)
     span = 1
     while 2 * span <= count:
         value[: len(value) - span] = np.minimum(value[: len(value) - span], value[span:])
@@ -109,5 +140,5 @@ def _least_hashes(raw: np.ndarray, place: np.ndarray, gram: int, count: int) ->
     if span < count:
         out = value.copy()
         out[: len(value) - (count - span)] = np.minimum(value[: len(value) - (count - span)], value[count - span :])
-        return out
-    return value
+        value = out
+    return value, whole
