@@ -138,7 +138,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes, offsets from 0) of a string column; null counts as empty."""
     offsets = string_offsets(column)
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
         offsets = string_offsets(column)
     data = column.buffers()[2] if len(column) else None
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

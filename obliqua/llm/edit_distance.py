@@ -2,8 +2,8 @@
 
 The band holds the cells at most ``bound`` off the diagonal; two words of bits
 tell for each pair where the column rises and falls, and every column of all
-pairs takes a few word operations.  Where both of a pair are longer than ``LONG`` after what they share at their ends
-is left out, its diagonals are followed as far as each number of edits reaches: the same band, in long strides.
+pairs takes a few word operations; pairs that are past their bound leave.  Where both of a pair are longer than ``LONG``,
+its diagonals are followed as far as each number of edits reaches: the same band, in long strides.
 """
 
 from __future__ import annotations
@@ -14,6 +14,18 @@ import numpy as np
 LONG = 1 << 14
 
 
+def _plain(a: bytes, b: bytes) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+LONG = 1 << 14
+
+
 def _plain(a: bytes, b: bytes) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -31,114 +43,74 @@ def _matrix(items: list[bytes], width: int, fill: int) -> np.ndarray:
     return out
 
 
-def _differing(a: bytes, b: bytes) -> tuple[bytes, bytes]:
-    """The two without the longest start and then the longest end that they share."""
-    least = min(len(a), len(b))
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    other = np.flatnonzero(x[:least] != y[:least])
-    start = int(other[0]) if len(other) else least
-    rest = least - start
-    other = np.flatnonzero(x[len(a) - rest :][::-1] != y[len(b) - rest :][::-1])
-    end = int(other[0]) if len(other) else rest
-    return a[start : len(a) - end], b[start : len(b) - end]
-
-
-def _strides(a: bytes, b: bytes, bound: int) -> bool:
-    """Whether the two are within the bound, by the furthest place on each diagonal for 0, 1, ... edits."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-
-    def slide(i: int, j: int) -> int:
-        step = 64
-        while (room := min(step, len(x) - i, len(y) - j)) > 0:
-            other = np.flatnonzero(x[i : i + room] != y[j : j + room])
-            if len(other):
-                return i + int(other[0])
-            i, j, step = i + room, j + room, min(2 * step, 1 << 16)
-        return i
-
-    goal, reach = len(y) - len(x), {0: slide(0, 0)}
-    for edits in range(bound + 1):
-        if reach.get(goal, -1) == len(x):
-            return True
-        beyond = {}
-        for d in range(-edits - 1, edits + 2):  # diagonal d holds places (i, i + d)
-            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
-            i = min(i, len(x), len(y) - d)
-            if i >= 0 and i + d >= 0:
-                beyond[d] = slide(i, i + d)
-        reach = beyond
-    return False
-
-
-def within(left: list[bytes], right: list[bytes], bounds, most_cells: int = 1 << 21) -> np.ndarray:
-    """Whether each pair of byte strings is at most so many edits (0 to 15, one number or one a pair) apart.
-
-    What a pair shares at its start and end is left out first; pairs are then taken together in order of
-    length, as many as stay under ``most_cells`` when padded to the longest.
+def within(left: list[bytes], right: list[bytes], bounds) -> np.ndarray:
+    """Whether each pair of byte strings is at most so many edits (0 to 15, one number or one a pair) apart."""
+    sizes = np.array([len(t) for t in [*left, *right]], np.int64)
+    at = np.arange(len(left))
+    return near_pairs(np.frombuffer(b"".join([*left, *right]), np.uint8), np.cumsum(sizes) - sizes, sizes, at, at + len(left), np.broadcast_to(np.asarray(bounds, np.int64), len(left)))
+
+
+def near_pairs(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, x: np.ndarray, y: np.ndarray, bounds: np.ndarray, most_cells: int = 1 << 21) -> np.ndarray:
+    """Whether strings x and y of each pair, given by their starts and sizes in ``raw``, are within its bound (0 to 15).
+
+    Pairs are taken together in order of length, as many as stay under ``most_cells`` when padded to the longest.
     """
-    bounds = np.broadcast_to(np.asarray(bounds, np.int64), len(left))
-    good = np.zeros(len(left), bool)
-    cut, todo = {}, []
-    for i, bound in enumerate(bounds.tolist()):
-        if abs(len(left[i]) - len(right[i])) > bound:
-            continue
-        a, b = _differing(left[i], right[i])
-        if len(a) < len(b):
-            a, b = b, a
-        if not b:
-            good[i] = True
-        elif len(b) <= bound:
-            good[i] = _plain(a, b) <= bound
-        elif len(b) > LONG:
-            good[i] = _strides(a, b, bound)
-        else:
-            cut[i] = a, b
-            todo.append(i)
-    order = np.array(todo, np.int64)
+    x, y = np.where(sizes[x] >= sizes[y], x, y), np.where(sizes[x] >= sizes[y], y, x)
+    good, short = np.zeros(len(x), bool), sizes[y]
+    like = sizes[x] - short <= bounds
+    text = lambda i: raw[starts[i] : starts[i] + sizes[i]].tobytes()
+    for i in np.flatnonzero(like & ((short <= bounds) | (short > LONG))).tolist():
+        a, b = text(x[i]), text(y[i])
+        good[i] = _plain(a, b) <= bounds[i] if short[i] <= bounds[i] else _strides(a, b, int(bounds[i]))
+    like &= (short > bounds) & (short <= LONG)
     for low, high in ((0, 3), (4, 7), (8, 15)):
-        some = order[(bounds[order] >= low) & (bounds[order] <= high)].tolist()
-        some.sort(key=lambda i: len(cut[i][1]))
+        some = np.flatnonzero(like & (bounds >= low) & (bounds <= high))
+        some = some[np.argsort(-short[some], kind="stable")]
         k = 0
         while k < len(some):
-            size = 1
-            while k + size < len(some) and (size + 1) * (len(cut[some[k + size]][1]) + 2 * high) <= most_cells:
-                size += 1
-            part = some[k : k + size][::-1]
-            good[part] = _banded([cut[i][0] for i in part], [cut[i][1] for i in part], bounds[part], high)
-            k += size
+            part = some[k : k + max(1, most_cells // (int(short[some[k]]) + 2 * high))]
+            good[part] = _banded(_padded(raw, starts, sizes, x[part], high), _padded(raw, starts, sizes, y[part], 0), sizes[x[part]], short[part], bounds[part], high)
+            k += len(part)
     return good
 
 
-def _banded(left: list[bytes], right: list[bytes], bounds: np.ndarray, bound: int) -> np.ndarray:
-    """Whether each pair is within its bound, ``bound`` at most; ``left`` are no shorter, ``right`` fall in length."""
+def _padded(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray, front: int) -> np.ndarray:
+    """The strings as rows, with -1 around them."""
+    one, at = np.unique(which, return_inverse=True)
+    size = sizes[one]
+    out = np.full((len(one), front + int(size.max()) + 48), -1, np.int16)
+    rows = np.repeat(np.arange(len(one)), size)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+    out[rows, place + front] = raw[place + np.repeat(starts[one], size)]
+    return out[at]
+
+
+def _banded(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, bounds: np.ndarray, bound: int) -> np.ndarray:
+    """Whether each pair is within its bound, ``bound`` at most; ``a`` are no shorter than ``b``, which fall in length.
+
+    Row r of column j is character j - bound + r of the longer text, which therefore has so many places in front.
+    """
     width = 2 * bound + 1
     kind = np.uint8 if width <= 7 else np.uint16 if width <= 15 else np.uint32
     window = 8 * np.dtype(kind).itemsize
     full, one = kind((1 << width) - 1), kind(1)
-    m, n = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-    columns = int(n[0])
-    # row r of column j is character j - bound + r of the left text, so it is padded in front
-    a = np.full((len(left), max(columns + window, int(m.max())) + bound), -1, np.int16)
-    body = _matrix(left, int(m.max()), -1)
-    a[:, bound : bound + body.shape[1]] = body
-    b = _matrix(right, columns, -2)
     # before the first column the rows from 1 on rise by one each
-    up = np.full(len(left), int(full) >> bound << bound & int(full), kind)
-    down = np.zeros(len(left), kind)
+    up = np.full(len(m), int(full) >> bound << bound & int(full), kind)
+    down = np.zeros(len(m), kind)
     # the diagonal that ends at the last cell: its values never fall, and rise by one where its bit is not set
     row, score = (m - n + bound).astype(kind), m - n
-    here, out = np.arange(len(left)), np.zeros(len(left), np.int64)
-    for j in range(columns):
+    here, out = np.arange(len(m)), np.zeros(len(m), np.int64)
+    for j in range(int(n[0])):
         if j % 16 == 0 and j:
             keep = score <= bounds[here]
-            if not keep.all():
+            if keep.mean() < 0.75:
                 out[here[~keep]] = bound + 1
                 a, b, up, down, row, score, n, here = (x[keep] for x in (a, b, up, down, row, score, n, here))
-        active = int(np.searchsorted(-n, -j, "left"))  # the others have ended
-        if active < len(here):
+        if len(n) and n[-1] <= j:  # the last ones have ended
+            active = int(np.searchsorted(-n, -j, "left"))
             out[here[active:]] = score[active:]
             a, b, up, down, row, score, n, here = (x[:active] for x in (a, b, up, down, row, score, n, here))
-        if not active:
+        if not len(n):
             break
         same = np.packbits(a[:, j : j + window] == b[:, j, None], axis=1, bitorder="little").view(kind).ravel()
         diagonal = ((((same & up) + up) ^ up) | same | down) & full

@@ -11,7 +11,7 @@ Equal lines: a line that its slice of texts has met before repeats for certain;
 first places of each slice are shuffled, as hashes.  Near lines: each distinct line
 of a slice is indexed by the keys of its segments (``line_segments``).  Keys travel in packed
 blocks to the bucket of their range and are sorted there; lines that share one form a set.  Equal sets are joined into one, the
-lines of each set are fetched (behind a filter of bounded size), small sets with the same least line number go to one task, and a set is walked in order of first places: each line is
+lines of each set are fetched (behind a filter of bounded size), sets with the same least line number go to one task (so many as a line has keys), and a set is walked in order of first places: each line is
 compared, by a banded bit-parallel edit distance, with those before it until one is near.  So a line has one row a
 set, whatever the number of its near lines.  A set beyond ``PART`` lines is cut into parts, and pairs of parts are compared
 as they are; a key that a sample of the lines shows to be in very many goes through several buckets.  Both routes compare everything.
@@ -35,13 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, checkpointed, string_bytes, text_slices
-from .edit_distance import within
+from .edit_distance import near_pairs
 from .line_segments import POST, allowed, picked, segment_keys
 from .shingles import mix
 
 SLICE = 1 << 20
 PART = 2048  # lines of a set, or of a part of one, that are walked together
-SMALL = 64  # sets of so many lines go to the task of their least line, larger ones each to its own
 FLUSH = 1 << 20  # keys that a task sorts before it sends them
 BUCKET_BYTES = 1 << 22  # bytes of text to a bucket, some 400,000 keys
 HOT_LINES = 4_000_000  # a key in more lines than this is dealt to several buckets
@@ -288,14 +287,13 @@ def _texts(least: int, wanted):
     return run
 
 
-def _kinds(texts: list[bytes]) -> np.ndarray:
+def _kinds(raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """How often each line has a byte of each of 32 kinds; an edit moves two of the numbers by one at most."""
-    sizes = np.array([len(t) for t in texts])
-    owner = np.repeat(np.arange(len(texts)) * 32, sizes)
-    return np.bincount(owner + (np.frombuffer(b"".join(texts), np.uint8) & 31), minlength=32 * len(texts)).reshape(-1, 32).astype(np.int32)
+    counts = np.bincount(np.repeat(np.arange(len(sizes)) * 32, sizes) + (raw & 31), minlength=32 * len(sizes)).reshape(-1, 32)
+    return np.minimum(counts, 32767).astype(np.int16)
 
 
-def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
+def _walk(edits: int, percent: int, most_bytes: int = 32 << 20):
     """The first places of the lines that are near one before them in their set; rows come sorted by (lead, unit, a, b).
 
     A line that is known to be near one before it is not compared again, nor is a pair; sets with one lead, which share lines, come together.
@@ -306,7 +304,8 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
         order = np.lexsort((line, row, doc))
         new = np.ones(len(order), bool)
         new[1:] = (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1]) | (line[order][1:] != line[order][:-1])
-        texts = rows.column(8).take(pa.array(order[new])).to_pylist()
+        raw, begin = string_bytes(rows.column(8).take(pa.array(order[new])).combine_chunks())
+        begin, size = begin[:-1], np.diff(begin)
         doc, row, line = doc[order[new]], row[order[new]], line[order[new]]
         rank = np.empty(len(order), np.int64)  # of the distinct lines, in order of their places
         rank[order] = np.cumsum(new) - 1
@@ -314,16 +313,19 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
         unit, a, b, side, rank = (x[order] for x in (unit, a, b, side, rank))
         first = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         start = np.repeat(first, np.diff(np.append(first, len(unit))))
-        size, kinds, across = np.array([len(t) for t in texts], np.int64), _kinds(texts), a != b
-        late, tested = np.zeros(len(texts), bool), np.zeros(0, np.int64)
+        kinds, across = _kinds(raw, size), a != b
+        late, tested = np.zeros(len(size), bool), np.zeros(0, np.int64)
         waiting, step, ahead = np.flatnonzero(np.arange(len(unit)) > start), 0, 1
         while len(waiting):
             x, y = np.repeat(waiting, ahead), (start[waiting, None] + step + np.arange(ahead)).ravel()
             some = y < x
             x, y = x[some], y[some]
             some = (~across[x] | (side[x] != side[y])) & (rank[x] != rank[y])
-            pair = np.setdiff1d(rank[x[some]] << 32 | rank[y[some]], tested)
-            tested = np.union1d(tested, pair)
+            pair = np.sort(rank[x[some]] << 32 | rank[y[some]])
+            pair = pair[np.diff(pair, prepend=-1) > 0]
+            if len(tested):
+                pair = pair[tested[np.minimum(np.searchsorted(tested, pair), len(tested) - 1)] != pair]
+            tested = np.sort(np.concatenate([tested, pair]), kind="stable")
             x, y = pair >> 32, pair & 0xFFFFFFFF
             bound = allowed(np.minimum(size[x], size[y]), edits, percent)
             like = np.abs(size[x] - size[y]) <= bound
@@ -332,7 +334,7 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
                 p, q, most = x[k : k + (1 << 16)], y[k : k + (1 << 16)], bound[k : k + (1 << 16)]
                 few = np.abs(kinds[p] - kinds[q]).sum(1) <= 2 * most
                 p, q, most = p[few], q[few], most[few]
-                late[p[within([texts[i] for i in p], [texts[i] for i in q], most)]] = True
+                late[p[near_pairs(raw, begin, size, p, q, most)]] = True
             step += ahead
             ahead = 1 if step < 3 else min(2 * ahead, max(1, (1 << 20) // len(waiting)))
             waiting = waiting[~late[rank[waiting]] & (start[waiting] + step < waiting)]
@@ -376,7 +378,7 @@ def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least:
     wanted = spark.sparkContext.broadcast(candidate_filter(sets.select(F.explode("ids").alias("id"))))
     texts = docs.mapInArrow(_texts(least, wanted), f"id long, {PLACE}, text binary").groupBy("id", "text").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("place"))
     zero = F.lit(0).cast("long")
-    whole = sets.filter("not cut").dropDuplicates(["unit"]).select(F.when(F.size("ids") > SMALL, F.col("unit")).otherwise(F.get("ids", F.lit(0))).alias("lead"), "unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
+    whole = sets.filter("not cut").dropDuplicates(["unit"]).select(F.get("ids", F.lit(0)).alias("lead"), "unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
     parts = sets.filter("cut")
     one, two = parts.select("unit", F.col("part").alias("a"), F.col("ids").alias("ids_a")), parts.select("unit", F.col("part").alias("b"), F.col("ids").alias("ids_b"))
     sided = lambda ids, side: F.transform(ids, lambda x: F.struct(F.lit(side).alias("side"), x.alias("id")))
