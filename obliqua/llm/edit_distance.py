@@ -43,6 +43,33 @@ def _matrix(items: list[bytes], width: int, fill: int) -> np.ndarray:
     return out
 
 
+def _strides(a: bytes, b: bytes, bound: int) -> bool:
+    """Whether the two are within the bound, by the furthest place on each diagonal for 0, 1, ... edits."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+
+    def slide(i: int, j: int) -> int:
+        step = 64
+        while (room := min(step, len(x) - i, len(y) - j)) > 0:
+            other = np.flatnonzero(x[i : i + room] != y[j : j + room])
+            if len(other):
+                return i + int(other[0])
+            i, j, step = i + room, j + room, min(2 * step, 1 << 16)
+        return i
+
+    goal, reach = len(y) - len(x), {0: slide(0, 0)}
+    for edits in range(bound + 1):
+        if reach.get(goal, -1) == len(x):
+            return True
+        beyond = {}
+        for d in range(-edits - 1, edits + 2):  # diagonal d holds places (i, i + d)
+            i = max(reach.get(d, -2) + 1, reach.get(d - 1, -2), reach.get(d + 1, -2) + 1)
+            i = min(i, len(x), len(y) - d)
+            if i >= 0 and i + d >= 0:
+                beyond[d] = slide(i, i + d)
+        reach = beyond
+    return False
+
+
 def within(left: list[bytes], right: list[bytes], bounds) -> np.ndarray:
     """Whether each pair of byte strings is at most so many edits (0 to 15, one number or one a pair) apart."""
     sizes = np.array([len(t) for t in [*left, *right]], np.int64)

@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, checkpointed, string_bytes, text_slices
+from .common import Scratch, checkpointed, give_back, string_bytes, text_slices
 from .edit_distance import near_pairs
 from .line_segments import POST, allowed, picked, segment_keys
 from .shingles import mix
 
 SLICE = 1 << 20
 PART = 2048  # lines of a set, or of a part of one, that are walked together
-FLUSH = 1 << 20  # keys that a task sorts before it sends them
-BUCKET_BYTES = 1 << 22  # bytes of text to a bucket, some 400,000 keys
+FLUSH = 1 << 19  # keys that a task sorts before it sends them
+BUCKET_BYTES = 1 << 21  # bytes of text to a bucket, some 200,000 keys
 HOT_LINES = 4_000_000  # a key in more lines than this is dealt to several buckets
 SAMPLE_LINES = 1 << 20
 ID = np.uint64((1 << 48) - 1)  # a line's number in the index: so many bits of its hash
@@ -167,6 +167,8 @@ def _blocks(edits: int, least: int, percent: int, buckets: int, hot: np.ndarray,
                     held, size = [], 0
         if held:
             yield from send()
+            held = []
+        give_back()
 
     return run
 
@@ -249,6 +251,8 @@ def _sets(most: int):
         start, end = np.concatenate(start), np.concatenate(end)
         values = np.concatenate([ids[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)] or [ids[:0]]).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - start)]), pa.int32()), pa.array(values))
+        del order, first, own, checks, keys, ids
+        give_back()
         return pa.table([pa.array(np.concatenate(unit)), pa.array(np.concatenate(part)), pa.array(np.concatenate(cut)), lists], names=["unit", "part", "cut", "ids"])
 
     return run
@@ -358,6 +362,7 @@ def _walk(edits: int, percent: int, most_bytes: int = 32 << 20):
             held, size = rest.to_batches(), rest.nbytes if whole else 0
         if held and (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield out
+        give_back()
 
     return run
 

@@ -116,10 +116,11 @@ def segment_keys(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: i
 
 def picked(order: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The places of the substrings of the entries in a given order; ``counts`` are without ``POST``."""
-    counts = counts.astype(np.int64)
-    start = np.cumsum(counts) - counts
+    start = np.cumsum(counts, dtype=np.int64) - counts
     sizes = counts[order]
-    return np.arange(int(sizes.sum())) + np.repeat(start[order] - (np.cumsum(sizes) - sizes), sizes)
+    moved = np.repeat((start[order] - (np.cumsum(sizes, dtype=np.int64) - sizes)).astype(np.int32), sizes)
+    moved += np.arange(len(moved), dtype=np.int32)
+    return moved
 
 
 def _least_hashes(raw: np.ndarray, place: np.ndarray, segment: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
