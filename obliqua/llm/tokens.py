@@ -79,9 +79,10 @@ class WordEncoder:
         if len(self.words) > self.most_words // 2:
             self.before, self.words = self.words, {}
         new = words.difference(self.words)
-        for word in new & self.before.keys():
+        known = new & self.before.keys()
+        for word in known:
             self.words[word] = self.before[word]
-        new.difference_update(self.words)
+        new -= known
         letters = [w for w in new if (w.isalpha() if self.lower else w[0] == " " and w[1:].isalpha())]
         rest = list(new.difference(letters))
         self.words.update(zip(letters, self.many(letters), strict=True))

@@ -70,12 +70,12 @@ class WaveletMatrix:
         kind = np.uint16 if bits <= 16 else np.uint32
         now = np.zeros(self.size, kind)
         for bit in range(bits):
-            flags = np.unpackbits(self.planes[bits - 1 - bit], count=self.size, bitorder="little")
+            flags = np.unpackbits(self.planes[bits - 1 - bit], count=self.size, bitorder="little").view(bool)
             zeros = self.zeros[bits - 1 - bit]
             now[zeros:] |= kind(1 << bit)
             above = np.empty(self.size, kind)
-            above[np.flatnonzero(flags)] = now[zeros:]
-            above[np.flatnonzero(flags == 0)] = now[:zeros]
+            above[flags] = now[zeros:]
+            above[~flags] = now[:zeros]
             now = above
         return self.alphabet[now]
 
