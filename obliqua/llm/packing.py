@@ -7,10 +7,10 @@ individual is the bin of each piece.  Crossover takes the well-filled bins of on
 parent whole into the other, dissolves the bins there that hold a piece twice, and
 best-fits the displaced pieces, longest first.  Between epochs each island's
 elite travels to the next island of its group, as one row; at the end the best
-elite of a group is its packing.
+elite of a group is its packing.  The pieces of each group's emptiest bin are packed once more, across groups.
 
 Only lengths travel between stages, and a group's size never depends on the
-table's.  Defined cases: null text is empty; an empty document is one id long;
+table's: rows are dealt by a number of their own, so that equal ones spread too.  Defined cases: null text is empty; an empty document is one id long;
 equal documents or ids are packed each on its own; a null ``doc_id`` is kept;
 an empty table gives no rows; other columns are ignored.
 """
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,24 +31,27 @@ from .common import checkpointed, give_back, text_slices
 from .tokens import WordEncoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+DEALT_SCHEMA = PIECE_SCHEMA + ", deal long"
 PACKED_SCHEMA = PIECE_SCHEMA + ", sequence_id long, offset long"
 ELITE_SCHEMA = "grp long, island int, fitness double, bins binary"
 
 
 def _pieces(tokenizer: str, end_id: int, capacity: int):
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # an encoder for the task alone: kept in the worker it would crowd the steps that follow
         own, tail = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        deal = TaskContext.get().partitionId() << 40
         for batch in text_slices(batches):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), own.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
                 ids += tail
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), deal))
+                    deal += 1
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "deal"])
         del own
         give_back()
 
@@ -150,14 +154,30 @@ class GroupingGA:
 
 def _in_order(pieces: pd.DataFrame) -> pd.DataFrame:
     """Every island sees the same order of pieces, however they arrive."""
-    return pieces.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+    return pieces.sort_values(["length", "doc_id", "piece", "ids_crc32", "deal"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_pieces: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 8) -> DataFrame:
-    """``pieces`` with sequence_id and offset; they must be computed once and stay (a checkpoint)."""
+    """``pieces`` with sequence_id and offset; they must be computed once and stay (a checkpoint).
+
+    ``deal``, where there is such a column, spreads equal rows over the groups.
+    """
+    ga = {"capacity": capacity, "group_pieces": group_pieces, "islands": islands, "epochs": epochs, "population": population, "generations": generations}
+    if "deal" not in pieces.columns:
+        pieces = pieces.withColumn("deal", F.lit(0).cast("long"))
+    packed, groups = _pack_groups(pieces, **ga)
+    if groups == 1:
+        return packed.drop("open", "deal")
+    packed = checkpointed(packed)
+    again, _ = _pack_groups(packed.filter("open").select(*pieces.columns), **ga)
+    return packed.filter("not open").unionByName(again.withColumn("sequence_id", -1 - F.col("sequence_id"))).drop("open", "deal")
+
+
+def _pack_groups(pieces: DataFrame, capacity: int, group_pieces: int, islands: int, epochs: int, population: int, generations: int) -> tuple[DataFrame, int]:
+    """(the pieces with their places, whether in the emptiest bin of a group; number of groups)."""
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(7)), F.lit(groups)).cast("long"))
-    on_islands = dealt.select("grp", "doc_id", "piece", "length", "ids_crc32", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "deal", F.lit(7)), F.lit(groups)).cast("long"))
+    on_islands = dealt.select("grp", "doc_id", "piece", "length", "ids_crc32", "deal", F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
 
     def epoch(number: int):
         def run(key, items: pd.DataFrame, come: pd.DataFrame) -> pd.DataFrame:
@@ -179,9 +199,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_pieces: int = 409
         elites = checkpointed(on_islands.groupBy(*by).cogroup(elites.unionByName(moved).groupBy(*by)).applyInPandas(epoch(number), ELITE_SCHEMA))
     best = elites.groupBy("grp").agg(F.max_by("bins", F.struct("fitness", -F.col("island"))).alias("bins"))
 
+    settled = f"{PACKED_SCHEMA}, deal long, open boolean"
+
     def settle(key, items: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         if not len(items):
-            return pd.DataFrame({c.split()[0]: [] for c in PACKED_SCHEMA.split(", ")})
+            return pd.DataFrame({c.split()[0]: [] for c in settled.split(", ")})
         items = _in_order(items)
         bins = np.frombuffer(chosen["bins"].iloc[0], np.int32).astype(np.int64)
         by_bin = np.argsort(bins, kind="stable")
@@ -190,13 +212,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_pieces: int = 409
         first = np.concatenate([[True], bins[by_bin][1:] != bins[by_bin][:-1]])
         offsets = np.empty(len(bins), np.int64)
         offsets[by_bin] = before - before[first][np.cumsum(first) - 1]
-        return items.assign(sequence_id=(int(key[0]) << 24) + bins, offset=offsets).drop(columns="grp")
+        emptiest = int(np.argmin(np.bincount(bins, items["length"].to_numpy())))
+        return items.assign(sequence_id=(int(key[0]) << 24) + bins, offset=offsets, open=bins == emptiest).drop(columns="grp")
 
-    return dealt.groupBy("grp").cogroup(best.groupBy("grp")).applyInPandas(settle, PACKED_SCHEMA)
+    return dealt.groupBy("grp").cogroup(best.groupBy("grp")).applyInPandas(settle, settled), groups
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, **ga) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece; see ``pack_pieces``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = checkpointed(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), PIECE_SCHEMA))
+    pieces = checkpointed(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), DEALT_SCHEMA))
     return pack_pieces(pieces, capacity, **ga)
