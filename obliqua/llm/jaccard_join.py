@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, by_ids, checkpointed, remove_path, scratch_path, string_bytes, text_slices
+from .common import Scratch, arrow_rows, by_ids, checkpointed, string_bytes, text_slices
 from .components import components
 from .shingles import mix, text_shingles
 
@@ -163,6 +163,9 @@ def _bounds(percent: int):
     return sizes, overlap - F.greatest(beyond(n_a), beyond(n_b))
 
 
+COLUMNS = 4096
+
+
 def _apart(percent: int, block: int):
     """Pairs of members of different components that one bucket cannot rule out, from blocks of its members.
 
@@ -180,9 +183,13 @@ def _apart(percent: int, block: int):
         if fits.any() and marks[a[0]] is not None:
             # how many crowded shingles two prefixes really share; equal marks of different ones only add to it
             known, place = np.unique(np.concatenate(marks), return_inverse=True)
-            held = np.zeros((len(marks), len(known)), np.float32)
-            np.add.at(held, (np.repeat(np.arange(len(marks)), [len(m) for m in marks]), place), 1)
-            fits &= held[a] @ held[b].T >= need
+            owner, common = np.repeat(np.arange(len(marks)), [len(m) for m in marks]), np.zeros(fits.shape, np.float32)
+            for low in range(0, len(known), COLUMNS):  # so many different shingles at a time, whatever their number
+                some = (place >= low) & (place < low + COLUMNS)
+                held = np.zeros((len(marks), min(COLUMNS, len(known) - low)), np.float32)
+                np.add.at(held, (owner[some], place[some] - low), 1)
+                common += held[a] @ held[b].T
+            fits &= common >= need
         x, y = np.nonzero(fits)
         x, y = item[a[x]], item[b[y]]
         return np.minimum(x, y), np.maximum(x, y)
@@ -214,14 +221,12 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: i
     Buckets of more than ``crowd`` groups are crowded: they are compared with their
     smallest group first, then in blocks of ``block`` members.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    folders: list[str] = []
+    with Scratch(docs.sparkSession) as scratch:
+        return _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scratch.keep, width, percent, crowd, block)
 
-    def stored(df: DataFrame, purpose: str) -> DataFrame:
-        folders.append(scratch_path(spark, purpose))
-        df.write.parquet(folders[-1])
-        return spark.read.schema(df.schema).parquet(folders[-1])
+
+def _classes(docs: DataFrame, stored, width: int, percent: int, crowd: int, block: int) -> DataFrame:
+    spark = docs.sparkSession
 
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, width))
     signed = stored(docs.mapInArrow(_signatures(width, percent, frequent), "doc_id long, n long, h1 long, h2 long, ph long, prefix array<long>"), "signatures")
@@ -236,7 +241,7 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: i
     bucketed = stored(entries.join(shared, "token").select("token", "k", "hub", "grp"), "buckets")
     few, many = bucketed.filter(F.col("k") <= crowd), bucketed.filter(F.col("k") > crowd)
     mark = F.col("token").bitwiseAND((1 << 31) - 1).cast("int")  # no more than a prefix of them in a group
-    often = checkpointed(many.groupBy("grp").agg(F.count("*").alias("often"), F.collect_list(mark).alias("marks")))
+    often = stored(many.groupBy("grp").agg(F.count("*").alias("often"), F.collect_list(mark).alias("marks")), "often")
     sized = members.filter("item = grp").select("grp", "n").join(often.select("grp", "often"), "grp", "left").select("grp", "n", F.coalesce("often", F.lit(0)).alias("often"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -271,14 +276,15 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: i
     labels = _joined(labels, verified(fresh))
 
     # three: what is still apart within crowded buckets and within groups, block by block
-    placed = checkpointed(members.join(labels.select(F.col("node").alias("item"), "component"), "item", "left").join(often, "grp", "left").select("item", "grp", "n", F.coalesce("often", F.lit(0)).cast("long").alias("often"), F.coalesce("component", "item").alias("component"), "marks"))
-    crowded = many.select("token", "grp").join(placed, "grp").select(F.col("token").alias("key"), F.lit(0).alias("kind"), "item", "n", "often", "component", "marks")
+    placed = checkpointed(members.join(labels.select(F.col("node").alias("item"), "component"), "item", "left").join(often.drop("marks"), "grp", "left").select("item", "grp", "n", F.coalesce("often", F.lit(0)).cast("long").alias("often"), F.coalesce("component", "item").alias("component")))
+    crowded = many.select("token", "grp").join(placed, "grp").select(F.col("token").alias("key"), F.lit(0).alias("kind"), "item", "grp", "n", "often", "component")
     # members of one group share their whole prefix, so nothing but their sizes counts
-    in_groups = placed.select(F.col("grp").alias("key"), F.lit(1).alias("kind"), "item", "n", F.lit(1 << 40).alias("often"), "component", F.lit(None).cast("array<int>").alias("marks"))
+    in_groups = placed.select(F.col("grp").alias("key"), F.lit(1).alias("kind"), "item", F.lit(None).cast("long").alias("grp"), "n", F.lit(1 << 40).alias("often"), "component")
     rows = stored(crowded.union(in_groups), "crowded")
     sizes = rows.groupBy("key", "kind", "component").agg(F.count("*").alias("size"))
     kept = sizes.groupBy("key", "kind").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.sum("size").alias("all"), F.max("size").alias("most")).filter("all > most")
-    dealt = rows.join(kept, ["key", "kind"]).withColumn("outside", F.col("component") != F.col("largest"))
+    # marks come in where a bucket still holds several components: a row of it has a whole prefix of them
+    dealt = rows.join(kept, ["key", "kind"]).join(often.select("grp", "marks"), "grp", "left").withColumn("outside", F.col("component") != F.col("largest"))
     part = lambda count: F.pmod(F.xxhash64("item"), F.ceil(F.col(count) / block)).cast("int")
     dealt = dealt.withColumn("few", F.col("all") - F.col("most"))
     count_of = lambda count: F.sequence(F.lit(0), F.ceil(F.col(count) / block).cast("int") - 1)
@@ -290,10 +296,7 @@ def similar_classes(docs: DataFrame, width: int = 4, percent: int = 85, crowd: i
     labels = _joined(labels, verified(last))
 
     items = sets.select("n", "h1", "h2", "item").join(labels.select(F.col("node").alias("item"), "component"), "item", "left").select("n", "h1", "h2", F.coalesce("component", "item").alias("component"))
-    result = checkpointed(signed.select("doc_id", "n", "h1", "h2").join(items, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
-    for folder in folders:
-        remove_path(spark, folder)
-    return result
+    return checkpointed(signed.select("doc_id", "n", "h1", "h2").join(items, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
