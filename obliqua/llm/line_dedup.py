@@ -59,8 +59,10 @@ def _some_lines(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.nd
     last = np.concatenate([text[1:] != text[:-1], [True]]) if len(text) else np.zeros(0, bool)
     ends[last] = offsets[text[last] + 1]
     number = np.arange(len(text)) - np.searchsorted(text, np.arange(len(offsets) - 1))[text]
-    solid = np.concatenate([[0], np.cumsum((raw != 32) & ((raw < 9) | (raw > 13)), dtype=np.int32)])
-    keep = (ends - starts >= max(1, least)) & (solid[ends] > solid[starts])
+    keep = ends - starts >= max(1, least)
+    begin = raw[starts[keep]]
+    doubtful = np.flatnonzero(keep)[(begin == 32) | ((begin >= 9) & (begin <= 13))]
+    keep[[i for i in doubtful.tolist() if not raw[starts[i] : ends[i]].tobytes().strip(b" \t\n\r\x0b\x0c")]] = False
     return text[keep], number[keep], starts[keep], ends[keep]
 
 
