@@ -1,14 +1,14 @@
 """Personal data by weak supervision.
 
 Base spans follow four fixed patterns (emails, IP addresses, card and phone
-numbers) and always stay.  Beyond them, looser shapes give candidates: emails
-spelt out with "at" and "dot", card numbers hidden in longer runs of digits,
-phone numbers without a country code.  Labelers (shapes, gazetteers, words around) vote
-for, against or not at all on every candidate and base span; their votes and a
+numbers) and always stay.  Beyond them, looser shapes give candidates, most of which are none: addresses
+spelt out with "at" and "dot" or without an ending, dotted numbers of any size and count (versions), long runs of digits
+(serial and order numbers), groups of digits without a country code (dates).  Labelers (the base pattern, shape, a checksum or range, gazetteers,
+words around, edges, dullness) vote for, against or not at all on every span, base spans too; votes and a
 few coarse features make a pattern, and patterns are counted over all
-documents.  Expectation-maximisation on those counts estimates how reliable each
-labeler is, and a logistic span classifier is trained on the resulting
-probabilities; candidates that it accepts become spans.
+documents.  Expectation-maximisation on those counts estimates for each kind how often it is personal data and how
+each labeler votes where it is and where it is not; nothing is held fixed, and a small prior says only that labelers are more often right than wrong.  A logistic span
+classifier is trained on the resulting probabilities; candidates that it accepts become spans.
 
 Only counts of patterns (a few thousand at most) reach the driver.
 
@@ -40,9 +40,12 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Looser shapes of candidates.
-SPELT = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?|\.)[A-Za-z0-9-]{1,63}){1,5}", re.IGNORECASE)
-DIGITS = re.compile(r"[0-9]{14,19}")
-LOCAL_PHONE = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}")
+AT = re.compile(r" ?[\[({] ?at ?[\])}] ?| at (?=[A-Za-z0-9-]{1,63} dot )|@", re.IGNORECASE)
+HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?dot ?[\])}] ?| dot |\.)[A-Za-z0-9-]{1,63}){0,5}", re.IGNORECASE)
+DOTTED = re.compile(r"(?<![0-9.])[0-9]{1,9}(?:\.[0-9]{1,9}){2,7}(?![0-9])")
+RUN = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,21}(?![0-9])")
+GROUPS = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[-./ ])[0-9]{2,4}[-./ ][0-9]{2,4}(?:[-./ ][0-9]{2,4})?(?![0-9A-Za-z-])|(?<![0-9A-Za-z+.-])[0-9]{10,12}(?![0-9A-Za-z-])")
+LABELERS = ("base", "shape", "valid", "listed", "cue", "edge", "dull")
 # Gazetteers of the labelers.
 CUES = {
     "email": ("mail", "contact", "write", "courriel", "correo"),
@@ -97,72 +100,74 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def candidate_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of looser shapes that overlap no base span and none before them."""
     found = []
-    if "at" in text or "AT" in text or "At" in text:
-        found += [("email", m.start(), m.end()) for m in SPELT.finditer(text)] if any(c in text for c in "[({") else []
-    for m in DIGITS.finditer(text):
-        if luhn(m[0]):
-            found.append(("card", m.start(), m.end()))
-    for m in LOCAL_PHONE.finditer(text):
-        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-        if not (before.isalnum() or before == "+" or after.isalnum()):
-            found.append(("phone", m.start(), m.end()))
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > 0 and m.start() - start < 64 and text[start - 1] in LOCAL:
+            start -= 1
+        host = HOST.match(text, m.end()) if start < m.start() else None
+        if host:
+            found.append(("email", start, host.end()))
+    found += [("ip", m.start(), m.end()) for m in DOTTED.finditer(text)]
+    found += [("card", m.start(), m.end()) for m in RUN.finditer(text)]
+    found += [("phone", m.start(), m.end()) for m in GROUPS.finditer(text)]
     out: list[tuple[str, int, int]] = []
-    taken = sorted((a, b) for _, a, b in base)
-    at, reach = 0, -1
+    # base spans of different kinds may overlap: where the furthest end so far lies past a start, they do
+    taken, at, reach, furthest = sorted((a, b) for _, a, b in base), 0, -1, -1
     for kind, a, b in sorted(found, key=lambda s: (s[1], -s[2])):
-        while at < len(taken) and taken[at][1] <= a:
+        while at < len(taken) and taken[at][0] < b:
+            furthest = max(furthest, taken[at][1])
             at += 1
-        if a >= reach and not any(x < b and y > a for x, y in taken[at : at + 8]):
+        if a >= reach and furthest <= a:
             out.append((kind, a, b))
             reach = b
     return out
 
 
-def votes(kind: str, text: str, a: int, b: int) -> str:
-    """One sign for each labeler: ``+`` for, ``-`` against, ``0`` silent."""
+def votes(kind: str, text: str, a: int, b: int, known: bool) -> str:
+    """One sign for each of ``LABELERS``: ``+`` for, ``-`` against, ``0`` silent."""
     span, before = text[a:b], text[max(0, a - 40) : a].lower()
     digits = re.sub(r"[^0-9]", "", span)
-    shape = {
-        "email": "@" in span or "(" in span or "[" in span,
-        "ip": span.count(".") == 3,
-        "card": len(digits) in (15, 16),
-        "phone": len(digits) in (10, 11, 12),
-    }[kind]
     if kind == "email":
-        listed = re.split(r"[^A-Za-z0-9-]+", span)[-1].lower() in ENDINGS
+        ending = re.split(r"[^A-Za-z0-9-]+", span)[-1].lower()
+        shape, valid, listed = "@" in span or span.count("(") + span.count("[") > 0, not ending.isdigit() and len(ending) < 8, ending in ENDINGS
     elif kind == "card":
-        listed = ISSUERS.match(digits) is not None
+        shape, valid, listed = len(digits) in (15, 16), 14 <= len(digits) <= 19 and luhn(digits), ISSUERS.match(digits) is not None
     elif kind == "ip":
-        listed = not span.startswith(("0.", "127.", "255."))
+        parts = span.split(".")
+        shape, valid, listed = len(parts) == 4, all(len(p) < 4 and int(p) <= 255 for p in parts), not span.startswith(("0.", "127.", "255."))
     else:
-        listed = span[:1] in "+("
+        shape, valid, listed = len(digits) in (10, 11, 12), 10 <= len(digits) <= 15, span[:1] in "+("
     words = re.split(r"[^a-z.]+", before)[-6:]
     cue = any(w.startswith(c) for w in words for c in CUES[kind])
     rival = any(w in AGAINST for w in words)
     edge = text[a - 1 : a].isalnum() or text[b : b + 1].isalnum()
     dull = bool(digits) and len(set(digits)) <= 2
-    return "".join(("+" if shape else "0", "+" if listed else "-", "+" if cue else "-" if rival else "0", "-" if edge else "+", "-" if dull else "0"))
+    signs = ("+" if known else "-", "+" if shape else "-", "+" if valid else "-", "+" if listed else "-", "+" if cue else "-" if rival else "0", "-" if edge else "+", "-" if dull else "0")
+    return "".join(signs)
 
 
-def pattern(kind: str, text: str, a: int, b: int) -> str:
+def pattern(kind: str, text: str, a: int, b: int, known: bool) -> str:
     """The kind, the votes and coarse features of a span: its length and what stands before it."""
     before = text[a - 1 : a]
     side = "s" if not before or before.isspace() else "d" if before.isdigit() else "a" if before.isalpha() else "p"
-    return f"{kind}|{votes(kind, text, a, b)}|{min((b - a) // 4, 12)}|{side}|{int(' ' in text[a:b])}"
+    return f"{kind}|{votes(kind, text, a, b, known)}|{min((b - a) // 4, 12)}|{side}|{int(' ' in text[a:b])}"
+
+
+WIDTH = 1 + 4 + 3 * len(LABELERS) + 13 + 4 + 1
 
 
 def _inputs(patterns: list[str]) -> np.ndarray:
     """0/1 features of patterns."""
-    rows = np.zeros((len(patterns), 1 + 4 + 15 + 13 + 4 + 1))
+    rows = np.zeros((len(patterns), WIDTH))
     for row, text in zip(rows, patterns, strict=True):
         kind, signs, size, side, spaced = text.split("|")
         row[0] = 1
         row[1 + KINDS.index(kind)] = 1
         for k, s in enumerate(signs):
             row[5 + 3 * k + "+0-".index(s)] = 1
-        row[20 + int(size)] = 1
-        row[33 + "sdap".index(side)] = 1
-        row[37] = int(spaced)
+        row[26 + int(size)] = 1
+        row[39 + "sdap".index(side)] = 1
+        row[43] = int(spaced)
     return rows
 
 
@@ -175,42 +180,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(_inputs(patterns) @ self.weights, -50, 50))) if patterns else np.zeros(0)
 
 
-def train(counts: dict[tuple[str, bool], int], rounds: int = 30, prior: float = 1.0) -> Model:
-    """EM over the labelers' votes of (pattern, is a base span) counts, then the classifier."""
+def train(counts: dict[tuple[str, bool], int], rounds: int = 100, prior: float = 4.0) -> Model:
+    """EM over the labelers' votes of (pattern, is a base span) counts, then the classifier.
+
+    A kind starts from the majority of its votes.  Each labeler's votes have ``prior`` made-up spans on either side, on
+    which it is right three times of four.  ``reliability`` is how often a labeler that votes is right, the two sides weighing the same.
+    """
     items = sorted(counts)
     if not items:
-        weights = np.zeros(38)
+        weights = np.zeros(WIDTH)
         weights[0] = -5.0
         return Model(weights, {})
     n = np.array([counts[i] for i in items], float)
     kinds = np.array([KINDS.index(i[0].split("|")[0]) for i in items])
     signs = np.array([["+0-".index(s) for s in i[0].split("|")[1]] for i in items])
-    base = np.array([i[1] for i in items])
-    score = (signs == 0).sum(1) - (signs == 2).sum(1)
-    truth = np.where(base, 0.99, np.where(score > 0, 0.7, 0.2))
+    truth = np.clip(0.5 + 0.15 * ((signs == 0).sum(1) - (signs == 2).sum(1)), 0.05, 0.95)
+    right, wrong = prior * np.array([0.6, 0.2, 0.2]), prior * np.array([0.2, 0.2, 0.6])
     reliability: dict[str, list[float]] = {}
-    for _ in range(rounds):
-        log_odds = np.zeros(len(items))
-        for k, kind in enumerate(KINDS):
-            rows = np.flatnonzero(kinds == k)
-            if not len(rows):
-                continue
+    for k, kind in enumerate(KINDS):
+        rows = np.flatnonzero(kinds == k)
+        for _ in range(rounds if len(rows) else 0):
             yes, no = (n * truth)[rows], (n * (1 - truth))[rows]
-            log_odds[rows] = np.log((yes.sum() + prior) / (no.sum() + prior))
+            log_odds = np.full(len(rows), np.log((yes.sum() + prior) / (no.sum() + prior)))
             reliability[kind] = []
             for j in range(signs.shape[1]):
-                for_yes = np.bincount(signs[rows, j], yes, 3) + prior
-                for_no = np.bincount(signs[rows, j], no, 3) + prior
-                ratio = np.log(for_yes / for_yes.sum()) - np.log(for_no / for_no.sum())
-                log_odds[rows] += ratio[signs[rows, j]]
-                reliability[kind].append(float(for_yes[0] / (for_yes[0] + for_no[0])))
-        # base spans are known; what the labelers say of the others is shared out anew
-        truth = np.where(base, 0.99, 1 / (1 + np.exp(-np.clip(log_odds, -30, 30))))
-    x, w = _inputs([i[0] for i in items]), np.zeros(38)
+                for_yes = np.bincount(signs[rows, j], yes, 3) + right
+                for_no = np.bincount(signs[rows, j], no, 3) + wrong
+                log_odds += (np.log(for_yes / for_yes.sum()) - np.log(for_no / for_no.sum()))[signs[rows, j]]
+                reliability[kind].append(float(for_yes[0] / (for_yes[0] + for_yes[2]) + for_no[2] / (for_no[0] + for_no[2])) / 2)
+            before, truth[rows] = truth[rows], 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
+            if np.abs(before - truth[rows]).max() < 1e-6:
+                break
+    x, w = _inputs([i[0] for i in items]), np.zeros(WIDTH)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
         grad = x.T @ (n * (p - truth)) + 0.1 * w
-        hess = (x.T * (n * p * (1 - p) + 1e-9)) @ x + 0.1 * np.eye(38)
+        hess = (x.T * (n * p * (1 - p) + 1e-9)) @ x + 0.1 * np.eye(WIDTH)
         step = np.linalg.solve(hess, grad)
         w = w - step * min(1.0, 4 / (1e-12 + float(np.abs(step).max())))
         if float(np.abs(step).max()) < 1e-8:
@@ -225,7 +230,7 @@ FOUND_SCHEMA = "doc_id long, spans array<struct<kind string, start long, stop lo
 def _spans(text: str) -> list[dict]:
     base = base_spans(text)
     both = [(s, True) for s in base] + [(s, False) for s in candidate_spans(text, base)]
-    return [{"kind": k, "start": a, "stop": b, "pattern": pattern(k, text, a, b), "base": known} for (k, a, b), known in both]
+    return [{"kind": k, "start": a, "stop": b, "pattern": pattern(k, text, a, b, known), "base": known} for (k, a, b), known in both]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

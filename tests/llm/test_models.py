@@ -131,3 +131,40 @@ def test_digest_and_mask(frame, odd_texts):
     masked = {r["doc_id"]: r["text"] for r in pii.mask(docs.withColumn("spans", docs.doc_id)).collect()}
     assert masked[n] == "mail [EMAIL] or [PHONE] now" and masked[n + 1] == "pay [CARD] [CARD] today" and masked[0] is None
     assert pii.digest(frame([])).count() == 0 and pii.mask(frame([])).count() == 0
+
+
+def planted(n, seed=0):
+    """Texts with spans that are personal data and spans that only look alike."""
+    r, texts, wanted = random.Random(seed), [], []
+    digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    for i in range(n):
+        card = next(c for c in iter(lambda: "4" + digits(15), None) if pii.luhn(c))
+        good = [f"mail jo{i} (at) host{i} (dot) com", f"call ({r.randrange(200, 999)}) {digits(3)}-{digits(4)}", f"contact ann{i}@mail{i}.org", f"call +1 {digits(3)} {digits(3)} {digits(4)}", f"card {card}", f"server 10.{i % 256}.3.4"]
+        bad = [f"order {next(c for c in iter(lambda: digits(15), None) if not pii.luhn(c))}", f"version {i}.2.3.4.5", f"on 20{digits(2)}-1{r.randrange(3)}-{digits(2)}", f"serial {digits(2)}/{digits(2)}/{digits(3)}", f"ref x{i}@local"]
+        texts.append(" and then ".join([*r.sample(good, 4), *r.sample(bad, 3)]))
+        wanted.append({f"({g[6:9]}) {g[11:]}" if g.startswith("call (") else f"jo{i} (at) host{i} (dot) com" for g in good if g in texts[-1] and ("(at)" in g or g.startswith("call ("))})
+    return texts, wanted
+
+
+def test_labelers_learn_which_of_them_are_right(frame):
+    texts, wanted = planted(300)
+    rows = {r["doc_id"]: r for r in pii.digest(frame(texts)).collect()}
+    found = [{t[int(a) : int(b)] for k, a, b in (s.split(":") for s in rows[i]["spans"].split(","))} for i, t in enumerate(texts)]
+    base = [{t[a:b] for _, a, b in pii.base_spans(t)} for t in texts]
+    added = [f - b for f, b in zip(found, base, strict=True)]
+    hits, all_added, all_wanted = (sum(map(len, x)) for x in ([a & w for a, w in zip(added, wanted, strict=True)], added, wanted))
+    candidates = sum(len(pii.candidate_spans(t, pii.base_spans(t))) for t in texts)
+    assert hits >= 0.9 * all_wanted and hits >= 0.8 * all_added and all_added < 0.8 * candidates
+
+
+def test_a_random_labeler_is_found_out():
+    texts, _ = planted(300)
+    r, counts = random.Random(1), {}
+    for t in texts:
+        for s in pii._spans(t):
+            kind, signs, rest = s["pattern"].split("|", 2)
+            key = (f"{kind}|{signs[0]}{r.choice('+-')}{signs[2:]}|{rest}", s["base"])
+            counts[key] = counts.get(key, 0) + 1
+    learned = pii.train(counts).reliability
+    for kind in ("card", "ip"):
+        assert abs(learned[kind][1] - 0.5) < 0.12 and learned[kind][0] > 0.8
