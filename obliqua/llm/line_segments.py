@@ -50,7 +50,7 @@ def classes(edits: int, percent: int, least: int) -> list[tuple[int, int, int, i
         if high + k + 2 > changes:
             high = changes
         segment = min(MOST_SEGMENT, low // (k + 1))
-        out.append((low, high, k, segment, segment if segment <= 12 else max(10, min(24, segment * 6 // 10))))
+        out.append((low, high, k, segment, segment if segment <= 12 else max(8, min(24, segment // 2))))
         low = high
     return out
 
