@@ -43,6 +43,27 @@ def check_psfs(psfs: dict[int, np.ndarray], channels: int) -> None:
         raise ValueError(f"{channels} channels need as many three-dimensional point-spread functions, not {len(psfs)}")
 
 
+def plane_medians(voxels: DataFrame, z: int, plane: int) -> DataFrame:
+    """(image_id, t, c, median) of one plane of each slice, zeros too; a slice's plane of ``plane`` voxels is one row."""
+    middle = F.lit((plane - 1) / 2) - (F.lit(plane) - F.size("vs"))  # its place among the voxels with a value
+    at = lambda k: F.when((k >= 0) & (k < F.size("vs")), F.get("vs", k.cast("int"))).otherwise(F.lit(0.0))
+    median = (at(F.floor(middle)) + at(F.ceil(middle))) / 2
+    held = voxels.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.when(F.col("z") == z, F.col("v")))).alias("vs"))
+    return held.select(*KEYS, median.alias("median"))
+
+
+def without_background(voxels: DataFrame, background: float | str, depth: int, plane: int) -> DataFrame:
+    """Values less a number, or less the median of the last plane ("auto") or the one before ("second_last") of their slice; none falls below 0."""
+    if isinstance(background, str):
+        medians = plane_medians(voxels, depth - (1 if background == "auto" else 2), plane)  # a row a slice: small
+        made = voxels.join(medians, KEYS).withColumn("v", F.col("v") - F.col("median"))
+    elif background:
+        made = voxels.withColumn("v", F.col("v") - background)
+    else:
+        return voxels
+    return made.filter("v > 0").select(voxels.columns)
+
+
 def deconvolve(voxels: DataFrame, psfs: dict[int, np.ndarray], shape: tuple[int, int, int], iterations: int = 10, block: tuple[int, int, int] = (64, 128, 128)) -> DataFrame:
     """Deconvolved voxels above 0; ``psfs`` holds one array for each channel (absolute number)."""
     halo = [max(p.shape[k] // 2 for p in psfs.values()) for k in range(3)]

@@ -7,6 +7,7 @@ key by key; the same single value given twice is an error.
 
 from __future__ import annotations
 
+import importlib.util
 import json
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
@@ -36,10 +37,13 @@ class CropSettings:
 class DeconvolutionSettings:
     psf: tuple[str, ...] = ()
     iterations: int = 10
+    background: float | str = 0.0  # taken off before; a word: the median of each slice's last plane ("auto") or the one before ("second_last")
 
     def __post_init__(self):
         if self.iterations < 1:
             raise ValueError("deconvolution takes at least one iteration")
+        if isinstance(self.background, str) and self.background not in ("auto", "second_last"):
+            raise ValueError(f"background is a number, 'auto' or 'second_last', not {self.background!r}")
 
 
 @dataclass(frozen=True)
@@ -74,6 +78,8 @@ class Settings:
                 object.__setattr__(self, name, checked(kind, getattr(self, name)))
         if self.save_type not in EXTENSIONS:
             raise ValueError(f"unknown save type {self.save_type!r}; one of {sorted(EXTENSIONS)}")
+        if self.save_type == "h5" and importlib.util.find_spec("h5py") is None:
+            raise ValueError("saving h5 needs the h5py package; tiff and omezarr need nothing")
         if self.skew not in SKEWS or self.frame not in FRAMES or self.mip_interpolation not in INTERPOLATIONS:
             raise ValueError("unknown skew, frame or interpolation")
         if len(self.pixel_sizes) != 3 or min(self.pixel_sizes) < 0:

@@ -18,8 +18,9 @@ from ..functions.geometry import Acquisition, Box, region_box
 from ..operators import crop as cropping
 from ..operators import decon, estimate, mip, rois
 from ..operators.deskew import deskew
-from ..sources import images, volume
-from .config import Settings
+from ..sources import images, naming, volume
+from ..sources.reader import Opened, open_image
+from .config import Settings, checked
 from .workflow import Workflow, run_workflow
 
 
@@ -47,10 +48,32 @@ def sized_errors(a: Acquisition):
         raise
 
 
+SIZES = ("size_t", "size_c", "size_z", "size_y", "size_x")
+
+
+def open_settings(spark: SparkSession, values: dict) -> tuple[Settings, Opened]:
+    """Settings whose sizes, pixel sizes and type come from the image where the document leaves them out."""
+    opened = open_image(spark, values["input_image"], values.get("scene", 0))
+    known = dict(zip(SIZES, opened.sizes, strict=True))
+    if all(opened.pixel_sizes):
+        known["pixel_sizes"] = opened.pixel_sizes
+    if opened.dtype in dtypes.ITEM_SIZES and opened.dtype != "float64":
+        known["dtype"] = opened.dtype
+    return checked(Settings, known | {k: v for k, v in values.items() if v is not None and k != "scene"}), opened
+
+
 class Pipeline:
-    def __init__(self, spark: SparkSession, settings: Settings, voxels: DataFrame | None = None):
+    """A run over the image that the settings name, or over the given voxels (or an opened image)."""
+
+    def __init__(self, spark: SparkSession, settings: Settings, voxels: DataFrame | Opened | None = None):
         self.spark, self.settings = spark, settings
-        self.voxels = volume.normalise(voxels) if voxels is not None else volume.read_voxels(spark, settings.input_image)
+        opened = open_image(spark, settings.input_image) if voxels is None else voxels
+        self.planes = opened.planes if isinstance(opened, Opened) else None
+        self.voxels = volume.normalise(opened.voxels if isinstance(opened, Opened) else opened)
+        if self.planes is not None:  # the reader knows what the file lacks
+            self.voxels = volume.complete_frames(self.voxels, settings.size_c, settings.size_z, self.planes)
+        if settings.mip and (settings.crop is not None or settings.workflow is not None):
+            warnings.warn("a projection is made of the whole volume: crop and workflow are left out", stacklevel=2)
 
     def raw(self) -> DataFrame:
         """The voxels to process, flipped and deconvolved as told; ranges reach the scan."""
@@ -64,6 +87,12 @@ class Pipeline:
                 raise ValueError(f"{s.size_c} channels need as many point-spread functions, not {len(files)}")
             psfs = {c: images.read_psf(p) for c, p in enumerate(files)}
             decon.check_psfs(psfs, s.size_c)
+            if s.crop is not None and not s.mip:  # no more than the regions' raw blocks and what the functions reach
+                reach = [max(f.shape[k] for f in psfs.values()) for k in range(3)]
+                raw = [cropping.safe_raw_box(s.acquisition, b) for b in self.boxes().values()]
+                ends = [(min(getattr(b, k)[0] for b in raw), max(getattr(b, k)[1] for b in raw)) for k in "zyx"]
+                out = volume.block(out, Box(*[(max(0, low - r), high + r) for (low, high), r in zip(ends, reach, strict=True)]))
+            out = decon.without_background(out, s.deconvolution.background, s.size_z, s.size_y * s.size_x)
             out = decon.deconvolve(out, psfs, (s.size_z, s.size_y, s.size_x), s.deconvolution.iterations)
         return out
 
@@ -79,7 +108,11 @@ class Pipeline:
         wanted = s.crop.roi_subset if s.crop.roi_subset is not None else tuple(range(len(found)))
         if bad := [i for i in wanted if not 0 <= i < len(found)]:
             raise ValueError(f"no regions {bad} among {len(found)}")
-        return {i: region_box([found[i][:2], found[i][2:]], z.start, z.stop) for i in wanted}
+        boxes = {i: region_box([found[i][:2], found[i][2:]], z.start, z.stop) for i in wanted}
+        _, height, width = s.acquisition.output_shape
+        if outside := [i for i, b in boxes.items() if b.y[0] < 0 or b.x[0] < 0 or b.y[1] > height or b.x[1] > width]:
+            warnings.warn(f"regions {outside} reach outside the deskewed volume of {height} x {width}", stacklevel=2)
+        return boxes
 
     def process(self) -> DataFrame:
         """Projection, else crops, else the whole deskewed volume: (image_id, t, c, roi_index, z, y, x, v), pixels in the written type's range."""
@@ -118,31 +151,69 @@ class Pipeline:
         return {i: b.shape for i, b in self.boxes().items()} if s.crop is not None else {0: s.acquisition.output_shape}
 
     def save(self) -> DataFrame:
-        """Writes the result and its sidecars; (roi_index, path, error) of each output, RuntimeError if one failed."""
-        s, path = self.settings, f"{self.settings.save_dir}/{self.settings.name}"
-        made = self.process()
+        """Writes the result and its sidecars; (roi_index, path, error) of each output, RuntimeError if one failed.
+
+        Names that are taken get a number; a volume that the executors' hosts may not hold is warned of.
+        """
+        s = self.settings
+        warn_if_large(s.acquisition, s.dtype, estimate.Limits())
+        made, regions = self.process(), list(self.boxes()) if s.crop is not None and not s.mip else []
         if s.save_type in ("parquet", "csv"):
-            volume_path = f"{path}.{s.save_type}"
+            volume_path = str(naming.free_path(s.save_dir, s.name, s.save_type))
             writer = made.write if s.save_type == "parquet" else made.write.option("header", True)
             with sized_errors(s.acquisition):
                 getattr(writer.partitionBy("t", "c"), s.save_type)(volume_path)
             rows = [(None, volume_path, None)]
+            sidecars = [(i, volume_path, f"{naming.stem(volume_path)}_ROI_{i}") for i in regions] or [(None, volume_path, None)]
         else:
-            files = made.withColumn("roi_index", F.coalesce("roi_index", F.lit(0))).withColumn("t", F.col("t") - s.times.start).withColumn("c", F.col("c") - s.channels.start)
-            status = images.save_regions(files, s.save_dir, s.name, s.save_type, self.shapes(), len(s.times), len(s.channels), dtypes.output_type(s.dtype, s.deconvolution is not None), (s.acquisition.new_dz, *s.pixel_sizes[1:]))
+            kind = dtypes.output_type(s.dtype, s.deconvolution is not None)
+            status = images.save_groups(self._numbered(made), ["roi_index"], s.save_type, {(i,): self._free(f"{s.name}_ROI_{i}") for i in self.shapes()}, {(i,): v for i, v in self.shapes().items()}, len(s.times), len(s.channels), kind, self._voxel())
             with sized_errors(s.acquisition):
                 rows = [tuple(r) for r in status.collect()]  # a row for each file
-        voxel = (s.acquisition.new_dz, *s.pixel_sizes[1:])
-        for roi, target, error in rows:
-            if error is None:
-                origin = (None, 0.0, 0.0) if s.mip else (0.0, 0.0, 0.0)
-                if s.crop is not None and not s.mip:
-                    box = self.boxes()[roi] if roi is not None else None
-                    origin = (float(box.z[0]), float(box.y[0]), float(box.x[0])) if box else origin
-                images.write_sidecar(target, images.sidecar(target, s, origin, voxel, roi, s.mip))
-        if failed := [r for r in rows if r[2] is not None]:
+            sidecars = [(roi if regions else None, path, None) for roi, path, error in rows if error is None]
+        boxes = self.boxes() if regions else {}
+        for roi, target, name in sidecars:
+            origin = (None, 0.0, 0.0) if s.mip else tuple(float(getattr(boxes[roi], k)[0]) for k in "zyx") if roi is not None else (0.0, 0.0, 0.0)
+            images.write_sidecar(target, images.sidecar(target, s, origin, self._voxel(), roi, s.mip), name)
+        return self._told(rows, "roi_index int, path string, error string")
+
+    def save_workflow(self) -> DataFrame:
+        """Writes the workflow's results: one CSV for each region and output that is a table, one image for each time of those that are images.
+
+        (roi_index, output_index, path, error) of each file; regions and outputs are a short list on the driver.
+        """
+        s = self.settings
+        pixels, measures = (self._cut(df) for df in self.process_workflow())
+        name = lambda roi, output, time=None: naming.suffix(s.name, roi, None, time) + f"_output_{output}"
+        tables = [tuple(r) for r in measures.select("roi_index", "output_index").distinct().collect()]
+        rows = [tuple(r) for r in images.save_tables(measures, {k: str(naming.free_path(s.save_dir, name(*k), "csv")) for k in tables}).collect()] if tables else []
+        pictures = [tuple(r) for r in pixels.select("roi_index", "output_index", "t").distinct().collect()]
+        if pictures:
+            shapes, ending = self.shapes(), s.save_type if s.save_type in images.WRITERS else "tiff"
+            paths = {(i, o, t): self._free(name(i, o, t - s.times.start), ending) for i, o, t in pictures}
+            numbered = pixels.withColumn("time", F.col("t")).withColumn("t", F.lit(0)).withColumn("c", F.col("c") - s.channels.start)
+            status = images.save_groups(numbered, ["roi_index", "output_index", "time"], ending, paths, {k: shapes[k[0]] for k in pictures}, 1, len(s.channels), "float32", self._voxel())
+            rows += [tuple(r) for r in status.drop("time").collect()]
+        return self._told(rows, "roi_index int, output_index int, path string, error string")
+
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """Computed once: the workflow runs again for each use otherwise."""
+        return df.persist()
+
+    def _numbered(self, made: DataFrame) -> DataFrame:
+        s = self.settings
+        return made.withColumn("roi_index", F.coalesce("roi_index", F.lit(0))).withColumn("t", F.col("t") - s.times.start).withColumn("c", F.col("c") - s.channels.start)
+
+    def _free(self, name: str, save_type: str | None = None) -> str:
+        return str(naming.free_path(self.settings.save_dir, name, naming.EXTENSIONS[save_type or self.settings.save_type]))
+
+    def _voxel(self) -> tuple[float, float, float]:
+        return (self.settings.acquisition.new_dz, *self.settings.pixel_sizes[1:])
+
+    def _told(self, rows: list[tuple], schema: str) -> DataFrame:
+        if failed := [r for r in rows if r[-1] is not None]:
             raise RuntimeError(f"{len(failed)} of {len(rows)} outputs failed: {failed}")
-        return self.spark.createDataFrame(rows, "roi_index int, path string, error string")
+        return self.spark.createDataFrame(rows, schema)
 
     def estimate(self, limits: estimate.Limits | None = None) -> DataFrame:
         """Memory of every region, or of the whole volume without regions."""

@@ -119,7 +119,7 @@ def table(result: Any, time: str, channel: str) -> pd.DataFrame:
     return rows
 
 
-MEASURES = "roi_index int, output_index int, time string, channel string, name string, row int, value double"
+MEASURES = "roi_index int, output_index int, time string, channel string, name string, place int, row int, value double, text string"
 IMAGES = "roi_index int, output_index int, t int, c int, z int, y int, x int, v double"
 
 
@@ -151,14 +151,17 @@ def run_workflow(slices: DataFrame, workflow: Workflow, shape: tuple[int, int, i
         for index, result in enumerate(results(key, pdf)):
             if not isinstance(result, np.ndarray):
                 frame = table(result, f"T{key[3]}", f"C{key[4]}")
-                for name in frame.columns[2:]:
-                    rows += [(key[0], index, t, c, str(name), i, float(v)) for i, (t, c, v) in enumerate(zip(frame["time"], frame["channel"], frame[name], strict=True)) if pd.notna(v)]
+                for place, name in enumerate(frame.columns[2:]):
+                    for i, (t, c, v) in enumerate(zip(frame["time"], frame["channel"], frame[name], strict=True)):
+                        if not pd.api.types.is_scalar(v) or pd.notna(v):
+                            number = isinstance(v, (int, float, np.number, np.bool_))
+                            rows.append((key[0], index, t, c, str(name), place, i, float(v) if number else None, None if number else str(v)))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURES.split(", ")])
 
     grouped = slices.groupBy(*keys)
     return grouped.applyInPandas(images, IMAGES), grouped.applyInPandas(measured, MEASURES)
 
 
-def pivot(measures: DataFrame, output_index: int, names: list[str]) -> DataFrame:
-    """One output as a table: region, time, channel, row and a column for each name."""
-    return measures.filter(F.col("output_index") == output_index).groupBy("roi_index", "time", "channel", "row").pivot("name", names).agg(F.first("value"))
+def pivot(measures: DataFrame, output_index: int, names: list[str], texts: bool = False) -> DataFrame:
+    """One output as a table: region, time, channel, row and a column for each name; all cells as text if ``texts``."""
+    return measures.filter(F.col("output_index") == output_index).groupBy("roi_index", "time", "channel", "row").pivot("name", names).agg(F.first(F.coalesce("value", "text") if texts else "value"))

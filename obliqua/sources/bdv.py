@@ -66,3 +66,21 @@ def read(path: str, t: int, c: int) -> np.ndarray:
     """The finest level of one slice."""
     with _h5py().File(path, "r") as file:
         return file[f"t{t:05d}/s{c:02d}/0/cells"][()]
+
+
+def describe(path: str) -> tuple[int, int, tuple[int, int, int], str]:
+    """(times, channels, shape, type) of a file."""
+    with _h5py().File(path, "r") as file:
+        times = sorted(k for k in file if k.startswith("t"))
+        cells = file[times[0]]
+        first = cells[sorted(cells)[0]]["0/cells"]
+        return len(times), len(cells), tuple(first.shape), first.dtype.name
+
+
+def voxel_sizes(path: str) -> tuple[float | None, float | None, float | None]:
+    """(z, y, x) sizes from the XML file beside, where there is one."""
+    try:
+        text = Xml.parse(f"{path.removesuffix('.h5')}.xml").findtext(".//voxelSize/size")
+    except (OSError, Xml.ParseError):
+        text = None
+    return tuple(float(n) for n in text.split())[::-1] if text else (None, None, None)

@@ -125,6 +125,13 @@ def describe(path: str, scene_index: int = 0) -> Description | None:
     )
 
 
+def pixel_sizes(path: str) -> tuple[float | None, float | None, float | None]:
+    """(z, y, x) sizes in microns from the scaling in the metadata, which is in metres."""
+    xml = _directory(path)[1]
+    found = {d.get("Id"): d.findtext("Value") for d in ElementTree.fromstring(xml).iterfind(".//Scaling/Items/Distance")} if xml else {}
+    return tuple(float(found[k]) * 1e6 if found.get(k) else None for k in "ZYX")
+
+
 def read_plane(path: str, position: int, height: int, width: int, dtype: str) -> np.ndarray:
     with open(path, "rb") as file:
         file.seek(position + 32)

@@ -75,39 +75,60 @@ def write_tiff(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, i
     os.replace(f"{path}.part", path)
 
 
+def tiff_pages(path: str) -> tuple[list[dict[str, Any]], str]:
+    """Where the pages of a classic or BigTIFF file of stripped, plain or deflated grey planes lie, and the first page's description."""
+    pages, text, names = [], "", {v: k for k, v in TAGS.items()}
+    with open(path, "rb") as file:
+        head = file.read(16)
+        order = {b"II": "<", b"MM": ">"}.get(head[:2])
+        if order is None:
+            raise ValueError(f"{path} is no TIFF file")
+        big = struct.unpack(order + "H", head[2:4])[0] == 43
+        word, number, item = ("Q", "Q", 20) if big else ("I", "H", 12)
+        wide = struct.calcsize(word)
+
+        def at_place(place: int, form: str) -> tuple:
+            file.seek(place)
+            return struct.unpack(order + form, file.read(struct.calcsize(order + form)))
+
+        (at,) = struct.unpack_from(order + word, head, 8 if big else 4)
+        while at:
+            (count,) = at_place(at, number)
+            at += struct.calcsize(number)
+            page: dict[str, list[int]] = {}
+            for k in range(count):
+                tag, field, n = at_place(at + k * item, "HH" + word)
+                letter, place = FIELD.get(field), at + k * item + 4 + wide
+                if tag in names and letter:
+                    if n * struct.calcsize(letter) > wide:
+                        (place,) = at_place(place, word)
+                    if letter == "c":
+                        file.seek(place)
+                        text = text or (file.read(n).rstrip(b"\0").decode(errors="replace") if names[tag] == "description" else "")
+                    else:
+                        page[names[tag]] = list(at_place(place, f"{n}{letter}"))
+            (at,) = at_place(at + count * item, word)
+            how = page.get("compression", [1])[0]
+            if how not in (1, 8, 32946) or page.get("samples", [1])[0] != 1:
+                raise ValueError(f"compression {how} with {page.get('samples', [1])[0]} samples is not read")
+            letter = {1: "u", 2: "i", 3: "f"}[page.get("format", [1])[0]]
+            pages.append({"offsets": page["offsets"], "counts": page["counts"], "deflated": how != 1, "dtype": f"{order}{letter}{page['bits'][0] // 8}", "height": page["height"][0], "width": page["width"][0]})
+    return pages, text
+
+
+def read_page(path: str, page: dict[str, Any]) -> np.ndarray:
+    with open(path, "rb") as file:
+        strips = []
+        for offset, count in zip(page["offsets"], page["counts"], strict=True):
+            file.seek(offset)
+            strips.append(file.read(count))
+    raw = b"".join([zlib.decompress(s) for s in strips] if page["deflated"] else strips)
+    return np.frombuffer(raw, page["dtype"]).reshape(page["height"], page["width"])
+
+
 def read_tiff(path: str) -> np.ndarray:
-    """All pages of a classic or BigTIFF file of stripped, plain or deflated grey planes, as (pages, y, x)."""
-    data = Path(path).read_bytes()
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None:
-        raise ValueError(f"{path} is no TIFF file")
-    big = struct.unpack(order + "H", data[2:4])[0] == 43
-    word, head, item = ("Q", "Q", 20) if big else ("I", "H", 12)
-    at = struct.unpack_from(order + word, data, 8 if big else 4)[0]
-    names, pages = {v: k for k, v in TAGS.items()}, []
-    while at:
-        count = struct.unpack_from(order + head, data, at)[0]
-        at += struct.calcsize(head)
-        page: dict[str, list[int]] = {}
-        for _ in range(count):
-            tag, field, n = struct.unpack_from(order + "HH" + word, data, at)
-            letter = FIELD.get(field)
-            if tag in names and letter and letter != "c":
-                place = at + 4 + struct.calcsize(word)
-                if n * struct.calcsize(letter) > struct.calcsize(word):
-                    place = struct.unpack_from(order + word, data, place)[0]
-                page[names[tag]] = list(struct.unpack_from(f"{order}{n}{letter}", data, place))
-            at += item
-        at = struct.unpack_from(order + word, data, at)[0]
-        letter = {1: "u", 2: "i", 3: "f"}[page.get("format", [1])[0]]
-        kind = np.dtype(f"{order}{letter}{page['bits'][0] // 8}")
-        how = page.get("compression", [1])[0]
-        if how not in (1, 8, 32946):
-            raise ValueError(f"compression {how} is not read")
-        strips = [data[o : o + c] for o, c in zip(page["offsets"], page["counts"], strict=True)]
-        raw = b"".join(strips if how == 1 else [zlib.decompress(s) for s in strips])
-        pages.append(np.frombuffer(raw, kind).reshape(page["height"][0], page["width"][0]))
-    return np.stack(pages)
+    """All pages of a file as (pages, y, x); see ``tiff_pages``."""
+    return np.stack([read_page(path, page) for page in tiff_pages(path)[0]])
 
 
 def write_zarr(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], chunk: tuple[int, int, int] = (64, 256, 256)) -> None:
@@ -148,39 +169,60 @@ def read_psf(path: str, multiple: int | None = None) -> np.ndarray:
     return psf
 
 
-WRITERS = {"tiff": write_tiff, "omezarr": write_zarr}
+def write_h5(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float]) -> None:
+    """A BDV file, where its package is there; one volume at a time."""
+    from . import bdv
+
+    volumes = (np.stack([next(planes) for _ in range(shape[2])]) for _ in range(shape[0] * shape[1]))
+    bdv.write(path, volumes, shape[2:], shape[0], shape[1], written_type(dtype), voxel, shape[2] == 1)
+
+
+WRITERS = {"tiff": write_tiff, "omezarr": write_zarr, "h5": write_h5}
 
 
-def save_regions(voxels: DataFrame, folder: str, prefix: str, kind: str, shapes: dict[int, tuple[int, int, int]], times: int, channels: int, dtype: str, voxel: tuple[float, float, float]) -> DataFrame:
-    """One file for each region of (roi_index, t, c, z, y, x, v); returns a status row a region: failures are told, not raised.
+def save_groups(voxels: DataFrame, by: list[str], kind: str, paths: dict[tuple, str], shapes: dict[tuple, tuple[int, int, int]], times: int, channels: int, dtype: str, voxel: tuple[float, float, float]) -> DataFrame:
+    """One file for each group ``by`` of voxels (t, c, z, y, x, v); returns a status row a group: failures are told, not raised.
 
-    Planes arrive sorted, so a task holds one plane at a time and the group's rows.
+    ``paths`` and ``shapes`` are by the group's key.  A group's voxels must fit a task; planes are built one at a time.
     """
-    write, ending = WRITERS[kind], {"tiff": "ome.tif", "omezarr": "ome.zarr"}[kind]
+    write = WRITERS[kind]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        roi = int(key[0])
-        depth, height, width = shapes[roi]
-        path = f"{folder}/{prefix}_ROI_{roi}.{ending}"
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        key = tuple(int(k) for k in key)
+        (depth, height, width), path = shapes[key], paths[key]
+        pdf = pdf.sort_values(["t", "c", "z"], kind="stable")
+        t, c, z, y, x, v = (pdf[k].to_numpy() for k in ("t", "c", "z", "y", "x", "v"))
+        number = (t.astype(np.int64) * channels + c) * depth + z
 
         def planes() -> Iterator[np.ndarray]:
-            groups = {k: g for k, g in pdf.groupby(["t", "c", "z"], sort=False)}
-            for t in range(times):
-                for c in range(channels):
-                    for z in range(depth):
-                        plane = np.zeros((height, width))
-                        if (t, c, z) in groups:
-                            g = groups[t, c, z]
-                            plane[g["y"].to_numpy(), g["x"].to_numpy()] = g["v"].to_numpy()
-                        yield plane
+            edges = np.searchsorted(number, np.arange(times * channels * depth + 1))
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                plane = np.zeros((height, width))
+                plane[y[low:high], x[low:high]] = v[low:high]
+                yield plane
 
+        error = None
         try:
             write(path, planes(), (times, channels, depth, height, width), dtype, voxel)
-            return pd.DataFrame({"roi_index": [roi], "path": [path], "error": [None]})
-        except Exception as error:  # one region's failure must not lose the others
-            return pd.DataFrame({"roi_index": [roi], "path": [path], "error": [repr(error)]})
+        except Exception as problem:  # one file's failure must not lose the others
+            error = repr(problem)
+        return pd.DataFrame({**{k: [n] for k, n in zip(by, key, strict=True)}, "path": [path], "error": [error]})
+
+    return voxels.groupBy(*by).applyInPandas(run, ", ".join(f"{k} int" for k in by) + ", path string, error string")
+
+
+def save_tables(measures: DataFrame, paths: dict[tuple, str]) -> DataFrame:
+    """One CSV file for each (roi_index, output_index) of measurements in long form; a status row each."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        key = tuple(int(k) for k in key)
+        cell = pdf["value"].astype(object).where(pdf["value"].notna(), pdf["text"])
+        wide = pdf.assign(cell=cell).pivot(index=["time", "channel", "row"], columns="name", values="cell")
+        names = pdf.sort_values("place")["name"].drop_duplicates().tolist()
+        wide[names].reset_index().drop(columns="row").to_csv(paths[key], index=False)
+        return pd.DataFrame({"roi_index": [key[0]], "output_index": [key[1]], "path": [paths[key]], "error": [None]})
 
-    return voxels.groupBy("roi_index").applyInPandas(run, "roi_index int, path string, error string")
+    return measures.groupBy("roi_index", "output_index").applyInPandas(run, "roi_index int, output_index int, path string, error string")
 
 
 def explode_lists(table: DataFrame, columns: list[str]) -> DataFrame:
@@ -217,9 +259,9 @@ def sidecar(output: str, config: Any, origin: tuple[float | None, float, float],
     return {"schema_version": "1.0", "output": {"path": Path(output).name, "roi_index": roi, "projection": projection, "origin_zyx_px": list(origin), "origin_zyx_um": microns}, "config": jsonable(config)}
 
 
-def write_sidecar(output: str, document: dict) -> str | None:
-    """``<name>.lattice.json`` beside an output; a failure is told by None and never raised."""
-    path = Path(output).with_name(f"{stem(output)}.lattice.json")
+def write_sidecar(output: str, document: dict, name: str | None = None) -> str | None:
+    """``<name>.lattice.json`` beside an output, by its own name if none is given; a failure is told by None and never raised."""
+    path = Path(output).with_name(f"{name or stem(output)}.lattice.json")
     try:
         path.write_text(json.dumps(document, indent=2))
         return str(path)

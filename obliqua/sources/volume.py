@@ -97,16 +97,21 @@ def flip_scan(voxels: DataFrame, nz: int) -> DataFrame:
     return voxels.withColumn("z", (F.lit(nz - 1) - F.col("z")).cast("int"))
 
 
-def stack(layers: list[DataFrame], axis: str) -> DataFrame:
-    """Volumes laid one after another along t or c, each by the extent of those before it."""
+def stack(layers: list[DataFrame], axis: str, extents: list[int] | None = None) -> DataFrame:
+    """Volumes laid one after another along t or c, each by the extents of those before it.
+
+    Extents that are not given reach as far as the voxels with a value: one number a layer comes to the driver.
+    """
     if axis not in ("t", "c"):
         raise ValueError("layers stack along t or c")
-    out = None
-    for k, layer in enumerate(layers):
-        moved = layer.withColumn(axis, F.lit(k).cast("int"))
-        out = moved if out is None else out.unionByName(moved)
-    if out is None:
+    if not layers:
         raise ValueError("no layers")
+    if extents is None:
+        extents = [(layer.agg(F.max(axis)).first()[0] or 0) + 1 for layer in layers[:-1]] + [1]
+    out, at = None, 0
+    for layer, extent in zip(layers, extents, strict=True):
+        moved = layer.withColumn(axis, (F.col(axis) + at).cast("int"))
+        out, at = moved if out is None else out.unionByName(moved), at + extent
     return out
 
 
@@ -122,16 +127,15 @@ def named_channels(meta: DataFrame) -> DataFrame:
     return meta.filter(~F.col("channel_name").rlike(r"^Channel:\d+:\d+$"))
 
 
-def complete_frames(voxels: DataFrame, expected: int) -> DataFrame:
-    """Without the last time of each image if one of its volumes is short of voxels.
+def complete_frames(voxels: DataFrame, channels: int, depth: int, planes: DataFrame | None = None) -> DataFrame:
+    """Without the last time of each image if it lacks a plane of some channel.
 
-    ``expected`` counts the rows of a whole volume in this layout.  Only the
-    images that lose a frame are joined, and only by (image, time).
+    ``planes`` (image_id, t, c, z) lists the planes that a reader found; else those count that hold a value.
+    Only the images that lose a frame are joined, and only by (image, time).
     """
-    counts = voxels.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    per_time = counts.groupBy("image_id", "t").agg(F.min("n").alias("least"))
-    last = per_time.groupBy("image_id").agg(F.max(F.struct("t", "least")).alias("last"))
-    bad = last.filter(F.col("last.least") < expected).select("image_id", F.col("last.t").alias("t"))
+    held = (planes if planes is not None else voxels).select(*KEYS, "z").distinct()
+    last = held.groupBy("image_id", "t").agg(F.count("*").alias("n")).groupBy("image_id").agg(F.max(F.struct("t", "n")).alias("last"))
+    bad = last.filter(F.col("last.n") < channels * depth).select("image_id", F.col("last.t").alias("t"))
     return voxels.join(bad, ["image_id", "t"], "left_anti").select(voxels.columns)
 
 

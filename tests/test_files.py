@@ -3,7 +3,8 @@ import struct
 import numpy as np
 import pytest
 
-from obliqua.sources import bdv, czi, images
+from obliqua.sources import bdv, czi, images, reader
+from obliqua.sources.volume import complete_frames
 
 
 def segment(name, data):
@@ -45,6 +46,14 @@ def test_czi_planes_drift_over_one_canvas(spark, tmp_path):
     want = {(k[1], k[3], y, x + k[5]): float(p[y, x]) for k, p in planes.items() if k[0] == 2 for y in range(12) for x in range(20)}
     assert got == want
     assert czi.describe(str(path), 2) is None
+    opened = reader.open_image(spark, str(path), 1)
+    assert opened.sizes == (3, 1, 4, 12, 25) and opened.planes.count() == 12
+    whole = complete_frames(opened.voxels, 1, 4, opened.planes).select("t").distinct().count()
+    assert whole == 3
+    del planes[2, 2, 0, 3, 0, 2]  # the last time is short of a plane
+    write_czi(path, planes)
+    opened = reader.open_image(spark, str(path), 1)
+    assert {r["t"] for r in complete_frames(opened.voxels, 1, 4, opened.planes).select("t").distinct().collect()} == {0, 1}
     (tmp_path / "b.czi").write_bytes(b"no")
     assert czi.describe(str(tmp_path / "b.czi")) is None
 

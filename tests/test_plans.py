@@ -1,3 +1,4 @@
+import importlib.util
 import json
 
 import numpy as np
@@ -5,10 +6,11 @@ import pytest
 
 from obliqua.__main__ import main, parser, settings_from
 from obliqua.functions.geometry import Acquisition
+from obliqua.operators import decon
 from obliqua.operators.mip import project
 from obliqua.plans.config import CropSettings, Settings, checked, merge
 from obliqua.operators.estimate import Limits
-from obliqua.plans.pipeline import Pipeline, sized_errors, warn_if_large
+from obliqua.plans.pipeline import Pipeline, open_settings, sized_errors, warn_if_large
 from obliqua.plans.workflow import Workflow, table
 from obliqua.sources import images, naming
 from obliqua.streaming.projection import SCHEMA, read_planes, running_projection, start
@@ -45,6 +47,59 @@ def test_zarr_chunks(tmp_path):
     assert (chunk[0, 0] == planes).all()
 
 
+@pytest.mark.parametrize("kind", ["tiff", "omezarr"])
+def test_images_open_with_their_metadata(spark, tmp_path, kind):
+    raw = np.random.default_rng(2).integers(0, 99, (2, 2, 3, 5, 70)).astype(float)
+    path = str(tmp_path / f"a.ome.{'tif' if kind == 'tiff' else 'zarr'}")
+    images.WRITERS[kind](path, iter(raw.reshape(-1, 5, 70)), raw.shape, "uint16", (0.5, 0.25, 0.25))
+    made, opened = open_settings(spark, {"input_image": path, "save_dir": str(tmp_path), "angle": 40.0})
+    assert (opened.sizes, made.dtype, made.pixel_sizes, made.size_x, made.angle) == ((2, 2, 3, 5, 70), "uint16", (0.5, 0.25, 0.25), 70, 40.0)
+    got = np.zeros(raw.shape)
+    for v in opened.voxels.collect():
+        got[v["t"], v["c"], v["z"], v["y"], v["x"]] = v["v"]
+    assert (got == raw).all()
+    assert Pipeline(spark, made).process().count() > 0
+
+
+def test_names_that_are_taken_stay(spark, tmp_path):
+    run = Pipeline(spark, settings(tmp_path, save_type="tiff"), frame(spark, blob()))
+    first, second = run.save().first()["path"], run.save().first()["path"]
+    assert first != second and images.read_tiff(first).shape == images.read_tiff(second).shape
+
+
+def test_crops_have_a_sidecar_each(spark, tmp_path):
+    regions = tmp_path / "r.csv"
+    regions.write_text("index,axis-0,axis-1\n" + "".join(f"{k},{y + 3 * k},{x}\n" for k in (0, 1) for y, x in ((6, 2), (6, 8), (12, 8), (12, 2))))
+    run = Pipeline(spark, settings(tmp_path, crop=CropSettings(str(regions))), frame(spark, blob()))
+    run.save()
+    origins = [json.loads((tmp_path / f"image_deskewed_ROI_{k}.lattice.json").read_text())["output"]["origin_zyx_px"][1] for k in (0, 1)]
+    assert origins[1] - origins[0] == 3
+
+
+def test_workflow_results_are_saved(spark, tmp_path):
+    flow = {"mask": ["threshold", "deskewed_image", 50.0], "labels": ["label", "mask"], "out": ["regionprops", "labels"]}
+    rows = Pipeline(spark, settings(tmp_path, workflow=flow), frame(spark, blob())).save_workflow().collect()
+    assert [r["path"].rpartition(".")[2] for r in rows] == ["csv"]
+    head, line = (tmp_path / "image_deskewed_ROI_0_output_0.csv").read_text().splitlines()[:2]
+    assert head.startswith("time,channel,label,area,centroid-0") and line.startswith("T0,C0,1")
+    rows = Pipeline(spark, settings(tmp_path, workflow={"mask": ["threshold", "deskewed_image", 50.0]}, save_type="tiff"), frame(spark, blob())).save_workflow().collect()
+    assert len(rows) == 1 and images.read_tiff(rows[0]["path"]).max() == 1
+
+
+def test_deconvolution_takes_off_a_background_and_no_more_than_the_crop(spark, tmp_path):
+    psf = np.zeros((1, 1, 3, 3, 3))
+    psf[0, 0, 1, 1, 1] = 1
+    path, regions = str(tmp_path / "psf.tif"), tmp_path / "r.csv"
+    images.write_tiff(path, iter(psf[0, 0]), psf.shape, "float32", (1, 1, 1))
+    regions.write_text("index,axis-0,axis-1\n" + "".join(f"0,{y},{x}\n" for y, x in ((6, 2), (6, 8), (16, 8), (16, 2))))
+    for extra in ({}, {"crop": CropSettings(str(regions))}):
+        plain = Pipeline(spark, settings(tmp_path, **extra), frame(spark, np.maximum(blob() - 20, 0)))
+        less = Pipeline(spark, settings(tmp_path, deconvolution={"psf": (path,), "iterations": 3, "background": 20.0}, **extra), frame(spark, blob()))
+        want, got = ({tuple(r[k] for k in "zyx"): r["v"] for r in p.process().collect() if r["v"] > 1} for p in (plain, less))
+        assert set(want) == set(got) and all(abs(want[k] - got[k]) <= 1 for k in want)
+    assert decon.plane_medians(frame(spark, np.array([[[0, 3.0], [5, 9]]])), 0, 4).first()["median"] == 4.0
+
+
 @pytest.mark.parametrize("kind", ["tiff", "omezarr", "parquet"])
 def test_pipeline_saves_and_leaves_a_sidecar(spark, tmp_path, kind):
     raw = blob()
@@ -93,13 +148,16 @@ def test_settings_are_checked(tmp_path):
         settings(tmp_path, time_range=(0, 4))
     with pytest.raises(ValueError):
         settings(tmp_path).copy_with(skew="Q")
+    if importlib.util.find_spec("h5py") is None:
+        with pytest.raises(ValueError, match="h5py"):
+            settings(tmp_path, save_type="h5")
     assert settings(tmp_path).name == settings(tmp_path, save_name="image_deskewed").name == "image_deskewed"
 
 
 def test_command_line(tmp_path, capsys):
     document = tmp_path / "c.json"
     document.write_text(json.dumps({"input_image": "a", "save_dir": "b", "size_t": 1, "size_c": 1, "size_z": 4, "size_y": 5, "size_x": 6}))
-    made = settings_from(parser().parse_args(["process", "--config", str(document), "--angle", "40", "--roi-files", "x.csv"]))
+    made = checked(Settings, settings_from(parser().parse_args(["process", "--config", str(document), "--angle", "40", "--roi-files", "x.csv"])))
     assert (made.angle, made.crop.roi_files) == (40.0, ("x.csv",))
     assert main(["--show-schema"]) == 0
     assert "angle" in json.loads(capsys.readouterr().out)
