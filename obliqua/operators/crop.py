@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Acquisition, Box, crop_plan, safe_raw_box
 from ..sources.volume import KEYS, block
-from .deskew import deskew, taps
+from .deskew import deskew, taps, to_lines
 
 TILE = 32
 BOUNDS = "roi_index int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int, rz0 int, rz1 int, ry0 int, ry1 int, rx0 int, rx1 int"
@@ -47,15 +47,17 @@ def crop(voxels: DataFrame, a: Acquisition, boxes: dict[int, Box], dense: bool =
         tiles = regions.filter("rz1 > rz0 and ry1 > ry0 and rx1 > rx0")
         for axis in "zyx":
             tiles = tiles.withColumn(f"t{axis}", tile(f"r{axis}0", f"r{axis}1"))
-        keyed = voxels.select("*", *[F.floor(F.col(k) / TILE).alias(f"t{k}") for k in "zyx"])
         # the union of all blocks bounds the scan with literals
         raw = [safe_raw_box(a, b) for b in boxes.values()]
-        keyed = block(keyed, Box(*[(min(getattr(r, k)[0] for r in raw), max(getattr(r, k)[1] for r in raw)) for k in "zyx"]))
-        met = keyed.join(tiles, ["tz", "ty", "tx"])
-        for k in "zyx":
+        held = block(voxels, Box(*[(min(getattr(r, k)[0] for r in raw), max(getattr(r, k)[1] for r in raw)) for k in "zyx"]))
+        # pieces of lines, as long as a tile, meet the regions; their places and weights are worked out once
+        pieces = to_lines(held.withColumn(f"t{a.other}", F.floor(F.col(a.other) / TILE)), a, [*KEYS, f"t{a.other}"])
+        met = pieces.select("*", *[F.floor(F.col(k) / TILE).alias(f"t{k}") for k in ("z", a.lateral)]).join(tiles, ["tz", "ty", "tx"])
+        for k in ("z", a.lateral):
             met = met.filter((F.col(k) >= F.col(f"r{k}0")) & (F.col(k) < F.col(f"r{k}1")))
         made = taps(met, a)
-        place = {"z": F.col("zc"), a.lateral: F.col("lc"), a.other: F.col(a.other)}
+        made = made.select(*[c for c in made.columns if c != "line"], F.inline("line")).filter((F.col("at") >= F.col(f"r{a.other}0")) & (F.col("at") < F.col(f"r{a.other}1")))
+        place = {"z": F.col("zc"), a.lateral: F.col("lc"), a.other: F.col("at")}
         inside = F.lit(True)
         for k in "zyx":
             inside = inside & (place[k] >= F.col(f"{k}0")) & (place[k] < F.col(f"{k}1"))

@@ -2,9 +2,10 @@
 
 The output is a weighted sum of four raw voxels in the (scan, lateral) plane.
 Seen from a raw voxel, the outputs that it is one of the four for lie in a
-small window whose bounds follow from its place.  So each voxel expands to its
+small window whose bounds follow from its place.  Places and weights are the same for a whole line along the
+third axis, so voxels first gather into lines; each line expands to its
 window, the exact kernel formulas keep the true members and give weights, and a sum
-per output voxel finishes.  That is one shuffle, combined before it, with no join; the
+per output voxel, combined before its shuffle, finishes.  There is no join of a grid with the pixels, and the
 interpolation never meets voxels that do not exist.
 """
 
@@ -66,6 +67,11 @@ def objective_taps(voxels: DataFrame, a: Acquisition) -> DataFrame:
     return rows.filter(inside).withColumn("w", weight).filter("w is not null").withColumn("w", F.col("w") / F.lit(a.step)).withColumn("zc", F.lit(depth - 1) - F.col("zk"))
 
 
+def to_lines(voxels: DataFrame, a: Acquisition, keys: list[str]) -> DataFrame:
+    """One row for each line of the third axis, its voxels in ``line``; a line never holds more than that axis."""
+    return voxels.groupBy(*keys, "z", a.lateral).agg(F.collect_list(F.struct(F.col(a.other).alias("at"), F.col("v"))).alias("line"))
+
+
 def taps(voxels: DataFrame, a: Acquisition) -> DataFrame:
     return shear_taps(voxels, a) if a.frame == "shear" else objective_taps(voxels, a)
 
@@ -79,8 +85,8 @@ def deskew(voxels: DataFrame, a: Acquisition, box: Box | None = None, keys: list
     keys = KEYS if keys is None else keys
     if box is not None:
         voxels = block(voxels, safe_raw_box(a, box))
-    made = taps(voxels, a)
-    place = {"z": F.col("zc"), a.lateral: F.col("lc"), a.other: F.col(a.other)}
+    made = taps(to_lines(voxels, a, keys), a).select(*keys, "zc", "lc", "w", F.inline("line"))
+    place = {"z": F.col("zc"), a.lateral: F.col("lc"), a.other: F.col("at")}
     made = made.select(*keys, *[place[k].cast("int").alias(k) for k in "zyx"], (F.col("w") * F.col("v")).alias("v"))
     if box is not None:
         made = made.filter(between("z", box.z) & between("y", box.y) & between("x", box.x))

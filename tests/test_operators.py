@@ -194,7 +194,18 @@ def test_incomplete_last_frame_is_dropped(spark):
     whole, short = np.ones((2, 3, 3)), np.ones((2, 3, 3))
     short[1] = 0
     both = frame(spark, whole, 0).unionByName(frame(spark, short, 1))
-    assert {r["t"] for r in volume.complete_frames(both, 18).collect()} == {0}
+    assert {r["t"] for r in volume.complete_frames(both, 1, 2).collect()} == {0}
+    # a plane that was found counts, whatever it holds; a channel that is missing as a whole does not
+    found = both.select("image_id", "t", "c", "z").unionByName(spark.createDataFrame([(0, 1, 0, 1)], "image_id int, t int, c int, z int"))
+    assert {r["t"] for r in volume.complete_frames(both, 1, 2, found).collect()} == {0, 1}
+    assert {r["t"] for r in volume.complete_frames(both, 2, 2, found).collect()} == {0}
+
+
+def test_layers_stack_by_their_extents(spark):
+    layer = frame(spark, np.ones((1, 1, 2)), 0).unionByName(frame(spark, np.ones((1, 1, 2)), 1))
+    made = volume.stack([layer, layer], "t")
+    assert made.count() == made.distinct().count() == 8 and {r["t"] for r in made.collect()} == {0, 1, 2, 3}
+    assert {r["t"] for r in volume.stack([layer, layer], "t", [5, 2]).collect()} == {0, 1, 5, 6}
 
 
 def test_ranges():
