@@ -1,7 +1,6 @@
 """Image files without imaging libraries: OME-TIFF and OME-Zarr writers, a TIFF reader, CSV and sidecar sinks.
 
-Arrays are (t, c, z, y, x).  Writers of files run once for each region in a
-task of its own, on a folder that all executors share.
+Arrays are (t, c, z, y, x).  Files are written by tasks, on a folder that all executors share.
 """
 
 from __future__ import annotations
@@ -9,10 +8,13 @@ from __future__ import annotations
 import json
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, is_dataclass
 from enum import Enum
+from itertools import groupby, repeat
+from operator import itemgetter
 from pathlib import Path
 from typing import Any
 
@@ -43,15 +45,28 @@ def ome_xml(shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[floa
 
 def write_tiff(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], channels: list[str] | None = None) -> None:
     """A BigTIFF with one deflated page for each plane, streamed in t, c, z order; the name appears when all is written."""
+
+    def deflated() -> Iterator[bytes]:
+        for number, plane in enumerate(planes):
+            if plane.shape != shape[-2:]:
+                raise ValueError(f"plane {number} is {plane.shape}, not {shape[-2:]}")
+            yield deflate(plane, dtype)
+
+    write_pages(path, deflated(), shape, dtype, voxel, channels)
+
+
+def deflate(plane: np.ndarray, dtype: str) -> bytes:
+    return zlib.compress(np.ascontiguousarray(plane.astype(np.dtype(written_type(dtype)).newbyteorder("<"))).tobytes())
+
+
+def write_pages(path: str, pages: Iterator[bytes], shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], channels: list[str] | None = None) -> None:
+    """The same from planes that are deflated already."""
     dtype = written_type(dtype)
     kind = np.dtype(dtype).newbyteorder("<")
     with open(f"{path}.part", "wb") as file:
         file.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16))
         link = 8
-        for number, plane in enumerate(planes):
-            if plane.shape != shape[-2:]:
-                raise ValueError(f"plane {number} is {plane.shape}, not {shape[-2:]}")
-            data = zlib.compress(np.ascontiguousarray(plane.astype(kind)).tobytes())
+        for number, data in enumerate(pages):
             at = file.tell()
             file.write(data)
             entries = [("width", 4, shape[4]), ("height", 4, shape[3]), ("bits", 3, 8 * kind.itemsize), ("compression", 3, 8), ("photometric", 3, 1), ("offsets", 16, at), ("samples", 3, 1), ("rows", 4, shape[3]), ("counts", 16, len(data)), ("format", 3, FORMATS[kind.kind])]
@@ -131,10 +146,12 @@ def read_tiff(path: str) -> np.ndarray:
     return np.stack([read_page(path, page) for page in tiff_pages(path)[0]])
 
 
-def write_zarr(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], chunk: tuple[int, int, int] = (64, 256, 256)) -> None:
-    """An OME-Zarr 0.4 group of one level, chunks of one (t, c) each, zlib-compressed."""
-    dtype = written_type(dtype)
-    kind = np.dtype(dtype).newbyteorder("<" if np.dtype(dtype).itemsize > 1 else "|")
+CHUNK = (64, 256, 256)
+
+
+def start_zarr(path: str, shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], chunk: tuple[int, int, int] = CHUNK) -> None:
+    """The metadata of an OME-Zarr 0.4 group of one level, chunks of one (t, c) each, zlib-compressed; chunks that are not there hold 0."""
+    kind = np.dtype(written_type(dtype)).newbyteorder("<" if np.dtype(written_type(dtype)).itemsize > 1 else "|")
     chunks = [1, 1, *[min(a, b) for a, b in zip(chunk, shape[2:], strict=True)]]
     level = Path(path) / "0"
     level.mkdir(parents=True, exist_ok=True)
@@ -144,19 +161,33 @@ def write_zarr(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, i
     (Path(path) / ".zgroup").write_text(json.dumps({"zarr_format": 2}))
     (Path(path) / ".zattrs").write_text(json.dumps(attributes))
     (level / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": chunks, "dtype": kind.str, "compressor": {"id": "zlib", "level": 5}, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "/"}))
-    source = iter(planes)
+
+
+def write_slab(path: str, t: int, c: int, z: int, slab: np.ndarray, dtype: str, depth: int, chunk: tuple[int, int, int] = CHUNK) -> None:
+    """The chunks of planes from ``z``, a multiple of the chunks' depth, on; each file appears when it is whole."""
+    kind = np.dtype(written_type(dtype)).newbyteorder("<")
+    size = [min(chunk[0], depth), *[min(a, b) for a, b in zip(chunk[1:], slab.shape[1:], strict=True)]]
+    for y in range(0, slab.shape[1], size[1]):
+        for x in range(0, slab.shape[2], size[2]):
+            part = slab[:, y : y + size[1], x : x + size[2]]
+            if part.any():
+                full = np.zeros(size, kind)
+                full[tuple(slice(0, n) for n in part.shape)] = part
+                file = Path(path) / "0" / str(t) / str(c) / str(z // size[0]) / str(y // size[1]) / str(x // size[2])
+                file.parent.mkdir(parents=True, exist_ok=True)
+                part_file = file.with_name(f"{file.name}.{uuid.uuid4().hex}.part")
+                part_file.write_bytes(zlib.compress(full.tobytes(), 5))
+                os.replace(part_file, file)
+
+
+def write_zarr(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], chunk: tuple[int, int, int] = CHUNK) -> None:
+    """A whole group from planes in t, c, z order."""
+    start_zarr(path, shape, dtype, voxel, chunk)
+    source, depth = iter(planes), min(chunk[0], shape[2])
     for t in range(shape[0]):
         for c in range(shape[1]):
-            for z in range(0, shape[2], chunks[2]):
-                slab = np.stack([next(source) for _ in range(min(chunks[2], shape[2] - z))]).astype(kind)
-                for y in range(0, shape[3], chunks[3]):
-                    for x in range(0, shape[4], chunks[4]):
-                        part = slab[:, y : y + chunks[3], x : x + chunks[4]]
-                        full = np.zeros(chunks[2:], kind)
-                        full[tuple(slice(0, n) for n in part.shape)] = part
-                        file = level / str(t) / str(c) / str(z // chunks[2]) / str(y // chunks[3]) / str(x // chunks[4])
-                        file.parent.mkdir(parents=True, exist_ok=True)
-                        file.write_bytes(zlib.compress(full.tobytes(), 5))
+            for z in range(0, shape[2], depth):
+                write_slab(path, t, c, z, np.stack([next(source) for _ in range(min(depth, shape[2] - z))]), dtype, shape[2], chunk)
 
 
 def read_psf(path: str, multiple: int | None = None) -> np.ndarray:
@@ -180,35 +211,87 @@ def write_h5(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, int
 WRITERS = {"tiff": write_tiff, "omezarr": write_zarr, "h5": write_h5}
 
 
+def _dense(pdf: pd.DataFrame, z: int, shape: tuple[int, int, int]) -> np.ndarray:
+    out = np.zeros(shape)
+    out[pdf["z"].to_numpy() - z, pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["v"].to_numpy()
+    return out
+
+
 def save_groups(voxels: DataFrame, by: list[str], kind: str, paths: dict[tuple, str], shapes: dict[tuple, tuple[int, int, int]], times: int, channels: int, dtype: str, voxel: tuple[float, float, float]) -> DataFrame:
     """One file for each group ``by`` of voxels (t, c, z, y, x, v); returns a status row a group: failures are told, not raised.
 
-    ``paths`` and ``shapes`` are by the group's key.  A group's voxels must fit a task; planes are built one at a time.
+    ``paths`` and ``shapes`` are by the group's key.  TIFF: planes are deflated each in a task of its own, and one task a file
+    strings them together as they come, a few at a time.  OME-Zarr: a task for each slab of chunks.  BDV: a task for each group.
     """
-    write = WRITERS[kind]
+    named = ", ".join(f"{k} int" for k in by)
+    status = f"{named}, path string, error string"
+    whole = lambda key: (times, channels, *shapes[key])
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        key = tuple(int(k) for k in key)
-        (depth, height, width), path = shapes[key], paths[key]
-        pdf = pdf.sort_values(["t", "c", "z"], kind="stable")
-        t, c, z, y, x, v = (pdf[k].to_numpy() for k in ("t", "c", "z", "y", "x", "v"))
-        number = (t.astype(np.int64) * channels + c) * depth + z
-
-        def planes() -> Iterator[np.ndarray]:
-            edges = np.searchsorted(number, np.arange(times * channels * depth + 1))
-            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                plane = np.zeros((height, width))
-                plane[y[low:high], x[low:high]] = v[low:high]
-                yield plane
-
-        error = None
+    def told(key: tuple, error: str | None) -> pd.DataFrame:
+        return pd.DataFrame({**{k: [n] for k, n in zip(by, key, strict=True)}, "path": [paths[key]], "error": [error]})
+
+    def guarded(key: tuple, work) -> pd.DataFrame:
         try:
-            write(path, planes(), (times, channels, depth, height, width), dtype, voxel)
+            work()
+            return told(key, None)
         except Exception as problem:  # one file's failure must not lose the others
-            error = repr(problem)
-        return pd.DataFrame({**{k: [n] for k, n in zip(by, key, strict=True)}, "path": [path], "error": [error]})
+            return told(key, repr(problem))
+
+    if kind == "tiff":
+
+        def page(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            *group, t, c, z = (int(k) for k in key)
+            depth, height, width = shapes[tuple(group)]
+            data = deflate(_dense(pdf, z, (1, height, width))[0], dtype)
+            return pd.DataFrame({**{k: [n] for k, n in zip(by, group, strict=True)}, "number": [(t * channels + c) * depth + z], "data": [data]})
+
+        def bound(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = ((tuple(int(k) for k in r[: len(by)]), int(r[-2]), r[-1]) for part in parts for r in part.itertuples(index=False))
+            for key, group in groupby(rows, key=itemgetter(0)):
+                depth, height, width = shapes[key]
+                empty = deflate(np.zeros((height, width)), dtype)
+
+                def pages(group=group, last=times * channels * depth, empty=empty) -> Iterator[bytes]:
+                    at = 0
+                    for _, number, data in group:
+                        yield from repeat(empty, number - at)
+                        yield data
+                        at = number + 1
+                    yield from repeat(empty, last - at)
+
+                yield guarded(key, lambda key=key, pages=pages: write_pages(paths[key], pages(), whole(key), dtype, voxel))
+
+        planes = voxels.groupBy(*by, "t", "c", "z").applyInPandas(page, f"{named}, number long, data binary")
+        return planes.repartition(*by).sortWithinPartitions(*by, "number").mapInPandas(bound, status)
+    if kind == "omezarr":
+        for key, path in paths.items():
+            start_zarr(path, whole(key), dtype, voxel)
+        depths = {key: min(CHUNK[0], shape[0]) for key, shape in shapes.items()}
+
+        def slab(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            *group, t, c, step = (int(k) for k in key)
+            group = tuple(group)
+            z, (depth, height, width) = step * depths[group], shapes[group]
+            size = (min(depths[group], depth - z), height, width)
+            return guarded(group, lambda: write_slab(paths[group], t, c, z, _dense(pdf, z, size), dtype, depth))
+
+        depth = F.lit(CHUNK[0])
+        for key, shape in shapes.items():
+            same = F.lit(True)
+            for k, n in zip(by, key, strict=True):
+                same = same & (F.col(k) == n)
+            depth = depth if shape[0] >= CHUNK[0] else F.when(same, shape[0]).otherwise(depth)
+        slabs = voxels.withColumn("step", F.floor(F.col("z") / depth).cast("int")).groupBy(*by, "t", "c", "step").applyInPandas(slab, status)
+        return slabs.groupBy(*by, "path").agg(F.max("error").alias("error"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        key = tuple(int(k) for k in key)
+        groups = dict(tuple(pdf.groupby(["t", "c", "z"])))
+        places = ((t, c, z) for t in range(times) for c in range(channels) for z in range(shapes[key][0]))
+        planes = (_dense(groups.get(p, pdf[:0]), p[2], (1, *shapes[key][1:]))[0] for p in places)
+        return guarded(key, lambda: WRITERS[kind](paths[key], planes, whole(key), dtype, voxel))
 
-    return voxels.groupBy(*by).applyInPandas(run, ", ".join(f"{k} int" for k in by) + ", path string, error string")
+    return voxels.groupBy(*by).applyInPandas(run, status)
 
 
 def save_tables(measures: DataFrame, paths: dict[tuple, str]) -> DataFrame:

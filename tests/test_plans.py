@@ -3,6 +3,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from obliqua.__main__ import main, parser, settings_from
 from obliqua.functions.geometry import Acquisition
@@ -13,6 +14,7 @@ from obliqua.operators.estimate import Limits
 from obliqua.plans.pipeline import Pipeline, open_settings, sized_errors, warn_if_large
 from obliqua.plans.workflow import Workflow, table
 from obliqua.sources import images, naming
+from obliqua.sources.reader import open_image
 from obliqua.streaming.projection import SCHEMA, read_planes, running_projection, start
 from tests.test_operators import dense, frame
 
@@ -61,6 +63,24 @@ def test_images_open_with_their_metadata(spark, tmp_path, kind):
     assert Pipeline(spark, made).process().count() > 0
 
 
+@pytest.mark.parametrize("kind", ["tiff", "omezarr"])
+def test_files_of_many_tasks_equal_the_voxels(spark, tmp_path, kind):
+    raw = np.random.default_rng(3).integers(0, 9, (2, 2, 70, 3, 4)).astype(float)
+    raw[1, 0] = raw[0, 1, 3:9] = 0
+    whole = None
+    for t in range(2):
+        for c in range(2):
+            one = frame(spark, raw[t, c], t).withColumn("c", F.lit(c))
+            whole = one if whole is None else whole.unionByName(one)
+    path = str(tmp_path / f"a.ome.{'tif' if kind == 'tiff' else 'zarr'}")
+    status = images.save_groups(whole.withColumn("roi_index", F.lit(0)), ["roi_index"], kind, {(0,): path}, {(0,): raw.shape[2:]}, 2, 2, "uint16", (1.0, 1.0, 1.0)).collect()
+    assert [(r["path"], r["error"]) for r in status] == [(path, None)]
+    got = np.zeros(raw.shape)
+    for v in open_image(spark, path).voxels.collect():
+        got[v["t"], v["c"], v["z"], v["y"], v["x"]] = v["v"]
+    assert (got == raw).all()
+
+
 def test_names_that_are_taken_stay(spark, tmp_path):
     run = Pipeline(spark, settings(tmp_path, save_type="tiff"), frame(spark, blob()))
     first, second = run.save().first()["path"], run.save().first()["path"]
