@@ -153,3 +153,23 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
     result = checkpointed(read_shards(spark, path))
     remove_path(spark, path)
     return result
+
+
+def occurrences(stored: DataFrame, token: int, most_places: int = 0) -> DataFrame:
+    """part, shard, n, places: how often a token id occurs in each shard that holds it, and its first ``most_places`` places there.
+
+    Counting and lookup go by rank and select on the planes that the id's bits name; no id is decoded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part, shard, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                matrix, _, _ = open_shard(image.as_py())
+                n = matrix.count(token)
+                if n:
+                    rows.append((part, shard, n, [matrix.locate(token, k) for k in range(min(n, most_places))]))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["part", "shard", "n", "places"])
+
+    return stored.select("part", "shard", "image").mapInArrow(run, "part long, shard long, n long, places array<long>")

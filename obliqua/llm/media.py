@@ -1,7 +1,7 @@
 """Media columns: texts kept as FLAC files in a binary column, and PCM blocks read from them.
 
 ``to_media`` makes the column, ``pcm_blocks`` decodes it to rows with sample offsets, and
-``media_features`` reads it back and describes each payload.  Nothing is shuffled.
+``media_features`` reads it back as the same blocks and describes each payload.  Nothing is shuffled.
 
 Defined cases: null text is empty; a payload is the text's UTF-8 with spaces up
 to a positive multiple of 192 bytes; equal texts give equal files; a damaged
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import string_bytes, text_slices
-from .flac import BLOCK, decode_many, encode_many
+from .flac import BLOCK, FlacError, decode_many, encode_many, read_metadata
 
 UNIT = 192
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
@@ -69,16 +69,24 @@ def _small(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatc
         at = to
 
 
+def _blocks(file: bytes, samples: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(first sample, unsigned bytes) of each block of a decoded file; FlacError where its seek table tells other offsets."""
+    pcm = (samples + 128).astype(np.uint8).tobytes()
+    starts = list(range(0, len(pcm), BLOCK))
+    points = read_metadata(file).points
+    if points and [p[0] for p in points] != starts:
+        raise FlacError("the seek table does not tell the blocks")
+    return ((at, pcm[at : at + BLOCK]) for at in starts)
+
+
 def pcm_blocks(media: DataFrame) -> DataFrame:
     """doc_id, block, first_sample, n_samples, pcm (unsigned bytes): the stored files decoded, a row for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _small(whole):
-                rows = []
-                for doc, samples in zip(batch.column(0).to_pylist(), decode_many(batch.column(1).to_pylist()), strict=True):
-                    pcm = (samples + 128).astype(np.uint8).tobytes()
-                    rows += [(doc, i, at, len(pcm[at : at + BLOCK]), pcm[at : at + BLOCK]) for i, at in enumerate(range(0, len(pcm), BLOCK))]
+                files = batch.column(1).to_pylist()
+                rows = [(doc, i, at, len(pcm), pcm) for doc, file, samples in zip(batch.column(0).to_pylist(), files, decode_many(files), strict=True) for i, (at, pcm) in enumerate(_blocks(file, samples))]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "block", "first_sample", "n_samples", "pcm"])
 
@@ -89,7 +97,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in _small(whole):
             files = batch.column(2).to_pylist()
-            back = [(x + 128).astype(np.uint8).tobytes() for x in decode_many(files)]
+            back = [b"".join(pcm for _, pcm in _blocks(file, samples)) for file, samples in zip(files, decode_many(files), strict=True)]
             columns = [
                 batch.column(0),
                 batch.column(1),

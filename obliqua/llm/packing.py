@@ -7,7 +7,7 @@ individual is the bin of each piece.  Crossover takes the well-filled bins of on
 parent whole into the other, dissolves the bins there that hold a piece twice, and
 best-fits the displaced pieces, longest first.  Between epochs each island's
 elite travels to the next island of its group, as one row; at the end the best
-elite of a group is its packing.  The pieces of each group's emptiest bin are packed once more, across groups.
+elite of a group is its packing.  The pieces of each group's emptiest bin are packed again, across groups, until one group is left.
 
 Only lengths travel between stages, and a group's size never depends on the
 table's: rows are dealt by a number of their own, so that equal ones spread too.  Defined cases: null text is empty; an empty document is one id long;
@@ -165,12 +165,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_pieces: int = 409
     ga = {"capacity": capacity, "group_pieces": group_pieces, "islands": islands, "epochs": epochs, "population": population, "generations": generations}
     if "deal" not in pieces.columns:
         pieces = pieces.withColumn("deal", F.lit(0).cast("long"))
-    packed, groups = _pack_groups(pieces, **ga)
-    if groups == 1:
-        return packed.drop("open", "deal")
-    packed = checkpointed(packed)
-    again, _ = _pack_groups(packed.filter("open").select(*pieces.columns), **ga)
-    return packed.filter("not open").unionByName(again.withColumn("sequence_id", -1 - F.col("sequence_id"))).drop("open", "deal")
+    out, rest = None, pieces
+    for level in range(64):  # the emptiest bins hold a small share of the pieces, so a few rounds leave one group
+        packed, groups = _pack_groups(rest, **ga)
+        packed = packed.withColumn("sequence_id", F.col("sequence_id") + F.lit(level << 56))
+        if groups > 1:
+            packed = checkpointed(packed)
+        again = groups > 1 and not packed.filter("not open").isEmpty()
+        settled = (packed.filter("not open") if again else packed).drop("open", "deal")
+        out = settled if out is None else out.unionByName(settled)
+        if not again:
+            break
+        rest = packed.filter("open").select(*pieces.columns)
+    return out
 
 
 def _pack_groups(pieces: DataFrame, capacity: int, group_pieces: int, islands: int, epochs: int, population: int, generations: int) -> tuple[DataFrame, int]:

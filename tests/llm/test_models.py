@@ -74,6 +74,28 @@ def test_exception_phrases_and_empty_lexicons(spark, frame):
     assert toxicity.score(frame(["moron", None]), none).filter("score < 0.01").count() == 2
 
 
+def test_densities_equal_a_naive_matcher():
+    r = random.Random(8)
+    vocabulary = [words(i, 1) for i in range(30)]
+    weights = {f" {w} " if r.random() < 0.5 else f" {w[:4]}": 1 + r.random() * 4 for w in vocabulary[:12] if len(w) >= 4}
+    lexicon = toxicity.Lexicon(weights, [f"{vocabulary[20]} {next(iter(weights)).strip()}"])
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randrange(60))) for _ in range(80)]
+
+    def naive(text):
+        line = f" {' '.join(text.split())} "
+        spared = [range(m.start(), m.start() + len(p) + 1) for p in lexicon.exceptions for m in re.finditer(f"(?= {re.escape(toxicity.fold(p))} )", toxicity.fold(line))]
+        total = 0.0
+        for at in [i for i, c in enumerate(line) if c == " "]:
+            found = [w for e, w in weights.items() if toxicity.fold(line).startswith(e, at)]
+            total += max(found, default=0.0) if not any(at in s for s in spared) else 0.0
+        return total / (10.0 + text.count(" ") + 1)
+
+    folded = {toxicity.fold(e): w for e, w in weights.items()}
+    lexicon = toxicity.Lexicon(folded, lexicon.exceptions)
+    weights = folded
+    assert np.allclose(lexicon.density(texts), [naive(t) for t in texts]) and np.count_nonzero(lexicon.density(texts)) > 20
+
+
 def test_the_query_learns_exception_phrases(spark, tmp_path):
     r, rows = random.Random(4), []
     for i in range(600):

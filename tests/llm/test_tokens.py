@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from obliqua.llm import wavelet
-from obliqua.llm.binary_output import SHARD_SCHEMA, read_shards, token_output, write_shards
+from obliqua.llm.binary_output import SHARD_SCHEMA, occurrences, read_shards, token_output, write_shards
 from obliqua.llm.packing import GroupingGA, pack_documents
 from obliqua.llm.queries import tokenizer_path
 from obliqua.llm.tokens import LETTER, NUMBER, PLAIN, WordEncoder
@@ -87,6 +87,17 @@ def test_token_output_of_odd_tables(spark, frame, tmp_path):
     assert read_shards(spark, path).count() == 1
 
 
+def test_tokens_are_counted_and_found_in_the_shards(spark, frame, tmp_path):
+    path, texts = str(tmp_path / "shards"), [words(i, 50) + " the" * (i % 3) for i in range(30)]
+    stored = write_shards(frame(texts), path, tokenizer_path(FILES[1]), end_id=2, shard_tokens=400)
+    ids = [np.append(x, np.uint32(2)) for x in library(FILES[1], texts)]
+    token = int(library(FILES[1], [" the"])[0][0])
+    rows = occurrences(stored, token, 2).collect()
+    assert sum(r["n"] for r in rows) == sum(int((x == token).sum()) for x in ids) and len(rows) > 1
+    shards = {(r["part"], r["shard"]): wavelet.open_shard(bytes(r["image"]))[0].to_array() for r in stored.collect()}
+    assert all((shards[r["part"], r["shard"]][list(r["places"])] == token).all() and len(r["places"]) == min(2, r["n"]) for r in rows)
+
+
 def test_packing(frame, odd_texts):
     texts = [*odd_texts, *(words(i, 20 + 7 * i % 300) for i in range(120))]
     rows = pack_documents(frame(texts), tokenizer_path(FILES[0]), end_id=1, capacity=256, group_pieces=60).toPandas()
@@ -104,10 +115,44 @@ def test_packing_of_odd_tables(frame):
     file = tokenizer_path(FILES[0])
     assert pack_documents(frame([]), file).count() == 0
     twice = pack_documents(frame(["a", "a", None], ids=[7, 7, None]), file).collect()
-    assert sorted(r["offset"] for r in twice) == sorted(r["offset"] for r in twice) and len(twice) == 3
+    length = twice[0]["length"]
+    assert sorted(r["offset"] for r in twice if r["doc_id"] == 7) in ([0, length], [1, 1 + length]) and len(twice) == 3
     assert len({r["sequence_id"] for r in twice}) == 1
 
 
+def test_rows_that_repeat_spread_over_the_groups(frame):
+    rows = pack_documents(frame(["same words"] * 400, ids=[None] * 400), tokenizer_path(FILES[0]), capacity=64, group_pieces=40).toPandas()
+    filled = rows.groupby("sequence_id").length.sum()
+    groups = (rows.sequence_id[rows.sequence_id < 1 << 56].to_numpy() >> 24).astype(int)  # of the first round
+    assert len(rows) == 400 and np.bincount(groups).max() < 100 and len(set(groups)) == 10
+    assert len(filled) <= -(-rows.length.sum() // 64) + 1
+
+
+def test_crossover_beats_best_fit_on_hard_lengths():
+    r, better = np.random.default_rng(2), 0
+    for seed in range(4):
+        lengths = r.integers(150, 500, 400)
+        ga = GroupingGA(lengths, 1000, seed)
+        first = int(ga.fresh(0.0).max()) + 1
+        bred = int(ga.evolve([], 6, 150).max()) + 1
+        assert bred <= first
+        better += bred < first
+    assert better >= 2
+
+
+def test_few_pieces_are_packed_as_well_as_can_be():
+    def least(lengths, bins=()):
+        if not lengths:
+            return len(bins)
+        tries = [least(lengths[1:], (*bins[:i], b + lengths[0], *bins[i + 1 :])) for i, b in enumerate(bins) if b + lengths[0] <= 20 and b not in bins[:i]]
+        return min([*tries, least(lengths[1:], (*bins, lengths[0]))])
+
+    r = np.random.default_rng(5)
+    for seed in range(12):
+        lengths = r.integers(3, 14, 8)
+        assert int(GroupingGA(lengths, 20, seed).evolve([], 8, 60).max()) + 1 == least(sorted(lengths.tolist(), reverse=True))
+
+
 def test_crossover_keeps_every_piece_once_and_whole_bins():
     lengths = np.random.default_rng(0).integers(1, 100, 300)
     ga = GroupingGA(lengths, 100, seed=1)
