@@ -180,10 +180,15 @@ def inside(voxels: DataFrame, box: Box) -> DataFrame:
     return voxels.filter(between("z", box.z) & between("y", box.y) & between("x", box.x))
 
 
+MOST_SLICES = 100_000
+
+
 def histogram(voxels: DataFrame, voxel_count: int, bins: int) -> DataFrame:
     """(keys, top, bin, n) of each slice over all its voxels, zeros included, in equal bins up to its maximum."""
     top = voxels.groupBy(*KEYS).agg(F.max("v").alias("top"), F.count("*").alias("known"))
-    binned = voxels.join(top, KEYS).select(*KEYS, "top", F.least(F.floor(F.col("v") * bins / F.col("top")), F.lit(bins - 1)).cast("int").alias("bin"))
+    # a slice has one row here; where they are few, the voxels need no shuffle to meet them
+    near = F.broadcast(top) if top.limit(MOST_SLICES + 1).count() <= MOST_SLICES else top
+    binned = voxels.join(near, KEYS).select(*KEYS, "top", F.least(F.floor(F.col("v") * bins / F.col("top")), F.lit(bins - 1)).cast("int").alias("bin"))
     counts = binned.groupBy(*KEYS, "top", "bin").agg(F.count("*").alias("n"))
     zeros = top.select(*KEYS, "top", F.lit(0).alias("bin"), (F.lit(voxel_count) - F.col("known")).alias("n"))
     return counts.unionByName(zeros).groupBy(*KEYS, "top", "bin").agg(F.sum("n").alias("n"))
