@@ -276,16 +276,30 @@ def candidate_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
+SENT = 1 << 17
+
+
 def _texts(least: int, wanted):
-    """The wanted lines where their slice has them first."""
+    """The wanted lines where their slice has them first, unless the task has lately sent one from an earlier place.
+
+    So a line that is all over the table leaves a task about once, with no sort of texts before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = wanted.value
+        words, sent = wanted.value, {}
         for batch in text_slices(batches, SLICE):
             s = _Slice(batch, least)
             u = s.h1.view(np.uint64) & ID
             some = (words[(u >> np.uint64(6)).astype(np.int64) % FILTER_WORDS] >> (u & np.uint64(63)).astype(np.int64)) & 1 == 1
             some = s.firsts(np.flatnonzero(some))
+            if len(sent) > SENT:
+                sent.clear()
+            new = np.ones(len(some), bool)
+            for i, (h1, h2, *place) in enumerate(zip(*(x[some].tolist() for x in (s.h1, s.h2, s.doc, s.row, s.number)), strict=True)):
+                new[i] = place < sent.get((h1, h2), [np.inf])
+                if new[i]:
+                    sent[h1, h2] = place
+            some = some[new]
             data = s.raw.tobytes()
             lines = pa.array([data[a:b] for a, b in zip(s.starts[some].tolist(), s.ends[some].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(u[some].view(np.int64)), pa.array(s.doc[some]), pa.array(s.row[some]), pa.array(s.number[some], pa.int32()), lines], names=["id", *PLACE_COLUMNS, "text"])
@@ -383,7 +397,9 @@ def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least:
     found = blocks.repartition(max(parallel, buckets // 4), "bucket").groupBy("bucket").applyInArrow(_sets(part), SET_SCHEMA)
     sets = scratch.keep(found, "line_sets")
     wanted = spark.sparkContext.broadcast(candidate_filter(sets.select(F.explode("ids").alias("id"))))
-    texts = docs.mapInArrow(_texts(least, wanted), f"id long, {PLACE}, text binary").groupBy("id", "text").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("place"))
+    # dealt by id alone, so that the join below needs no second shuffle of the texts
+    sent = docs.mapInArrow(_texts(least, wanted), f"id long, {PLACE}, text binary").repartition("id")
+    texts = sent.groupBy("id", "text").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("place"))
     zero = F.lit(0).cast("long")
     whole = sets.filter("not cut").dropDuplicates(["unit"]).select(F.get("ids", F.lit(0)).alias("lead"), "unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
     parts = sets.filter("cut")
