@@ -89,8 +89,26 @@ def op10_token_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import checkpointed, remove_path, scratch_path
+    from .warc import read_pages, write_archives
+
+    path = scratch_path(spark, "warc")
+    try:
+        write_archives(table(spark, sf_dir, "pages"), path)
+        return checkpointed(read_pages(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:
+        remove_path(spark, path)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import periodic_runs, repeated_tail
+
+    return periodic_runs(table(spark, sf_dir, "documents"), prepare=repeated_tail)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_line_dedup, op4_media_columns, op5_embedding_near_dedup, op6_toxicity, op7_pii, op8_language_id, op9_ngram_jaccard_join, op10_token_binary_output)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_sentencepiece, op3_line_dedup, op4_media_columns, op5_embedding_near_dedup, op6_toxicity, op7_pii, op8_language_id, op9_ngram_jaccard_join, op10_token_binary_output, op11_warc, op12_periodic_runs)}
 
 
 JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -110,6 +128,28 @@ c AS (SELECT vec_id, min(m) AS component_id FROM r GROUP BY 1), n AS (SELECT a A
 SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept FROM c LEFT JOIN n ON n.vec_id = c.vec_id"""
 
 
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+m AS (SELECT page_id, html, n, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS kept FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM m"""
+
+#: The checksum of an id goes bit by bit; equal words at each lag become islands of consecutive places.
+PERIODIC_SQL = """WITH h AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [CAST(ord(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS h FROM documents),
+a AS (SELECT doc_id, ws, len(ws) AS n, h % 10 = 0 AND len(ws) > 0 AS planted, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) ELSE 0 END AS a FROM h),
+b AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+w AS (SELECT doc_id, n, i, CASE WHEN planted AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w FROM b, LATERAL (SELECT unnest(range(n)) AS i)),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+l AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM l GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM r GROUP BY doc_id),
+k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+g AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN r ON w.doc_id = r.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length),
+c AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM w LEFT JOIN g ON g.doc_id = w.doc_id AND g.i = w.i WHERE g.i IS NULL GROUP BY w.doc_id)
+SELECT h.doc_id, CAST(coalesce(t.n_runs, 0) AS BIGINT) AS n_runs, CAST(k.start AS BIGINT) AS start, CAST(k.length AS BIGINT) AS length, CAST(k.period AS BIGINT) AS period, CAST(1000 * k.length // k.period AS BIGINT) AS exponent_milli, sha256(coalesce(t.told, '')) AS runs_sha256, sha256(coalesce(c.kept, '')) AS collapsed_sha256
+FROM h LEFT JOIN t ON t.doc_id = h.doc_id LEFT JOIN k ON k.doc_id = h.doc_id LEFT JOIN c ON c.doc_id = h.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the two joins; the others are tested against brute force, round trips or held-out rows."""
-    return {"op5_embedding_near_dedup": EMBEDDING_SQL, "op9_ngram_jaccard_join": JACCARD_SQL}
+    """SQL for the joins, archives and runs; the others are tested against brute force, round trips or held-out rows."""
+    return {"op5_embedding_near_dedup": EMBEDDING_SQL, "op9_ngram_jaccard_join": JACCARD_SQL, "op11_warc": WARC_SQL, "op12_periodic_runs": PERIODIC_SQL}
