@@ -65,21 +65,22 @@ def above(voxels: DataFrame, level: float, strict: bool = False) -> DataFrame:
     return voxels.filter(F.col("v") > level if strict else F.col("v") >= level)
 
 
-def otsu(voxels: DataFrame, voxel_count: int, bins: int = 256) -> DataFrame:
-    """(keys, threshold): Otsu's threshold of each slice over all of its ``voxel_count`` voxels, zeros included.
+def otsu(voxels: DataFrame, voxel_count: int | Column, bins: int = 256, keys: list[str] | None = None) -> DataFrame:
+    """(keys, threshold): Otsu's threshold of each slice over all of its ``voxel_count`` voxels (a number, or a column of the keys), zeros included.
 
     Values fall into equal bins from 0 to the slice's maximum; the threshold is the centre of the bin
     after which the variance between both classes is largest, the first of equals.
     """
-    table = histogram(voxels, voxel_count, bins)
+    keys = keys or KEYS
+    table = histogram(voxels, voxel_count, bins, keys)
     table = table.withColumn("mid", (F.col("bin") + 0.5) * F.col("top") / bins)
     # at most ``bins`` rows for each slice
-    so_far = Window.partitionBy(*KEYS).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*KEYS)
-    table = table.select(*KEYS, "bin", "mid", F.sum("n").over(so_far).alias("w0"), F.sum(F.col("n") * F.col("mid")).over(so_far).alias("s0"), F.sum("n").over(whole).alias("w"), F.sum(F.col("n") * F.col("mid")).over(whole).alias("s"))
+    so_far = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*keys)
+    table = table.select(*keys, "bin", "mid", F.sum("n").over(so_far).alias("w0"), F.sum(F.col("n") * F.col("mid")).over(so_far).alias("s0"), F.sum("n").over(whole).alias("w"), F.sum(F.col("n") * F.col("mid")).over(whole).alias("s"))
     gap = F.col("s0") / F.col("w0") - (F.col("s") - F.col("s0")) / (F.col("w") - F.col("w0"))
     scored = table.filter("w > w0").withColumn("between", F.round(F.col("w0") * (F.col("w") - F.col("w0")) * gap * gap, 3))
-    return scored.groupBy(*KEYS).agg(F.max_by("mid", F.struct("between", -F.col("bin"))).alias("threshold"))
+    return scored.groupBy(*keys).agg(F.max_by("mid", F.struct("between", -F.col("bin"))).alias("threshold"))
 
 
 def pad_reflect(voxels: DataFrame, shape: tuple[int, int, int], multiple: int) -> DataFrame:
@@ -108,10 +109,10 @@ def crop_psf(psf: DataFrame, threshold: float = 3e-3) -> DataFrame:
     return psf.crossJoin(box).filter(inside).select(psf.columns)
 
 
-def measures(labelled: DataFrame) -> DataFrame:
+def measures(labelled: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, label, …): area, bounds (half-open), centroid and mean of each label of (keys, z, y, x, label, v)."""
     ends = [x for k in PLACE for x in (F.min(k).alias(f"min_{k}"), (F.max(k) + 1).alias(f"max_{k}"))]
-    return labelled.filter("label > 0").groupBy(*KEYS, "label").agg(F.count("*").alias("area"), *ends, *[F.avg(k).alias(f"centroid_{k}") for k in PLACE], F.avg("v").alias("intensity_mean"))
+    return labelled.filter("label > 0").groupBy(*(keys or KEYS), "label").agg(F.count("*").alias("area"), *ends, *[F.avg(k).alias(f"centroid_{k}") for k in PLACE], F.avg("v").alias("intensity_mean"))
 
 
 def axis_lengths(labelled: DataFrame) -> DataFrame:
@@ -183,15 +184,17 @@ def inside(voxels: DataFrame, box: Box) -> DataFrame:
 MOST_SLICES = 100_000
 
 
-def histogram(voxels: DataFrame, voxel_count: int, bins: int) -> DataFrame:
+def histogram(voxels: DataFrame, voxel_count: int | Column, bins: int, keys: list[str] | None = None) -> DataFrame:
     """(keys, top, bin, n) of each slice over all its voxels, zeros included, in equal bins up to its maximum."""
-    top = voxels.groupBy(*KEYS).agg(F.max("v").alias("top"), F.count("*").alias("known"))
+    keys = keys or KEYS
+    count = voxel_count if isinstance(voxel_count, Column) else F.lit(voxel_count)
+    top = voxels.groupBy(*keys).agg(F.max("v").alias("top"), F.count("*").alias("known"))
     # a slice has one row here; where they are few, the voxels need no shuffle to meet them
     near = F.broadcast(top) if top.limit(MOST_SLICES + 1).count() <= MOST_SLICES else top
-    binned = voxels.join(near, KEYS).select(*KEYS, "top", F.least(F.floor(F.col("v") * bins / F.col("top")), F.lit(bins - 1)).cast("int").alias("bin"))
-    counts = binned.groupBy(*KEYS, "top", "bin").agg(F.count("*").alias("n"))
-    zeros = top.select(*KEYS, "top", F.lit(0).alias("bin"), (F.lit(voxel_count) - F.col("known")).alias("n"))
-    return counts.unionByName(zeros).groupBy(*KEYS, "top", "bin").agg(F.sum("n").alias("n"))
+    binned = voxels.join(near, keys).select(*keys, "top", F.least(F.floor(F.col("v") * bins / F.col("top")), F.lit(bins - 1)).cast("int").alias("bin"))
+    counts = binned.groupBy(*keys, "top", "bin").agg(F.count("*").alias("n"))
+    zeros = top.select(*keys, "top", F.lit(0).alias("bin"), (count - F.col("known")).alias("n"))
+    return counts.unionByName(zeros).groupBy(*keys, "top", "bin").agg(F.sum("n").alias("n"))
 
 
 def triangle(voxels: DataFrame, voxel_count: int, bins: int = 256) -> DataFrame:
