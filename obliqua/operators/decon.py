@@ -43,20 +43,31 @@ def check_psfs(psfs: dict[int, np.ndarray], channels: int) -> None:
         raise ValueError(f"{channels} channels need as many three-dimensional point-spread functions, not {len(psfs)}")
 
 
-def plane_medians(voxels: DataFrame, z: int, plane: int) -> DataFrame:
-    """(image_id, t, c, median) of one plane of each slice, zeros too; a slice's plane of ``plane`` voxels is one row."""
+def plane_medians(voxels: DataFrame, plane: int) -> DataFrame:
+    """(keys, median) of the one plane of each slice in ``voxels``, its zeros too; a plane of ``plane`` places is one row.
+
+    Slices without a voxel there are not told; their median is 0.
+    """
     middle = F.lit((plane - 1) / 2) - (F.lit(plane) - F.size("vs"))  # its place among the voxels with a value
     at = lambda k: F.when((k >= 0) & (k < F.size("vs")), F.get("vs", k.cast("int"))).otherwise(F.lit(0.0))
     median = (at(F.floor(middle)) + at(F.ceil(middle))) / 2
-    held = voxels.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.when(F.col("z") == z, F.col("v")))).alias("vs"))
-    return held.select(*KEYS, median.alias("median"))
+    return voxels.groupBy(*KEYS).agg(F.sort_array(F.collect_list("v")).alias("vs")).select(*KEYS, median.alias("median"))
+
+
+def background_plane(background: float | str, depth: int) -> int | None:
+    """The plane whose median is taken off: the last ("auto"), the one before ("second_last"), none for a number."""
+    return {"auto": depth - 1, "second_last": depth - 2}[background] if isinstance(background, str) else None
+
 
+def without_background(voxels: DataFrame, background: float | str, medians: DataFrame | None = None) -> DataFrame:
+    """Values less a number, or less their slice's median of ``medians`` (a row a slice); none falls below 0.
 
-def without_background(voxels: DataFrame, background: float | str, depth: int, plane: int) -> DataFrame:
-    """Values less a number, or less the median of the last plane ("auto") or the one before ("second_last") of their slice; none falls below 0."""
+    The medians are of whole planes, so they are made before any block is cut out of the voxels.
+    """
     if isinstance(background, str):
-        medians = plane_medians(voxels, depth - (1 if background == "auto" else 2), plane)  # a row a slice: small
-        made = voxels.join(medians, KEYS).withColumn("v", F.col("v") - F.col("median"))
+        if medians is None:
+            raise ValueError(f"background {background!r} needs the medians of its planes")
+        made = voxels.join(medians, KEYS, "left").withColumn("v", F.col("v") - F.coalesce("median", F.lit(0.0)))
     elif background:
         made = voxels.withColumn("v", F.col("v") - background)
     else:

@@ -16,6 +16,7 @@ from typing import Any
 from ..functions.dtypes import written_type
 from ..functions.geometry import DEFAULT_ANGLE, DEFAULT_DX, DEFAULT_DY, DEFAULT_DZ, FRAMES, SKEWS, Acquisition
 from ..operators.mip import INTERPOLATIONS
+from ..sources.images import PACKINGS
 from ..sources.naming import EXTENSIONS
 from ..sources.volume import span
 
@@ -68,6 +69,7 @@ class Settings:
     channel_range: tuple[int, int] | None = None
     mip: bool = False
     mip_interpolation: str = "nearest"
+    zarr_packing: str = "zlib"
     crop: CropSettings | None = None
     deconvolution: DeconvolutionSettings | None = None
     workflow: dict[str, list] | None = field(default=None, hash=False)
@@ -78,6 +80,8 @@ class Settings:
                 object.__setattr__(self, name, checked(kind, getattr(self, name)))
         if self.save_type not in EXTENSIONS:
             raise ValueError(f"unknown save type {self.save_type!r}; one of {sorted(EXTENSIONS)}")
+        if self.zarr_packing not in PACKINGS:
+            raise ValueError(f"unknown packing {self.zarr_packing!r} of OME-Zarr chunks; one of {sorted(PACKINGS)}")
         if self.save_type == "h5" and importlib.util.find_spec("h5py") is None:
             raise ValueError("saving h5 needs the h5py package; tiff and omezarr need nothing")
         if self.skew not in SKEWS or self.frame not in FRAMES or self.mip_interpolation not in INTERPOLATIONS:

@@ -21,7 +21,7 @@ from ..operators.deskew import deskew
 from ..sources import images, naming, volume
 from ..sources.reader import Opened, open_image
 from .config import Settings, checked
-from .workflow import Workflow, run_workflow
+from .workflow import Workflow, split_results, workflow_results
 
 
 _warned: set[tuple[int, int, int]] = set()
@@ -48,6 +48,8 @@ def sized_errors(a: Acquisition):
         raise
 
 
+#: Images in one run that saves files.
+MOST_IMAGES = 10_000
 SIZES = ("size_t", "size_c", "size_z", "size_y", "size_x")
 
 
@@ -67,7 +69,8 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, settings: Settings, voxels: DataFrame | Opened | None = None):
         self.spark, self.settings = spark, settings
-        opened = open_image(spark, settings.input_image) if voxels is None else voxels
+        opened = open_image(spark, settings.input_image, sizes=tuple(getattr(settings, k) for k in SIZES)) if voxels is None else voxels
+        self._images = [0] if isinstance(opened, Opened) and opened.one_image else None
         self.planes = opened.planes if isinstance(opened, Opened) else None
         self.voxels = volume.normalise(opened.voxels if isinstance(opened, Opened) else opened)
         if self.planes is not None:  # the reader knows what the file lacks
@@ -75,27 +78,51 @@ class Pipeline:
         if settings.mip and (settings.crop is not None or settings.workflow is not None):
             warnings.warn("a projection is made of the whole volume: crop and workflow are left out", stacklevel=2)
 
+    def images(self) -> list[int]:
+        """The numbers of the images, a short list as each gives files of its own; a file holds one."""
+        if self._images is None:
+            found = [r[0] for r in volume.select(self.voxels, self.settings.times, self.settings.channels).select("image_id").distinct().limit(MOST_IMAGES + 1).collect()]
+            if len(found) > MOST_IMAGES:
+                raise ValueError(f"more than {MOST_IMAGES} images: save them in several runs, or as one Parquet table")
+            self._images = sorted(found) or [0]
+        return self._images
+
     def raw(self) -> DataFrame:
-        """The voxels to process, flipped and deconvolved as told; ranges reach the scan."""
+        """The voxels to process, flipped and deconvolved as told; ranges reach the files."""
         s = self.settings
-        out = volume.select(self.voxels, s.times, s.channels)
+        chosen = volume.select(self.voxels, s.times, s.channels)
+        psfs = self._psfs()
+        out = chosen
+        if s.crop is not None and not s.mip and (s.invert_scan or psfs):  # no more than the regions' raw blocks and what the functions reach
+            reach = [max((f.shape[k] for f in psfs.values()), default=0) for k in range(3)]
+            raw = [cropping.safe_raw_box(s.acquisition, b) for b in self.boxes().values()]
+            ends = [(min(getattr(b, k)[0] for b in raw), max(getattr(b, k)[1] for b in raw)) for k in "zyx"]
+            z, y, x = [(max(0, low - r), high + r) for (low, high), r in zip(ends, reach, strict=True)]
+            out = volume.block(out, Box(volume.flipped_range(z, s.size_z) if s.invert_scan else z, y, x))
         if s.invert_scan:
             out = volume.flip_scan(out, s.size_z)
-        if s.deconvolution is not None:
-            files = s.deconvolution.psf
-            if len(files) != s.size_c:
-                raise ValueError(f"{s.size_c} channels need as many point-spread functions, not {len(files)}")
-            psfs = {c: images.read_psf(p) for c, p in enumerate(files)}
-            decon.check_psfs(psfs, s.size_c)
-            if s.crop is not None and not s.mip:  # no more than the regions' raw blocks and what the functions reach
-                reach = [max(f.shape[k] for f in psfs.values()) for k in range(3)]
-                raw = [cropping.safe_raw_box(s.acquisition, b) for b in self.boxes().values()]
-                ends = [(min(getattr(b, k)[0] for b in raw), max(getattr(b, k)[1] for b in raw)) for k in "zyx"]
-                out = volume.block(out, Box(*[(max(0, low - r), high + r) for (low, high), r in zip(ends, reach, strict=True)]))
-            out = decon.without_background(out, s.deconvolution.background, s.size_z, s.size_y * s.size_x)
+        if psfs:
+            background = s.deconvolution.background
+            plane, medians = decon.background_plane(background, s.size_z), None
+            if plane is not None:
+                stored = s.size_z - 1 - plane if s.invert_scan else plane
+                medians = decon.plane_medians(chosen.filter(F.col("z") == stored), s.size_y * s.size_x)
+            out = decon.without_background(out, background, medians)
             out = decon.deconvolve(out, psfs, (s.size_z, s.size_y, s.size_x), s.deconvolution.iterations)
         return out
 
+    def _psfs(self) -> dict:
+        """The point-spread function of each channel, if there is a deconvolution."""
+        s = self.settings
+        if s.deconvolution is None:
+            return {}
+        files = s.deconvolution.psf
+        if len(files) != s.size_c:
+            raise ValueError(f"{s.size_c} channels need as many point-spread functions, not {len(files)}")
+        psfs = {c: images.read_psf(p) for c, p in enumerate(files)}
+        decon.check_psfs(psfs, s.size_c)
+        return psfs
+
     def boxes(self) -> dict[int, Box]:
         """The output box of each chosen region, in pixels; region files are read on the driver."""
         s, found = self.settings, []
@@ -134,15 +161,18 @@ class Pipeline:
 
     def process_workflow(self) -> tuple[DataFrame, DataFrame]:
         """(image voxels, measurements) of the workflow on every slice."""
+        return split_results(self._workflow_results())
+
+    def _workflow_results(self) -> DataFrame:
         s = self.settings
         if s.workflow is None:
             raise ValueError("no workflow is set")
         flow = Workflow()
         for name, (function, *arguments) in s.workflow.items():
             flow.set(name, function, *arguments)
-        made = self.process().select(F.coalesce("roi_index", F.lit(0)).alias("roi_index"), "t", "c", (F.col("t") - s.times.start).alias("time_index"), (F.col("c") - s.channels.start).alias("channel_index"), "z", "y", "x", "v")
+        made = self.process().select("image_id", F.coalesce("roi_index", F.lit(0)).alias("roi_index"), "t", "c", (F.col("t") - s.times.start).alias("time_index"), (F.col("c") - s.channels.start).alias("channel_index"), "z", "y", "x", "v")
         shapes = [b.shape for b in self.boxes().values()] if s.crop is not None else [s.acquisition.output_shape]
-        return run_workflow(made, flow, tuple(max(x[k] for x in shapes) for k in range(3)))
+        return workflow_results(made, flow, tuple(max(x[k] for x in shapes) for k in range(3)))
 
     def shapes(self) -> dict[int, tuple[int, int, int]]:
         s = self.settings
@@ -151,9 +181,10 @@ class Pipeline:
         return {i: b.shape for i, b in self.boxes().items()} if s.crop is not None else {0: s.acquisition.output_shape}
 
     def save(self) -> DataFrame:
-        """Writes the result and its sidecars; (roi_index, path, error) of each output, RuntimeError if one failed.
+        """Writes the result and its sidecars; (image_id, roi_index, path, error) of each output, RuntimeError if one failed.
 
-        Names that are taken get a number; a volume that the executors' hosts may not hold is warned of.
+        Every image gets files of its own, but for the tables (Parquet, CSV), which hold them all; names that are taken get a number; a
+        volume that the executors' hosts may not hold is warned of.
         """
         s = self.settings
         warn_if_large(s.acquisition, s.dtype, estimate.Limits())
@@ -163,42 +194,49 @@ class Pipeline:
             writer = made.write if s.save_type == "parquet" else made.write.option("header", True)
             with sized_errors(s.acquisition):
                 getattr(writer.partitionBy("t", "c"), s.save_type)(volume_path)
-            rows = [(None, volume_path, None)]
+            rows = [(None, None, volume_path, None)]
             sidecars = [(i, volume_path, f"{naming.stem(volume_path)}_ROI_{i}") for i in regions] or [(None, volume_path, None)]
         else:
             kind = dtypes.output_type(s.dtype, s.deconvolution is not None)
-            status = images.save_groups(self._numbered(made), ["roi_index"], s.save_type, {(i,): self._free(f"{s.name}_ROI_{i}") for i in self.shapes()}, {(i,): v for i, v in self.shapes().items()}, len(s.times), len(s.channels), kind, self._voxel())
+            shapes = {(m, i): shape for m in self.images() for i, shape in self.shapes().items()}
+            paths = {(m, i): self._free(f"{self._name(m)}_ROI_{i}") for m, i in shapes}
+            status = images.save_groups(self._numbered(made), ["image_id", "roi_index"], s.save_type, paths, shapes, len(s.times), len(s.channels), kind, self._voxel(), s.zarr_packing)
             with sized_errors(s.acquisition):
                 rows = [tuple(r) for r in status.collect()]  # a row for each file
-            sidecars = [(roi if regions else None, path, None) for roi, path, error in rows if error is None]
+            sidecars = [(roi if regions else None, path, None) for _, roi, path, error in rows if error is None]
         boxes = self.boxes() if regions else {}
         for roi, target, name in sidecars:
             origin = (None, 0.0, 0.0) if s.mip else tuple(float(getattr(boxes[roi], k)[0]) for k in "zyx") if roi is not None else (0.0, 0.0, 0.0)
             images.write_sidecar(target, images.sidecar(target, s, origin, self._voxel(), roi, s.mip), name)
-        return self._told(rows, "roi_index int, path string, error string")
+        return self._told(rows, "image_id int, roi_index int, path string, error string")
 
     def save_workflow(self) -> DataFrame:
-        """Writes the workflow's results: one CSV for each region and output that is a table, one image for each time of those that are images.
+        """Writes the workflow's results: one CSV for each image, region and output that is a table, one image for each time of those that are images.
 
-        (roi_index, output_index, path, error) of each file; regions and outputs are a short list on the driver.
+        (image_id, roi_index, output_index, path, error) of each file; images, regions and outputs are a short list on the driver.
+        The workflow's functions run once for each slice.
         """
         s = self.settings
-        pixels, measures = (self._cut(df) for df in self.process_workflow())
-        name = lambda roi, output, time=None: naming.suffix(s.name, roi, None, time) + f"_output_{output}"
-        tables = [tuple(r) for r in measures.select("roi_index", "output_index").distinct().collect()]
-        rows = [tuple(r) for r in images.save_tables(measures, {k: str(naming.free_path(s.save_dir, name(*k), "csv")) for k in tables}).collect()] if tables else []
-        pictures = [tuple(r) for r in pixels.select("roi_index", "output_index", "t").distinct().collect()]
-        if pictures:
-            shapes, ending = self.shapes(), s.save_type if s.save_type in images.WRITERS else "tiff"
-            paths = {(i, o, t): self._free(name(i, o, t - s.times.start), ending) for i, o, t in pictures}
-            numbered = pixels.withColumn("time", F.col("t")).withColumn("t", F.lit(0)).withColumn("c", F.col("c") - s.channels.start)
-            status = images.save_groups(numbered, ["roi_index", "output_index", "time"], ending, paths, {k: shapes[k[0]] for k in pictures}, 1, len(s.channels), "float32", self._voxel())
-            rows += [tuple(r) for r in status.drop("time").collect()]
-        return self._told(rows, "roi_index int, output_index int, path string, error string")
-
-    def _cut(self, df: DataFrame) -> DataFrame:
-        """Computed once: the workflow runs again for each use otherwise."""
-        return df.persist()
+        results = self._workflow_results().persist()
+        try:
+            pixels, measures = split_results(results)
+            name = lambda image, roi, output, time=None: naming.suffix(self._name(image), roi, None, time) + f"_output_{output}"
+            tables = [tuple(r) for r in measures.select("image_id", "roi_index", "output_index").distinct().collect()]
+            rows = [tuple(r) for r in images.save_tables(measures, {k: str(naming.free_path(s.save_dir, name(*k), "csv")) for k in tables}).collect()] if tables else []
+            pictures = [tuple(r) for r in pixels.select("image_id", "roi_index", "output_index", "t").distinct().collect()]
+            if pictures:
+                shapes, ending = self.shapes(), s.save_type if s.save_type in images.WRITERS else "tiff"
+                paths = {(m, i, o, t): self._free(name(m, i, o, t - s.times.start), ending) for m, i, o, t in pictures}
+                numbered = pixels.withColumn("time", F.col("t")).withColumn("t", F.lit(0)).withColumn("c", F.col("c") - s.channels.start)
+                status = images.save_groups(numbered, ["image_id", "roi_index", "output_index", "time"], ending, paths, {k: shapes[k[1]] for k in pictures}, 1, len(s.channels), "float32", self._voxel(), s.zarr_packing)
+                rows += [tuple(r) for r in status.drop("time").collect()]
+        finally:
+            results.unpersist()
+        return self._told(rows, "image_id int, roi_index int, output_index int, path string, error string")
+
+    def _name(self, image: int) -> str:
+        """The name of an image's files: with its number only where there are several."""
+        return self.settings.name if len(self.images()) == 1 else f"{self.settings.name}_image_{image}"
 
     def _numbered(self, made: DataFrame) -> DataFrame:
         s = self.settings

@@ -56,14 +56,16 @@ def _regionprops(labels: np.ndarray, image: np.ndarray | None = None) -> dict[st
 
 @dataclass
 class Workflow:
-    """``tasks``: name -> (function's name, arguments…)."""
+    """``tasks``: name -> (function's name, arguments…); ``functions`` go with it to the workers, which need not know the registry."""
 
     tasks: dict[str, tuple] = field(default_factory=dict)
+    functions: dict[str, Callable] = field(default_factory=dict)
 
     def set(self, name: str, function: str, *arguments: Any) -> Workflow:
         if function not in FUNCTIONS:
             raise ValueError(f"no registered function {function!r}")
         self.tasks[name] = (function, *arguments)
+        self.functions[function] = FUNCTIONS[function]
         return self
 
     def sources(self, name: str) -> list[str]:
@@ -97,7 +99,7 @@ class Workflow:
                 raise ValueError(f"tasks form a ring: {' > '.join([*path, name])}")
             if name not in values:
                 function, *arguments = self.tasks[name]
-                values[name] = FUNCTIONS[function](*[value(a, (*path, name)) if isinstance(a, str) and (a in self.tasks or a in values) else a for a in arguments])
+                values[name] = self.functions[function](*[value(a, (*path, name)) if isinstance(a, str) and (a in self.tasks or a in values) else a for a in arguments])
             return values[name]
 
         return value(self.leaf())
@@ -119,49 +121,63 @@ def table(result: Any, time: str, channel: str) -> pd.DataFrame:
     return rows
 
 
-MEASURES = "roi_index int, output_index int, time string, channel string, name string, place int, row int, value double, text string"
-IMAGES = "roi_index int, output_index int, t int, c int, z int, y int, x int, v double"
+MEASURES = "image_id int, roi_index int, output_index int, time string, channel string, name string, place int, row int, value double, text string"
+IMAGES = "image_id int, roi_index int, output_index int, t int, c int, z int, y int, x int, v double"
+#: Rows of both kinds: a cell of a table has a name, a voxel has none.
+RESULTS = f"{IMAGES}, time string, channel string, name string, place int, row int, value double, text string"
 
 
-def run_workflow(slices: DataFrame, workflow: Workflow, shape: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
-    """(image voxels, measurements) of every slice of (roi_index, t, c, time_index, channel_index, z, y, x, v).
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-    Measurements come in long form: one row for each cell, so that any workflow has one schema; ``pivot``
-    makes the table of one output.
-    """
-    workflow.leaf()
-    keys = ["roi_index", "t", "c", "time_index", "channel_index"]
 
-    def results(key, pdf: pd.DataFrame) -> list[Any]:
-        image = np.zeros(shape)
-        image[tuple(pdf[["z", "y", "x"]].to_numpy().T)] = pdf["v"].to_numpy()
-        out = workflow.run(image, dict(zip(("roi_index", "time", "channel", "time_index", "channel_index"), map(int, key), strict=True)))
-        return list(out) if isinstance(out, tuple) else [out]
+def workflow_results(slices: DataFrame, workflow: Workflow, shape: tuple[int, int, int]) -> DataFrame:
+    """Voxels and cells of every slice of (image_id, roi_index, t, c, time_index, channel_index, z, y, x, v), in one pass; see ``split_results``.
 
-    def images(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame(columns=[c.split()[0] for c in IMAGES.split(", ")])]
-        for index, result in enumerate(results(key, pdf)):
+    Slices without ``image_id`` are of image 0.  Measurements come in long form: one row for each cell, so that any workflow has one schema.
+    """
+    workflow.leaf()
+    keys = ["image_id", "roi_index", "t", "c", "time_index", "channel_index"]
+    whole, texts = ([n for n, kind in (x.split() for x in RESULTS.split(", ")) if kind == wanted] for wanted in ("int", "string"))
+    if "image_id" not in slices.columns:
+        slices = slices.withColumn("image_id", F.lit(0))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        image, roi, t, c, time_index, channel_index = map(int, key)
+        pixels = np.zeros(shape)
+        pixels[tuple(pdf[["z", "y", "x"]].to_numpy().T)] = pdf["v"].to_numpy()
+        out = workflow.run(pixels, dict(zip(("roi_index", "time", "channel", "time_index", "channel_index"), (roi, t, c, time_index, channel_index), strict=True)))
+        parts = []
+        for index, result in enumerate(out if isinstance(out, tuple) else [out]):
+            same = {"image_id": image, "roi_index": roi, "output_index": index}
             if isinstance(result, np.ndarray):
                 at = np.argwhere(result != 0)
-                parts.append(pd.DataFrame({"roi_index": key[0], "output_index": index, "t": key[1], "c": key[2], "z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "v": result[tuple(at.T)].astype(float)}))
-        return pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
+                parts.append(pd.DataFrame({**same, "t": t, "c": c, "z": at[:, 0], "y": at[:, 1], "x": at[:, 2], "v": result[tuple(at.T)].astype(float)}))
+                continue
+            frame, cells = table(result, f"T{time_index}", f"C{channel_index}"), []
+            for place, name in enumerate(frame.columns[2:]):
+                for i, (time, channel, v) in enumerate(zip(frame["time"], frame["channel"], frame[name], strict=True)):
+                    if not pd.api.types.is_scalar(v) or pd.notna(v):
+                        number = isinstance(v, (int, float, np.number, np.bool_))
+                        cells.append((time, channel, str(name), place, i, float(v) if number else None, None if number else str(v)))
+            parts.append(pd.DataFrame(cells, columns=["time", "channel", "name", "place", "row", "value", "text"]).assign(**same))
+        made = [p for p in parts if len(p)]
+        rows = (pd.concat(made, ignore_index=True) if made else pd.DataFrame()).reindex(columns=_names(RESULTS))
+        return rows.astype({c: "Int32" for c in whole} | {c: object for c in texts})  # each kind of row lacks columns of the other
 
-    def measured(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for index, result in enumerate(results(key, pdf)):
-            if not isinstance(result, np.ndarray):
-                frame = table(result, f"T{key[3]}", f"C{key[4]}")
-                for place, name in enumerate(frame.columns[2:]):
-                    for i, (t, c, v) in enumerate(zip(frame["time"], frame["channel"], frame[name], strict=True)):
-                        if not pd.api.types.is_scalar(v) or pd.notna(v):
-                            number = isinstance(v, (int, float, np.number, np.bool_))
-                            rows.append((key[0], index, t, c, str(name), place, i, float(v) if number else None, None if number else str(v)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURES.split(", ")])
+    return slices.groupBy(*keys).applyInPandas(run, RESULTS)
 
-    grouped = slices.groupBy(*keys)
-    return grouped.applyInPandas(images, IMAGES), grouped.applyInPandas(measured, MEASURES)
+
+def split_results(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(image voxels, measurements); keep ``results`` if both are used, as each computes it otherwise."""
+    return results.filter("name is null").select(*_names(IMAGES)), results.filter("name is not null").select(*_names(MEASURES))
+
+
+def run_workflow(slices: DataFrame, workflow: Workflow, shape: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
+    """(image voxels, measurements) of every slice; see ``workflow_results``, and ``pivot`` for the table of one output."""
+    return split_results(workflow_results(slices, workflow, shape))
 
 
 def pivot(measures: DataFrame, output_index: int, names: list[str], texts: bool = False) -> DataFrame:
-    """One output as a table: region, time, channel, row and a column for each name; all cells as text if ``texts``."""
-    return measures.filter(F.col("output_index") == output_index).groupBy("roi_index", "time", "channel", "row").pivot("name", names).agg(F.first(F.coalesce("value", "text") if texts else "value"))
+    """One output as a table: image, region, time, channel, row and a column for each name; all cells as text if ``texts``."""
+    return measures.filter(F.col("output_index") == output_index).groupBy("image_id", "roi_index", "time", "channel", "row").pivot("name", names).agg(F.first(F.coalesce("value", "text") if texts else "value"))

@@ -1,7 +1,7 @@
 """CZI files: the plane directory, what it says of the image, and planes read by the executors.
 
 The format is a chain of segments; the sub-block directory lists where each plane's pixels lie.
-Only uncompressed grey planes are read, each once, by the task that needs it; the path must
+Grey planes are read, plain or packed by zstd, each once, by the task that needs it; the path must
 reach every executor.  Files with tiles of a mosaic or axes beyond T, C, Z, Y, X are
 declined by ``describe`` (None), for a reader that knows them.
 """
@@ -9,18 +9,17 @@ declined by ``describe`` (None), for a reader that knows them.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 from xml.etree import ElementTree
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 
-# Fixed values of the format: pixel types by number.
+from .codecs import czi_zstd
+
+# Fixed values of the format: pixel types by number, and the packings that are read.
 PIXELS = {0: "uint8", 1: "uint16", 2: "float32"}
-VOXELS = "image_id int, t int, c int, z int, y int, x int, v double"
+PLAIN, ZSTD, MARKED_ZSTD = 0, 5, 6
 
 
 @dataclass(frozen=True)
@@ -35,6 +34,7 @@ class Plane:
     width: int
     dtype: str
     position: int
+    compression: int = PLAIN
 
 
 @dataclass(frozen=True)
@@ -92,10 +92,10 @@ def planes(path: str) -> list[Plane]:
     """Every plane of a file; ValueError where one is compressed or of a kind not read."""
     out = []
     for axes, pixel, position, compression, in _directory(path)[0]:
-        if compression or pixel not in PIXELS:
-            raise ValueError("only uncompressed grey planes are read")
+        if compression not in (PLAIN, ZSTD, MARKED_ZSTD) or pixel not in PIXELS:
+            raise ValueError("only grey planes, plain or packed by zstd, are read")
         first = lambda k, axes=axes: axes.get(k, (0, 1))[0]
-        out.append(Plane(first("S"), first("T"), first("C"), first("Z"), first("Y"), first("X"), axes["Y"][1], axes["X"][1], PIXELS[pixel], position))
+        out.append(Plane(first("S"), first("T"), first("C"), first("Z"), first("Y"), first("X"), axes["Y"][1], axes["X"][1], PIXELS[pixel], position, compression))
     return out
 
 
@@ -132,34 +132,23 @@ def pixel_sizes(path: str) -> tuple[float | None, float | None, float | None]:
     return tuple(float(found[k]) * 1e6 if found.get(k) else None for k in "ZYX")
 
 
-def read_plane(path: str, position: int, height: int, width: int, dtype: str) -> np.ndarray:
+def read_plane(path: str, position: int, height: int, width: int, dtype: str, compression: int = PLAIN, rows: tuple[int, int] | None = None) -> np.ndarray:
+    """A plane, or its lines from one to another; of a plain plane no other bytes are read."""
+    first, end = rows or (0, height)
+    kind = np.dtype(dtype).newbyteorder("<")
     with open(path, "rb") as file:
         file.seek(position + 32)
         metadata, _, size = struct.unpack("<iiq", file.read(16))
         head = file.read(512)
-        _, _, _, _, end = _entry(head, 0)
-        file.seek(position + 32 + max(256, 16 + end) + metadata)
-        return np.frombuffer(file.read(size), np.dtype(dtype).newbyteorder("<"))[: height * width].reshape(height, width)
-
-
-def voxels(spark: SparkSession, path: str, scene_index: int = 0, image_id: int = 0, tasks: int | None = None) -> DataFrame:
-    """The voxels above or below 0 of a scene; tasks read runs of planes in the order of the file."""
-    about = describe(path, scene_index)
-    if about is None:
-        raise ValueError(f"{path} is not read here")
-    own = sorted((p for p in planes(path) if p.scene == about.scene), key=lambda p: p.position)
-    top, left = min(p.y for p in own), min(p.x for p in own)
-    rows = [(p.t, p.c, p.z, p.y - top, p.x - left, p.height, p.width, p.dtype, p.position) for p in own]
-    listed = spark.createDataFrame(rows, "t int, c int, z int, y int, x int, height int, width int, dtype string, position long")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for p in part.itertuples():
-                pixels = read_plane(path, p.position, p.height, p.width, p.dtype)
-                y, x = np.nonzero(pixels)
-                yield pd.DataFrame({"image_id": image_id, "t": p.t, "c": p.c, "z": p.z, "y": (y + p.y).astype(np.int32), "x": (x + p.x).astype(np.int32), "v": pixels[y, x].astype(float)})
-
-    return listed.repartitionByRange(tasks or max(1, len(rows) // 8), "position").mapInPandas(run, VOXELS)
+        _, _, _, _, entry_end = _entry(head, 0)
+        start = position + 32 + max(256, 16 + entry_end) + metadata
+        if compression == PLAIN:
+            file.seek(start + first * width * kind.itemsize)
+            raw = file.read((end - first) * width * kind.itemsize)
+            return np.frombuffer(raw, kind).reshape(end - first, width)
+        file.seek(start)
+        raw = czi_zstd(file.read(size), height * width * kind.itemsize, compression == MARKED_ZSTD)
+    return np.frombuffer(raw, kind).reshape(height, width)[first:end]
 
 
 def xml_tree(text: str | bytes) -> dict:

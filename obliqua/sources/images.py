@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dtypes import written_type
+from .codecs import blosc_pack
 from .naming import stem
 
 # Fixed values of TIFF: tag numbers, field types, and sample formats by kind.
@@ -127,18 +128,25 @@ def tiff_pages(path: str) -> tuple[list[dict[str, Any]], str]:
             if how not in (1, 8, 32946) or page.get("samples", [1])[0] != 1:
                 raise ValueError(f"compression {how} with {page.get('samples', [1])[0]} samples is not read")
             letter = {1: "u", 2: "i", 3: "f"}[page.get("format", [1])[0]]
-            pages.append({"offsets": page["offsets"], "counts": page["counts"], "deflated": how != 1, "dtype": f"{order}{letter}{page['bits'][0] // 8}", "height": page["height"][0], "width": page["width"][0]})
+            pages.append({"offsets": page["offsets"], "counts": page["counts"], "deflated": how != 1, "dtype": f"{order}{letter}{page['bits'][0] // 8}", "height": page["height"][0], "width": page["width"][0], "rows": min(page.get("rows", page["height"])[0], page["height"][0])})
     return pages, text
 
 
-def read_page(path: str, page: dict[str, Any]) -> np.ndarray:
+def read_lines(path: str, page: dict[str, Any], first: int, end: int) -> tuple[int, np.ndarray]:
+    """(number of the first line, lines) of the strips of a page that hold the lines asked for; other strips are not read."""
+    rows = page["rows"]
+    strips = range(first // rows, -(-end // rows))
     with open(path, "rb") as file:
-        strips = []
-        for offset, count in zip(page["offsets"], page["counts"], strict=True):
-            file.seek(offset)
-            strips.append(file.read(count))
-    raw = b"".join([zlib.decompress(s) for s in strips] if page["deflated"] else strips)
-    return np.frombuffer(raw, page["dtype"]).reshape(page["height"], page["width"])
+        raw = []
+        for k in strips:
+            file.seek(page["offsets"][k])
+            data = file.read(page["counts"][k])
+            raw.append(zlib.decompress(data) if page["deflated"] else data)
+    return strips.start * rows, np.frombuffer(b"".join(raw), page["dtype"]).reshape(-1, page["width"])
+
+
+def read_page(path: str, page: dict[str, Any]) -> np.ndarray:
+    return read_lines(path, page, 0, page["height"])[1]
 
 
 def read_tiff(path: str) -> np.ndarray:
@@ -149,8 +157,12 @@ def read_tiff(path: str) -> np.ndarray:
 CHUNK = (64, 256, 256)
 
 
-def start_zarr(path: str, shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], chunk: tuple[int, int, int] = CHUNK) -> None:
-    """The metadata of an OME-Zarr 0.4 group of one level, chunks of one (t, c) each, zlib-compressed; chunks that are not there hold 0."""
+#: The metadata of the packings that chunks are written by.
+PACKINGS = {"zlib": {"id": "zlib", "level": 5}, "blosc": {"id": "blosc", "cname": "zstd", "clevel": 3, "shuffle": 1, "blocksize": 0}}
+
+
+def start_zarr(path: str, shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], chunk: tuple[int, int, int] = CHUNK, packing: str = "zlib") -> None:
+    """The metadata of an OME-Zarr 0.4 group of one level, chunks of one (t, c) each; chunks that are not there hold 0."""
     kind = np.dtype(written_type(dtype)).newbyteorder("<" if np.dtype(written_type(dtype)).itemsize > 1 else "|")
     chunks = [1, 1, *[min(a, b) for a, b in zip(chunk, shape[2:], strict=True)]]
     level = Path(path) / "0"
@@ -160,10 +172,10 @@ def start_zarr(path: str, shape: tuple[int, int, int, int, int], dtype: str, vox
     attributes = {"multiscales": [{"version": "0.4", "axes": axes, "datasets": [{"path": "0", "coordinateTransformations": scale}]}], "omero": {"channels": [{"label": f"C{i}", "color": "FFFFFF", "active": True} for i in range(shape[1])]}}
     (Path(path) / ".zgroup").write_text(json.dumps({"zarr_format": 2}))
     (Path(path) / ".zattrs").write_text(json.dumps(attributes))
-    (level / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": chunks, "dtype": kind.str, "compressor": {"id": "zlib", "level": 5}, "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "/"}))
+    (level / ".zarray").write_text(json.dumps({"zarr_format": 2, "shape": list(shape), "chunks": chunks, "dtype": kind.str, "compressor": PACKINGS[packing], "fill_value": 0, "order": "C", "filters": None, "dimension_separator": "/"}))
 
 
-def write_slab(path: str, t: int, c: int, z: int, slab: np.ndarray, dtype: str, depth: int, chunk: tuple[int, int, int] = CHUNK) -> None:
+def write_slab(path: str, t: int, c: int, z: int, slab: np.ndarray, dtype: str, depth: int, chunk: tuple[int, int, int] = CHUNK, packing: str = "zlib") -> None:
     """The chunks of planes from ``z``, a multiple of the chunks' depth, on; each file appears when it is whole."""
     kind = np.dtype(written_type(dtype)).newbyteorder("<")
     size = [min(chunk[0], depth), *[min(a, b) for a, b in zip(chunk[1:], slab.shape[1:], strict=True)]]
@@ -176,18 +188,18 @@ def write_slab(path: str, t: int, c: int, z: int, slab: np.ndarray, dtype: str,
                 file = Path(path) / "0" / str(t) / str(c) / str(z // size[0]) / str(y // size[1]) / str(x // size[2])
                 file.parent.mkdir(parents=True, exist_ok=True)
                 part_file = file.with_name(f"{file.name}.{uuid.uuid4().hex}.part")
-                part_file.write_bytes(zlib.compress(full.tobytes(), 5))
+                part_file.write_bytes(zlib.compress(full.tobytes(), 5) if packing == "zlib" else blosc_pack(full.tobytes(), kind.itemsize))
                 os.replace(part_file, file)
 
 
-def write_zarr(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], chunk: tuple[int, int, int] = CHUNK) -> None:
+def write_zarr(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, int, int, int], dtype: str, voxel: tuple[float, float, float], chunk: tuple[int, int, int] = CHUNK, packing: str = "zlib") -> None:
     """A whole group from planes in t, c, z order."""
-    start_zarr(path, shape, dtype, voxel, chunk)
+    start_zarr(path, shape, dtype, voxel, chunk, packing)
     source, depth = iter(planes), min(chunk[0], shape[2])
     for t in range(shape[0]):
         for c in range(shape[1]):
             for z in range(0, shape[2], depth):
-                write_slab(path, t, c, z, np.stack([next(source) for _ in range(min(depth, shape[2] - z))]), dtype, shape[2], chunk)
+                write_slab(path, t, c, z, np.stack([next(source) for _ in range(min(depth, shape[2] - z))]), dtype, shape[2], chunk, packing)
 
 
 def read_psf(path: str, multiple: int | None = None) -> np.ndarray:
@@ -217,7 +229,7 @@ def _dense(pdf: pd.DataFrame, z: int, shape: tuple[int, int, int]) -> np.ndarray
     return out
 
 
-def save_groups(voxels: DataFrame, by: list[str], kind: str, paths: dict[tuple, str], shapes: dict[tuple, tuple[int, int, int]], times: int, channels: int, dtype: str, voxel: tuple[float, float, float]) -> DataFrame:
+def save_groups(voxels: DataFrame, by: list[str], kind: str, paths: dict[tuple, str], shapes: dict[tuple, tuple[int, int, int]], times: int, channels: int, dtype: str, voxel: tuple[float, float, float], packing: str = "zlib") -> DataFrame:
     """One file for each group ``by`` of voxels (t, c, z, y, x, v); returns a status row a group: failures are told, not raised.
 
     ``paths`` and ``shapes`` are by the group's key.  TIFF: planes are deflated each in a task of its own, and one task a file
@@ -265,7 +277,7 @@ def save_groups(voxels: DataFrame, by: list[str], kind: str, paths: dict[tuple,
         return planes.repartition(*by).sortWithinPartitions(*by, "number").mapInPandas(bound, status)
     if kind == "omezarr":
         for key, path in paths.items():
-            start_zarr(path, whole(key), dtype, voxel)
+            start_zarr(path, whole(key), dtype, voxel, packing=packing)
         depths = {key: min(CHUNK[0], shape[0]) for key, shape in shapes.items()}
 
         def slab(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -273,7 +285,7 @@ def save_groups(voxels: DataFrame, by: list[str], kind: str, paths: dict[tuple,
             group = tuple(group)
             z, (depth, height, width) = step * depths[group], shapes[group]
             size = (min(depths[group], depth - z), height, width)
-            return guarded(group, lambda: write_slab(paths[group], t, c, z, _dense(pdf, z, size), dtype, depth))
+            return guarded(group, lambda: write_slab(paths[group], t, c, z, _dense(pdf, z, size), dtype, depth, packing=packing))
 
         depth = F.lit(CHUNK[0])
         for key, shape in shapes.items():
@@ -295,7 +307,8 @@ def save_groups(voxels: DataFrame, by: list[str], kind: str, paths: dict[tuple,
 
 
 def save_tables(measures: DataFrame, paths: dict[tuple, str]) -> DataFrame:
-    """One CSV file for each (roi_index, output_index) of measurements in long form; a status row each."""
+    """One CSV file for each (image_id, roi_index, output_index) of measurements in long form; a status row each."""
+    keys = ["image_id", "roi_index", "output_index"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         key = tuple(int(k) for k in key)
@@ -303,9 +316,9 @@ def save_tables(measures: DataFrame, paths: dict[tuple, str]) -> DataFrame:
         wide = pdf.assign(cell=cell).pivot(index=["time", "channel", "row"], columns="name", values="cell")
         names = pdf.sort_values("place")["name"].drop_duplicates().tolist()
         wide[names].reset_index().drop(columns="row").to_csv(paths[key], index=False)
-        return pd.DataFrame({"roi_index": [key[0]], "output_index": [key[1]], "path": [paths[key]], "error": [None]})
+        return pd.DataFrame({**{k: [n] for k, n in zip(keys, key, strict=True)}, "path": [paths[key]], "error": [None]})
 
-    return measures.groupBy("roi_index", "output_index").applyInPandas(run, "roi_index int, output_index int, path string, error string")
+    return measures.groupBy(*keys).applyInPandas(run, ", ".join([*[f"{k} int" for k in keys], "path string, error string"]))
 
 
 def explode_lists(table: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,27 +1,17 @@
 """Opening an image of any kind that is read here: its voxels, and what its metadata tells.
 
-Files lie in a folder that all executors share; only lists of planes or chunks pass through the driver, and
-tasks read the pixels.
+Files are read by the data source of ``datasource``, so that ranges in a query reach them; tables of voxels are Parquet.
 """
 
 from __future__ import annotations
 
-import json
-import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
-from pathlib import Path
-from xml.etree import ElementTree
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bdv, czi, images, volume
-
-VOXELS = "image_id int, t int, c int, z int, y int, x int, v double"
+from . import datasource, volume
+from .layouts import CziLayout, open_layout
 
 
 @dataclass(frozen=True)
@@ -32,109 +22,22 @@ class Opened:
     pixel_sizes: tuple[float | None, float | None, float | None] = (None, None, None)
     channels: tuple[str, ...] = ()
     planes: DataFrame | None = None  # (image_id, t, c, z) that the file holds, where it may lack some
-
-
-def open_image(spark: SparkSession, path: str, scene: int = 0) -> Opened:
-    """The image of a CZI, TIFF, OME-Zarr or BDV file or a Parquet table of voxels, told by its name."""
-    name = path.lower().rstrip("/")
-    if name.endswith(".czi"):
-        return open_czi(spark, path, scene)
-    if name.endswith((".tif", ".tiff")):
-        return open_tiff(spark, path)
-    if name.endswith(".zarr"):
-        return open_zarr(spark, path)
-    if name.endswith((".h5", ".xml")):
-        return open_bdv(spark, path)
-    voxels = volume.read_voxels(spark, path)
-    ends = voxels.agg(*[(F.max(k) + 1).alias(k) for k in ("t", "c", "z", "y", "x")]).first()
-    return Opened(voxels, tuple(n or 0 for n in ends), "float64")
-
-
-def nonzero(t: int, c: int, z: int, pixels: np.ndarray, y: int = 0, x: int = 0) -> pd.DataFrame:
-    """The voxels of a plane or, with three axes, of a block from ``z`` on."""
-    block = pixels if pixels.ndim == 3 else pixels[None]
-    dz, dy, dx = np.nonzero(block)
-    return pd.DataFrame({"image_id": 0, "t": t, "c": c, "z": dz + z, "y": dy + y, "x": dx + x, "v": block[dz, dy, dx].astype(float)})
-
-
-def open_czi(spark: SparkSession, path: str, scene: int = 0) -> Opened:
-    about = czi.describe(path, scene)
-    if about is None:
-        raise ValueError(f"{path}: this kind of CZI file, or scene {scene}, is not read")
-    held = [(0, p.t, p.c, p.z) for p in czi.planes(path) if p.scene == about.scene]
-    sizes = (about.size_t, about.size_c, about.size_z, about.size_y, about.size_x)
-    return Opened(czi.voxels(spark, path, scene), sizes, about.dtype, czi.pixel_sizes(path), about.channel_names, spark.createDataFrame(held, "image_id int, t int, c int, z int"))
-
-
-def open_tiff(spark: SparkSession, path: str) -> Opened:
-    """Pages in the order that the OME description tells, else one stack."""
-    pages, text = images.tiff_pages(path)
-    sizes, order, voxel, names = {"T": 1, "C": 1, "Z": len(pages)}, "ZCT", (None, None, None), ()
-    if "<OME" in text:
-        pixels = ElementTree.fromstring(text).find(".//{*}Pixels")
-        sizes, order = {k: int(pixels.get(f"Size{k}", 1)) for k in "TCZ"}, pixels.get("DimensionOrder", "XYZCT")[2:]
-        voxel = tuple(float(n) if (n := pixels.get(f"PhysicalSize{k}")) else None for k in "ZYX")
-        names = tuple(c.get("Name", "") for c in pixels.iterfind("{*}Channel"))
-        if np.prod(list(sizes.values())) != len(pages):
-            raise ValueError(f"{path} has {len(pages)} pages for sizes {sizes}")
-    places = product(*[range(sizes[k]) for k in reversed(order)])  # the last axis of the order is the slowest
-    rows = [(*(dict(zip(reversed(order), at, strict=True))[k] for k in "TCZ"), json.dumps(page)) for at, page in zip(places, pages, strict=True)]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples():
-                yield nonzero(r.t, r.c, r.z, images.read_page(path, json.loads(r.page)))
-
-    listed = spark.createDataFrame(rows, "t int, c int, z int, page string").repartition(max(1, len(rows) // 8))
-    kind = np.dtype(pages[0]["dtype"]).name
-    return Opened(listed.mapInPandas(run, VOXELS), (sizes["T"], sizes["C"], sizes["Z"], pages[0]["height"], pages[0]["width"]), kind, voxel, names)
-
-
-def open_zarr(spark: SparkSession, path: str) -> Opened:
-    """The finest level of an OME-Zarr 0.4 group with chunks that are plain or of zlib; a task for each few chunks."""
-    attributes = json.loads((Path(path) / ".zattrs").read_text())
-    scales = attributes["multiscales"][0]
-    level = Path(path) / scales["datasets"][0]["path"]
-    array = json.loads((level / ".zarray").read_text())
-    axes = [a["name"] for a in scales["axes"]]
-    how = array["compressor"]
-    if how is not None and how["id"] != "zlib" or array.get("order", "C") != "C" or array.get("filters"):
-        raise ValueError(f"{path}: chunks packed by {how} are not read")
-    shape, chunks = dict(zip(axes, array["shape"], strict=True)), dict(zip(axes, array["chunks"], strict=True))
-    scale = next((dict(zip(axes, c["scale"], strict=True)) for c in scales["datasets"][0].get("coordinateTransformations", []) if c["type"] == "scale"), {})
-    mark, kind = array.get("dimension_separator", "."), np.dtype(array["dtype"])
-    rows = [(list(at),) for at in product(*[range(-(-shape[a] // chunks[a])) for a in axes])]
-    wide = ["t", "c", "z", "y", "x"]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for at in part["at"]:
-                file = level / mark.join(str(int(n)) for n in at)
-                if not file.exists():  # chunks of the fill value may be left out
-                    continue
-                raw = file.read_bytes()
-                block = np.frombuffer(zlib.decompress(raw) if how else raw, kind).reshape([chunks[a] for a in axes])
-                start = {a: int(n) * chunks[a] for a, n in zip(axes, at, strict=True)}
-                block = block[tuple(slice(0, shape[a] - start[a]) for a in axes)]
-                full = block.reshape([block.shape[axes.index(a)] if a in axes else 1 for a in wide])
-                for t, c in product(range(full.shape[0]), range(full.shape[1])):
-                    yield nonzero(t + start.get("t", 0), c + start.get("c", 0), start["z"] if "z" in start else 0, full[t, c], start["y"], start["x"])
-
-    listed = spark.createDataFrame(rows, "at array<int>").repartition(max(1, len(rows) // 4))
-    names = tuple(c.get("label", "") for c in attributes.get("omero", {}).get("channels", []))
-    return Opened(listed.mapInPandas(run, VOXELS), tuple(shape.get(a, 1) for a in wide), kind.name, tuple(scale.get(a) for a in "zyx"), names)
-
-
-def open_bdv(spark: SparkSession, path: str) -> Opened:
-    """The finest level of every slice, where the HDF5 package is there."""
-    file = path.removesuffix(".xml") + (".h5" if path.endswith(".xml") else "")
-    times, channels, shape, kind = bdv.describe(file)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples():
-                yield nonzero(r.t, r.c, 0, bdv.read(file, r.t, r.c))
-
-    rows = [(t, c) for t in range(times) for c in range(channels)]
-    listed = spark.createDataFrame(rows, "t int, c int").repartition(len(rows))
-    return Opened(listed.mapInPandas(run, VOXELS), (times, channels, *shape), kind, bdv.voxel_sizes(file))
+    one_image: bool = True  # False for a table, which may hold several
+
+
+def open_image(spark: SparkSession, path: str, scene: int = 0, image_id: int = 0, sizes: tuple[int, int, int, int, int] | None = None) -> Opened:
+    """The image of a CZI, TIFF, OME-Zarr or BDV file or a Parquet table of voxels, told by its name.
+
+    A table is scanned for its sizes, unless they are given.
+    """
+    layout = open_layout(path, scene)
+    if layout is None:
+        voxels = volume.read_voxels(spark, path)
+        if sizes is None:
+            ends = voxels.agg(*[(F.max(k) + 1).alias(k) for k in ("t", "c", "z", "y", "x")]).first()
+            sizes = tuple(n or 0 for n in ends)
+        return Opened(voxels, sizes, "float64", one_image=False)
+    planes = None
+    if isinstance(layout, CziLayout):
+        planes = spark.createDataFrame([(image_id, *p.start[:3]) for p in layout.pieces], "image_id int, t int, c int, z int")
+    return Opened(datasource.read_image(spark, path, scene, image_id), layout.sizes, layout.dtype, layout.pixel_sizes, layout.channels, planes)

@@ -97,6 +97,11 @@ def flip_scan(voxels: DataFrame, nz: int) -> DataFrame:
     return voxels.withColumn("z", (F.lit(nz - 1) - F.col("z")).cast("int"))
 
 
+def flipped_range(z: tuple[int, int], nz: int) -> tuple[int, int]:
+    """The stored planes that are ``z`` once the scan direction is reversed."""
+    return nz - z[1], nz - z[0]
+
+
 def stack(layers: list[DataFrame], axis: str, extents: list[int] | None = None) -> DataFrame:
     """Volumes laid one after another along t or c, each by the extents of those before it.
 

@@ -1,6 +1,7 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from obliqua.sources import bdv, czi, images, reader
@@ -11,20 +12,30 @@ def segment(name, data):
     return struct.pack("<16sqq", name.encode(), len(data), len(data)) + data
 
 
-def write_czi(path, planes, xml=b""):
-    """A file of uncompressed planes: {(scene, t, c, z, y, x): pixels}."""
+def packed(pixels, how):
+    """Bytes of a plane: plain (0), zstd (5), zstd with a head (6), or with low bytes before high ones (-6)."""
+    raw = pixels.astype("<u2")
+    if how == 0:
+        return raw.tobytes()
+    mixed = raw.view(np.uint8).reshape(-1, 2).T.tobytes() if how == -6 else raw.tobytes()
+    return {5: b"", 6: b"\x01", -6: b"\x03\x01\x01"}[how] + pa.compress(mixed, codec="zstd", asbytes=True)
+
+
+def write_czi(path, planes, xml=b"", how=0):
+    """A file of planes: {(scene, t, c, z, y, x): pixels}, all packed one way; returns where each plane's bytes lie."""
     def entry(key, pixels, position):
         axes = [(k, v, 1) for k, v in zip("STCZ", key[:4], strict=True)] + [("Y", key[4], pixels.shape[0]), ("X", key[5], pixels.shape[1])]
-        body = struct.pack("<2siqii", b"DV", 1, position, 0, 0) + bytes(6) + struct.pack("<i", len(axes))
+        body = struct.pack("<2siqii", b"DV", 1, position, 0, abs(how)) + bytes(6) + struct.pack("<i", len(axes))
         return body + b"".join(struct.pack("<4siifi", k.encode(), start, size, 0.0, size) for k, start, size in axes)
 
-    out, entries = bytearray(32 + 512), []
+    out, entries, places = bytearray(32 + 512), [], {}
     for key, pixels in planes.items():
         position = len(out)
         one = entry(key, pixels, position)
-        raw = pixels.astype("<u2").tobytes()
+        raw = packed(pixels, how)
         head = struct.pack("<iiq", 3, 0, len(raw)) + one
         out += segment("ZISRAWSUBBLOCK", head.ljust(256, b"\0") + b"<m>" + raw)
+        places[key] = (len(out) - len(raw), len(out))
         entries.append(one)
     about = len(out)
     out += segment("ZISRAWMETADATA", struct.pack("<ii", len(xml), 0).ljust(256, b"\0") + xml)
@@ -32,6 +43,7 @@ def write_czi(path, planes, xml=b""):
     out += segment("ZISRAWDIRECTORY", struct.pack("<i", len(entries)).ljust(128, b"\0") + b"".join(entries))
     out[:544] = segment("ZISRAWFILE", (bytes(52) + struct.pack("<qq", where, about)).ljust(512, b"\0"))
     path.write_bytes(out)
+    return places
 
 
 def test_czi_planes_drift_over_one_canvas(spark, tmp_path):
@@ -42,7 +54,7 @@ def test_czi_planes_drift_over_one_canvas(spark, tmp_path):
     write_czi(path, planes, b'<I><Dimensions><Channels><Channel Name="green"/></Channels></Dimensions></I>')
     about = czi.describe(str(path), 1)
     assert (about.size_t, about.size_z, about.size_y, about.size_x, about.channel_names, about.scene) == (3, 4, 12, 25, ("green",), 2)
-    got = {(v["t"], v["z"], v["y"], v["x"]): v["v"] for v in czi.voxels(spark, str(path), 1).collect()}
+    got = {(v["t"], v["z"], v["y"], v["x"]): v["v"] for v in reader.open_image(spark, str(path), 1).voxels.collect()}
     want = {(k[1], k[3], y, x + k[5]): float(p[y, x]) for k, p in planes.items() if k[0] == 2 for y in range(12) for x in range(20)}
     assert got == want
     assert czi.describe(str(path), 2) is None
