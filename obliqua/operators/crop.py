@@ -1,9 +1,8 @@
 """Cropping while deskewing: each region reads only the raw block behind it.
 
-Regions become rows with literal bounds of their output box and raw block.
-Voxels and regions meet by equality on coarse tiles of the raw volume, then by
-exact bounds; a region of any size so costs what its block holds, and overlapping
-regions share the scan.  Crops lie on the whole volume's output grid, so a crop equals
+Voxels go only to those blocks of the output that hold a part of some region, and a block that is worked
+out is cut for each of its regions; overlapping regions so share the scan and the sums, and no voxel is joined with a
+region.  Crops lie on the whole volume's output grid, so a crop equals
 that part of the whole deskewed volume.  ``align="subblock"`` instead deskews
 each block on its own grid, as single-block tools do.
 """
@@ -12,25 +11,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Acquisition, Box, crop_plan, safe_raw_box
 from ..sources.volume import KEYS, block
-from .deskew import deskew, taps, to_lines
-
-TILE = 32
-BOUNDS = "roi_index int, z0 int, z1 int, y0 int, y1 int, x0 int, x1 int, rz0 int, rz1 int, ry0 int, ry1 int, rx0 int, rx1 int"
-
-
-def region_rows(voxels: DataFrame, a: Acquisition, boxes: dict[int, Box]) -> DataFrame:
-    """One row for each region: its output box and the raw block behind it."""
-    rows = []
-    for index, box in boxes.items():
-        raw = safe_raw_box(a, box)
-        rows.append((index, *box.z, *box.y, *box.x, *raw.z, *raw.y, *raw.x))
-    return voxels.sparkSession.createDataFrame(rows, BOUNDS)
-
+from .blocks import Blocks, interpolate, kernel_of
+from .deskew import axes_of, deskew, kernel_ranges
 
 def crop(voxels: DataFrame, a: Acquisition, boxes: dict[int, Box], dense: bool = False, align: str = "global") -> DataFrame:
     """(keys, roi_index, z, y, x, v) in each region's own coordinates; zeros are left out unless ``dense``."""
@@ -42,27 +30,23 @@ def crop(voxels: DataFrame, a: Acquisition, boxes: dict[int, Box], dense: bool =
             one = _subblock(voxels, a, box).withColumn("roi_index", F.lit(index))
             out = one if out is None else out.unionByName(one)
     elif align == "global":
-        regions = region_rows(voxels, a, boxes)
-        tile = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / TILE), F.floor((F.col(hi) - 1) / TILE)))
-        tiles = regions.filter("rz1 > rz0 and ry1 > ry0 and rx1 > rx0")
-        for axis in "zyx":
-            tiles = tiles.withColumn(f"t{axis}", tile(f"r{axis}0", f"r{axis}1"))
-        # the union of all blocks bounds the scan with literals
+        # the union of all raw blocks bounds the scan with literals
         raw = [safe_raw_box(a, b) for b in boxes.values()]
         held = block(voxels, Box(*[(min(getattr(r, k)[0] for r in raw), max(getattr(r, k)[1] for r in raw)) for k in "zyx"]))
-        # pieces of lines, as long as a tile, meet the regions; their places and weights are worked out once
-        pieces = to_lines(held.withColumn(f"t{a.other}", F.floor(F.col(a.other) / TILE)), a, [*KEYS, f"t{a.other}"])
-        met = pieces.select("*", *[F.floor(F.col(k) / TILE).alias(f"t{k}") for k in ("z", a.lateral)]).join(tiles, ["tz", "ty", "tx"])
-        for k in ("z", a.lateral):
-            met = met.filter((F.col(k) >= F.col(f"r{k}0")) & (F.col(k) < F.col(f"r{k}1")))
-        made = taps(met, a)
-        made = made.select(*[c for c in made.columns if c != "line"], F.inline("line")).filter((F.col("at") >= F.col(f"r{a.other}0")) & (F.col("at") < F.col(f"r{a.other}1")))
-        place = {"z": F.col("zc"), a.lateral: F.col("lc"), a.other: F.col("at")}
-        inside = F.lit(True)
-        for k in "zyx":
-            inside = inside & (place[k] >= F.col(f"{k}0")) & (place[k] < F.col(f"{k}1"))
-        moved = made.filter(inside).select(*KEYS, "roi_index", *[(place[k] - F.col(f"{k}0")).cast("int").alias(f"o{k}") for k in "zyx"], (F.col("w") * F.col("v")).alias("v"))
-        out = moved.groupBy(*KEYS, "roi_index", *[F.col(f"o{k}").alias(k) for k in "zyx"]).agg(F.sum("v").alias("v"))
+        blocks = Blocks(kernel_of(a))
+        met: dict[int, list[int]] = {}
+        for index, box in boxes.items():
+            for number in blocks.meeting(*kernel_ranges(a, box)):
+                met.setdefault(number, []).append(index)
+
+        def finish(number, first, total, reached):
+            for index in met[number[0]]:
+                cut = tuple(slice(max(0, low - f), max(0, high - f)) for (low, high), f in zip(kernel_ranges(a, boxes[index]), first, strict=True))
+                place = np.nonzero(reached[cut])
+                at = axes_of(a, *[p + c.start + f for p, c, f in zip(place, cut, first, strict=True)])
+                yield {"roi_index": np.full(len(place[0]), index), **{k: at[k] - getattr(boxes[index], k)[0] for k in "zyx"}, "v": total[cut][place]}
+
+        out = interpolate(held, blocks, "image_id int, t int, c int, roi_index int, z int, y int, x int, v double", finish, np.array(sorted(met), np.int64))
     else:
         raise ValueError(f"unknown alignment {align!r}")
     out = out.select(*KEYS, "roi_index", "z", "y", "x", "v")

@@ -1,21 +1,19 @@
-"""Deskewing as a scatter: every raw voxel knows the output voxels it feeds.
-
-The output is a weighted sum of four raw voxels in the (scan, lateral) plane.
-Seen from a raw voxel, the outputs that it is one of the four for lie in a
-small window whose bounds follow from its place.  Places and weights are the same for a whole line along the
-third axis, so voxels first gather into lines; each line expands to its
-window, the exact kernel formulas keep the true members and give weights, and a sum
-per output voxel, combined before its shuffle, finishes.  There is no join of a grid with the pixels, and the
-interpolation never meets voxels that do not exist.
+"""Deskewing: a weighted sum of four raw voxels in the (scan, lateral) plane for each output voxel.
+
+Seen from a raw voxel, the outputs that it is one of the four for lie in a small window whose bounds follow from its place.  Raw
+voxels so go, packed in arrays, to the blocks of the output that they feed, and a block's sums are made as arrays
+(see ``blocks``).  There is no join of a grid with the pixels.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Acquisition, Box, safe_raw_box
-from ..sources.volume import KEYS, between, block
+from ..sources.volume import block
+from .blocks import Blocks, interpolate, kernel_of
 
 
 def _whole(column: Column) -> Column:
@@ -44,50 +42,36 @@ def shear_taps(voxels: DataFrame, a: Acquisition) -> DataFrame:
     return rows.withColumn("w", weight)
 
 
-def objective_taps(voxels: DataFrame, a: Acquisition) -> DataFrame:
-    """zc, lc, w in the objective frame; planes of the output count from the far side."""
-    depth, lateral = a.output_shape[0], a.output_shape[1 if a.skew == "Y" else 2]
-    z, lat, reach = F.col("z"), F.col(a.lateral), a.step * a.cos
-    rows = voxels.withColumn("zk", F.explode(_window((lat - 1 - reach) * a.sin, (lat + 1 + reach) * a.sin, depth)))
-    shift = F.col("zk") / F.lit(a.tan)
-    rows = rows.withColumn("lc", F.explode(_window(shift + (z - 1) * a.step, shift + (z + 1) * a.step, lateral)))
-    plane = F.col("lc") - shift
-    rows = rows.withColumn("pb", _whole(F.floor(plane / a.step))).filter((F.col("pb") >= 0) & (F.col("pb") + 1 < a.nz) & ((F.col("pb") == z) | (F.col("pb") + 1 == z)))
-    rows = rows.withColumn("lb", plane - F.col("pb") * a.step).withColumn("la", F.lit(a.step) - F.col("lb")).withColumn("za", F.col("zk") / F.lit(a.sin))
-    rows = rows.withColumn("vb", F.col("za") + F.col("lb") * a.cos).withColumn("va", F.col("za") - F.col("la") * a.cos)
-    rows = rows.withColumn("qb", _whole(F.floor("vb"))).withColumn("qa", _whole(F.floor("va")))
-    inside = (F.col("qb") >= 0) & (F.col("qa") >= 0) & (F.col("qb") < a.n_lateral - 1) & (F.col("qa") < a.n_lateral - 1)
-    after, before = F.col("pb") + 1 == z, F.col("pb") == z
-    weight = (
-        F.when(after & (F.col("qa") + 1 == lat), F.col("lb") * (F.col("va") - F.col("qa")))
-        .when(after & (F.col("qa") == lat), F.col("lb") * (1 - (F.col("va") - F.col("qa"))))
-        .when(before & (F.col("qb") + 1 == lat), F.col("la") * (F.col("vb") - F.col("qb")))
-        .when(before & (F.col("qb") == lat), F.col("la") * (1 - (F.col("vb") - F.col("qb"))))
-    )
-    return rows.filter(inside).withColumn("w", weight).filter("w is not null").withColumn("w", F.col("w") / F.lit(a.step)).withColumn("zc", F.lit(depth - 1) - F.col("zk"))
-
-
-def to_lines(voxels: DataFrame, a: Acquisition, keys: list[str]) -> DataFrame:
-    """One row for each line of the third axis, its voxels in ``line``; a line never holds more than that axis."""
-    return voxels.groupBy(*keys, "z", a.lateral).agg(F.collect_list(F.struct(F.col(a.other).alias("at"), F.col("v"))).alias("line"))
-
-
-def taps(voxels: DataFrame, a: Acquisition) -> DataFrame:
-    return shear_taps(voxels, a) if a.frame == "shear" else objective_taps(voxels, a)
-
-
-def deskew(voxels: DataFrame, a: Acquisition, box: Box | None = None, keys: list[str] | None = None) -> DataFrame:
+def axes_of(a: Acquisition, k, l, o) -> dict:  # noqa: E741
+    """z, y and x of places along an output's plane, line and third axis; planes of the objective frame count from the far side."""
+    return {"z": k if a.frame == "shear" else a.output_shape[0] - 1 - k, a.lateral: l, a.other: o}
+
+
+def kernel_ranges(a: Acquisition, box: Box) -> tuple[tuple[int, int], tuple[int, int], tuple[int, int]]:
+    """A box of the output as ranges of the kernel's plane, line and third axis."""
+    depth = a.output_shape[0]
+    k = box.z if a.frame == "shear" else (depth - box.z[1], depth - box.z[0])
+    return k, getattr(box, a.lateral), getattr(box, a.other)
+
+
+def deskew(voxels: DataFrame, a: Acquisition, box: Box | None = None, size: tuple[int, int, int] | None = None) -> DataFrame:
     """Deskewed voxels; those that no raw voxel reaches are left out.
 
     With a box of the output only its voxels are made, in the volume's own
     coordinates, and the raw block behind it becomes a filter on the scan.
     """
-    keys = KEYS if keys is None else keys
+    blocks = Blocks(kernel_of(a), size) if size else Blocks(kernel_of(a))
+    wanted = None
     if box is not None:
         voxels = block(voxels, safe_raw_box(a, box))
-    made = taps(to_lines(voxels, a, keys), a).select(*keys, "zc", "lc", "w", F.inline("line"))
-    place = {"z": F.col("zc"), a.lateral: F.col("lc"), a.other: F.col("at")}
-    made = made.select(*keys, *[place[k].cast("int").alias(k) for k in "zyx"], (F.col("w") * F.col("v")).alias("v"))
-    if box is not None:
-        made = made.filter(between("z", box.z) & between("y", box.y) & between("x", box.x))
-    return made.groupBy(*keys, "z", "y", "x").agg(F.sum("v").alias("v"))
+        wanted = np.array(sorted(blocks.meeting(*kernel_ranges(a, box))), np.int64)
+
+    def finish(_, first, total, reached):
+        place = np.nonzero(reached)
+        at = axes_of(a, *[p + f for p, f in zip(place, first, strict=True)])
+        keep = slice(None)
+        if box is not None:
+            keep = np.logical_and.reduce([(at[n] >= getattr(box, n)[0]) & (at[n] < getattr(box, n)[1]) for n in "zyx"])
+        yield {**{n: at[n][keep] for n in "zyx"}, "v": total[place][keep]}
+
+    return interpolate(voxels, blocks, "image_id int, t int, c int, z int, y int, x int, v double", finish, wanted)
