@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -146,61 +147,83 @@ class Blocks:
         return [self.number(i, j, m) for i in spans[0] for j in spans[1] for m in spans[2]]
 
 
-def packed(voxels: DataFrame, blocks: Blocks, wanted: np.ndarray | None = None) -> DataFrame:
-    """Rows of arrays: the voxels that a task read, by the block that they feed; only of ``wanted`` blocks (sorted numbers) if given."""
-    kernel, a = blocks.kernel, blocks.kernel.a
-    names = [*KEYS, "z", a.lateral, a.other, "v"]
-
-    def pack(columns: list[np.ndarray]) -> pa.RecordBatch | None:
-        image, t, c, z, lateral, other, v = columns
-        low_k, high_k, low_l, high_l = kernel.reach(z.astype(float), lateral.astype(float))
-        ends = []
-        for low, high, size, step in ((low_k, high_k, kernel.size_k, blocks.size[0]), (low_l, high_l, kernel.size_l, blocks.size[1])):
-            first = np.maximum(np.floor(low).astype(np.int64) - 1, 0)
-            last = np.minimum(np.ceil(high).astype(np.int64) + 1, size - 1)
-            ends.append((first // step, np.where(first <= last, last // step, first // step - 1)))
-        (k0, k1), (l0, l1) = ends
-        inside = (other >= 0) & (other < a.n_other)
-        places, numbers = [], []
-        for dk in range(int((k1 - k0).max(initial=-1)) + 1):
-            for dl in range(int((l1 - l0).max(initial=-1)) + 1):
-                found = np.flatnonzero(inside & (k0 + dk <= k1) & (l0 + dl <= l1))
-                number = blocks.number(k0[found] + dk, l0[found] + dl, other[found].astype(np.int64) // blocks.size[2])
-                if wanted is not None:
-                    keep = np.searchsorted(wanted, number)
-                    keep = (keep < len(wanted)) & (wanted[np.minimum(keep, len(wanted) - 1)] == number) if len(wanted) else np.zeros(len(number), bool)
-                    found, number = found[keep], number[keep]
-                places.append(found)
-                numbers.append(number)
-        if not places or not (place := np.concatenate(places)).size:
-            return None
-        number = np.concatenate(numbers)
-        order = np.lexsort((number, c[place], t[place], image[place]))
-        place, number = place[order], number[order]
-        marks = [image[place], t[place], c[place], number]
-        starts = np.flatnonzero(np.concatenate([[True], np.any([m[1:] != m[:-1] for m in marks], axis=0)]))
-        offsets = pa.array(np.append(starts, len(place)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[place])) for x in (z.astype(np.int32), lateral.astype(np.int32), other.astype(np.int32), v)]
-        heads = [pa.array(m[starts].astype(np.int32)) for m in marks[:3]]
-        return pa.RecordBatch.from_arrays([*heads, pa.array(number[starts]), *lists], names=[x.split()[0] for x in PACK_SCHEMA.split(", ")])
+Spans = list[tuple[np.ndarray, np.ndarray]]
+Number = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def pack(columns: list[np.ndarray], spans: Spans, number: Number, wanted: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """(image, t, c, three places, value) of voxels as a row of arrays for each block that they go to.
+
+    ``spans`` holds the first and last block along each axis for each voxel (none if the last is before the first).
+    """
+    image, t, c, *place, v = columns
+    found, numbers = [], []
+    most = [int((last - first).max(initial=-1)) + 1 for first, last in spans]
+    for steps in product(*map(range, most)):
+        at = [first + d for (first, _), d in zip(spans, steps, strict=True)]
+        chosen = np.flatnonzero(np.logical_and.reduce([k <= last for k, (_, last) in zip(at, spans, strict=True)]))
+        code = number(*[k[chosen] for k in at])
+        if wanted is not None:
+            keep = np.isin(code, wanted)
+            chosen, code = chosen[keep], code[keep]
+        found.append(chosen)
+        numbers.append(code)
+    if not found or not (rows := np.concatenate(found)).size:
+        return None
+    code = np.concatenate(numbers)
+    order = np.lexsort((code, c[rows], t[rows], image[rows]))
+    rows, code = rows[order], code[order]
+    marks = [image[rows], t[rows], c[rows], code]
+    starts = np.flatnonzero(np.concatenate([[True], np.any([m[1:] != m[:-1] for m in marks], axis=0)]))
+    offsets = pa.array(np.append(starts, len(rows)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[rows])) for x in (*[p.astype(np.int32) for p in place], v)]
+    heads = [pa.array(m[starts].astype(np.int32)) for m in marks[:3]]
+    return pa.RecordBatch.from_arrays([*heads, pa.array(code[starts]), *lists], names=[x.split()[0] for x in PACK_SCHEMA.split(", ")])
+
+
+def pack_batches(voxels: DataFrame, names: list[str], spans: Callable[[list[np.ndarray]], Spans], number: Number, wanted: np.ndarray | None = None) -> DataFrame:
+    """The columns ``names`` of voxels (keys, three places, value) packed by the tasks that read them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows = 0
+
+        def made() -> pa.RecordBatch | None:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            return pack(columns, spans(columns), number, wanted)
+
         for batch in batches:
             if batch.num_rows:
                 held.append([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
                 rows += batch.num_rows
             if rows >= PACKED:
-                if (made := pack([np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
-                    yield made
+                if (one := made()) is not None:
+                    yield one
                 held, rows = [], 0
-        if held and (made := pack([np.concatenate(c) for c in zip(*held, strict=True)])) is not None:
-            yield made
+        if held and (one := made()) is not None:
+            yield one
 
     return voxels.select(*names).mapInArrow(run, PACK_SCHEMA)
 
 
+def packed(voxels: DataFrame, blocks: Blocks, wanted: np.ndarray | None = None) -> DataFrame:
+    """Rows of arrays: the voxels that a task read, by the block that they feed; only of ``wanted`` blocks if given."""
+    kernel, a = blocks.kernel, blocks.kernel.a
+
+    def spans(columns: list[np.ndarray]) -> Spans:
+        _, _, _, z, lateral, other, _ = columns
+        low_k, high_k, low_l, high_l = kernel.reach(z.astype(float), lateral.astype(float))
+        out = []
+        for low, high, size, step in ((low_k, high_k, kernel.size_k, blocks.size[0]), (low_l, high_l, kernel.size_l, blocks.size[1])):
+            first = np.maximum(np.floor(low).astype(np.int64) - 1, 0)
+            last = np.minimum(np.ceil(high).astype(np.int64) + 1, size - 1)
+            out.append((first // step, np.where(first <= last, last // step, first // step - 1)))
+        own = other.astype(np.int64) // blocks.size[2]
+        return [*out, (own, np.where((other >= 0) & (other < a.n_other), own, own - 1))]
+
+    return pack_batches(voxels, [*KEYS, "z", a.lateral, a.other, "v"], spans, blocks.number, wanted)
+
+
 def _flat(table: pa.Table, name: str) -> np.ndarray:
     column = table.column(name).combine_chunks()
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
@@ -225,8 +248,8 @@ def interpolate(voxels: DataFrame, blocks: Blocks, schema: str, finish: Finish,
         parts = []
         if valid.any():
             taps = [(z.astype(np.int64), line.astype(np.int64), np.where(valid, w, 0.0)) for z, line, w in taps]
-            z0, z1 = (f(f(z[valid]) for z, _, _ in taps) for f in (min_of, max_of))
-            q0, q1 = (f(f(line[valid]) for _, line, _ in taps) for f in (min_of, max_of))
+            z0, z1 = min(int(z[valid].min()) for z, _, _ in taps), max(int(z[valid].max()) for z, _, _ in taps)
+            q0, q1 = min(int(q[valid].min()) for _, q, _ in taps), max(int(q[valid].max()) for _, q, _ in taps)
             shape = (z1 - z0 + 1, q1 - q0 + 1, o1 - o0)
             z, lateral, other, v = (_flat(table, n) for n in ("zs", "ls", "os", "vs"))
             needed = (z >= z0) & (z <= z1) & (lateral >= q0) & (lateral <= q1)
@@ -249,11 +272,3 @@ def interpolate(voxels: DataFrame, blocks: Blocks, schema: str, finish: Finish,
         return pa.concat_tables(made) if made else fields.empty_table()
 
     return packed(voxels, blocks, wanted).groupBy(*KEYS, "block").applyInArrow(run, schema)
-
-
-def min_of(values) -> int:
-    return int(np.min(values if isinstance(values, np.ndarray) else list(values)))
-
-
-def max_of(values) -> int:
-    return int(np.max(values if isinstance(values, np.ndarray) else list(values)))

@@ -1,21 +1,17 @@
 """Richardson-Lucy deconvolution in raw space, block by block.
 
-A block takes a halo of half the point-spread function from its neighbours (each
-voxel goes to every block whose halo holds it), is deconvolved by FFT in one
-Arrow group, and keeps its own voxels only.  Blocks bound the memory of a task
-whatever the volume's size.
+A block takes a halo of half the point-spread function from its neighbours (see ``halo``), is deconvolved by FFT and
+keeps its own voxels only.  Blocks bound the memory of a task whatever the volume's size.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.volume import KEYS
-
-SCHEMA = "image_id int, t int, c int, z int, y int, x int, v double"
+from .halo import stencil_by_place
 
 
 def richardson_lucy(volume: np.ndarray, psf: np.ndarray, iterations: int) -> np.ndarray:
@@ -77,22 +73,12 @@ def without_background(voxels: DataFrame, background: float | str, medians: Data
 
 def deconvolve(voxels: DataFrame, psfs: dict[int, np.ndarray], shape: tuple[int, int, int], iterations: int = 10, block: tuple[int, int, int] = (64, 128, 128)) -> DataFrame:
     """Deconvolved voxels above 0; ``psfs`` holds one array for each channel (absolute number)."""
-    halo = [max(p.shape[k] // 2 for p in psfs.values()) for k in range(3)]
-    out = voxels
-    for axis, size, edge, reach in zip("zyx", shape, block, halo, strict=True):
-        first = F.floor(F.greatest(F.col(axis) - reach, F.lit(0)) / edge)
-        last = F.floor(F.least(F.col(axis) + reach, F.lit(size - 1)) / edge)
-        out = out.withColumn(f"b{axis}", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        low = [max(0, int(b) * e - h) for b, e, h in zip(key[3:], block, halo, strict=True)]
-        high = [min(n, (int(b) + 1) * e + h) for n, b, e, h in zip(shape, key[3:], block, halo, strict=True)]
-        dense = np.zeros([b - a for a, b in zip(low, high, strict=True)])
-        dense[tuple((pdf[list("zyx")].to_numpy() - low).T)] = pdf["v"].to_numpy()
-        made = richardson_lucy(dense, psfs[int(key[2])], iterations)
-        own = tuple(slice(int(b) * e - a, min(n, (int(b) + 1) * e) - a) for b, e, a, n in zip(key[3:], block, low, shape, strict=True))
-        at = np.argwhere(made[own] > 1e-9)
-        first = [int(b) * e for b, e in zip(key[3:], block, strict=True)]
-        return pd.DataFrame({"image_id": key[0], "t": key[1], "c": key[2], **{k: (at[:, i] + first[i]).astype(np.int32) for i, k in enumerate("zyx")}, "v": made[own][tuple(at.T)]})
-
-    return out.groupBy(*KEYS, "bz", "by", "bx").applyInPandas(run, SCHEMA)
+    halo = tuple(max(p.shape[k] // 2 for p in psfs.values()) for k in range(3))
+
+    def work(values: np.ndarray, _: np.ndarray, key: tuple[int, int, int], outside: list[tuple[int, int]]):
+        inside = tuple(slice(a, n - b) for (a, b), n in zip(outside, values.shape, strict=True))
+        made = richardson_lucy(values[inside], psfs[key[2]], iterations)
+        own = made[tuple(slice(h - a, n - h + b - a - b) for h, (a, b), n in zip(halo, outside, values.shape, strict=True))]
+        return own, own > 1e-9
+
+    return stencil_by_place(voxels, halo, work, shape, block)

@@ -1,11 +1,11 @@
 """Image filters and measurements on voxel tables.
 
-Stencils scatter each voxel to its neighbours, so that gaps in a sparse volume
-never shift a window; beyond the volume and where no voxel is, values are 0.
+Stencils work on dense blocks with a halo (see ``halo``); beyond the volume and where no voxel is, values are 0.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box
 from ..sources.volume import KEYS, between
-
-PLACE = ["z", "y", "x"]
+from .halo import SIZE, correlate, shifted, spread, stencil
+from .labels import PLACE, grow, kept, label_blocks, maxima
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -26,38 +26,40 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [r / sum(raw) for r in raw]
 
 
-def convolve(voxels: DataFrame, axis: str, weights: list[float], size: int) -> DataFrame:
-    """Weighted sums along one axis."""
-    radius = len(weights) // 2
-    steps = F.array(*[F.struct(F.lit(k - radius).alias("d"), F.lit(w).alias("w")) for k, w in enumerate(weights)])
-    spread = voxels.select("*", F.inline(steps)).withColumn(axis, (F.col(axis) + F.col("d")).cast("int"))
-    return spread.filter((F.col(axis) >= 0) & (F.col(axis) < size)).groupBy(*KEYS, *PLACE).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+def gaussian(voxels: DataFrame, sigma: float, shape: tuple[int, int, int], size: tuple[int, int, int] = SIZE) -> DataFrame:
+    """Gaussian blur, one axis after the other within each block; places that no voxel reaches are left out."""
+    weights = gaussian_weights(sigma)
+    reach = len(weights) // 2
 
+    def work(values: np.ndarray, held: np.ndarray):
+        for axis in range(3):
+            values, held = correlate(values, weights, axis), spread(held, reach, axis)
+        return values, held
 
-def gaussian(voxels: DataFrame, sigma: float, shape: tuple[int, int, int]) -> DataFrame:
-    """Gaussian blur, one axis after the other."""
-    for axis, size in zip("zyx", shape, strict=True):
-        voxels = convolve(voxels, axis, gaussian_weights(sigma), size)
-    return voxels
+    return stencil(voxels, (reach,) * 3, work, shape, size)
 
 
-def neighbours(voxels: DataFrame, radius: int, shape: tuple[int, int, int], ball: bool = True) -> DataFrame:
-    """Each voxel copied to every place within reach of it."""
-    offsets = [(a, b, c) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) for c in range(-radius, radius + 1) if not ball or a * a + b * b + c * c <= radius * radius]
-    steps = F.array(*[F.struct(F.lit(a).alias("dz_"), F.lit(b).alias("dy_"), F.lit(c).alias("dx_")) for a, b, c in offsets])
-    out = voxels.select("*", F.inline(steps))
-    for k, size in zip(PLACE, shape, strict=True):
-        out = out.withColumn(k, (F.col(k) + F.col(f"d{k}_")).cast("int")).filter((F.col(k) >= 0) & (F.col(k) < size))
-    return out.withColumn("ball", F.lit(len(offsets))).drop("dz_", "dy_", "dx_")
+#: Values that the neighbours of some planes may take up in memory at a time.
+MOST_NEIGHBOURS = 1 << 22
 
 
-def median(voxels: DataFrame, radius: int, shape: tuple[int, int, int]) -> DataFrame:
+def median(voxels: DataFrame, radius: int, shape: tuple[int, int, int], size: tuple[int, int, int] = SIZE) -> DataFrame:
     """Median over a ball; places without a voxel count as 0. Values must not be negative."""
-    near = neighbours(voxels.filter("v > 0"), radius, shape)
+    ball = [d for d in itertools.product(range(-radius, radius + 1), repeat=3) if sum(k * k for k in d) <= radius * radius]
     # of n values in order the middle is the (n // 2)-th from above, counting from 0: zeros are the lowest
-    grouped = near.groupBy(*KEYS, *PLACE).agg(F.sort_array(F.collect_list("v"), asc=False).alias("a"), F.first("ball").alias("n"))
-    middle = F.floor(F.col("n") / 2).cast("int")
-    return grouped.filter(F.size("a") > middle).select(*KEYS, *PLACE, F.element_at("a", middle + 1).alias("v"))
+    middle = len(ball) - 1 - len(ball) // 2
+
+    def work(values: np.ndarray, _: np.ndarray):
+        own = [n - 2 * radius for n in values.shape]
+        out = np.zeros(own)
+        planes = max(1, MOST_NEIGHBOURS // (len(ball) * own[1] * own[2]))
+        for z in range(0, own[0], planes):
+            near = np.stack([shifted(values[z : z + planes + 2 * radius], d, (radius,) * 3) for d in ball])
+            near.partition(middle, axis=0)
+            out[z : z + planes] = near[middle]
+        return out, out > 0
+
+    return stencil(voxels.filter("v > 0"), (radius,) * 3, work, shape, size)
 
 
 def above(voxels: DataFrame, level: float, strict: bool = False) -> DataFrame:
@@ -129,44 +131,6 @@ def axis_lengths(labelled: DataFrame) -> DataFrame:
     return moments.select(*KEYS, "label", lengths(*[a + b for a, b in pairs]).alias("a")).select(*KEYS, "label", "a.*")
 
 
-def label_array(mask: np.ndarray) -> np.ndarray:
-    """Labels of the components of a mask whose voxels touch by faces, edges or corners, numbered in scan order."""
-    shape = np.array(mask.shape)
-    number = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        padded = np.pad(np.where(mask, number, mask.size + 1), 1, constant_values=mask.size + 1)
-        least = np.where(mask, number, mask.size + 1)
-        for a in range(3):
-            for b in range(3):
-                for c in range(3):
-                    least = np.minimum(least, padded[a : a + shape[0], b : b + shape[1], c : c + shape[2]])
-        least = np.where(mask, least, 0)
-        flat = np.concatenate([[0], least.ravel()])
-        least = np.where(mask, flat[least], 0)  # jump on along what is known
-        if (least == number).all():
-            break
-        number = least
-    found, out = np.unique(number[mask], return_inverse=True)
-    labels = np.zeros(mask.shape, np.int64)
-    labels[mask] = out + 1
-    return labels
-
-
-def label_components(voxels: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``label`` for each voxel of a mask, one slice at a time: a slice's voxels must fit a worker."""
-    keys = keys or KEYS
-    schema = ", ".join([*[f"{k} int" for k in keys], "z int, y int, x int, v double, label long"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = pdf[PLACE].min().to_numpy()
-        at = tuple((pdf[PLACE].to_numpy() - low).T)
-        mask = np.zeros(tuple(pdf[PLACE].max().to_numpy() - low + 1), bool)
-        mask[at] = True
-        return pdf.assign(label=label_array(mask)[at])
-
-    return voxels.select(*keys, *PLACE, "v").groupBy(*keys).applyInPandas(run, schema)
-
-
 def nan_count(voxels: DataFrame) -> DataFrame:
     return voxels.groupBy(*KEYS).agg(F.count_if(F.isnan("v")).alias("nan_count"))
 
@@ -213,47 +177,23 @@ def triangle(voxels: DataFrame, voxel_count: int, bins: int = 256) -> DataFrame:
     return placed.filter(onside).withColumn("under", under).groupBy(*KEYS).agg(F.max_by((F.col("bin") + 0.5) * F.col("top") / bins, F.struct("under", -F.col("away"))).alias("threshold"))
 
 
-def seeded_labels(image: np.ndarray, level: float, spot_sigma: float) -> np.ndarray:
-    """Labels of the bright parts of an image, split between the maxima of its blurred form: the nearest by steps within the part wins."""
-    blurred = image.astype(float)
-    weights = gaussian_weights(spot_sigma)
-    for axis in range(3):
-        blurred = np.apply_along_axis(lambda line: np.convolve(np.pad(line, len(weights) // 2), weights, "valid"), axis, blurred)
-    padded = np.pad(blurred, 1, constant_values=-np.inf)
-    around = [padded[a : a + image.shape[0], b : b + image.shape[1], c : c + image.shape[2]] for a in range(3) for b in range(3) for c in range(3)]
-    mask = image >= level
-    labels = label_array(mask & (blurred > 0) & (blurred >= np.maximum.reduce(around)))
-    while True:
-        wide = np.pad(labels, 1)
-        near = np.maximum.reduce([wide[a : a + image.shape[0], b : b + image.shape[1], c : c + image.shape[2]] for a in range(3) for b in range(3) for c in range(3)])
-        grown = np.where(mask & (labels == 0), near, labels)
-        if (grown == labels).all():
-            return labels
-        labels = grown
-
-
-def seeded_components(voxels: DataFrame, spot_sigma: float = 1.0, level: float | None = None, bins: int = 256) -> DataFrame:
-    """``label`` for each bright voxel of a slice, one slice a task; without a level Otsu's over the slice's box."""
-    schema = "image_id int, t int, c int, z int, y int, x int, v double, label long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low = pdf[PLACE].min().to_numpy()
-        image = np.zeros(tuple(pdf[PLACE].max().to_numpy() - low + 1))
-        image[tuple((pdf[PLACE].to_numpy() - low).T)] = pdf["v"].to_numpy()
-        cut = level
-        if cut is None:
-            counts, edges = np.histogram(image, bins)
-            middle = (edges[1:] + edges[:-1]) / 2
-            below, total = np.cumsum(counts), counts.sum()
-            sums = np.cumsum(counts * middle)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                spread = below * (total - below) * (sums / below - (sums[-1] - sums) / (total - below)) ** 2
-            cut = float(middle[np.nanargmax(spread)])
-        labels = seeded_labels(image, cut, spot_sigma)
-        at = np.argwhere(labels > 0)
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in KEYS}, **{k: (at[:, i] + low[i]).astype(np.int32) for i, k in enumerate(PLACE)}, "v": image[tuple(at.T)], "label": labels[tuple(at.T)]})
-
-    return voxels.groupBy(*KEYS).applyInPandas(run, schema)
+def seeded_components(voxels: DataFrame, shape: tuple[int, int, int], spot_sigma: float = 1.0, level: float | None = None, outline_sigma: float = 0.0, size: tuple[int, int, int] = SIZE) -> DataFrame:
+    """``label`` for each bright voxel: bright parts are split between the maxima of the blurred volume, the nearest by steps within the part wins.
+
+    Bright are voxels at ``level`` or over it, or at Otsu's threshold of their slice, once blurred by ``outline_sigma`` (0: as they are).  Seeds are
+    maxima by ``spot_sigma`` within the bright parts, touching ones together; of seeds that arrive together the one of the greatest number wins.
+    """
+    outline = gaussian(voxels, outline_sigma, shape, size) if outline_sigma else voxels
+    if level is None:
+        cut = otsu(outline, int(np.prod(shape)))
+        bright = outline.join(cut, KEYS).filter("v >= threshold").select(*KEYS, *PLACE)
+    else:
+        bright = outline.filter(F.col("v") >= level).select(*KEYS, *PLACE)
+    bright = kept(bright)
+    blurred = gaussian(voxels, spot_sigma, shape, size).withColumn("v", F.round("v", 9))  # equal heights stay equal
+    spots = maxima(blurred, shape, size).join(bright, [*KEYS, *PLACE], "left_semi")
+    labelled = grow(label_blocks(spots, size), bright, shape, size)
+    return labelled.join(voxels.select(*KEYS, *PLACE, "v"), [*KEYS, *PLACE], "left").select(*KEYS, *PLACE, F.coalesce("v", F.lit(0.0)).alias("v"), "label")
 
 
 def pyramid_level(voxels: DataFrame, factors: tuple[int, int, int]) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.filters import label_array
+from ..operators.labels import label_array
 
 ROOT = "deskewed_image"
 CONTEXT = ("channel", "channel_index", "time", "time_index", "roi_index")

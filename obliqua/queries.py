@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .functions import dtypes
 from .functions.geometry import Acquisition, Box, crop_plan, region_box
 from .operators import crop as cropping
-from .operators import decon, estimate, filters, mip, rois
+from .operators import decon, estimate, filters, labels, mip, rois
 from .operators.deskew import deskew
 from .plans.workflow import Workflow, run_workflow
 from .sources import images, naming, volume
@@ -546,7 +546,7 @@ def differing_planes(spark, d):
 
 @register()
 def seeded_labels(spark, d):
-    return rounded(filters.measures(filters.seeded_components(raw_volume(spark, d), 1.0, 45.0)), "centroid_z", "centroid_y", "centroid_x", "intensity_mean")
+    return rounded(filters.measures(filters.seeded_components(raw_volume(spark, d), (NZ, NY, NX), 1.0, 45.0)), "centroid_z", "centroid_y", "centroid_x", "intensity_mean")
 
 
 def _pad_sql() -> str:
@@ -571,19 +571,29 @@ def psf_crop(spark, d):
 
 @register(with_raw("SELECT image_id, t, c, label, count(*) AS area, min(z) AS min_z, max(z) + 1 AS max_z, min(y) AS min_y, max(y) + 1 AS max_y, min(x) AS min_x, max(x) + 1 AS max_x, round(avg(z), 6) AS centroid_z, round(avg(y), 6) AS centroid_y, round(avg(x), 6) AS centroid_x, round(avg(v), 6) AS intensity_mean FROM (SELECT *, CAST(1 + (z // 8) * 4 + y // 10 AS BIGINT) AS label FROM raw WHERE v > 20) GROUP BY 1, 2, 3, 4"))
 def region_measures(spark, d):
-    labels = raw_volume(spark, d).filter("v > 20").withColumn("label", (1 + F.floor(F.col("z") / 8) * 4 + F.floor(F.col("y") / 10)).cast("long"))
-    return rounded(filters.measures(labels), "centroid_z", "centroid_y", "centroid_x", "intensity_mean")
+    parted = raw_volume(spark, d).filter("v > 20").withColumn("label", (1 + F.floor(F.col("z") / 8) * 4 + F.floor(F.col("y") / 10)).cast("long"))
+    return rounded(filters.measures(parted), "centroid_z", "centroid_y", "centroid_x", "intensity_mean")
 
 
-@register()
+def _components_sql(level: float) -> str:
+    """``parts``: the voxels of each connected part with its number in scan order; least places spread along touching voxels until nothing changes."""
+    around = "SELECT dz, dy, dx FROM (SELECT unnest([-1, 0, 1]) AS dz), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx) WHERE dz <> 0 OR dy <> 0 OR dx <> 0"
+    return f"""WITH RECURSIVE raw AS ({RAW_SQL}), m AS (SELECT *, (z * {NY} + y) * {NX} + x AS id FROM raw WHERE v >= {level}), o AS ({around}),
+      e AS (SELECT a.image_id, a.t, a.c, a.id AS a, b.id AS b FROM (SELECT m.*, z + dz AS nz, y + dy AS ny, x + dx AS nx FROM m, o) a JOIN m b ON a.image_id = b.image_id AND a.t = b.t AND a.c = b.c AND b.z = nz AND b.y = ny AND b.x = nx),
+      r(image_id, t, c, id, least) USING KEY (image_id, t, c, id) AS (SELECT image_id, t, c, id, id FROM m UNION
+        SELECT e.image_id, e.t, e.c, e.b, min(r.least) FROM r JOIN e ON e.image_id = r.image_id AND e.t = r.t AND e.c = r.c AND e.a = r.id JOIN recurring.r AS k ON k.image_id = e.image_id AND k.t = e.t AND k.c = e.c AND k.id = e.b WHERE r.least < k.least GROUP BY e.image_id, e.t, e.c, e.b),
+      parts AS (SELECT m.image_id, m.t, m.c, z, y, x, v, dense_rank() OVER (PARTITION BY m.image_id, m.t, m.c ORDER BY least) AS label FROM m JOIN r USING (image_id, t, c, id))"""
+
+
+@register(_components_sql(45.0) + " SELECT image_id, t, c, CAST(label AS BIGINT) AS label, count(*) AS area, min(z) AS min_z, max(z) + 1 AS max_z, min(y) AS min_y, max(y) + 1 AS max_y, min(x) AS min_x, max(x) + 1 AS max_x, round(avg(z), 6) AS centroid_z, round(avg(y), 6) AS centroid_y, round(avg(x), 6) AS centroid_x, round(avg(v), 6) AS intensity_mean FROM parts GROUP BY image_id, t, c, label")
 def component_labels(spark, d):
-    labelled = filters.label_components(filters.above(raw_volume(spark, d), 45.0))
+    labelled = labels.label_blocks(filters.above(raw_volume(spark, d), 45.0))
     return rounded(filters.measures(labelled), "centroid_z", "centroid_y", "centroid_x", "intensity_mean")
 
 
 @register()
 def component_axes(spark, d):
-    return rounded(filters.axis_lengths(filters.label_components(filters.above(raw_volume(spark, d), 45.0))), "axis_major_length", "axis_minor_length")
+    return rounded(filters.axis_lengths(labels.label_blocks(filters.above(raw_volume(spark, d), 45.0))), "axis_major_length", "axis_minor_length")
 
 
 @register(with_raw("SELECT image_id, t, c, z, min(v) AS least, max(v) AS greatest, count(*) AS n FROM raw GROUP BY 1, 2, 3, 4"))

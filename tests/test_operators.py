@@ -7,7 +7,7 @@ import pytest
 
 from obliqua.functions import dtypes
 from obliqua.functions.geometry import Acquisition, Box
-from obliqua.operators import crop, decon, estimate, filters, mip, rois
+from obliqua.operators import crop, decon, estimate, filters, labels, mip, rois
 from obliqua.operators.deskew import deskew
 from obliqua.sources import volume
 
@@ -136,15 +136,15 @@ def test_saturating_casts(spark):
 def test_labels_join_across_corners():
     mask = np.zeros((3, 3, 6), bool)
     mask[0, 0, 0] = mask[1, 1, 1] = mask[2, 2, 5] = True
-    labels = filters.label_array(mask)
-    assert labels[0, 0, 0] == labels[1, 1, 1] == 1
-    assert labels[2, 2, 5] == 2
+    found = labels.label_array(mask)
+    assert found[0, 0, 0] == found[1, 1, 1] == 1
+    assert found[2, 2, 5] == 2
 
 
 def test_blur_and_label_of_one_voxel(spark):
     raw = np.zeros((5, 5, 5))
     raw[2, 2, 2] = 10
-    labelled = filters.label_components(filters.above(filters.gaussian(frame(spark, raw), 1.0, raw.shape), 0.5))
+    labelled = labels.label_blocks(filters.above(filters.gaussian(frame(spark, raw), 1.0, raw.shape), 0.5))
     assert {(r["z"], r["y"], r["x"]): r["label"] for r in labelled.collect()}[2, 2, 2] == 1
 
 
