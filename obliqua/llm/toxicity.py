@@ -79,6 +79,20 @@ def terms(text: str) -> set[str]:
     return found
 
 
+def _outside(found: dict[int, float], spared: list[tuple[int, int]]) -> dict[int, float]:
+    """What lies in none of the stretches (from, to), by one sweep over both in order of place."""
+    if not spared:
+        return found
+    waiting, reach, out = iter(sorted(spared)), -1, {}
+    ahead = next(waiting)
+    for at in sorted(found):
+        while ahead is not None and ahead[0] <= at:
+            reach, ahead = max(reach, ahead[1]), next(waiting, None)
+        if at >= reach:
+            out[at] = found[at]
+    return out
+
+
 @dataclass
 class Lexicon:
     """Entries begin with a space; those that end with one match whole words only."""
@@ -117,10 +131,7 @@ class Lexicon:
                 spared.append((at, end))
             else:
                 found[at] = max(weight, found.get(at, 0.0))
-        for a, b in spared:
-            for at in [x for x in found if a <= x < b]:
-                del found[at]
-        return found
+        return _outside(found, spared)
 
     def phrases(self, text: str) -> set[str]:
         """Each counted word with the word before, the word after, and both."""

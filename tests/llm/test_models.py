@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -190,3 +191,16 @@ def test_a_random_labeler_is_found_out():
     learned = pii.train(counts).reliability
     for kind in ("card", "ip"):
         assert abs(learned[kind][1] - 0.5) < 0.12 and learned[kind][0] > 0.8
+
+
+def test_toxicity_spares_by_one_sweep():
+    r = random.Random(4)
+    for _ in range(200):
+        found = {r.randrange(60): 1.0 for _ in range(r.randrange(20))}
+        spared = [(a := r.randrange(60), a + r.randrange(12)) for _ in range(r.randrange(8))]
+        want = {at: w for at, w in found.items() if not any(a <= at < b for a, b in spared)}
+        assert toxicity._outside(dict(found), spared) == want
+    lexicon = toxicity.Lexicon({" bad ": 1.0}, ["not bad at"])
+    began = time.perf_counter()
+    assert len(lexicon.hits(toxicity.fold(" " + "not bad at all bad so " * 240_000))) == 240_000
+    assert time.perf_counter() - began < 30
