@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import dtypes
+from .functions import columns, dtypes
 from .functions.geometry import Acquisition, Box, crop_plan, region_box
 from .operators import crop as cropping
 from .operators import decon, estimate, filters, labels, mip, rois
@@ -58,6 +58,24 @@ def lit(value: float) -> str:
     return f"CAST({value!r} AS DOUBLE)"
 
 
+def term(a: Acquisition, name: str) -> str:
+    """A constant of the geometry, from the angle and the voxel sizes alone."""
+    turned, step = f"radians({lit(a.angle)})", f"({lit(a.dz)} / {lit(a.dy if a.skew == 'Y' else a.dx)})"
+    return {"sin": f"sin({turned})", "cos": f"cos({turned})", "tan": f"tan({turned})", "step": step, "rise": f"(sin({turned}) * {step})", "run": f"(cos({turned}) * {step})"}[name]
+
+
+def extent(a: Acquisition, name: str) -> str:
+    """The depth or the lateral size of the deskewed volume: in the shear frame as far as the last voxel, else as far apart as the turned corners."""
+    n = a.ny if a.skew == "Y" else a.nx
+    if a.frame == "shear":
+        size = f"ceil({a.nz - 1} * {term(a, 'rise')})" if name == "depth" else f"ceil({a.nz - 1} * {term(a, 'run')} + {n - 1})"
+        return f"CAST({size} + 1 AS BIGINT)"
+    scale, lean = f"({term(a, 'sin')} * {term(a, 'step')})", f"(sin(radians({lit(90 - a.angle)})) * {term(a, 'step')})"
+    p, q = (f"(cos(radians({lit(a.angle)})) * {scale} - {term(a, 'sin')} * {lean})", f"(-{term(a, 'sin')})") if name == "depth" else (f"({term(a, 'sin')} * {scale} + {term(a, 'cos')} * {lean})", term(a, "cos"))
+    corners = f"0, {p} * {a.nz}, {q} * {n}, {p} * {a.nz} + {q} * {n}"
+    return f"CAST(round_even(greatest({corners}) - least({corners}), 0) AS BIGINT)"
+
+
 def lineitem(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet")
 
@@ -213,9 +231,9 @@ def roi_iteration(spark, d):
 def _forward_sql(a: Acquisition) -> str:
     lat, other = a.lateral, a.other
     if a.frame == "shear":
-        depth, moved = f"{lit(a.rise)} * z", f"{lit(a.run)} * z + {lat}"
+        depth, moved = f"{term(a, "rise")} * z", f"{term(a, "run")} * z + {lat}"
     else:
-        depth, moved = f"{lit(a.n_lateral * a.sin)} - {lit(a.sin)} * {lat}", f"{lit(a.step)} * z + {lit(a.cos)} * {lat}"
+        depth, moved = f"{a.n_lateral} * {term(a, "sin")} - {term(a, "sin")} * {lat}", f"{term(a, "step")} * z + {term(a, "cos")} * {lat}"
     return f"SELECT z, y, x, round({depth}, 9) + 0.0 AS zc, round({moved}, 9) + 0.0 AS lc, CAST({other} AS DOUBLE) AS oc FROM (SELECT DISTINCT z, y, x FROM raw)"
 
 
@@ -234,64 +252,76 @@ for _name, _a in (("shear_y", SHEAR_Y), ("shear_x", SHEAR_X), ("objective_y", OB
     _SQL[f"forward_map_{_name}"] = with_raw(_forward_sql(_a))
 
 
-@register(f"SELECT z, lc, round(z / {lit(SHEAR_Y.rise)}, 9) AS scan, round(lc - z / {lit(SHEAR_Y.tan)}, 9) + 0.0 AS lateral FROM (SELECT CAST(n_nationkey AS INT) AS z, CAST(n_regionkey AS INT) AS lc FROM nation)")
+@register(f"SELECT z, lc, round(z / {term(SHEAR_Y, "rise")}, 9) AS scan, round(lc - z / {term(SHEAR_Y, "tan")}, 9) + 0.0 AS lateral FROM (SELECT CAST(n_nationkey AS INT) AS z, CAST(n_regionkey AS INT) AS lc FROM nation)")
 def inverse_map_shear(spark, d):
     places = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("z"), F.col("n_regionkey").cast("int").alias("lc"))
     return places.select("z", "lc", F.round(F.col("z") / F.lit(SHEAR_Y.rise), 9).alias("scan"), (F.round(F.col("lc") - F.col("z") / F.lit(SHEAR_Y.tan), 9) + F.lit(0.0)).alias("lateral"))
 
 
-def _shape_sql(angle: float, n: int) -> str:
-    a = Acquisition(n, n, n, DZ, DY, DX, angle)
-    return f"SELECT CAST({n} AS INT) AS n, {lit(angle)} AS angle, CAST(ceil(({n} - 1) * {lit(a.rise)}) + 1 AS INT) AS nz, CAST(ceil(({n} - 1) * {lit(a.run)} + ({n} - 1)) + 1 AS INT) AS ny, CAST({n} AS INT) AS nx"
+# Acquisitions of many sizes, voxels and angles, one for each part: the catalogue that sizes and estimates are made for.
+ACQUISITIONS_SQL = """SELECT p_partkey, CAST(5 + p_size AS INT) AS nz, CAST(8 + p_partkey % 40 AS INT) AS ny, CAST(6 + p_partkey % 37 AS INT) AS nx, CAST(3 + p_partkey % 7 AS DOUBLE) / 10 AS dz, CAST(10 + p_partkey % 3 AS DOUBLE) / 64 AS dy, CAST(10 + p_partkey % 4 AS DOUBLE) / 64 AS dx,
+  CAST(25 + (p_partkey % 9) * 5 AS DOUBLE) + CAST(p_partkey % 4 AS DOUBLE) / 4 AS angle, CASE WHEN p_partkey % 2 = 0 THEN 'Y' ELSE 'X' END AS skew, CASE WHEN p_partkey // 2 % 2 = 0 THEN 'shear' ELSE 'objective' END AS frame FROM part"""
 
 
-@register(" UNION ALL ".join(_shape_sql(angle, n) for angle in (30.0, 45.0, 60.0) for n in (5, 24, 40)))
-def shear_shapes(spark, d):
-    rows = [(n, angle, *Acquisition(n, n, n, DZ, DY, DX, angle).output_shape) for angle in (30.0, 45.0, 60.0) for n in (5, 24, 40)]
-    return spark.createDataFrame(rows, "n int, angle double, nz int, ny int, nx int")
+def acquisitions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    whole = lambda c: c.cast("int")
+    return spark.read.parquet(f"{d}/part.parquet").select(
+        k, whole(5 + F.col("p_size")).alias("nz"), whole(8 + k % 40).alias("ny"), whole(6 + k % 37).alias("nx"), ((3 + k % 7).cast("double") / 10).alias("dz"), ((10 + k % 3).cast("double") / 64).alias("dy"), ((10 + k % 4).cast("double") / 64).alias("dx"),
+        ((25 + (k % 9) * 5).cast("double") + (k % 4).cast("double") / 4).alias("angle"), F.when(k % 2 == 0, "Y").otherwise("X").alias("skew"), F.when(F.floor(k / 2) % 2 == 0, "shear").otherwise("objective").alias("frame"),
+    )
 
 
-def _turned_shape_sql(angle: float, n: int) -> str:
-    a = Acquisition(n, n, n, DZ, DY, DX, angle, "Y", "objective")
-    (p, q), (r, s) = a.turn_matrix()
-    corners = " UNION ALL ".join(f"SELECT {lit(p)} * {z} + {lit(q)} * {lat} AS d, {lit(r)} * {z} + {lit(s)} * {lat} AS l" for z in (0, n) for lat in (0, n))
-    return f"SELECT CAST({n} AS INT) AS n, {lit(angle)} AS angle, CAST(round_even(max(d) - min(d), 0) AS INT) AS nz, CAST(round_even(max(l) - min(l), 0) AS INT) AS ny, CAST({n} AS INT) AS nx FROM ({corners})"
+_PLACED = f"""a AS (SELECT *, CASE WHEN skew = 'Y' THEN ny ELSE nx END AS n, CASE WHEN skew = 'Y' THEN dy ELSE dx END AS d, sin(radians(angle)) AS s, cos(radians(angle)) AS c FROM ({ACQUISITIONS_SQL})),
+  h AS (SELECT *, dz / d AS step, s * dz / d AS scale, sin(radians(90 - angle)) * (dz / d) AS lean FROM a), m AS (SELECT *, c * scale + -s * lean AS t00, -s AS t01, s * scale + c * lean AS t10, c AS t11 FROM h),
+  g AS (SELECT *, CAST(CASE WHEN frame = 'shear' THEN ceil((nz - 1) * (s * step)) + 1 ELSE round_even(greatest(0, t01 * n, t00 * nz, t00 * nz + t01 * n) - least(0, t01 * n, t00 * nz, t00 * nz + t01 * n), 0) END AS INT) AS depth,
+    CAST(CASE WHEN frame = 'shear' THEN ceil((nz - 1) * (c * step) + (n - 1)) + 1 ELSE round_even(greatest(0, t11 * n, t10 * nz, t10 * nz + t11 * n) - least(0, t11 * n, t10 * nz, t10 * nz + t11 * n), 0) END AS INT) AS moved FROM m),
+  o AS (SELECT *, depth AS out_z, CASE WHEN skew = 'Y' THEN moved ELSE ny END AS out_y, CASE WHEN skew = 'Y' THEN nx ELSE moved END AS out_x FROM g)"""
+_SHAPES = "p_partkey, nz, angle, skew, out_z, out_y, out_x"
 
 
-@register(" UNION ALL ".join(_turned_shape_sql(angle, n) for angle in (30.0, 45.0, 60.0) for n in (5, 24, 40)))
+@register(f"WITH {_PLACED} SELECT {_SHAPES} FROM o WHERE frame = 'shear'")
+def shear_shapes(spark, d):
+    return columns.with_geometry(acquisitions(spark, d)).filter("frame = 'shear'").select(*_SHAPES.split(", "))
+
+
+@register(f"WITH {_PLACED} SELECT {_SHAPES} FROM o WHERE frame = 'objective'")
 def objective_shapes(spark, d):
-    rows = [(n, angle, *Acquisition(n, n, n, DZ, DY, DX, angle, "Y", "objective").output_shape) for angle in (30.0, 45.0, 60.0) for n in (5, 24, 40)]
-    return spark.createDataFrame(rows, "n int, angle double, nz int, ny int, nx int")
+    return columns.with_geometry(acquisitions(spark, d)).filter("frame = 'objective'").select(*_SHAPES.split(", "))
 
 
-@register(f"SELECT frame, skew, CASE WHEN frame = 'objective' THEN {lit(OBJECTIVE_Y.sin)} * {lit(DZ)} WHEN skew = 'Y' THEN {lit(DY)} ELSE {lit(DX)} END AS new_dz FROM (VALUES ('shear', 'Y'), ('shear', 'X'), ('objective', 'Y'), ('objective', 'X')) v(frame, skew)")
+@register(f"SELECT p_partkey, frame, skew, round(CASE WHEN frame = 'objective' THEN sin(radians(angle)) * dz WHEN skew = 'Y' THEN dy ELSE dx END, 9) AS new_dz FROM ({ACQUISITIONS_SQL})")
 def output_voxel(spark, d):
-    rows = [(f, s, Acquisition(NZ, NY, NX, DZ, DY, DX, 30.0, s, f).new_dz) for f in ("shear", "objective") for s in ("Y", "X")]
-    return spark.createDataFrame(rows, "frame string, skew string, new_dz double")
+    return columns.with_geometry(acquisitions(spark, d)).select("p_partkey", "frame", "skew", F.round("new_dz", 9).alias("new_dz"))
 
 
-def _matrix_sql(a: Acquisition) -> str:
-    m = {(0, 0): a.rise, (1, 0): a.run, (1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0}
-    flipped = f"CASE WHEN j = 0 THEN -v WHEN j = 3 THEN v + {a.nz - 1} * coalesce(f, 0) ELSE v END"
-    cells = ", ".join(f"({i}, {j}, {lit(m.get((i, j), 0.0))})" for i in range(4) for j in range(4))
-    return f"WITH m(i, j, v) AS (VALUES {cells}), g AS (SELECT i, j, v, (SELECT n.v FROM m n WHERE n.i = m.i AND n.j = 0) AS f FROM m) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round({flipped}, 9) + 0.0 AS v FROM g"
+def _matrix_sql() -> str:
+    """The map of places with the scan turned back: z counts down from the last plane."""
+    depth = "CASE WHEN frame = 'shear' THEN s * step * {z} ELSE n * s * {one} - s * {l} END"
+    moved = "CASE WHEN frame = 'shear' THEN c * step * {z} + {l} ELSE step * {z} + c * {l} END"
+    cells = []
+    for j, (z, y, x, one) in enumerate((("-1", "0", "0", "0"), ("0", "1", "0", "0"), ("0", "0", "1", "0"), ("(nz - 1)", "0", "0", "1"))):
+        lat, other = (f"(CASE WHEN skew = 'Y' THEN {p} ELSE {q} END)" for p, q in ((y, x), (x, y)))
+        put = lambda text, z=z, lat=lat, one=one: text.format(z=z, l=lat, one=one)
+        rows = (put(depth), f"CASE WHEN skew = 'Y' THEN {put(moved)} ELSE {other} END", f"CASE WHEN skew = 'Y' THEN {other} ELSE {put(moved)} END", one)
+        cells += [f"SELECT p_partkey, CAST({i} AS INT) AS i, CAST({j} AS INT) AS j, round(CAST({v} AS DOUBLE), 9) + 0.0 AS v FROM h" for i, v in enumerate(rows)]
+    return f"WITH {_PLACED} {' UNION ALL '.join(cells)}"
 
 
-@register(_matrix_sql(SHEAR_Y))
+@register(_matrix_sql())
 def display_matrix_flipped(spark, d):
-    matrix = np.round(SHEAR_Y.affine_zyx(flipped=True), 9) + 0.0
-    return spark.createDataFrame([(i, j, float(matrix[i, j])) for i in range(4) for j in range(4)], "i int, j int, v double")
+    return columns.display_matrices(acquisitions(spark, d), flipped=True).select("p_partkey", "i", "j", (F.round("v", 9) + 0.0).alias("v"))
 
 
 def _crop_geometry_sql() -> str:
     """The raw blocks of regions by mapping the eight corners of each in SQL."""
     a = OBJECTIVE_Y
-    height = a.n_lateral * a.sin
+    height = f"{a.n_lateral} * {term(a, 'sin')}"
     corners = f"SELECT roi_index, zz, yy, xx FROM b, (SELECT unnest([0, 8]) AS zz), LATERAL (SELECT unnest([y0, y1]) AS yy), LATERAL (SELECT unnest([x0, x1]) AS xx)"
-    back = f"SELECT roi_index, (yy - {lit(a.cos)} * ({lit(height)} - zz) / {lit(a.sin)}) / {lit(a.step)} AS z, ({lit(height)} - zz) / {lit(a.sin)} AS y, xx AS x FROM k"
+    back = f"SELECT roi_index, (yy - {term(a, "cos")} * ({height} - zz) / {term(a, "sin")}) / {term(a, "step")} AS z, ({height} - zz) / {term(a, "sin")} AS y, xx AS x FROM k"
     clip = lambda f, c, n: f"CAST(least(greatest(round_even({f}({c}), 0), 0), {n}) AS INT)"
     spans = ", ".join(f"{clip('min', c, n)} AS r{c}0, {clip('max', c, n)} AS r{c}1" for c, n in zip("zyx", (NZ, NY, NX), strict=True))
-    return f"WITH r AS ({ROIS_SQL}), b AS (SELECT roi_index, CAST(\"top\" AS INT) AS y0, CAST(bottom AS INT) AS y1, CAST(\"left\" AS INT) AS x0, CAST(\"right\" AS INT) AS x1 FROM r), k AS ({corners}), m AS ({back}), s AS (SELECT roi_index, {spans} FROM m GROUP BY roi_index) SELECT s.roi_index, rz0, rz1, ry0, ry1, rx0, rx1, CAST(greatest(round_even(b.y0 - (least({lit(a.step)} * rz0, {lit(a.step)} * rz1) + {lit(a.cos)} * least(ry0, ry1)), 0), 0) AS INT) AS excess FROM s JOIN b USING (roi_index)"
+    return f"WITH r AS ({ROIS_SQL}), b AS (SELECT roi_index, CAST(\"top\" AS INT) AS y0, CAST(bottom AS INT) AS y1, CAST(\"left\" AS INT) AS x0, CAST(\"right\" AS INT) AS x1 FROM r), k AS ({corners}), m AS ({back}), s AS (SELECT roi_index, {spans} FROM m GROUP BY roi_index) SELECT s.roi_index, rz0, rz1, ry0, ry1, rx0, rx1, CAST(greatest(round_even(b.y0 - (least({term(a, "step")} * rz0, {term(a, "step")} * rz1) + {term(a, "cos")} * least(ry0, ry1)), 0), 0) AS INT) AS excess FROM s JOIN b USING (roi_index)"
 
 
 def _boxes(spark, d, z: tuple[int, int] = (0, 8)) -> dict[int, Box]:
@@ -312,26 +342,22 @@ def crop_geometry(spark, d):
 
 
 def _shear_sql(a: Acquisition) -> str:
-    nz, ny, nx = a.output_shape
-    n_lat_out = ny if a.skew == "Y" else nx
     lat, other = a.lateral, a.other
-    grid = f"""SELECT zc, lc, CAST(floor(zc / {lit(a.rise)}) AS BIGINT) AS p, zc / {lit(a.rise)} - floor(zc / {lit(a.rise)}) AS fp,
-      CAST(floor(lc - zc / {lit(a.tan)}) AS BIGINT) AS q, (lc - zc / {lit(a.tan)}) - floor(lc - zc / {lit(a.tan)}) AS fl FROM (SELECT unnest(range({nz})) AS zc), (SELECT unnest(range({n_lat_out})) AS lc)"""
+    grid = f"""SELECT zc, lc, CAST(floor(zc / {term(a, "rise")}) AS BIGINT) AS p, zc / {term(a, "rise")} - floor(zc / {term(a, "rise")}) AS fp,
+      CAST(floor(lc - zc / {term(a, "tan")}) AS BIGINT) AS q, (lc - zc / {term(a, "tan")}) - floor(lc - zc / {term(a, "tan")}) AS fl FROM (SELECT unnest(range({extent(a, "depth")})) AS zc), (SELECT unnest(range({extent(a, "lateral")})) AS lc)"""
     taps = " UNION ALL ".join(f"SELECT zc, lc, p + {i} AS z, q + {j} AS l, {'fp' if i else '(1 - fp)'} * {'fl' if j else '(1 - fl)'} AS w FROM ok" for i in (0, 1) for j in (0, 1))
     return f"""grid AS ({grid}), ok AS (SELECT * FROM grid WHERE p >= 0 AND p + 1 < {a.nz} AND q >= 0 AND q + 1 < {a.n_lateral}), taps AS ({taps}),
       made AS (SELECT image_id, t, c, CAST(zc AS INT) AS z, CAST(lc AS INT) AS {lat}, r.{other}, sum(w * v) AS v FROM taps JOIN raw r ON taps.z = r.z AND taps.l = r.{lat} GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
 def _objective_sql(a: Acquisition) -> str:
-    nz, ny, nx = a.output_shape
-    n_lat_out = ny if a.skew == "Y" else nx
     lat, other = a.lateral, a.other
-    return f"""g0 AS (SELECT z, lc, lc - z / {lit(a.tan)} AS vp FROM (SELECT unnest(range({nz})) AS z), (SELECT unnest(range({n_lat_out})) AS lc)),
-      g1 AS (SELECT *, CAST(floor(vp / {lit(a.step)}) AS BIGINT) AS pb FROM g0), g2 AS (SELECT *, vp - pb * {lit(a.step)} AS lb, {lit(a.step)} - (vp - pb * {lit(a.step)}) AS la, z / {lit(a.sin)} AS za FROM g1),
-      g3 AS (SELECT *, za + lb * {lit(a.cos)} AS vb, za - la * {lit(a.cos)} AS va FROM g2), g4 AS (SELECT *, CAST(floor(vb) AS BIGINT) AS qb, CAST(floor(va) AS BIGINT) AS qa FROM g3),
+    return f"""g0 AS (SELECT z, lc, lc - z / {term(a, "tan")} AS vp FROM (SELECT unnest(range({extent(a, "depth")})) AS z), (SELECT unnest(range({extent(a, "lateral")})) AS lc)),
+      g1 AS (SELECT *, CAST(floor(vp / {term(a, "step")}) AS BIGINT) AS pb FROM g0), g2 AS (SELECT *, vp - pb * {term(a, "step")} AS lb, {term(a, "step")} - (vp - pb * {term(a, "step")}) AS la, z / {term(a, "sin")} AS za FROM g1),
+      g3 AS (SELECT *, za + lb * {term(a, "cos")} AS vb, za - la * {term(a, "cos")} AS va FROM g2), g4 AS (SELECT *, CAST(floor(vb) AS BIGINT) AS qb, CAST(floor(va) AS BIGINT) AS qa FROM g3),
       ok AS (SELECT * FROM g4 WHERE pb >= 0 AND pb + 1 < {a.nz} AND qb >= 0 AND qa >= 0 AND qb < {a.n_lateral - 1} AND qa < {a.n_lateral - 1}),
       taps AS (SELECT z, lc, pb + 1 AS rz, qa + 1 AS rl, lb * (va - qa) AS w FROM ok UNION ALL SELECT z, lc, pb + 1, qa, lb * (1 - (va - qa)) FROM ok UNION ALL SELECT z, lc, pb, qb + 1, la * (vb - qb) FROM ok UNION ALL SELECT z, lc, pb, qb, la * (1 - (vb - qb)) FROM ok),
-      made AS (SELECT image_id, t, c, CAST({nz - 1} - taps.z AS INT) AS z, CAST(lc AS INT) AS {lat}, r.{other}, sum(w / {lit(a.step)} * v) AS v FROM taps JOIN raw r ON taps.rz = r.z AND taps.rl = r.{lat} GROUP BY 1, 2, 3, 4, 5, 6)"""
+      made AS (SELECT image_id, t, c, CAST({extent(a, "depth")} - 1 - taps.z AS INT) AS z, CAST(lc AS INT) AS {lat}, r.{other}, sum(w / {term(a, "step")} * v) AS v FROM taps JOIN raw r ON taps.rz = r.z AND taps.rl = r.{lat} GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
 def _deskew_sql(a: Acquisition) -> str:
@@ -397,7 +423,7 @@ def crop_shear_dense(spark, d):
 
 def _mip_objective_sql(a: Acquisition, linear: bool, rows: int) -> str:
     lat, other = a.lateral, a.other
-    grid = f"SELECT lc, j, (lc - {lit(a.cos)} * j) / {lit(a.step)} AS nf FROM (SELECT unnest(range({rows})) AS lc), (SELECT unnest(range({a.n_lateral})) AS j) WHERE j >= floor((lc - {a.nz} * {lit(a.step)}) / {lit(a.cos)}) AND j < ceil(lc / {lit(a.cos)}) + 1"
+    grid = f"SELECT lc, j, (lc - {term(a, "cos")} * j) / {term(a, "step")} AS nf FROM (SELECT unnest(range({rows})) AS lc), (SELECT unnest(range({a.n_lateral})) AS j) WHERE j >= floor((lc - {a.nz} * {term(a, "step")}) / {term(a, "cos")}) AND j < ceil(lc / {term(a, "cos")}) + 1"
     if not linear:
         return f"WITH raw AS ({RAW_SQL}), g AS ({grid}) SELECT image_id, t, c, CAST(lc AS INT) AS {lat}, r.{other}, max(v) AS v FROM g JOIN raw r ON r.{lat} = j AND r.z = trunc(nf + 0.5) WHERE v > 0 GROUP BY 1, 2, 3, 4, 5"
     taps = f"SELECT lc, j, floor(nf) AS n, CASE WHEN floor(nf) + 1 < {a.nz} THEN 1 - (nf - floor(nf)) ELSE 1.0 END AS w FROM g WHERE nf >= 0 UNION ALL SELECT lc, j, floor(nf) + 1, nf - floor(nf) FROM g WHERE floor(nf) >= 0"
@@ -616,7 +642,7 @@ def _estimate_sql() -> str:
     """Raw blocks in SQL; the deskewed block's size follows from the block's own corners."""
     a = OBJECTIVE_Y
     return f"""WITH s AS ({_crop_geometry_sql()}), k AS (SELECT roi_index, greatest(rz1 - rz0, 0) AS z, greatest(ry1 - ry0, 0) AS y, greatest(rx1 - rx0, 0) AS x FROM s),
-      m AS (SELECT *, CASE WHEN z * y * x = 0 THEN 0 ELSE CAST(round_even({lit(a.sin)} * y, 0) AS BIGINT) * CAST(round_even({lit(a.step)} * z + {lit(a.cos)} * y, 0) AS BIGINT) * x END AS mid FROM k)
+      m AS (SELECT *, CASE WHEN z * y * x = 0 THEN 0 ELSE CAST(round_even({term(a, "sin")} * y, 0) AS BIGINT) * CAST(round_even({term(a, "step")} * z + {term(a, "cos")} * y, 0) AS BIGINT) * x END AS mid FROM k)
       SELECT roi_index, CAST(z * y * x * 2 AS BIGINT) AS host_input, CAST(z * y * x * 4 AS BIGINT) AS device_input, CAST(mid * 4 AS BIGINT) AS device_middle, CAST(greatest(z * y * x * 4, mid * 4) AS BIGINT) AS largest_buffer, CAST(floor((z * y * x * 4 + mid * 4) * 1.5) AS BIGINT) AS device_set, CAST(floor(z * y * x * 2 * 1.5) AS BIGINT) AS host_set FROM m"""
 
 
@@ -633,15 +659,12 @@ def recommended_workers(spark, d):
     return estimate.workers(estimate.region_estimate(estimate.region_shapes(spark, OBJECTIVE_Y, _boxes(spark, d)), 2), _LIMITS)
 
 
-def _volume_estimate_sql() -> str:
-    nz, ny, nx = SHEAR_Y.output_shape
-    n, m = NZ * NY * NX, nz * ny * nx
-    return f"SELECT CAST({n} AS BIGINT) AS voxels_in, CAST({m} AS BIGINT) AS voxels_out, CAST(greatest({n}, {m}) * 4 AS BIGINT) AS largest_buffer, CAST(({n} + {m}) * 6 AS BIGINT) AS device_set, CAST({n} * 2 + {m} * (4 + 2) AS BIGINT) AS host_peak, greatest({n}, {m}) * 4 > 1000000000 AS exceeds_buffer, ({n} + {m}) * 6 <= 200000 AS fits_device, {n} * 2 + {m} * 6 <= 1000000 AS fits_host"
-
-
-@register(_volume_estimate_sql())
+@register(f"""WITH {_PLACED}, e AS (SELECT p_partkey, CAST(nz AS BIGINT) * ny * nx AS n, CAST(out_z AS BIGINT) * out_y * out_x AS m FROM o)
+  SELECT p_partkey, n AS voxels_in, m AS voxels_out, greatest(n, m) * 4 AS largest_buffer, (n + m) * 6 AS device_set, n * 2 + m * 6 AS host_peak, greatest(n, m) * 4 > 1000000000 AS exceeds_buffer, (n + m) * 6 <= 200000 AS fits_device, n * 2 + m * 6 <= 1000000 AS fits_host FROM e""")
 def volume_memory(spark, d):
-    return estimate.volume_estimate(spark, SHEAR_Y, "uint16", _LIMITS)
+    made = columns.volume_estimates(acquisitions(spark, d).select("p_partkey", "nz", "ny", "nx", "dz", "dy", "dx", "angle", "skew", "frame"), dtypes.ITEM_SIZES["uint16"], dtypes.ITEM_SIZES["uint16"])
+    fits = {"exceeds_buffer": F.col("largest_buffer") > _LIMITS.device_buffer, "fits_device": F.col("device_set") <= _LIMITS.device_budget, "fits_host": F.col("host_peak") <= _LIMITS.host_free}
+    return made.select("p_partkey", "voxels_in", "voxels_out", "largest_buffer", "device_set", "host_peak").withColumns(fits)
 
 
 @register(f"SELECT CAST(chunk AS INT) AS chunk, list(roi_index ORDER BY roi_index) AS rois FROM (SELECT roi_index, (row_number() OVER (ORDER BY roi_index) - 1) % 4 AS chunk FROM ({ROIS_SQL})) GROUP BY chunk")

@@ -3,8 +3,9 @@ import itertools
 import numpy as np
 import pytest
 
-from obliqua.functions import dtypes
+from obliqua.functions import columns, dtypes
 from obliqua.functions.geometry import Acquisition, Box, crop_plan, region_box, xyz_from_zyx
+from obliqua.operators import estimate
 
 
 @pytest.mark.parametrize(("angle", "sizes", "shape"), [(60.0, (1, 1, 1), (4, 8, 5)), (30.0, (1, 1, 1), (2, 9, 5)), (30.0, (0.3, 0.1499219272808386, 0.1499219272808386), (3, 14, 5))])
@@ -52,3 +53,24 @@ def test_written_types():
     assert dtypes.output_type("uint16", deconvolved=True) == "float32"
     with pytest.raises(TypeError):
         dtypes.written_type("complex64")
+
+
+def test_columns_equal_the_geometry_of_each_acquisition(spark):
+    rows = []
+    for k, (angle, dz, dy) in enumerate((a, z, y) for a in (30.0, 31.8, 45.0, 57.3, 60.0, 90.0) for z in (0.3, 1.0, 2.0) for y in (0.15, 1.0, 1.04)):
+        for skew in "YX":
+            for frame in ("shear", "objective"):
+                rows.append((len(rows), 5 + k % 31, 4 + k % 17, 3 + k % 13, dz, dy, dy * (1 + k % 2), angle, skew, frame))
+    table = spark.createDataFrame(rows, "id int, nz int, ny int, nx int, dz double, dy double, dx double, angle double, skew string, frame string")
+    wanted = {r[0]: Acquisition(*r[1:]) for r in rows}
+    for r in columns.with_geometry(table).collect():
+        a = wanted[r.id]
+        assert (r.out_z, r.out_y, r.out_x) == a.output_shape and np.isclose(r.new_dz, a.new_dz)
+    for flipped in (False, True):
+        got = {(r.id, r.i, r.j): r.v for r in columns.display_matrices(table, flipped).collect()}
+        for k, a in wanted.items():
+            assert np.allclose([[got[k, i, j] for j in range(4)] for i in range(4)], a.affine_zyx(flipped))
+    for r in columns.volume_estimates(table, 2, 2).collect():
+        a = wanted[r.id]
+        one = estimate.volume_estimate(spark, a, "uint16", estimate.Limits()).first() if r.id % 40 == 0 else None
+        assert r.voxels_out == np.prod(a.output_shape) and (one is None or tuple(one)[:5] == (r.voxels_in, r.voxels_out, r.largest_buffer, r.device_set, r.host_peak))
