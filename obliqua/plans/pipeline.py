@@ -18,7 +18,7 @@ from ..functions.geometry import Acquisition, Box, region_box
 from ..operators import crop as cropping
 from ..operators import decon, estimate, mip, rois
 from ..operators.deskew import deskew
-from ..sources import images, naming, volume
+from ..sources import images, layouts, naming, volume
 from ..sources.reader import Opened, open_image
 from .config import Settings, checked
 from .workflow import Workflow, split_results, workflow_results
@@ -119,7 +119,7 @@ class Pipeline:
         files = s.deconvolution.psf
         if len(files) != s.size_c:
             raise ValueError(f"{s.size_c} channels need as many point-spread functions, not {len(files)}")
-        psfs = {c: images.read_psf(p) for c, p in enumerate(files)}
+        psfs = {c: layouts.read_psf(p) for c, p in enumerate(files)}
         decon.check_psfs(psfs, s.size_c)
         return psfs
 

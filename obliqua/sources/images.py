@@ -203,8 +203,11 @@ def write_zarr(path: str, planes: Iterator[np.ndarray], shape: tuple[int, int, i
 
 
 def read_psf(path: str, multiple: int | None = None) -> np.ndarray:
-    """A point-spread function: the first three-dimensional stack of a file, its far ends reflected up to a multiple."""
-    psf = read_tiff(path).astype(float)
+    """A point-spread function: the first three-dimensional stack of a TIFF file, its far ends reflected up to a multiple."""
+    return padded_psf(path, read_tiff(path).astype(float), multiple)
+
+
+def padded_psf(path: str, psf: np.ndarray, multiple: int | None) -> np.ndarray:
     if psf.ndim != 3 or min(psf.shape) < 1:
         raise ValueError(f"{path} holds no three-dimensional function")
     if multiple:

@@ -198,3 +198,29 @@ def open_layout(path: str, scene: int = 0) -> Layout | None:
     if name.endswith((".h5", ".xml")):
         return bdv_layout(path)
     return None
+
+
+def scenes_of(path: str) -> list[int]:
+    """The scene numbers that a file knows, sorted; a file of another kind has one."""
+    return sorted({p.scene for p in czi.planes(path)}) if path.lower().endswith(".czi") else [0]
+
+
+def stack(path: str, scene: int = 0) -> np.ndarray:
+    """The (z, y, x) stack of a file's first time and channel."""
+    layout = open_layout(path, scene)
+    if layout is None:
+        raise ValueError(f"{path}: a file of this name is not read")
+    out = np.zeros(layout.sizes[2:], layout.dtype)
+    bounds = {"t": (0, 1), "c": (0, 1), **{k: (0, n) for k, n in zip("zyx", layout.sizes[2:], strict=True)}}
+    for task in layout.tasks(bounds, 1 << 30):
+        for (_, _, z, y, x), block in layout.blocks(task, bounds):
+            cut = block[0, 0][: out.shape[0] - z, : out.shape[1] - y, : out.shape[2] - x]
+            out[z : z + cut.shape[0], y : y + cut.shape[1], x : x + cut.shape[2]] = cut
+    return out
+
+
+def read_psf(path: str) -> np.ndarray:
+    """A point-spread function: a TIFF stack as it is, the first stack of another file with its far ends reflected up to multiples of 16."""
+    if path.lower().endswith((".tif", ".tiff")):
+        return images.read_psf(path)
+    return images.padded_psf(path, stack(path).astype(float), 16)

@@ -17,7 +17,8 @@ from obliqua.plans.config import CropSettings, Settings
 from obliqua.plans.pipeline import Pipeline
 from obliqua.sources import codecs, images
 from obliqua.sources.datasource import ImageReader
-from obliqua.sources.reader import open_image
+from obliqua.sources.layouts import read_psf
+from obliqua.sources.reader import layers, open_image, open_scenes
 from tests.test_files import write_czi
 
 SHAPE = (3, 2, 9, 20, 16)
@@ -226,3 +227,48 @@ def test_other_packings_are_refused(spark, tmp_path):
     (path / "0/.zarray").write_text(json.dumps(about | {"compressor": {"id": "lzma"}}))
     with pytest.raises(ValueError, match="not read"):
         open_image(spark, str(path))
+
+
+def scenes(path, names, second=(9, 8)):
+    """Two scenes of two channels, the second of a given size."""
+    r = np.random.default_rng(6)
+    planes = {(s, 0, c, z, 0, 0): r.integers(1, 50, (9, 8) if s == 3 else second) for s in (3, 8) for c in range(2) for z in range(4)}
+    write_czi(path, planes, f"<I><Dimensions><Channels>{''.join(f'<Channel Name=\"{n}\"/>' for n in names)}</Channels></Dimensions></I>".encode() if names else b"")
+    return planes
+
+
+def test_scenes_are_images_of_one_table(spark, tmp_path):
+    planes = scenes(tmp_path / "a.czi", ("red", "green"))
+    opened = open_scenes(spark, str(tmp_path / "a.czi"))
+    assert opened.sizes == (1, 2, 4, 9, 8) and not opened.one_image and opened.planes.count() == 16
+    got = {(r.image_id, r.c, r.z, r.y, r.x): r.v for r in opened.voxels.collect()}
+    assert got == {(int(k[0] == 8), k[2], k[3], y, x): float(p[y, x]) for k, p in planes.items() for y in range(9) for x in range(8)}
+    made = dict(save_dir=str(tmp_path), size_t=1, size_c=2, size_z=4, size_y=9, size_x=8, pixel_sizes=(1.0, 1.0, 1.0), angle=45.0, frame="shear", save_type="tiff")
+    rows = Pipeline(spark, Settings(input_image=str(tmp_path / "a.czi"), **made), opened).save().collect()
+    assert sorted(r["image_id"] for r in rows) == [0, 1] and all(images.read_tiff(r["path"]).any() for r in rows)
+    scenes(tmp_path / "b.czi", (), second=(5, 8))
+    with pytest.raises(ValueError, match="scenes .1. differ"):
+        open_scenes(spark, str(tmp_path / "b.czi"))
+
+
+def test_layers_have_the_names_of_scenes_and_channels(spark, tmp_path):
+    scenes(tmp_path / "a.czi", ("red", "green"))
+    found = layers(spark, str(tmp_path / "a.czi"))
+    assert [(x.name, x.channel) for x in found] == [("3 - red", 0), ("3 - green", 1), ("8 - red", 0), ("8 - green", 1)]
+    assert found[3].voxels.select("image_id", "c").distinct().collect() == [(1, 1)] and found[0].scale == (1.0, 1.0, 1.0)
+    scenes(tmp_path / "b.czi", ())
+    assert [(x.name, x.channel) for x in layers(spark, str(tmp_path / "b.czi"))] == [("b - 3", None), ("b - 8", None)]
+    path = str(tmp_path / "c.ome.tif")
+    images.write_tiff(path, iter(VALUES[:1].reshape(-1, 20, 16)), (1, 2, 9, 20, 16), "uint16", (0.5, 0.1, 0.1), ["one", "two"])
+    assert [(x.name, x.scale) for x in layers(spark, path)] == [("one", (0.5, 0.1, 0.1)), ("two", (0.5, 0.1, 0.1))]
+
+
+def test_point_spread_functions_of_other_files_are_padded(tmp_path):
+    psf = np.random.default_rng(0).integers(1, 99, (5, 18, 7))
+    write_czi(tmp_path / "psf.czi", {(0, t, c, z, 0, 0): psf[z] * (1 + t + c) for t in range(2) for c in range(2) for z in range(5)}, how=6)
+    got = read_psf(str(tmp_path / "psf.czi"))
+    assert got.shape == (16, 32, 16) and (got[:5, :18, :7] == psf).all() and (got[5, :18, :7] == psf[3]).all()
+    images.write_zarr(str(tmp_path / "psf.zarr"), iter(psf), (1, 1, 5, 18, 7), "uint16", (1, 1, 1), packing="blosc")
+    assert (read_psf(str(tmp_path / "psf.zarr")) == got).all()
+    images.write_tiff(str(tmp_path / "psf.tif"), iter(psf), (1, 1, 5, 18, 7), "uint16", (1, 1, 1))
+    assert read_psf(str(tmp_path / "psf.tif")).shape == psf.shape
