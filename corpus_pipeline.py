@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obliqua.llm import jaccard_join, langid, line_dedup, packing, pii
-from obliqua.llm.common import remove_path, scratch_path, small_batches, table
+from obliqua.llm.common import free_names, remove_path, scratch_path, small_batches, table
 from obliqua.llm.queries import tokenizer_path
 
 LEAST_LANGUAGE_SCORE = 0.5
@@ -20,8 +20,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language: those without letters or with a score too low go."""
     small_batches(spark)
     model = langid.fit(docs.filter(langid.is_learned_from(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    judged = langid.predict(docs, model, "__lang_pred", "__lang_score")
-    return judged.filter((F.col("__lang_pred") != "und") & (F.col("__lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    language, score = free_names(docs.columns, "__lang_pred", "__lang_score")
+    judged = langid.predict(docs, model, language, score)
+    return judged.filter((F.col(language) != "und") & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,15 +63,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to scratch space and read again by the next."""
-    docs, written = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if written:
-            remove_path(spark, written)
-        written = path
-    result = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are checkpointed, so its input may go
-    if written:
-        remove_path(spark, written)
-    return result
+    docs, written = table(spark, sf_dir, "documents"), []
+    try:
+        for name, stage in STAGES[:-1]:
+            written.append(scratch_path(spark, name))
+            stage(spark, docs, sf_dir).write.parquet(written[-1])
+            docs = spark.read.parquet(written[-1])
+            for path in written[:-1]:
+                remove_path(spark, path)
+            written = written[-1:]
+        return STAGES[-1][1](spark, docs, sf_dir)  # its pieces are checkpointed, so its input may go
+    finally:
+        for path in written:
+            remove_path(spark, path)

@@ -149,10 +149,11 @@ def token_output(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_tokens:
     """Shards written to scratch space, read back and removed; see ``read_shards`` for the columns."""
     spark = docs.sparkSession
     path = scratch_path(spark, "shards")
-    write_shards(docs, path, tokenizer, end_id, shard_tokens)
-    result = checkpointed(read_shards(spark, path))
-    remove_path(spark, path)
-    return result
+    try:
+        write_shards(docs, path, tokenizer, end_id, shard_tokens)
+        return checkpointed(read_shards(spark, path))
+    finally:
+        remove_path(spark, path)
 
 
 def occurrences(stored: DataFrame, token: int, most_places: int = 0) -> DataFrame:

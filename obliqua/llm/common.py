@@ -169,6 +169,17 @@ def bounded_sample(df: DataFrame, key: str, most: int, salt: str) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 40)) < int(share * (1 << 40)))
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores put before it while the table has it in any case of its letters."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_remainder(column, modulus: int):
     """crc32 of an id as text, modulo ``modulus``; a null id counts as empty text."""
     from pyspark.sql import functions as F

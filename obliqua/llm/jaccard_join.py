@@ -307,6 +307,16 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component; null ids stay."""
+    """The rows of ``docs`` whose document is the smallest of its component.
+
+    Of rows with one ``doc_id``, or with none, those with equal texts stay once (any of them); a text without an id is
+    compared with no other.
+    """
     classes = similar_classes(docs, width, percent)
-    return by_ids(docs, classes.filter("component_id <> doc_id"), "left_anti").select(docs.columns)
+    kept = by_ids(docs, classes.filter("component_id <> doc_id"), "left_anti").select(docs.columns)
+    again = checkpointed(kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    twice = by_ids(kept.filter("doc_id is not null"), again, "left_semi").select(docs.columns).unionByName(kept.filter("doc_id is null"))
+    once = by_ids(kept.filter("doc_id is not null"), again, "left_anti").select(docs.columns)
+    return once.unionByName(twice.dropDuplicates(["doc_id", "text"]))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, checkpointed, give_back, string_bytes, text_slices
+from .common import Scratch, checkpointed, free_names, give_back, string_bytes, text_slices
 from .edit_distance import near_pairs
 from .line_segments import POST, allowed, picked, segment_keys
 from .shingles import mix
@@ -451,7 +451,8 @@ def remove_repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20
     """The columns of ``docs`` with repeated lines cut out of ``text``; documents that lose all their text go."""
     repeats = repeated_lines(docs, edits, least_bytes, least_equal, percent)
     none = F.array().cast("array<int>")
-    gone = repeats.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.array_union(F.coalesce("equal", none), F.coalesce("near", none)).alias("__dropped"))
+    doc, row, out_of = free_names(docs.columns, "__doc", "__row", "__dropped")
+    gone = repeats.select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.array_union(F.coalesce("equal", none), F.coalesce("near", none)).alias(out_of))
     schema = T.StructType(docs.schema.fields)
     place = docs.columns.index("text")
 
@@ -467,5 +468,5 @@ def remove_repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20
             columns = [pa.array(texts, c.type) if k == place else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in columns], names=batch.schema.names[:-1])
 
-    same = (docs["doc_id"].cast("long") == F.col("__doc")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__row"))
-    return docs.join(gone, same, "left").select(*[docs[c] for c in docs.columns], "__dropped").mapInArrow(run, schema)
+    same = (docs["doc_id"].cast("long") == gone[doc]) & (F.xxhash64(docs["text"].cast("string")) == gone[row])
+    return docs.join(gone, same, "left").select(*[docs[c] for c in docs.columns], gone[out_of]).mapInArrow(run, schema)
