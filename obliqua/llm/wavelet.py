@@ -74,8 +74,8 @@ class WaveletMatrix:
             zeros = self.zeros[bits - 1 - bit]
             now[zeros:] |= kind(1 << bit)
             above = np.empty(self.size, kind)
-            above[flags] = now[zeros:]
-            above[~flags] = now[:zeros]
+            above[np.flatnonzero(~flags)] = now[:zeros]  # by places: masks take twice as long
+            above[np.flatnonzero(flags)] = now[zeros:]
             now = above
         return self.alphabet[now]
 
