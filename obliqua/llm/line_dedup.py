@@ -11,10 +11,12 @@ Equal lines: a line that its slice of texts has met before repeats for certain;
 first places of each slice are shuffled, as hashes.  Near lines: each distinct line
 of a slice is indexed by the keys of its segments (``line_segments``).  Keys travel in packed
 blocks to the bucket of their range and are sorted there; lines that share one form a set.  Equal sets are joined into one, the
-lines of each set are fetched (behind a filter of bounded size), sets with the same least line number go to one task (so many as a line has keys), and a set is walked in order of first places: each line is
+lines of each set are fetched (behind a filter of bounded size), sets with the same least line number go to one task (to several, if
+they have more than ``LEAD_LINES`` lines together), and a set is walked in order of first places: each line is
 compared, by a banded bit-parallel edit distance, with those before it until one is near.  So a line has one row a
-set, whatever the number of its near lines.  A set beyond ``PART`` lines is cut into parts, and pairs of parts are compared
-as they are; a key that a sample of the lines shows to be in very many goes through several buckets.  Both routes compare everything.
+set, whatever the number of its near lines.  A set beyond ``PART`` lines is cut into parts.  Each part is walked together with the
+first one; only lines that have met none before them there go on, gathered anew, to all other parts.  So the rows of a family of
+near lines grow with its lines, not with pairs of parts.  A key that a sample of the lines shows to be in very many goes through several buckets.  Every route compares everything.
 
 Defined cases: null text has no lines; blank lines and those under both bounds are never touched;
 documents with a null ``doc_id`` are kept as they are; rows with the same ``doc_id`` and different texts are
@@ -45,6 +47,7 @@ FLUSH = 1 << 19  # keys that a task sorts before it sends them
 BUCKET_BYTES = 1 << 21  # bytes of text to a bucket, some 200,000 keys
 HOT_LINES = 4_000_000  # a key in more lines than this is dealt to several buckets
 SAMPLE_LINES = 1 << 20
+LEAD_LINES = 1 << 14  # lines of sets with one least line that one task walks
 ID = np.uint64((1 << 48) - 1)  # a line's number in the index: so many bits of its hash
 
 
@@ -121,6 +124,23 @@ def _unpack(block: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return np.cumsum(out[0], dtype=np.uint64), out[1], data[12 * n : 13 * n], data[13 * n :]
 
 
+def _new_lines(h1: np.ndarray, h2: np.ndarray, seen: tuple[np.ndarray, np.ndarray], most: int = 1_000_000) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """One place of each distinct line, by both its hashes, that the task has not met lately; and what it has met since.
+
+    Of lines with one first hash a single one is remembered; another is sent again, and counts once in its bucket.
+    """
+    one = np.lexsort((h2, h1))
+    one = one[np.concatenate([[True], (h1[one][1:] != h1[one][:-1]) | (h2[one][1:] != h2[one][:-1])])] if len(one) else one
+    known, other = seen
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h1[one]), len(known) - 1)
+        one = one[(known[at] != h1[one]) | (other[at] != h2[one])]
+    if len(known) >= most:
+        return one, (h1[one], h2[one])
+    at = np.searchsorted(known, h1[one])
+    return one, (np.insert(known, at, h1[one]), np.insert(other, at, h2[one]))
+
+
 BLOCK_SCHEMA = "bucket long, hot long, salt long, n int, block binary"
 BLOCK_NAMES = ["bucket", "hot", "salt", "n", "block"]
 
@@ -146,7 +166,7 @@ def _blocks(edits: int, least: int, percent: int, buckets: int, hot: np.ndarray,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
-        size, seen = 0, np.zeros(0, np.uint64)
+        size, seen = 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
         def send() -> Iterator[pa.RecordBatch]:
             rows = list(packed(*(np.concatenate(x) for x in zip(*held, strict=True))))
@@ -155,11 +175,8 @@ def _blocks(edits: int, least: int, percent: int, buckets: int, hot: np.ndarray,
 
         for batch in text_slices(batches, SLICE):
             s = _Slice(batch, least)
-            ids, one = np.unique(s.h1.view(np.uint64) & ID, return_index=True)
-            if len(seen):  # met lately in this task; a line that is sent twice counts once in its bucket
-                new = seen[np.minimum(np.searchsorted(seen, ids), len(seen) - 1)] != ids
-                ids, one = ids[new], one[new]
-            seen = np.union1d(seen, ids) if len(seen) < 1_000_000 else ids
+            one, seen = _new_lines(s.h1.view(np.uint64), s.h2, seen)
+            ids = s.h1.view(np.uint64)[one] & ID
             if len(ids):
                 keys, line, counts, checks = segment_keys(s.raw, s.starts[one], s.ends[one], edits, percent, least)
                 held.append((keys, ids[line], counts, checks))
@@ -313,10 +330,11 @@ def _kinds(raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.minimum(counts, 32767).astype(np.int16)
 
 
-def _walk(edits: int, percent: int, most_bytes: int = 32 << 20):
+def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
     """The first places of the lines that are near one before them in their set; rows come sorted by (lead, unit, a, b).
 
-    A line that is known to be near one before it is not compared again, nor is a pair; sets with one lead, which share lines, come together.
+    A line that is known to be near one before it is not compared again, nor is a pair; sets with one lead, which share lines, come together
+    as far as ``most_bytes`` go.  Where ``a`` and ``b`` differ, only lines of side 0 are asked about, and only compared with those of side 1.
     """
 
     def work(rows: pa.Table) -> pa.RecordBatch | None:
@@ -335,7 +353,7 @@ def _walk(edits: int, percent: int, most_bytes: int = 32 << 20):
         start = np.repeat(first, np.diff(np.append(first, len(unit))))
         kinds, across = _kinds(raw, size), a != b
         late, tested = np.zeros(len(size), bool), np.zeros(0, np.int64)
-        waiting, step, ahead = np.flatnonzero(np.arange(len(unit)) > start), 0, 1
+        waiting, step, ahead = np.flatnonzero((np.arange(len(unit)) > start) & (~across | (side == 0))), 0, 1
         while len(waiting):
             x, y = np.repeat(waiting, ahead), (start[waiting, None] + step + np.arange(ahead)).ravel()
             some = y < x
@@ -370,8 +388,11 @@ def _walk(edits: int, percent: int, most_bytes: int = 32 << 20):
                 continue
             now = pa.Table.from_batches(held).combine_chunks()
             group = [now.column(k).to_numpy() for k in range(4)]
-            last = np.flatnonzero(np.any([g != g[-1] for g in group], axis=0))
-            whole = int(last[-1]) + 1 if len(last) else 0  # the last set may go on in the next batch
+            differ = [g != g[-1] for g in group]
+            for last in (np.flatnonzero(differ[0]), np.flatnonzero(np.any(differ, axis=0))):  # behind the last lead but one, else the last set but one
+                whole = int(last[-1]) + 1 if len(last) else 0  # the last set may go on in the next batch
+                if 2 * whole >= now.num_rows:
+                    break
             if whole and (out := work(now.slice(0, whole))) is not None:
                 yield out
             rest = now.slice(whole).combine_chunks()
@@ -383,7 +404,45 @@ def _walk(edits: int, percent: int, most_bytes: int = 32 << 20):
     return run
 
 
-def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least: int, percent: int = 0, part: int = PART, hot_lines: int = HOT_LINES) -> DataFrame:
+UNIT_COLUMNS = ("lead", "unit", "a", "b", "side", "id")
+
+
+def _whole_sets(sets: DataFrame, lead_lines: int) -> DataFrame:
+    """Rows of sets that are compared as a whole, equal sets once; sets with one least line share a lead, several if there are many."""
+    lead, zero = F.get("ids", F.lit(0)).alias("least"), F.lit(0).cast("long")
+    once = sets.dropDuplicates(["unit"]).select(lead, "unit", "ids")
+    crowded = sets.select(lead, F.size("ids").alias("n")).groupBy("least").agg(F.sum("n").alias("n")).filter(F.col("n") > lead_lines)
+    pieces = F.ceil(F.coalesce("n", F.lit(1)) / lead_lines)
+    dealt = once.join(crowded, "least", "left").select(F.xxhash64("least", F.pmod("unit", pieces)).alias("lead"), "unit", "ids")
+    return dealt.select("lead", "unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
+
+
+def _beside_the_first(parts: DataFrame) -> DataFrame:
+    """Rows of each part of a set together with the set's first part."""
+    first = parts.groupBy("unit").agg(F.min_by("ids", "part").alias("first"))
+    both = parts.join(first, "unit").select("unit", F.col("part").alias("a"), F.col("part").alias("b"), F.explode(F.array_union("first", "ids")).alias("id"))
+    return both.select(F.xxhash64("unit", "a").alias("lead"), "unit", "a", "b", F.lit(0).alias("side"), "id")
+
+
+def _left_to_compare(parts: DataFrame, texts: DataFrame, near: DataFrame, part: int) -> DataFrame:
+    """Rows of the lines that have met none before them beside their set's first part, in groups of some ``part``, with every part of the set.
+
+    A set of two parts has nothing left.
+    """
+    several = parts.groupBy("unit").agg(F.count("*").alias("n")).filter("n > 2").select("unit")
+    left = parts.join(several, "unit", "left_semi").select("unit", F.explode("ids").alias("id")).join(texts.select("id", *[f"place.{c}" for c in PLACE_COLUMNS]), "id")
+    left = checkpointed(left.join(near, list(PLACE_COLUMNS), "left_anti").select("unit", "id").distinct())
+    groups = left.groupBy("unit").agg(F.ceil(F.count("*") / part).alias("groups"))
+    asked = left.join(groups, "unit").select("unit", F.pmod(F.xxhash64("id"), F.col("groups")).alias("a"), F.lit(0).alias("side"), "id")
+    every = parts.join(groups, "unit").select("unit", (-1 - F.col("part")).alias("b"), "ids", "groups")  # names of parts below 0, of groups from 0 on
+    with_groups = every.select("unit", "b", "ids", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("a"))
+    there = with_groups.select("unit", "a", "b", F.lit(1).alias("side"), F.explode("ids").alias("id"))
+    names = every.select("unit", "b")
+    asked = asked.join(names, "unit").select("unit", "a", "b", "side", "id")
+    return asked.unionByName(there).select(F.xxhash64("unit", "a", "b").alias("lead"), *UNIT_COLUMNS[1:])
+
+
+def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least: int, percent: int = 0, part: int = PART, hot_lines: int = HOT_LINES, lead_lines: int = LEAD_LINES) -> DataFrame:
     """The first place of each distinct line that is within its bound of one with an earlier first place.
 
     There are at most ``lines`` lines.
@@ -400,16 +459,23 @@ def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least:
     # dealt by id alone, so that the join below needs no second shuffle of the texts
     sent = docs.mapInArrow(_texts(least, wanted), f"id long, {PLACE}, text binary").repartition("id")
     texts = sent.groupBy("id", "text").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("place"))
-    zero = F.lit(0).cast("long")
-    whole = sets.filter("not cut").dropDuplicates(["unit"]).select(F.get("ids", F.lit(0)).alias("lead"), "unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
     parts = sets.filter("cut")
-    one, two = parts.select("unit", F.col("part").alias("a"), F.col("ids").alias("ids_a")), parts.select("unit", F.col("part").alias("b"), F.col("ids").alias("ids_b"))
-    sided = lambda ids, side: F.transform(ids, lambda x: F.struct(F.lit(side).alias("side"), x.alias("id")))
-    members = F.when(F.col("a") == F.col("b"), sided("ids_a", 0)).otherwise(F.concat(sided("ids_a", 0), sided("ids_b", 1)))
-    pairs = one.join(two, "unit").filter("a <= b").select("unit", "a", "b", F.explode(members).alias("m")).select(F.xxhash64("unit", "a", "b").alias("lead"), "unit", "a", "b", "m.side", "m.id")
-    units = whole.unionByName(pairs).join(texts, "id").select("lead", "unit", "a", "b", "side", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
-    late = units.repartition("lead").sortWithinPartitions("lead", "unit", "a", "b").mapInArrow(_walk(edits, percent), PLACE)
-    near = checkpointed(late.distinct())
+    some_cut = not parts.isEmpty()
+    if some_cut:  # their lines are fetched more than once
+        texts = scratch.keep(texts, "line_texts")
+
+    def walked(units: DataFrame) -> DataFrame:
+        rows = units.join(texts, "id").select("lead", "unit", "a", "b", "side", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
+        return rows.repartition("lead").sortWithinPartitions("lead", "unit", "a", "b").mapInArrow(_walk(edits, percent), PLACE)
+
+    units = _whole_sets(sets.filter("not cut"), lead_lines)
+    if some_cut:
+        units = units.unionByName(_beside_the_first(parts))
+    near = checkpointed(walked(units).distinct())
+    if some_cut:
+        more = walked(_left_to_compare(parts, texts, near, part))
+        near = checkpointed(near.unionByName(more).distinct())
+        scratch.drop("line_texts")
     wanted.unpersist()
     scratch.drop("line_sets")
     return near

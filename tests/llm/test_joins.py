@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from obliqua.llm import queries
+from obliqua.llm import line_dedup, queries
 from obliqua.llm.components import components
 from obliqua.llm.edit_distance import _plain, _strides, within
 from obliqua.llm.jaccard_join import keep_one, prefix_length, similar_classes
@@ -186,15 +186,15 @@ def test_near_lines_with_changed_words_equal_brute_force(spark, tmp_path):
     assert got == wanted and len(wanted - few) > 10
 
 
-@pytest.mark.parametrize("part, hot_lines", [(2048, 1 << 40), (7, 1 << 40), (5, 40)])
-def test_near_lines_by_every_route(spark, frame, part, hot_lines):
-    """Sets as they are, sets cut into parts, and keys that are dealt to several buckets find the same lines."""
+@pytest.mark.parametrize("part, hot_lines, lead_lines", [(2048, 1 << 40, 1 << 14), (2048, 1 << 40, 9), (7, 1 << 40, 1 << 14), (5, 40, 9)])
+def test_near_lines_by_every_route(spark, frame, part, hot_lines, lead_lines):
+    """Sets as they are, leads dealt to several tasks, sets cut into parts, and keys that are dealt to several buckets find the same lines."""
     r = random.Random(3)
     start, end = words(1, 4), words(2, 3)
     texts = [start + words(100 + r.randrange(30), 3) + r.choice(["", "x", "yz"]) + end for _ in range(150)]  # all share their ends
     docs = keyed_rows(frame(texts))
     with Scratch(spark) as scratch:
-        got = {x["doc_id"] for x in near_lines(docs, scratch, 150, 2, 12, 0, part, hot_lines).collect()}
+        got = {x["doc_id"] for x in near_lines(docs, scratch, 150, 2, 12, 0, part, hot_lines, lead_lines).collect()}
     first = {t: texts.index(t) for t in texts}
     wanted = {first[b] for b in first if any(first[a] < first[b] and a != b and _plain(a.encode(), b.encode()) <= 2 for a in first)}
     assert got == wanted and len(wanted) > 20
@@ -210,6 +210,27 @@ def test_a_family_of_near_lines_takes_a_row_a_set(spark, frame):
     assert got == 1999
 
 
+def test_a_family_over_many_parts_takes_rows_in_proportion(spark):
+    """20 parts of one set: their pairs would be 210 groups, 4,000 lines here; nearly all lines are met beside the first part."""
+    ids = list(range(400))
+    parts = spark.createDataFrame([(5, k, True, ids[20 * k : 20 * k + 20]) for k in range(20)], "unit long, part long, cut boolean, ids array<long>")
+    texts = spark.createDataFrame([(i, "t", (i, 0, 0)) for i in ids], "id long, text string, place struct<doc_id: long, row: long, line: int>")
+    near = spark.createDataFrame([(i, 0, 0) for i in ids if i not in (0, 77, 301)], "doc_id long, row long, line int")
+    first = line_dedup._beside_the_first(parts)
+    assert first.count() == 20 + 19 * 40 and first.groupBy("a").count().count() == 20
+    rest = line_dedup._left_to_compare(parts, texts, near, 20)
+    assert rest.filter("side = 1").count() == 400 and {r["id"] for r in rest.filter("side = 0").collect()} == {0, 77, 301}
+    assert line_dedup._left_to_compare(parts.filter("part < 2"), texts, near, 20).count() == 0
+
+
+def test_lines_with_one_first_hash_are_both_sent():
+    h1, h2 = np.array([7, 7, 3, 7], np.uint64), np.array([1, 2, 5, 1], np.int64)
+    one, seen = line_dedup._new_lines(h1, h2, (h1[:0], h2[:0]))
+    assert sorted(zip(h1[one].tolist(), h2[one].tolist(), strict=True)) == [(3, 5), (7, 1), (7, 2)] and (np.diff(seen[0]) >= 0).all()
+    one, seen = line_dedup._new_lines(np.array([3, 4, 7], np.uint64), np.array([5, 9, 3], np.int64), seen)
+    assert sorted(one.tolist()) == [1, 2] and seen[0].tolist() == [3, 4, 7, 7, 7]
+
+
 def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
     line = "a line that many documents hold"
     rows = [(1, line), (2, f"{line}\nrest"), (2, "only text of the second row\nunique"), (2, f"{line}\nrest"), (3, f"{line}s\nown")]
