@@ -40,6 +40,7 @@ from .common import Scratch, checkpointed, free_names, give_back, string_bytes,
 from .edit_distance import near_pairs
 from .line_segments import POST, allowed, picked, segment_keys
 from .shingles import mix
+from .tokens import forget
 
 SLICE = 1 << 20
 PART = 2048  # lines of a set, or of a part of one, that are walked together
@@ -97,6 +98,7 @@ PLACE_COLUMNS = ("doc_id", "row", "line")
 
 def _places(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a worker may have packed sequences before
         for batch in text_slices(batches, SLICE):
             s = _Slice(batch, least)
             again = np.ones(len(s.h1), bool)
@@ -165,6 +167,7 @@ def _blocks(edits: int, least: int, percent: int, buckets: int, hot: np.ndarray,
             yield number, hot_key, salt, b - a, _pack(keys[a:b], ids[a:b], counts[a:b], checks[ends[a] : ends[b]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[tuple[np.ndarray, ...]] = []
         size, seen = 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -379,6 +382,7 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
         return pa.RecordBatch.from_arrays([pa.array(doc[late]), pa.array(row[late]), pa.array(line[late], pa.int32())], names=list(PLACE_COLUMNS)) if late.any() else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:

@@ -16,6 +16,8 @@ from operator import itemgetter
 
 import numpy as np
 
+from .common import give_back
+
 #: Texts of these characters need no Unicode normalisation and have the same
 #: classes of characters in every library: tab, newline, return, printable
 #: ASCII and Latin-1 without the no-break space and the soft hyphen.
@@ -117,3 +119,9 @@ def encoder(path: str, most_words: int = 250_000) -> WordEncoder:
     if key not in _encoders:
         _encoders[key] = WordEncoder(path, most_words)
     return _encoders[key]
+
+
+def forget() -> None:
+    """Drops this worker's encoders, some 100 MB each; for tasks of other stages that need the room."""
+    _encoders.clear()
+    give_back()
