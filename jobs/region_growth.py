@@ -56,12 +56,12 @@ class Settings:
 
 
 def voxels(spark: SparkSession, s: Settings) -> DataFrame:
-    """The voxels of the blocks to work on."""
+    """The voxels of the blocks to work on; the crop adds up those of one place."""
     made = volume.normalise(named_columns(spark.read.parquet(s.input), s.voxels)).dropna()
     if s.blocks is not None:
         first, end = (n * s.images_per_block for n in s.blocks)
         made = made.filter((F.col("image_id") >= first) & (F.col("image_id") < end))
-    return made.groupBy(*volume.KEYS, "z", "y", "x").agg(F.sum("v").alias("v"))
+    return made
 
 
 def boxes(spark: SparkSession, s: Settings) -> dict[int, Box]:
@@ -79,13 +79,15 @@ def boxes(spark: SparkSession, s: Settings) -> dict[int, Box]:
 def growth(cropped: DataFrame, sizes: dict[int, int], voxel: tuple[float, float, float]) -> DataFrame:
     """Measures of each slice's bright voxels and the change since the time before.
 
-    ``cropped`` is used twice, so it should be kept; ``sizes`` are the voxels of each region, dark ones too.
+    ``cropped`` has rows of arrays.  It is used more than once, so it should be kept, and dealt by slice: its voxels then meet
+    the levels, are counted and measured where they are.  ``sizes`` are the voxels of each region, dark ones too.
     """
     counts = cropped.sparkSession.createDataFrame(list(sizes.items()), "roi_index int, n_voxels long")
     sized = cropped.join(F.broadcast(counts), "roi_index")  # the list of regions
-    levels = filters.otsu(sized, F.col("n_voxels"), keys=[*SLICE, "n_voxels"]).drop("n_voxels")
-    bright = cropped.join(levels, SLICE).filter("v >= threshold").withColumn("label", F.lit(1))
-    found = filters.measures(bright, keys=[*SLICE, "threshold"])
+    levels = filters.otsu_of_arrays(sized, SLICE)
+    # a row a slice, which meets rows of arrays before they are taken apart
+    bright = cropped.join(levels.hint("shuffle_hash"), SLICE).select(*SLICE, "threshold", F.inline(F.arrays_zip(*crop.PLACE_AND_VALUE))).filter("v >= threshold").withColumn("label", F.lit(1))
+    found = filters.measures(bright, keys=[*SLICE, "threshold"], mean=filters.exact_mean(F.col("v")))
     mid = [(F.col(f"centroid_{k}") * size).alias(f"{k}_um") for k, size in zip("zyx", voxel, strict=True)]
     placed = found.select(*SLICE, "threshold", "area", (F.col("area") * voxel[0] * voxel[1] * voxel[2]).alias("volume_um3"), *mid, "intensity_mean")
     before = Window.partitionBy("image_id", "c", "roi_index").orderBy("t")  # a row a time
@@ -100,7 +102,7 @@ def run(spark: SparkSession, s: Settings) -> dict[str, int]:
     log.info("read %d rows of %s and %d regions of %s", read, s.input, len(regions), s.regions)
     if not regions:
         raise ValueError(f"{s.regions} holds no region of any size")
-    cropped = crop.crop(voxels(spark, s), a, regions).withColumn("v", F.round("v", 6)).filter("v > 0").persist()
+    cropped = crop.packed_crops(voxels(spark, s), a, regions, places=6).repartition(*SLICE).persist()
     try:
         measured = growth(cropped, {k: b.shape[0] * b.shape[1] * b.shape[2] for k, b in regions.items()}, (a.new_dz, *s.pixel_sizes[1:]))
         rounded = measured.withColumns({k: F.round(k, 3 if k == "intensity_mean" else 6) for k in ("threshold", "volume_um3", "z_um", "y_um", "x_um", "intensity_mean", "moved_um")})

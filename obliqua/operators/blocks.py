@@ -230,35 +230,49 @@ def _flat(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]) if chunks else np.zeros(0)
 
 
-Finish = Callable[[tuple, tuple, np.ndarray, np.ndarray], Iterator[dict[str, np.ndarray]]]
+Finish = Callable[[tuple, tuple, np.ndarray, np.ndarray], Iterator[dict[str, np.ndarray | pa.Array]]]
+Ranges = tuple[tuple[int, int], tuple[int, int], tuple[int, int]]
+#: Blocks whose weights a worker keeps; slices of one size have the same.
+KEPT_TAPS = 64
 
 
-def interpolate(voxels: DataFrame, blocks: Blocks, schema: str, finish: Finish, wanted: np.ndarray | None = None) -> DataFrame:
-    """The rows that ``finish`` (number of the block, first output of each axis, values, whether a voxel reaches them) makes of each block."""
-    kernel = blocks.kernel
+def interpolate(voxels: DataFrame, blocks: Blocks, schema: str, finish: Finish, wanted: np.ndarray | None = None, ranges: Callable[[int], Ranges] | None = None) -> DataFrame:
+    """The rows that ``finish`` (number of the block, first output of each axis, values, whether a voxel reaches them) makes of each block.
+
+    ``ranges`` may give the part of a block that is asked for.
+    """
+    kernel, ranges = blocks.kernel, ranges or blocks.ranges
     names = [x.split()[0] for x in schema.split(", ")]
-    kinds = {"int": pa.int32(), "double": pa.float64()}
+    kinds = {"int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
     fields = pa.schema([(n, kinds[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)])
+    known: dict[int, tuple] = {}
+
+    def weights(number: int) -> tuple:
+        if number not in known:
+            if len(known) >= KEPT_TAPS:
+                known.clear()
+            span = ranges(number)
+            k, l = np.meshgrid(np.arange(*span[0]), np.arange(*span[1]), indexing="ij")  # noqa: E741
+            valid, taps = kernel.taps(k, l)
+            known[number] = span, valid, [(z.astype(np.int64), line.astype(np.int64), np.where(valid, w, 0.0)) for z, line, w in taps] if valid.any() else []
+        return known[number]
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         number = key[3].as_py()
-        (k0, k1), (l0, l1), (o0, o1) = blocks.ranges(number)
-        k, l = np.meshgrid(np.arange(k0, k1), np.arange(l0, l1), indexing="ij")  # noqa: E741
-        valid, taps = kernel.taps(k, l)
+        ((k0, _), (l0, _), (o0, o1)), valid, taps = weights(number)
         parts = []
-        if valid.any():
-            taps = [(z.astype(np.int64), line.astype(np.int64), np.where(valid, w, 0.0)) for z, line, w in taps]
+        if taps:
             z0, z1 = min(int(z[valid].min()) for z, _, _ in taps), max(int(z[valid].max()) for z, _, _ in taps)
             q0, q1 = min(int(q[valid].min()) for _, q, _ in taps), max(int(q[valid].max()) for _, q, _ in taps)
             shape = (z1 - z0 + 1, q1 - q0 + 1, o1 - o0)
             z, lateral, other, v = (_flat(table, n) for n in ("zs", "ls", "os", "vs"))
-            needed = (z >= z0) & (z <= z1) & (lateral >= q0) & (lateral <= q1)
+            needed = (z >= z0) & (z <= z1) & (lateral >= q0) & (lateral <= q1) & (other >= o0) & (other < o1)
             place = np.ravel_multi_index((z[needed] - z0, lateral[needed] - q0, other[needed] - o0), shape)
             raw = np.bincount(place, v[needed], int(np.prod(shape))).reshape(shape)
             held = np.zeros(raw.size, bool)
             held[place] = True
             held = held.reshape(shape)
-            total, reached = np.zeros((*k.shape, o1 - o0)), np.zeros((*k.shape, o1 - o0), bool)
+            total, reached = np.zeros((*valid.shape, o1 - o0)), np.zeros((*valid.shape, o1 - o0), bool)
             for z, line, w in taps:
                 at = np.where(valid, z - z0, 0), np.where(valid, line - q0, 0)
                 total += w[..., None] * raw[at]
@@ -268,7 +282,7 @@ def interpolate(voxels: DataFrame, blocks: Blocks, schema: str, finish: Finish,
         made = []
         for part in parts:
             rows = len(part["v"])
-            made.append(pa.Table.from_arrays([pa.array(np.full(rows, heads[n]) if n in heads else part[n], t) for n, t in zip(names, fields.types, strict=True)], schema=fields))
+            made.append(pa.Table.from_arrays([part[n] if isinstance(part.get(n), pa.Array) else pa.array(np.full(rows, heads[n]) if n in heads else part[n], t) for n, t in zip(names, fields.types, strict=True)], schema=fields))
         return pa.concat_tables(made) if made else fields.empty_table()
 
     return packed(voxels, blocks, wanted).groupBy(*KEYS, "block").applyInArrow(run, schema)

@@ -12,14 +12,60 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import Acquisition, Box, crop_plan, safe_raw_box
 from ..sources.volume import KEYS, block
-from .blocks import Blocks, interpolate, kernel_of
+from .blocks import Blocks, Ranges, interpolate, kernel_of
 from .deskew import axes_of, deskew, kernel_ranges
 
+PLACE_AND_VALUE = ["z", "y", "x", "v"]
+PACKED_CROPS = "image_id int, t int, c int, roi_index int, z array<int>, y array<int>, x array<int>, v array<double>"
+
+
+def packed_crops(voxels: DataFrame, a: Acquisition, boxes: dict[int, Box], places: int | None = None) -> DataFrame:
+    """(keys, roi_index, z, y, x, v) with arrays: for each region a row of every block of the output that holds voxels of it.
+
+    With ``places`` values are rounded to so many, and only those above 0 are kept.
+    """
+    # the union of all raw blocks bounds the scan with literals
+    raw = [safe_raw_box(a, b) for b in boxes.values()]
+    held = block(voxels, Box(*[(min(getattr(r, k)[0] for r in raw), max(getattr(r, k)[1] for r in raw)) for k in "zyx"]))
+    blocks = Blocks(kernel_of(a))
+    met: dict[int, list[tuple[int, Ranges]]] = {}
+    for index, box in boxes.items():
+        spans = kernel_ranges(a, box)
+        for number in blocks.meeting(*spans):
+            met.setdefault(number, []).append((index, spans))
+
+    def ranges(number: int) -> Ranges:
+        """The part of a block that its regions take up together."""
+        spans = [spans for _, spans in met[number]]
+        return tuple((max(low, min(s[axis][0] for s in spans)), min(high, max(s[axis][1] for s in spans))) for axis, (low, high) in enumerate(blocks.ranges(number)))  # type: ignore[return-value]
+
+    def finish(number, first, total, reached):
+        if places is not None:
+            total = np.round(total, places)
+            reached = reached & (total > 0)
+        found, parts = [], []
+        for index, spans in met[number[0]]:
+            cut = tuple(slice(max(0, low - f), max(0, high - f)) for (low, high), f in zip(spans, first, strict=True))
+            place = np.nonzero(reached[cut])
+            if len(place[0]):
+                at = axes_of(a, *[p + c.start + f for p, c, f in zip(place, cut, first, strict=True)])
+                found.append(index)
+                parts.append([*[at[k] - getattr(boxes[index], k)[0] for k in "zyx"], total[cut][place]])
+        if found:
+            offsets = pa.array(np.cumsum([0, *[len(p[3]) for p in parts]]), pa.int32())
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c, pa.float64() if n == "v" else pa.int32())) for n, c in zip(PLACE_AND_VALUE, columns, strict=True)]
+            yield {"roi_index": np.array(found), **dict(zip(PLACE_AND_VALUE, lists, strict=True))}
+
+    return interpolate(held, blocks, PACKED_CROPS, finish, np.array(sorted(met), np.int64), ranges)
+
+
 def crop(voxels: DataFrame, a: Acquisition, boxes: dict[int, Box], dense: bool = False, align: str = "global") -> DataFrame:
     """(keys, roi_index, z, y, x, v) in each region's own coordinates; zeros are left out unless ``dense``."""
     if not boxes:
@@ -30,23 +76,7 @@ def crop(voxels: DataFrame, a: Acquisition, boxes: dict[int, Box], dense: bool =
             one = _subblock(voxels, a, box).withColumn("roi_index", F.lit(index))
             out = one if out is None else out.unionByName(one)
     elif align == "global":
-        # the union of all raw blocks bounds the scan with literals
-        raw = [safe_raw_box(a, b) for b in boxes.values()]
-        held = block(voxels, Box(*[(min(getattr(r, k)[0] for r in raw), max(getattr(r, k)[1] for r in raw)) for k in "zyx"]))
-        blocks = Blocks(kernel_of(a))
-        met: dict[int, list[int]] = {}
-        for index, box in boxes.items():
-            for number in blocks.meeting(*kernel_ranges(a, box)):
-                met.setdefault(number, []).append(index)
-
-        def finish(number, first, total, reached):
-            for index in met[number[0]]:
-                cut = tuple(slice(max(0, low - f), max(0, high - f)) for (low, high), f in zip(kernel_ranges(a, boxes[index]), first, strict=True))
-                place = np.nonzero(reached[cut])
-                at = axes_of(a, *[p + c.start + f for p, c, f in zip(place, cut, first, strict=True)])
-                yield {"roi_index": np.full(len(place[0]), index), **{k: at[k] - getattr(boxes[index], k)[0] for k in "zyx"}, "v": total[cut][place]}
-
-        out = interpolate(held, blocks, "image_id int, t int, c int, roi_index int, z int, y int, x int, v double", finish, np.array(sorted(met), np.int64))
+        out = packed_crops(voxels, a, boxes).select(*KEYS, "roi_index", F.inline(F.arrays_zip(*PLACE_AND_VALUE)))
     else:
         raise ValueError(f"unknown alignment {align!r}")
     out = out.select(*KEYS, "roi_index", "z", "y", "x", "v")

@@ -141,3 +141,25 @@ def test_the_shipped_configuration_and_the_command_line(inputs, monkeypatch):
     (inputs / "own.json").write_text(json.dumps(common.shipped("region_growth") | {"angle": 30.0}))
     common.command_line("region_growth", region_growth.Settings, lambda spark, s: seen.append(s) or {}, ("input",), ["--config", str(inputs / "own.json")])
     assert seen[2].angle == 30.0
+
+
+def test_voxels_are_measured_where_the_crops_were_dealt(spark, inputs, volumes):
+    s = job(inputs)
+    regions = region_growth.boxes(spark, s)
+    cropped = region_growth.crop.packed_crops(region_growth.voxels(spark, s), s.acquisition, regions, places=6).repartition(*region_growth.SLICE).persist()
+    try:
+        assert cropped.count() == len(volumes) * len(regions)  # a row for each block of a region, not for each voxel
+        plan = region_growth.growth(cropped, {k: 200 for k in regions}, (1.0, 1.0, 1.0))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        cropped.unpersist()
+    _, inner = text.split("InMemoryRelation")[0].split("Generate inline")
+    assert "Exchange" not in inner  # the arrays stay where they are
+
+
+def test_means_do_not_hang_on_the_order_of_rows(spark):
+    values = np.round(np.random.default_rng(2).random(4000) * 300, 6)
+    want = sum(int(round(v * 10**6)) for v in values) / 10**6 / len(values)
+    for order in (values, values[::-1], np.sort(values)):
+        rows = spark.createDataFrame([(float(v),) for v in order], "v double").coalesce(1)
+        assert rows.agg(region_growth.filters.exact_mean(rows.v).alias("m")).first().m == pytest.approx(want, rel=1e-15)

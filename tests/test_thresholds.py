@@ -37,3 +37,19 @@ def test_slices_of_one_level_have_no_threshold(spark):
     slices = {0: np.zeros(20), 1: np.full(20, 7), 2: np.array([3] * 10 + [9] * 10)}
     got = {row.image_id: row.threshold for row in filters.otsu(table(spark, slices), 20).collect()}
     assert got == pytest.approx({2: best(slices[2])})
+
+
+def test_otsu_of_arrays_equals_that_of_voxels(spark):
+    r = np.random.default_rng(8)
+    slices = {i: np.where(r.random(60) < 0.8, r.integers(1, 2000, 60), 0) for i in range(9)} | {9: np.full(60, 7), 10: r.integers(900, 2000, 60)}
+    voxels = table(spark, slices).filter("v > 0")
+    rows = [(i, 60, [float(x) for x in part]) for i, values in slices.items() for part in np.array_split(values[values > 0], 5)]
+    arrays = spark.createDataFrame(rows, "image_id int, n_voxels long, v array<double>").repartition(7)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # slices go on in the next batch
+    try:
+        got = {row.image_id: row.threshold for row in filters.otsu_of_arrays(arrays, ["image_id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {row.image_id: row.threshold for row in filters.otsu(voxels, 60).collect()}
+    assert got == want and len(want) == 10
