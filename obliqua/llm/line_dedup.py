@@ -30,9 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -334,18 +335,35 @@ def _kinds(raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
-    """The first places of the lines that are near one before them in their set; rows come sorted by (lead, unit, a, b).
+    """The first places of the lines that are near one before them in their set; rows, a line with its sets of one lead, come sorted by lead.
 
     A line that is known to be near one before it is not compared again, nor is a pair; sets with one lead, which share lines, come together
-    as far as ``most_bytes`` go.  Where ``a`` and ``b`` differ, only lines of side 0 are asked about, and only compared with those of side 1.
+    as far as ``most_bytes`` of their lines go.  Where ``a`` and ``b`` differ, only lines of side 0 are asked about, and only compared with those of side 1.
     """
 
-    def work(rows: pa.Table) -> pa.RecordBatch | None:
-        unit, a, b, side, doc, row, line = (rows.column(k).to_numpy() for k in range(1, 8))
+    def walk(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """All sets of whole leads; those of a lead beyond ``most_bytes`` some at a time."""
+        sets = rows.column(1).combine_chunks()
+        held = np.repeat(np.arange(rows.num_rows), sets.value_lengths().to_numpy(zero_copy_only=False))
+        unit, a, b, side = (x.to_numpy(zero_copy_only=False) for x in sets.flatten().flatten())
+        order = np.lexsort((b, a, unit))
+        held, unit, a, b, side = (x[order] for x in (held, unit, a, b, side))
+        first = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        edges = [0, len(held)]
+        if rows.nbytes >= 2 * most_bytes:
+            sizes = pc.binary_length(rows.column(5)).combine_chunks().to_numpy(zero_copy_only=False)
+            share = np.cumsum(sizes[held], dtype=np.int64)[first] // most_bytes
+            edges = [0, *first[1:][np.diff(share) > 0].tolist(), len(held)]
+        for at, to in zip(edges[:-1], edges[1:], strict=True):
+            if (out := work(rows, *(x[at:to] for x in (held, unit, a, b, side)))) is not None:
+                yield out
+
+    def work(rows: pa.Table, held: np.ndarray, unit: np.ndarray, a: np.ndarray, b: np.ndarray, side: np.ndarray) -> pa.RecordBatch | None:
+        doc, row, line = (rows.column(k).to_numpy()[held] for k in range(2, 5))
         order = np.lexsort((line, row, doc))
         new = np.ones(len(order), bool)
         new[1:] = (doc[order][1:] != doc[order][:-1]) | (row[order][1:] != row[order][:-1]) | (line[order][1:] != line[order][:-1])
-        raw, begin = string_bytes(rows.column(8).take(pa.array(order[new])).combine_chunks())
+        raw, begin = string_bytes(rows.column(5).take(pa.array(held[order[new]])).combine_chunks())
         begin, size = begin[:-1], np.diff(begin)
         doc, row, line = doc[order[new]], row[order[new]], line[order[new]]
         rank = np.empty(len(order), np.int64)  # of the distinct lines, in order of their places
@@ -391,18 +409,15 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
             if size < most_bytes:
                 continue
             now = pa.Table.from_batches(held).combine_chunks()
-            group = [now.column(k).to_numpy() for k in range(4)]
-            differ = [g != g[-1] for g in group]
-            for last in (np.flatnonzero(differ[0]), np.flatnonzero(np.any(differ, axis=0))):  # behind the last lead but one, else the last set but one
-                whole = int(last[-1]) + 1 if len(last) else 0  # the last set may go on in the next batch
-                if 2 * whole >= now.num_rows:
-                    break
-            if whole and (out := work(now.slice(0, whole))) is not None:
-                yield out
+            lead = now.column(0).to_numpy()
+            last = np.flatnonzero(lead != lead[-1])
+            whole = int(last[-1]) + 1 if len(last) else 0  # the last lead may go on in the next batch
+            if whole:
+                yield from walk(now.slice(0, whole).combine_chunks())
             rest = now.slice(whole).combine_chunks()
             held, size = rest.to_batches(), rest.nbytes if whole else 0
-        if held and (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield out
+        if held:
+            yield from walk(pa.Table.from_batches(held).combine_chunks())
         give_back()
 
     return run
@@ -446,6 +461,11 @@ def _left_to_compare(parts: DataFrame, texts: DataFrame, near: DataFrame, part:
     return asked.unionByName(there).select(F.xxhash64("unit", "a", "b").alias("lead"), *UNIT_COLUMNS[1:])
 
 
+def _sets_of_lines(units: DataFrame) -> DataFrame:
+    """lead, id, sets: a line with all its sets of one lead, so that its text goes to their task once; dealt by id."""
+    return units.repartition("id").groupBy("id", "lead").agg(F.collect_list(F.struct("unit", "a", "b", "side")).alias("sets"))
+
+
 def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least: int, percent: int = 0, part: int = PART, hot_lines: int = HOT_LINES, lead_lines: int = LEAD_LINES) -> DataFrame:
     """The first place of each distinct line that is within its bound of one with an earlier first place.
 
@@ -469,8 +489,8 @@ def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least:
         texts = scratch.keep(texts, "line_texts")
 
     def walked(units: DataFrame) -> DataFrame:
-        rows = units.join(texts, "id").select("lead", "unit", "a", "b", "side", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
-        return rows.repartition("lead").sortWithinPartitions("lead", "unit", "a", "b").mapInArrow(_walk(edits, percent), PLACE)
+        rows = _sets_of_lines(units).join(texts, "id").select("lead", "sets", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
+        return rows.repartition("lead").sortWithinPartitions("lead").mapInArrow(_walk(edits, percent), PLACE)
 
     units = _whole_sets(sets.filter("not cut"), lead_lines)
     if some_cut:
@@ -492,8 +512,8 @@ def repeated_lines(docs: DataFrame, edits: int = 2, least_bytes: int = 20, least
         places = scratch.keep(docs.mapInArrow(_places(least_bytes if least_equal is None else least_equal), f"{PLACE}, h1 long, h2 long, again boolean"), "line_places")
         firsts = places.filter("not again")
         number = places.count()
-        first = firsts.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("first"))
-        more = firsts.join(first, ["h1", "h2"]).filter(F.struct(*PLACE_COLUMNS) != F.col("first"))
+        first = F.min(F.struct(*PLACE_COLUMNS)).over(Window.partitionBy("h1", "h2"))  # a row a slice, however common the line
+        more = firsts.withColumn("first", first).filter(F.struct(*PLACE_COLUMNS) != F.col("first"))
         equal = checkpointed(places.filter("again").select(*PLACE_COLUMNS).unionByName(more.select(*PLACE_COLUMNS)).groupBy("doc_id", "row").agg(F.collect_set("line").alias("equal")))
         scratch.drop("line_places")
         near = near_lines(docs, scratch, number, edits, least_bytes, percent).groupBy("doc_id", "row").agg(F.collect_set("line").alias("near"))
