@@ -50,7 +50,13 @@ BUCKET_BYTES = 1 << 21  # bytes of text to a bucket, some 200,000 keys
 HOT_LINES = 4_000_000  # a key in more lines than this is dealt to several buckets
 SAMPLE_LINES = 1 << 20
 LEAD_LINES = 1 << 14  # lines of sets with one least line that one task walks
-ID = np.uint64((1 << 48) - 1)  # a line's number in the index: so many bits of its hash
+#: A line's number in the index has 48 bits: its length in bytes, or ``LONGEST``, and so many bits of its hash.
+HASHED, LONGEST = 36, (1 << 12) - 1
+
+
+def _numbers(h1: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of lines in the index; lines that share one are told apart by their texts."""
+    return h1.view(np.uint64) & np.uint64((1 << HASHED) - 1) | np.minimum(sizes, LONGEST).astype(np.uint64) << np.uint64(HASHED)
 
 
 def _some_lines(raw: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -180,7 +186,7 @@ def _blocks(edits: int, least: int, percent: int, buckets: int, hot: np.ndarray,
         for batch in text_slices(batches, SLICE):
             s = _Slice(batch, least)
             one, seen = _new_lines(s.h1.view(np.uint64), s.h2, seen)
-            ids = s.h1.view(np.uint64)[one] & ID
+            ids = _numbers(s.h1[one], (s.ends - s.starts)[one])
             if len(ids):
                 keys, line, counts, checks = segment_keys(s.raw, s.starts[one], s.ends[one], edits, percent, least)
                 held.append((keys, ids[line], counts, checks))
@@ -202,7 +208,7 @@ def _sampled_keys(edits: int, least: int, percent: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, SLICE):
             s = _Slice(batch, least)
-            ids, one = np.unique(s.h1.view(np.uint64) & ID, return_index=True)
+            ids, one = np.unique(_numbers(s.h1, s.ends - s.starts), return_index=True)
             one = one[mix(ids).astype(np.float64) < share * 2.0**64]
             keys, n = np.unique(segment_keys(s.raw, s.starts[one], s.ends[one], edits, percent, least)[0] >> np.uint64(16), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
@@ -227,8 +233,12 @@ def hot_keys(docs: DataFrame, edits: int, least: int, percent: int, lines: int,
 SET_SCHEMA = "unit long, part long, cut boolean, ids array<long>"
 
 
-def _sets(most: int):
-    """The sets of two lines or more that share a key, of all blocks of a bucket; equal ones once."""
+def _sets(most: int, edits: int, percent: int):
+    """The sets of two lines or more that share a key, of all blocks of a bucket; equal ones once.
+
+    Lines of a key come by their lengths.  Where one is longer than the one before it by more than that may be edited, a set ends: as bounds
+    rise with the length, no line behind is near one before.  A key that is dealt to several buckets stays one set.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         salt, hot = table.column("salt")[0].as_py(), table.column("hot")[0].as_py()  # the same in all rows of a bucket
@@ -251,7 +261,11 @@ def _sets(most: int):
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
         keys, ids, own = keys[new], ids[new], own[new]
-        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        apart = keys[1:] != keys[:-1]
+        if hot is None:
+            size = (ids >> np.uint64(HASHED)).astype(np.int64)
+            apart |= np.diff(size) > allowed(size[:-1], edits, percent)
+        edges = np.flatnonzero(np.concatenate([[True], apart, [True]])) if len(keys) else np.zeros(1, np.int64)
         sizes = np.diff(edges)
         posts = np.add.reduceat(own, edges[:-1], dtype=np.int64) if len(keys) else np.zeros(0, np.int64)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(ids))])
@@ -266,7 +280,8 @@ def _sets(most: int):
         end.append(edges[whole + 1])
         for g in (np.flatnonzero((sizes > most) & (posts > 0)) if hot is None else range(len(sizes))):
             at = np.arange(edges[g], edges[g + 1], most)
-            unit.append(np.full(len(at), keys[edges[g]].astype(np.int64), np.int64))
+            # parts of a hot key meet from several buckets by the key; a key that is not may have several sets
+            unit.append(np.full(len(at), names[g] if hot is None else keys[edges[g]].astype(np.int64), np.int64))
             part.append(np.arange(len(at)) + (salt << 32))
             cut.append(np.ones(len(at), bool))
             start.append(at)
@@ -310,7 +325,7 @@ def _texts(least: int, wanted):
         words, sent = wanted.value, {}
         for batch in text_slices(batches, SLICE):
             s = _Slice(batch, least)
-            u = s.h1.view(np.uint64) & ID
+            u = _numbers(s.h1, s.ends - s.starts)
             some = (words[(u >> np.uint64(6)).astype(np.int64) % FILTER_WORDS] >> (u & np.uint64(63)).astype(np.int64)) & 1 == 1
             some = s.firsts(np.flatnonzero(some))
             if len(sent) > SENT:
@@ -477,7 +492,7 @@ def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least:
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parallel, min(1 << 20, total // BUCKET_BYTES))
     blocks = docs.mapInArrow(_blocks(edits, least, percent, buckets, hot, salts=max(16, lines // hot_lines)), BLOCK_SCHEMA)
-    found = blocks.repartition(max(parallel, buckets // 4), "bucket").groupBy("bucket").applyInArrow(_sets(part), SET_SCHEMA)
+    found = blocks.repartition(max(parallel, buckets // 4), "bucket").groupBy("bucket").applyInArrow(_sets(part, edits, percent), SET_SCHEMA)
     sets = scratch.keep(found, "line_sets")
     wanted = spark.sparkContext.broadcast(candidate_filter(sets.select(F.explode("ids").alias("id"))))
     # dealt by id alone, so that the join below needs no second shuffle of the texts

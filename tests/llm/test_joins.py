@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -290,3 +292,34 @@ def test_invalid_vectors_link_with_nothing(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
     assert got == {i: (0, i) for i in (1, 2, 3, 4, 5, 6, 9, 10)} | {7: (1, 7), 8: (1, 7)}
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_a_key_makes_sets_of_lines_of_like_lengths_only():
+    """Lengths 20, 22 and 24 may be near one another one by one, 40 is near none, 60 and 61 are a set of their own; 700 stands alone."""
+    sizes = np.array([20, 24, 22, 40, 61, 60, 700])
+    ids = np.sort(line_dedup._numbers(np.arange(7, dtype=np.int64) * 7919, sizes))
+    n, key = len(ids), np.uint64(5 << 20)
+    block = line_dedup._pack(np.full(n, key), ids, np.full(n, 1 + line_dedup.POST, np.uint8), np.zeros(n, np.uint8))
+    columns = {"bucket": [0], "hot": pa.array([None], pa.int64()), "salt": [0], "n": [n], "block": [block]}
+    lengths = lambda x: sorted(i >> line_dedup.HASHED for i in x)
+    assert sorted(lengths(x) for x in line_dedup._sets(100, 2, 0)(pa.table(columns)).column("ids").to_pylist()) == [[20, 22, 24], [60, 61]]
+    cut = line_dedup._sets(2, 2, 0)(pa.table(columns)).filter(pc.field("cut"))
+    assert len(set(cut.column("unit").to_pylist())) == 1 and cut.column("part").to_pylist() == [0, 1]
+    hot = line_dedup._sets(100, 2, 0)(pa.table(columns | {"hot": [5]})).column("ids").to_pylist()
+    assert [lengths(x) for x in hot] == [sorted(sizes.tolist())]
+
+
+def test_a_line_goes_once_to_the_sets_of_a_lead(spark):
+    units = spark.createDataFrame([(1, u, 0, 0, 0, i) for u in range(5) for i in (7, 8)] + [(2, 9, 0, 0, 0, 7)], "lead long, unit long, a long, b long, side int, id long")
+    got = {(r.lead, r.id): sorted(x.unit for x in r.sets) for r in line_dedup._sets_of_lines(units).collect()}
+    assert got == {(1, 7): [0, 1, 2, 3, 4], (1, 8): [0, 1, 2, 3, 4], (2, 7): [9]}
+
+
+@pytest.mark.parametrize("most_bytes", [1, 200, 1 << 24])
+def test_a_lead_beyond_the_bytes_is_walked_some_sets_at_a_time(most_bytes):
+    texts = [b"one line of some bytes %d" % i for i in range(10, 16)] + [b"and a line that is like none"]
+    sets = [[{"unit": u, "a": 0, "b": 0, "side": 0} for u in range(3) if (i + u) % 2 or u == 0] for i in range(len(texts))]
+    kind = pa.list_(pa.struct([("unit", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("side", pa.int32())]))
+    rows = pa.RecordBatch.from_arrays([pa.array([1] * 7), pa.array(sets, kind), pa.array(range(7)), pa.array([0] * 7), pa.array([0] * 7, pa.int32()), pa.array(texts, pa.binary())], names=["lead", "sets", "doc_id", "row", "line", "text"])
+    batches = [rows.slice(k, 3) for k in (0, 3, 6)]
+    assert {d for out in line_dedup._walk(2, 0, most_bytes)(iter(batches)) for d in out.column("doc_id").to_pylist()} == {1, 2, 3, 4, 5}
