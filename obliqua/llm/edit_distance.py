@@ -1,6 +1,7 @@
 """Bounded edit distance of many pairs at once: a diagonal band of the table, one bit a cell.
 
-The band holds the cells at most ``bound`` off the diagonal; two words of bits
+The band holds the diagonals that a path of ``bound`` edits from corner to corner can touch, ``bound`` + 1 at most: who leaves
+the way between the corners by one has to come back by one.  Two words of bits
 tell for each pair where the column rises and falls, and every column of all
 pairs takes a few word operations; pairs that are past their bound leave.  Where both of a pair are longer than ``LONG``,
 its diagonals are followed as far as each number of edits reaches: the same band, in long strides.
@@ -96,36 +97,40 @@ def near_pairs(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, x: np.nda
         k = 0
         while k < len(some):
             part = some[k : k + max(1, most_cells // (int(short[some[k]]) + 2 * high))]
-            good[part] = _banded(_padded(raw, starts, sizes, x[part], high), _padded(raw, starts, sizes, y[part], 0), sizes[x[part]], short[part], bounds[part], high)
+            front = (bounds[part] - sizes[x[part]] + short[part]) // 2
+            good[part] = _banded(_padded(raw, starts, sizes, x[part], front), _padded(raw, starts, sizes, y[part], 0 * front), sizes[x[part]], short[part], bounds[part], high)
             k += len(part)
     return good
 
 
-def _padded(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray, front: int) -> np.ndarray:
-    """The strings as rows, with -1 around them."""
-    one, at = np.unique(which, return_inverse=True)
+def _padded(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray, front: np.ndarray) -> np.ndarray:
+    """The strings as rows, with -1 around them, ``front`` (15 at most) before each."""
+    one, at = np.unique(which << 4 | front, return_inverse=True)
+    one, front = one >> 4, one & 15
     size = sizes[one]
-    out = np.full((len(one), front + int(size.max()) + 48), -1, np.int16)
+    out = np.full((len(one), int((front + size).max()) + 48), -1, np.int16)
     rows = np.repeat(np.arange(len(one)), size)
     place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
-    out[rows, place + front] = raw[place + np.repeat(starts[one], size)]
+    out[rows, place + front[rows]] = raw[place + np.repeat(starts[one], size)]
     return out[at]
 
 
 def _banded(a: np.ndarray, b: np.ndarray, m: np.ndarray, n: np.ndarray, bounds: np.ndarray, bound: int) -> np.ndarray:
     """Whether each pair is within its bound, ``bound`` at most; ``a`` are no shorter than ``b``, which fall in length.
 
-    Row r of column j is character j - bound + r of the longer text, which therefore has so many places in front.
+    Row r of column j is character j - front + r of the longer text, which therefore has so many places in front: half of the edits that
+    the difference of the lengths leaves.
     """
-    width = 2 * bound + 1
-    kind = np.uint8 if width <= 7 else np.uint16 if width <= 15 else np.uint32
+    width = bound + 1
+    kind = np.uint8 if width <= 8 else np.uint16
     window = 8 * np.dtype(kind).itemsize
     full, one = kind((1 << width) - 1), kind(1)
+    front = ((bounds - m + n) // 2).astype(kind)
     # before the first column the rows from 1 on rise by one each
-    up = np.full(len(m), int(full) >> bound << bound & int(full), kind)
+    up = (np.full(len(m), full, kind) >> front << front) & full
     down = np.zeros(len(m), kind)
     # the diagonal that ends at the last cell: its values never fall, and rise by one where its bit is not set
-    row, score = (m - n + bound).astype(kind), m - n
+    row, score = (m - n).astype(kind) + front, m - n
     here, out = np.arange(len(m)), np.zeros(len(m), np.int64)
     for j in range(int(n[0])):
         if j % 16 == 0 and j:

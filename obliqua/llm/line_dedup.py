@@ -11,10 +11,11 @@ Equal lines: a line that its slice of texts has met before repeats for certain;
 first places of each slice are shuffled, as hashes.  Near lines: each distinct line
 of a slice is indexed by the keys of its segments (``line_segments``).  Keys travel in packed
 blocks to the bucket of their range and are sorted there; lines that share one form a set.  Equal sets are joined into one, the
-lines of each set are fetched (behind a filter of bounded size), sets with the same least line number go to one task (to several, if
-they have more than ``LEAD_LINES`` lines together), and a set is walked in order of first places: each line is
+lines of each set are fetched (behind a filter of bounded size), and a set is walked in order of first places: each line is
 compared, by a banded bit-parallel edit distance, with those before it until one is near.  So a line has one row a
-set, whatever the number of its near lines.  A set beyond ``PART`` lines is cut into parts.  Each part is walked together with the
+set, whatever the number of its near lines.  The sets of a family of lines share most of them.  Sets that share a line follow the least line of any of
+them, their lead, and those of one lead go to one task, where a pair is compared once; where they hold more pairs than all their lines have, they become one set.  What is more
+than the pairs of ``LEAD_LINES`` lines goes to several tasks, each of which asks about some of the lines.  A set beyond ``PART`` lines is cut into parts.  Each part is walked together with the
 first one; only lines that have met none before them there go on, gathered anew, to all other parts.  So the rows of a family of
 near lines grow with its lines, not with pairs of parts.  A key that a sample of the lines shows to be in very many goes through several buckets.  Every route compares everything.
 
@@ -26,6 +27,7 @@ an empty table stays empty.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,12 +46,14 @@ from .shingles import mix
 from .tokens import forget
 
 SLICE = 1 << 20
-PART = 2048  # lines of a set, or of a part of one, that are walked together
+PART = 1 << 14  # lines of a set, or of a part of one, that are walked together
 FLUSH = 1 << 19  # keys that a task sorts before it sends them
 BUCKET_BYTES = 1 << 21  # bytes of text to a bucket, some 200,000 keys
+MANY_BYTES = 1 << 32  # above, buckets and what is sent at a time are twice as large, as keys of one sending and bucket get few
 HOT_LINES = 4_000_000  # a key in more lines than this is dealt to several buckets
 SAMPLE_LINES = 1 << 20
-LEAD_LINES = 1 << 14  # lines of sets with one least line that one task walks
+LEAD_LINES = 1 << 11  # one task walks the pairs of so many lines
+FAMILY = 16  # lines of a set that may follow another's lead
 #: A line's number in the index has 48 bits: its length in bytes, or ``LONGEST``, and so many bits of its hash.
 HASHED, LONGEST = 36, (1 << 12) - 1
 
@@ -115,16 +119,22 @@ def _places(least: int):
     return run
 
 
+@functools.cache
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Of this worker: a block takes less time than a new one."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def _pack(keys: np.ndarray, ids: np.ndarray, counts: np.ndarray, checks: np.ndarray) -> bytes:
     """Sorted keys, without their last 16 bits, as differences; and the ids: each as planes of bytes; then counts and checks."""
     keys = keys >> np.uint64(16)
     steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
     planes = np.concatenate([steps.T, ids.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T])
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes() + counts.tobytes() + checks.tobytes())
+    return _zstd()[0].compress(planes.tobytes() + counts.tobytes() + checks.tobytes())
 
 
 def _unpack(block: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    data = np.frombuffer(_zstd()[1].decompress(block), np.uint8)
     planes, out = data[: 12 * n].reshape(12, n), []
     for part in (planes[:6], planes[6:]):
         wide = np.zeros((n, 8), np.uint8)
@@ -296,18 +306,26 @@ def _sets(most: int, edits: int, percent: int):
     return run
 
 
-FILTER_WORDS = 1 << 17
+FILTER_WORDS, MOST_WORDS = 1 << 17, 1 << 21
+
+
+def filter_words(lines: int) -> int:
+    """Words of a filter for so many lines: two bits or more a line, from one megabyte to 16."""
+    words = FILTER_WORDS
+    while 32 * words < lines and words < MOST_WORDS:
+        words *= 2
+    return words
 
 
-def candidate_filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each line number in a megabyte, set by a distributed aggregate.
+def candidate_filter(ids: DataFrame, size: int = FILTER_WORDS) -> np.ndarray:
+    """A bit for each line number in ``size`` words, set by a distributed aggregate.
 
     It only spares work: what it lets through is joined exactly later, so its
-    fixed size bounds the broadcast and never the result.
+    bounded size bounds the broadcast and never the result.
     """
-    picked = ids.select(F.pmod(F.shiftrightunsigned("id", 6), F.lit(FILTER_WORDS)).alias("word"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bit"))
+    picked = ids.select(F.pmod(F.shiftrightunsigned("id", 6), F.lit(size)).alias("word"), F.expr("shiftleft(1L, cast(id & 63 as int))").alias("bit"))
     words = picked.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(FILTER_WORDS, np.int64)
+    out = np.zeros(size, np.int64)
     out[words["word"].to_numpy()] = words["bits"].to_numpy()
     return out
 
@@ -326,7 +344,7 @@ def _texts(least: int, wanted):
         for batch in text_slices(batches, SLICE):
             s = _Slice(batch, least)
             u = _numbers(s.h1, s.ends - s.starts)
-            some = (words[(u >> np.uint64(6)).astype(np.int64) % FILTER_WORDS] >> (u & np.uint64(63)).astype(np.int64)) & 1 == 1
+            some = (words[(u >> np.uint64(6)).astype(np.int64) % len(words)] >> (u & np.uint64(63)).astype(np.int64)) & 1 == 1
             some = s.firsts(np.flatnonzero(some))
             if len(sent) > SENT:
                 sent.clear()
@@ -344,7 +362,7 @@ def _texts(least: int, wanted):
 
 
 def _kinds(raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """How often each line has a byte of each of 32 kinds; an edit moves two of the numbers by one at most."""
+    """How often each line has a byte of each of 32 kinds; an edit moves two of the numbers by one at most, or one of them and the length."""
     counts = np.bincount(np.repeat(np.arange(len(sizes)) * 32, sizes) + (raw & 31), minlength=32 * len(sizes)).reshape(-1, 32)
     return np.minimum(counts, 32767).astype(np.int16)
 
@@ -353,7 +371,7 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
     """The first places of the lines that are near one before them in their set; rows, a line with its sets of one lead, come sorted by lead.
 
     A line that is known to be near one before it is not compared again, nor is a pair; sets with one lead, which share lines, come together
-    as far as ``most_bytes`` of their lines go.  Where ``a`` and ``b`` differ, only lines of side 0 are asked about, and only compared with those of side 1.
+    as far as ``most_bytes`` of their lines go.  Only lines of side 0 are asked about; where ``a`` and ``b`` differ, they are only compared with those of side 1.
     """
 
     def walk(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -388,8 +406,8 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
         first = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         start = np.repeat(first, np.diff(np.append(first, len(unit))))
         kinds, across = _kinds(raw, size), a != b
-        late, tested = np.zeros(len(size), bool), np.zeros(0, np.int64)
-        waiting, step, ahead = np.flatnonzero((np.arange(len(unit)) > start) & (~across | (side == 0))), 0, 1
+        late, tested, several = np.zeros(len(size), bool), np.zeros(0, np.int64), len(first) > 1
+        waiting, step, ahead = np.flatnonzero((np.arange(len(unit)) > start) & (side == 0)), 0, 1
         while len(waiting):
             x, y = np.repeat(waiting, ahead), (start[waiting, None] + step + np.arange(ahead)).ravel()
             some = y < x
@@ -399,14 +417,15 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
             pair = pair[np.diff(pair, prepend=-1) > 0]
             if len(tested):
                 pair = pair[tested[np.minimum(np.searchsorted(tested, pair), len(tested) - 1)] != pair]
-            tested = np.sort(np.concatenate([tested, pair]), kind="stable")
+            if several:  # one set meets no pair again
+                tested = np.sort(np.concatenate([tested, pair]), kind="stable")
             x, y = pair >> 32, pair & 0xFFFFFFFF
             bound = allowed(np.minimum(size[x], size[y]), edits, percent)
             like = np.abs(size[x] - size[y]) <= bound
             x, y, bound = x[like], y[like], bound[like]
             for k in range(0, len(x), 1 << 16):
                 p, q, most = x[k : k + (1 << 16)], y[k : k + (1 << 16)], bound[k : k + (1 << 16)]
-                few = np.abs(kinds[p] - kinds[q]).sum(1) <= 2 * most
+                few = np.abs(kinds[p] - kinds[q]).sum(1) + np.abs(size[p] - size[q]) <= 2 * most
                 p, q, most = p[few], q[few], most[few]
                 late[p[near_pairs(raw, begin, size, p, q, most)]] = True
             step += ahead
@@ -441,14 +460,32 @@ def _walk(edits: int, percent: int, most_bytes: int = 16 << 20):
 UNIT_COLUMNS = ("lead", "unit", "a", "b", "side", "id")
 
 
-def _whole_sets(sets: DataFrame, lead_lines: int) -> DataFrame:
-    """Rows of sets that are compared as a whole, equal sets once; sets with one least line share a lead, several if there are many."""
-    lead, zero = F.get("ids", F.lit(0)).alias("least"), F.lit(0).cast("long")
-    once = sets.dropDuplicates(["unit"]).select(lead, "unit", "ids")
-    crowded = sets.select(lead, F.size("ids").alias("n")).groupBy("least").agg(F.sum("n").alias("n")).filter(F.col("n") > lead_lines)
-    pieces = F.ceil(F.coalesce("n", F.lit(1)) / lead_lines)
-    dealt = once.join(crowded, "least", "left").select(F.xxhash64("least", F.pmod("unit", pieces)).alias("lead"), "unit", "ids")
-    return dealt.select("lead", "unit", zero.alias("a"), zero.alias("b"), F.lit(0).alias("side"), F.explode("ids").alias("id"))
+def _led_sets(sets: DataFrame) -> DataFrame:
+    """unit, ids, m, lead of sets that come once: the least line of those sets that share a line with it, where they have ``FAMILY`` lines or more."""
+    own = sets.select("unit", "ids", F.size("ids").cast("long").alias("m"), F.get("ids", F.lit(0)).alias("least"))
+    members = own.filter(F.col("m") >= FAMILY).select("unit", "least", F.explode("ids").alias("id"))
+    shared = members.join(members.groupBy("id").agg(F.min("least").alias("lead")), "id").groupBy("unit").agg(F.min("lead").alias("lead"))
+    return own.join(shared, "unit", "left").select("unit", "ids", "m", F.coalesce("lead", "least").alias("lead"))
+
+
+def _whole_sets(led: DataFrame, lead_lines: int) -> DataFrame:
+    """Rows of sets that are compared as a whole, the sets of a lead by one task, or by several if they have many pairs."""
+    pairs, zero = float(lead_lines) ** 2, F.lit(0).cast("long")  # twice the pairs of so many lines
+    own = F.col("m").cast("double") * F.col("m")
+    many = led.groupBy("lead").agg(F.sum(own).alias("all")).filter(F.col("all") > pairs / 16)
+    lines = led.filter(F.col("m") >= FAMILY).select("lead", F.explode("ids").alias("id")).groupBy("lead").agg(F.count_distinct("id").cast("double").alias("n"))
+    many = many.join(lines, "lead", "left").select("lead", "all", (F.col("n") * F.col("n")).alias("union"))
+    one, large = F.coalesce(F.col("union") <= F.col("all"), F.lit(False)), own > pairs  # such a set is divided by itself
+    dealt = led.join(many, "lead", "left").select(
+        F.when(one, F.xxhash64("lead", F.lit(1))).when(large, F.xxhash64("unit", F.lit(2))).otherwise(F.xxhash64("lead", F.pmod("unit", F.ceil(F.coalesce("all", F.lit(1.0)) / pairs)), F.lit(3))).alias("lead"),
+        F.when(one, F.col("lead")).otherwise(F.col("unit")).alias("unit"),
+        F.ceil(F.when(one, F.col("union")).when(large, own).otherwise(F.lit(1.0)) / pairs).alias("tasks"),
+        "ids",
+    )
+    lines = dealt.select("lead", "unit", "tasks", F.explode("ids").alias("id"))
+    lines = lines.select("lead", "unit", "tasks", "id", F.explode(F.sequence(zero, F.greatest(F.lit(1), "tasks") - 1)).alias("task"))
+    side = F.when(F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "tasks")) == F.col("task"), 0).otherwise(1)
+    return lines.select(F.when(F.col("tasks") > 1, F.xxhash64("lead", "task")).otherwise(F.col("lead")).alias("lead"), "unit", zero.alias("a"), zero.alias("b"), side.alias("side"), "id")
 
 
 def _beside_the_first(parts: DataFrame) -> DataFrame:
@@ -478,7 +515,7 @@ def _left_to_compare(parts: DataFrame, texts: DataFrame, near: DataFrame, part:
 
 def _sets_of_lines(units: DataFrame) -> DataFrame:
     """lead, id, sets: a line with all its sets of one lead, so that its text goes to their task once; dealt by id."""
-    return units.repartition("id").groupBy("id", "lead").agg(F.collect_list(F.struct("unit", "a", "b", "side")).alias("sets"))
+    return units.repartition("id").groupBy("id", "lead").agg(F.collect_set(F.struct("unit", "a", "b", "side")).alias("sets"))
 
 
 def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least: int, percent: int = 0, part: int = PART, hot_lines: int = HOT_LINES, lead_lines: int = LEAD_LINES) -> DataFrame:
@@ -490,16 +527,17 @@ def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     hot = hot_keys(docs, edits, least, percent, lines, hot_lines)
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parallel, min(1 << 20, total // BUCKET_BYTES))
-    blocks = docs.mapInArrow(_blocks(edits, least, percent, buckets, hot, salts=max(16, lines // hot_lines)), BLOCK_SCHEMA)
+    wide = 1 if total < MANY_BYTES else 2
+    buckets = max(parallel, min(1 << 20, total // (wide * BUCKET_BYTES)))
+    blocks = docs.mapInArrow(_blocks(edits, least, percent, buckets, hot, max(16, lines // hot_lines), wide * FLUSH), BLOCK_SCHEMA)
     found = blocks.repartition(max(parallel, buckets // 4), "bucket").groupBy("bucket").applyInArrow(_sets(part, edits, percent), SET_SCHEMA)
     sets = scratch.keep(found, "line_sets")
-    wanted = spark.sparkContext.broadcast(candidate_filter(sets.select(F.explode("ids").alias("id"))))
+    wanted = spark.sparkContext.broadcast(candidate_filter(sets.select(F.explode("ids").alias("id")), filter_words(lines)))
     # dealt by id alone, so that the join below needs no second shuffle of the texts
     sent = docs.mapInArrow(_texts(least, wanted), f"id long, {PLACE}, text binary").repartition("id")
     texts = sent.groupBy("id", "text").agg(F.min(F.struct(*PLACE_COLUMNS)).alias("place"))
-    parts = sets.filter("cut")
-    some_cut = not parts.isEmpty()
+    some_cut = not sets.filter("cut").isEmpty()
+    parts = sets.filter("cut").dropDuplicates(["unit", "part"])  # keys may share a set
     if some_cut:  # their lines are fetched more than once
         texts = scratch.keep(texts, "line_texts")
 
@@ -507,10 +545,14 @@ def near_lines(docs: DataFrame, scratch: Scratch, lines: int, edits: int, least:
         rows = _sets_of_lines(units).join(texts, "id").select("lead", "sets", *[f"place.{c}" for c in PLACE_COLUMNS], "text")
         return rows.repartition("lead").sortWithinPartitions("lead").mapInArrow(_walk(edits, percent), PLACE)
 
-    units = _whole_sets(sets.filter("not cut"), lead_lines)
+    once = scratch.keep(sets.filter("not cut").dropDuplicates(["unit"]).select("unit", "ids"), "line_units")
+    led = scratch.keep(_led_sets(once), "line_leads")
+    scratch.drop("line_units")
+    units = _whole_sets(led, lead_lines)
     if some_cut:
         units = units.unionByName(_beside_the_first(parts))
     near = checkpointed(walked(units).distinct())
+    scratch.drop("line_leads")
     if some_cut:
         more = walked(_left_to_compare(parts, texts, near, part))
         near = checkpointed(near.unionByName(more).distinct())

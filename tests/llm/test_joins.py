@@ -323,3 +323,39 @@ def test_a_lead_beyond_the_bytes_is_walked_some_sets_at_a_time(most_bytes):
     rows = pa.RecordBatch.from_arrays([pa.array([1] * 7), pa.array(sets, kind), pa.array(range(7)), pa.array([0] * 7), pa.array([0] * 7, pa.int32()), pa.array(texts, pa.binary())], names=["lead", "sets", "doc_id", "row", "line", "text"])
     batches = [rows.slice(k, 3) for k in (0, 3, 6)]
     assert {d for out in line_dedup._walk(2, 0, most_bytes)(iter(batches)) for d in out.column("doc_id").to_pylist()} == {1, 2, 3, 4, 5}
+
+
+def test_the_sets_of_a_family_are_compared_as_one(spark):
+    """Each line goes once to a task that asks about it, however many sets of the family hold it."""
+    sets = [(u, [i for i in range(40) if (i * 7 + u) % 5], True) for u in range(1, 13)]  # 12 sets of 32 of 40 lines, not all with the same least line
+    sets += [(99, [500 + i for i in range(3)], False)]
+    once = spark.createDataFrame([(u, ids) for u, ids, _ in sets], "unit long, ids array<long>")
+    led = line_dedup._led_sets(once)
+    assert {r.unit: r.lead for r in led.collect()} == {u: 0 if family else 500 for u, _, family in sets}
+    rows = [r for r in line_dedup._whole_sets(led, 64).distinct().collect() if r.id < 500]
+    assert len({(r.lead, r.unit) for r in rows}) == 1 and sorted(r.id for r in rows if r.side == 0) == list(range(40))
+    parted = line_dedup._whole_sets(led, 16).filter("id < 500").distinct().collect()
+    tasks = {r.lead for r in parted}
+    assert len(tasks) == 7 and len(parted) == 7 * 40  # 40 * 40 pairs, 16 * 16 a task
+    assert sorted(r.id for r in parted if r.side == 0) == list(range(40))
+
+
+@pytest.mark.parametrize("length", [30, 90, 200])
+def test_edit_distance_of_longer_texts_within_every_bound(length):
+    r, left, right = random.Random(length), [], []
+    for _ in range(150):
+        text = bytes(r.choice(b"abc") for _ in range(length + r.randrange(9)))
+        other = bytearray(text)
+        for _ in range(r.randrange(12)):
+            at, much = r.randrange(len(other)), r.choice([1, 1, 2, 5])
+            other[at : at + r.choice([0, much])] = bytes(r.choice(b"abcd") for _ in range(r.choice([0, much])))
+        left.append(text)
+        right.append(bytes(other))
+    exact = np.array([_plain(a, b) for a, b in zip(left, right, strict=True)])
+    for bound in range(16):
+        assert (within(left, right, bound) == (exact <= bound)).all()
+    assert exact.min() < 2 and exact.max() > 15
+
+
+def test_the_filter_of_lines_grows_with_them():
+    assert [line_dedup.filter_words(n) // line_dedup.FILTER_WORDS for n in (0, 4_000_000, 30_000_000, 1 << 40)] == [1, 1, 8, 16]
