@@ -539,7 +539,7 @@ def median_filter(spark, d):
   k AS (SELECT image_id, t, c, bin, (bin + CAST(0.5 AS DOUBLE)) * top / 256 AS mid, CAST(n AS DOUBLE) AS n FROM h), w AS (SELECT image_id, t, c, bin, mid, sum(n) OVER a AS w0, sum(n * mid) OVER a AS s0, sum(n) OVER p AS w, sum(n * mid) OVER p AS s FROM k WINDOW a AS (PARTITION BY image_id, t, c ORDER BY bin), p AS (PARTITION BY image_id, t, c)),
   q AS (SELECT image_id, t, c, bin, mid, round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 3) AS v FROM w WHERE w > w0) SELECT image_id, t, c, mid AS threshold FROM q QUALIFY row_number() OVER (PARTITION BY image_id, t, c ORDER BY v DESC, bin) = 1"""))
 def otsu_threshold(spark, d):
-    return filters.otsu(raw_volume(spark, d), NZ * NY * NX)
+    return filters.otsu(raw_volume(spark, d), NZ * NY * NX, bright=True)
 
 
 _BINS = f"""m AS (SELECT image_id, t, c, max(v) AS top, count(*) AS known FROM raw GROUP BY 1, 2, 3), b AS (SELECT image_id, t, c, top, CAST(least(floor(v * 256 / top), 255) AS INT) AS bin FROM raw JOIN m USING (image_id, t, c)),

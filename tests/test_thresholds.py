@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from obliqua import queries
 from obliqua.operators import filters
 
 SCHEMA = "image_id int, t int, c int, z int, y int, x int, v double"
@@ -53,3 +54,27 @@ def test_otsu_of_arrays_equals_that_of_voxels(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     want = {row.image_id: row.threshold for row in filters.otsu(voxels, 60).collect()}
     assert got == want and len(want) == 10
+
+
+def test_otsu_of_filled_slices_equals_its_sql(spark, tmp_path):
+    """Slices with a value at every place have an empty lowest bin; others lack voxels, and one has dark ones."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    n = queries.NZ * queries.NY * queries.NX
+    place, slice_ = F.col("id") % n, (F.col("id") / n).cast("long")
+    made = spark.range(4 * n).select(
+        (slice_ % 2).cast("int").alias("l_linenumber"),
+        F.when(slice_ < 2, "O").otherwise("F").alias("l_linestatus"),
+        (place % queries.NZ).alias("l_orderkey"),
+        ((place / queries.NZ).cast("long") % queries.NY).alias("l_partkey"),
+        ((place / (queries.NZ * queries.NY)).cast("long")).alias("l_suppkey"),
+        (F.when((slice_ == 3) & (place % 5 == 0), 1).otherwise(F.pmod(F.xxhash64("id"), F.lit(400)) + 100)).cast("decimal(15,2)").alias("l_quantity"),
+    )
+    made.filter((slice_ != 2) | (place % 7 > 0)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.t, r.c): r.threshold for r in queries.queries()["otsu_threshold"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = {(r.t, r.c): r.threshold for r in duck.execute(queries.oracle_sql()["otsu_threshold"]).df().itertuples()}
+    assert got == want and len(want) == 4
+    assert sum(level < 2 for level in want.values()) == 2
