@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_rows, by_ids, checkpointed, string_bytes, text_slices
 from .components import components
 from .shingles import mix, text_shingles
+from .tokens import forget
 
 SLICE = 1 << 19
 
@@ -47,6 +48,7 @@ def _frequent(width: int, least: int, most: int):
     """For each task its most frequent shingles, each with the number of documents that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # a worker may have packed sequences before
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting: list[np.ndarray] = []
         size = 0
@@ -94,6 +96,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _signatures(width: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         tokens, ranks = frequent.value
         for batch in text_slices(batches, SLICE):
             sets, prefixes = _sets(batch, width), []
@@ -127,6 +130,7 @@ def _verify(width: int, percent: int):
     """Keeps the pairs (a, b) whose texts are similar; a's text often stays the same from row to row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for whole in batches:
             for batch in [whole.slice(i, 256) for i in range(0, whole.num_rows, 256)]:
                 known: dict[int, np.ndarray] = {}
@@ -195,6 +199,7 @@ def _apart(percent: int, block: int):
         return np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[np.ndarray] | None = None
         for batch in batches:
             now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]

@@ -91,3 +91,11 @@ def test_queries_return_a_row_for_each_input(spark, name):
     got = queries.queries()[name](spark, FOLDER)
     table = {"op5": "embeddings", "op11": "pages"}.get(name.split("_")[0], "documents")
     assert got.count() >= spark.read.parquet(f"{FOLDER}/{table}.parquet").count()
+
+
+def test_tasks_of_the_jaccard_join_drop_encoders_that_a_worker_has_kept():
+    from obliqua.llm import jaccard_join, tokens
+
+    for task in (jaccard_join._frequent(5, 2, 100), jaccard_join._verify(5, 80), jaccard_join._apart(80, 256)):
+        tokens._encoders["kept", 1] = None
+        assert list(task(iter([]))) is not None and not tokens._encoders
